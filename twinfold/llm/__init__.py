@@ -9,11 +9,17 @@ from pyspark.sql import DataFrame, SparkSession
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     from .bpe_codec import op2_bpe_codec
+    from .fingerprints import op1_fingerprints
+    from .language import op10_language
+    from .near_copies import op7_near_copies
     from .packing import op5_packing
+    from .quality import op9_quality
+    from .surrogates import op8_surrogates
     from .token_counts import op4_token_counts
     from .token_files import op3_token_files
+    from .url_filter import op6_url_filter
 
-    found = (op2_bpe_codec, op3_token_files, op4_token_counts, op5_packing)
+    found = (op1_fingerprints, op2_bpe_codec, op3_token_files, op4_token_counts, op5_packing, op6_url_filter, op7_near_copies, op8_surrogates, op9_quality, op10_language)
     return {f.__name__: f for f in found}
 
 

@@ -12,27 +12,34 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import bpe
 from .pieces import Pieces
-from .shared import documents, id_and_text, steps
+from .shared import documents, id_and_text, slices
 
 
 @functools.lru_cache(2)
 def codec(data: bytes, pattern: str) -> Pieces:
-    """For each piece: its ids as decimal numbers joined by spaces, and the bytes that the ids stand for."""
+    """For each piece: its ids as decimal numbers, each followed by a space, and the bytes that the ids stand for."""
     import regex
 
     vocabulary, find = bpe.from_ranks(data), regex.compile(pattern).findall
 
-    def encode(pieces: list[str]) -> list[tuple[str, bytes]]:
+    def encode(pieces: list[str]) -> list[tuple[bytes, bytes]]:
         cut = [find(x) for x in pieces]
         words = list({w for x in cut for w in x})
         ids = dict(zip(words, vocabulary.encode([w.encode() for w in words]), strict=True))
         out = []
         for x in cut:
             own = [i for w in x for i in ids[w]]
-            out.append((" ".join(map(str, own)), b"".join([vocabulary.tokens[i] for i in own])))
+            out.append(("".join([f"{i} " for i in own]).encode(), b"".join([vocabulary.tokens[i] for i in own])))
         return out
 
-    return Pieces(encode)
+    return Pieces(encode, lambda parts: (b"".join([a for a, _ in parts]), b"".join([b for _, b in parts])))
+
+
+def _coded(batches: Iterator[pa.RecordBatch], data: bytes, pattern: str) -> Iterator[tuple[pa.RecordBatch, list[bytes], list[memoryview]]]:
+    """The slices of the batches; for each text its ids, decimal and joined by one space, and what they decode to."""
+    for part in slices(batches):
+        found = codec(data, pattern)(part.column("text"))
+        yield part, [bytes(x[:-1]) for x in found.joined([a for a, _ in found.results])], found.joined([b for _, b in found.results])
 
 
 def encode_texts(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
@@ -42,10 +49,9 @@ def encode_texts(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     data = Path(ranks_path).read_bytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, texts in steps(batches):
-            got = codec(data, pattern)(texts)
-            ids = [[int(i) for a, _ in x for i in a.split()] for x in got]
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(map(len, ids), pa.int64()), pa.array(ids, pa.list_(pa.int32())), pa.array([b"".join([b for _, b in x]) for x in got], pa.binary())], ["doc_id", "n_tokens", "ids", "decoded"])
+        for part, ids, decoded in _coded(batches, data, pattern):
+            numbers = [[int(i) for i in x.split()] for x in ids]
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(map(len, numbers), pa.int64()), pa.array(numbers, pa.list_(pa.int32())), pa.array(map(bytes, decoded), pa.binary())], ["doc_id", "n_tokens", "ids", "decoded"])
 
     return id_and_text(docs).mapInArrow(run, "doc_id long, n_tokens long, ids array<int>, decoded binary")
 
@@ -55,14 +61,9 @@ def encode_digests(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     data = Path(ranks_path).read_bytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, texts in steps(batches):
-            n, ids_sha, bytes_sha = [], [], []
-            for x in codec(data, pattern)(texts):
-                ids = " ".join([a for a, _ in x if a])
-                n.append(ids.count(" ") + 1 if ids else 0)
-                ids_sha.append(hashlib.sha256(ids.encode()).hexdigest())
-                bytes_sha.append(hashlib.sha256(b"".join([b for _, b in x])).hexdigest())
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(bytes_sha, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        for part, ids, decoded in _coded(batches, data, pattern):
+            n = pa.array([x.count(b" ") + bool(x) for x in ids], pa.int64())
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), n, *(pa.array([hashlib.sha256(x).hexdigest() for x in y], pa.string()) for y in (ids, decoded))], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return id_and_text(docs).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 

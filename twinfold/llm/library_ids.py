@@ -3,32 +3,65 @@
 from __future__ import annotations
 
 import functools
+import json
+import re
+from array import array
 
 import numpy as np
 
+from .bpe import byte_letters
 from .pieces import Pieces
 
 
+#: A word of letters that are one pre-token, stay as they are under NFC and have a lower-case form of one letter.
+_WORD = re.compile("[ ]?[A-Za-zÀ-ÖØ-öø-įĴ-ňŊ-ſ]+")
+
+
+def _direct(settings: dict) -> str:
+    """How a plain word reaches the model: as its bytes, with the space before it; or lower-cased and without. Else empty."""
+    normal, before = settings.get("normalizer"), settings.get("pre_tokenizer") or {}
+    if normal is None and before.get("type") == "ByteLevel" and before.get("use_regex") and not before.get("add_prefix_space"):
+        return "bytes"
+    inner, steps = (normal or {}).get("normalizers", []), before.get("pretokenizers", [])
+    if [x["type"] for x in inner] == ["NFC", "Replace", "Lowercase"] and [x["type"] for x in steps] == ["Split", "ByteLevel"] and r"[\p{L}]+" in steps[0]["pattern"].get("Regex", "") and steps[0]["behavior"] == "Removed" and not steps[1]["use_regex"]:
+        return "lower"
+    return ""
+
+
 @functools.lru_cache(4)
 def ids_of(data: bytes) -> Pieces:
-    """The ids of each piece as bytes of 16-bit numbers (32-bit where the vocabulary is larger)."""
+    """The ids of each piece as bytes of 16-bit numbers (32-bit where the vocabulary is larger). Plain words go to the
+    library's model at once, all else through its whole chain."""
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
-    library, kind = Tokenizer.from_buffer(data), id_type(data)
+    library, code = Tokenizer.from_buffer(data), id_type(data).char
+    how = _direct(json.loads(data))
+    model, plain = library.model.tokenize, _WORD.fullmatch
+    spelled = {ord(c): "".join(map(_letters().__getitem__, c.encode())) for c in map(chr, range(0x180))}
 
     def encode(pieces: list[str]) -> list[bytes]:
-        return [np.array(x.ids, kind).tobytes() for x in library.encode_batch_fast(pieces, add_special_tokens=False)]
+        out = [array(code, [t.id for t in model(x.translate(spelled))]).tobytes() if how and plain(x) else b"" for x in pieces]
+        rest = [i for i, x in enumerate(pieces) if not (how and plain(x))]
+        for i, x in zip(rest, library.encode_batch_fast([pieces[i] for i in rest], add_special_tokens=False), strict=True):
+            out[i] = array(code, x.ids).tobytes()
+        return out
 
-    return Pieces(encode)
+    def folded(x: str) -> str:
+        return x.strip(" ").lower() if plain(x) else x
+
+    return Pieces(encode, b"".join, folded if how == "lower" else None)
+
+
+@functools.cache
+def _letters() -> dict[int, str]:
+    return {b: c for c, b in byte_letters().items()}
 
 
 @functools.lru_cache(4)
 def id_type(data: bytes) -> np.dtype:
-    import json
-
     d = json.loads(data)
     top = max([0, *d["model"]["vocab"].values(), *(x["id"] for x in d.get("added_tokens", []))])
     return np.dtype("<u2") if top < 1 << 16 else np.dtype("<u4")

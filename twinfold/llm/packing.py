@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .library_ids import id_type, ids_of
-from .shared import documents, id_and_text, steps
+from .shared import documents, id_and_text, slices
 
 ROWS = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -92,11 +92,11 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int, sequence_length: int
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["grp", "row", "doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids"]
         types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
-        for part, texts in steps(batches):
+        for part in slices(batches):
             rows = []
             keys = zip(part.column("grp").to_pylist(), part.column("row").to_pylist(), part.column("doc_id").to_pylist(), strict=True)
-            for (grp, row, doc), found in zip(keys, ids_of(data)(texts), strict=True):
-                ids = np.append(np.frombuffer(b"".join(found), kind), kind.type(end_id))
+            for (grp, row, doc), found in zip(keys, ids_of(data)(part.column("text")).joined(), strict=True):
+                ids = np.append(np.frombuffer(found, kind), kind.type(end_id))
                 n = len(ids)
                 whole = n - n % sequence_length
                 for at in range(0, whole, sequence_length):

@@ -1,20 +1,28 @@
 """Tokenising by cached pieces of text.
 
 Both byte-level and word-level patterns of the vocabularies end a match wherever a white-space
-character follows another character, so a text may be cut before each space that follows a
-non-space: the tokens of the whole are the tokens of the pieces, one after the other. Words repeat,
-so each Python worker keeps the result of the pieces it has seen. What it keeps is bounded; the
-result doesn't depend on it.
+character follows another character, and wherever a sentence mark follows a letter or digit, so a text may be cut
+there: the tokens of the whole are the tokens of the pieces, one after the other. Words repeat, so each Python worker
+keeps the results of the pieces it has seen lately. What it keeps is bounded; the result doesn't depend on it.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
-from typing import Any
+from collections.abc import Callable, Iterable
+from typing import Any, NamedTuple
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 _SPACE_AFTER_SPACE = re.compile(r"\s ")
+#: The same for Arrow's regular expressions, which know only ASCII by \s.
+_ODD = r"[\s\v\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}] "
 _CUT = re.compile(r"(?<=\S)(?= )")
+_LINE = re.compile(r"(?<=\S)(?=\n)")
+#: None of these may be the last character of a special token.
+MARKS = ".,;:!?#*%&$\"()"
 
 
 def cut(text: str) -> tuple[str, list[str]]:
@@ -27,34 +35,101 @@ def cut(text: str) -> tuple[str, list[str]]:
     return first, rest
 
 
-class Pieces:
-    """encode: from a list of pieces to a list of their results."""
+def cores(piece: str) -> list[str]:
+    """A piece at its line ends and before the marks at the end of each word."""
+    out = []
+    for x in _LINE.split(piece) if "\n" in piece else (piece,):
+        core = x.rstrip(MARKS)
+        if len(core) < len(x) and core and core[-1].isalnum():
+            out += [core, x[len(core) :]]
+        else:
+            out.append(x)
+    return out
+
+
+class _Lately:
+    """Results of the pieces seen last: of most_chars characters at most in each of two generations."""
 
-    def __init__(self, encode: Callable[[list[str]], list[Any]], most_pieces: int = 600_000, most_chars: int = 12_000_000):
-        self.encode, self.most_pieces, self.most_chars = encode, most_pieces, most_chars
-        self.first: dict[str, Any] = {}
-        self.rest: dict[str, Any] = {}
+    def __init__(self, most_pieces: int, most_chars: int):
+        self.most_pieces, self.most_chars = most_pieces, most_chars
+        self.new: dict[str, Any] = {}
+        self.old: dict[str, Any] = {}
         self.chars = 0
 
-    def _learn(self, known: dict[str, Any], wanted: set[str], lead: str) -> None:
-        new = [x for x in wanted if x not in known]
-        size = sum(map(len, new))
-        if len(known) + len(new) > self.most_pieces or self.chars + size > self.most_chars:
-            known.clear()
-            new = list(wanted)
-            size = self.chars = sum(map(len, new))
-        else:
-            self.chars += size
-        if new:
-            known.update(zip(new, self.encode([lead + x for x in new]), strict=True))
-
-    def __call__(self, texts: list[str]) -> list[list[Any]]:
-        """For each text the results of its pieces."""
-        cuts = [cut(x) for x in texts]
-        self._learn(self.first, {a for a, _ in cuts}, "")
-        wanted: set[str] = set()
-        for _, rest in cuts:
-            wanted.update(rest)
-        self._learn(self.rest, wanted, " ")
-        get = self.rest.__getitem__
-        return [[self.first[a], *map(get, rest)] for a, rest in cuts]
+    def missing(self, wanted: Iterable[str]) -> list[str]:
+        """What of wanted isn't there; all else is in ``new`` afterwards, which holds no more than wanted and one generation."""
+        if len(self.new) > self.most_pieces or self.chars > self.most_chars:
+            self.old, self.new, self.chars = self.new, {}, 0
+        new, old = self.new, self.old
+        absent = [x for x in wanted if x not in new]
+        again = [x for x in absent if x in old]
+        if again:
+            new.update((x, old[x]) for x in again)
+            self.chars += sum(map(len, again))
+            return [x for x in absent if x not in old]
+        return absent
+
+    def add(self, pieces: list[str], results: list[Any]) -> None:
+        self.new.update(zip(pieces, results, strict=True))
+        self.chars += sum(map(len, pieces))
+
+
+class Found(NamedTuple):
+    """Text ``k`` has the pieces ``bounds[k]`` to ``bounds[k + 1]``; piece ``i`` has the result ``results[of[i]]``."""
+
+    results: list[Any]
+    of: np.ndarray
+    bounds: np.ndarray
+
+    def joined(self, results: list[bytes] | None = None) -> list[memoryview]:
+        """For each text the results of its pieces, which are bytes, one after the other."""
+        whole = pa.array(self.results if results is None else results, pa.large_binary()).take(pa.array(self.of))
+        ends = np.frombuffer(whole.buffers()[1], np.int64)[self.bounds].tolist()
+        data = memoryview(whole.buffers()[2] or b"")
+        return [data[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
+
+    def sums(self) -> np.ndarray:
+        total = np.concatenate([[0], np.cumsum(np.array(self.results, np.int64)[self.of])])
+        return np.diff(total[self.bounds])
+
+
+class Pieces:
+    """encode: from a list of pieces to a list of their results; joined: from the results of the parts of a piece to its
+    own; fold: a form of a part that has the same result."""
+
+    def __init__(self, encode: Callable[[list[str]], list[Any]], joined: Callable[[list[Any]], Any], fold: Callable[[str], str] | None = None, most_pieces: int = 250_000, most_chars: int = 4_000_000):
+        self.encode, self.result, self.fold = encode, joined, fold
+        self.first, self.rest, self.core = (_Lately(most_pieces, most_chars) for _ in range(3))
+
+    def _learn(self, known: _Lately, wanted: list[str], lead: str) -> list[Any]:
+        if new := known.missing(wanted):
+            parts = [cores(lead + x) for x in new]
+            if fold := self.fold:
+                parts = [[fold(x) for x in p] for p in parts]
+            if absent := self.core.missing({x for p in parts for x in p}):
+                self.core.add(absent, self.encode(absent))
+            core, joined = self.core.new, self.result
+            known.add(new, [core[p[0]] if len(p) == 1 else joined([core[x] for x in p]) for p in parts])
+        return [*map(known.new.__getitem__, wanted)]
+
+    def __call__(self, column: pa.Array) -> Found:
+        """The pieces of each text; null texts are as empty ones."""
+        column = pc.fill_null(column, "").cast(pa.large_string())
+        lists = pc.split_pattern(column, " ")
+        odd = pc.match_substring_regex(column, _ODD)
+        if pc.any(odd).as_py():
+            rows = [i for i, x in enumerate(odd.to_pylist()) if x]
+            order = np.arange(len(column))
+            order[rows] = len(column) + np.arange(len(rows))
+            cuts = pa.array([[a, *rest] for a, rest in (cut(column[i].as_py()) for i in rows)], pa.list_(pa.large_string()))
+            lists = pa.concat_arrays([lists, cuts.cast(lists.type)]).take(pa.array(order))
+        bounds = lists.offsets.to_numpy().astype(np.int64)
+        bounds = bounds - bounds[0]
+        coded = lists.flatten().dictionary_encode()
+        names, of = coded.dictionary.to_pylist(), coded.indices.to_numpy().astype(np.int64)
+        results = self._learn(self.rest, names, " ")
+        if len(bounds) > 1:
+            firsts, place = np.unique(of[bounds[:-1]], return_inverse=True)
+            of[bounds[:-1]] = len(results) + place
+            results += self._learn(self.first, [names[i] for i in firsts.tolist()], "")
+        return Found(results, of, bounds)

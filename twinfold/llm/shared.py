@@ -7,7 +7,9 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,20 +51,19 @@ def id_and_text(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
-def steps(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = STEP_CHARS) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
-    """Each batch again in slices of about ``most`` bytes of text, with the texts as strings (null: empty).
-    A row stays whole, however long it is."""
-    import pyarrow.compute as pc
-
+def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = STEP_CHARS) -> Iterator[pa.RecordBatch]:
+    """Each batch in slices of about ``most`` bytes of text; a row stays whole."""
     for batch in batches:
-        lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
-        start = size = 0
-        for row, n in enumerate(lengths):
-            if size and size + n > most:
-                part = batch.slice(start, row - start)
-                yield part, [x or "" for x in part.column(column).to_pylist()]
-                start, size = row, 0
-            size += n
-        if start < len(lengths):
-            part = batch.slice(start)
-            yield part, [x or "" for x in part.column(column).to_pylist()]
+        size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        start = 0
+        while start < batch.num_rows:
+            before = size[start - 1] if start else 0
+            stop = max(start + 1, int(np.searchsorted(size, before + most, "right")))
+            yield batch.slice(start, stop - start)
+            start = stop
+
+
+def steps(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = STEP_CHARS) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+    """As slices, with the texts as strings (null: empty)."""
+    for part in slices(batches, column, most):
+        yield part, [x or "" for x in part.column(column).to_pylist()]

@@ -1,0 +1,280 @@
+"""Operator 8: personal data and secrets replaced by keyed surrogates of the same type and format.
+
+Each surrogate is a keyed permutation of the entity within the set of strings of its type, script, letter classes and
+length (a Feistel network with cycle walking), so two entities never share a surrogate and one entity has the same
+surrogate in all documents, without any table of what was found. Validity (card and account check digits, number
+ranges, gender of given names) is part of that set: the walk goes on until the surrogate is valid, too."""
+
+from __future__ import annotations
+
+import functools
+import hashlib
+import re
+import string
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .shared import documents, steps
+
+DEFAULT_KEY = b"replace this key in production"
+ROUNDS = 10
+
+# Given names by script and gender, and the forms of address that show the gender.
+GIVEN_NAMES = {
+    ("latin", "f"): "Anna Clara Elena Emma Greta Helen Irene Julia Laura Lena Lucia Maria Marta Nina Nora Paula Rosa Sara Sofia Vera",
+    ("latin", "m"): "Adam Boris David Emil Felix Georg Hugo Ivan Jan Karl Leo Luis Marco Martin Oscar Paul Peter Robert Simon Victor",
+    ("cyrillic", "f"): "Анна Вера Елена Ирина Лидия Мария Нина Ольга София Юлия",
+    ("cyrillic", "m"): "Антон Борис Виктор Денис Иван Игорь Максим Олег Павел Сергей",
+    ("greek", "f"): "Άννα Ελένη Ειρήνη Μαρία Σοφία Χριστίνα",
+    ("greek", "m"): "Αντώνης Γιάννης Δημήτρης Κώστας Νίκος Πέτρος",
+}
+TITLES = {"m": "Mr Mister Herr Herrn Monsieur Señor Sr Don Г-н Господин Κύριος", "f": "Mrs Ms Miss Frau Madame Mme Mlle Señora Sra Srta Doña Г-жа Госпожа Κυρία", "": "Dr Prof"}
+
+_ALPHABETS = {
+    "latin": ("aeiouyàáâäãåèéêëìíîïòóôöõùúûü", "bcdfghjklmnpqrstvwxzßçñ"),
+    "cyrillic": ("аеёиоуыэюя", "бвгджзйклмнпрстфхцчшщъь"),
+    "greek": ("αεηιουωάέήίόύώ", "βγδζθκλμνξπρστφχψς"),
+}
+
+
+def permuted(n: int, size: int, key: bytes, tweak: str, valid: Callable[[int], bool] = lambda _: True) -> int:
+    """The image of n in a keyed permutation of the valid numbers below size, of which n is one."""
+    if size < 2:
+        return n
+    half = max(1, ((size - 1).bit_length() + 1) // 2)
+    mask = (1 << half) - 1
+    width = half // 8 + 1
+    x = n
+    while True:
+        left, right = x >> half, x & mask
+        for r in range(ROUNDS):
+            digest = hashlib.blake2b(right.to_bytes(width, "big") + bytes([r]) + size.to_bytes(size.bit_length() // 8 + 1, "big") + tweak.encode(), key=key[:64], digest_size=min(64, width + 8)).digest()
+            left, right = right, left ^ (int.from_bytes(digest, "big") & mask)
+        x = left << half | right
+        if x < size and valid(x):
+            return x
+
+
+def permuted_letters(text: str, sets: list[str], key: bytes, tweak: str, valid: Callable[[str], bool] = lambda _: True) -> str:
+    """Each character of one of the sets becomes one of the same set; others stay. All of them are permuted together."""
+    homes = [next((s for s in sets if c in s), c) for c in text]
+
+    def number(x: str) -> int:
+        out = 0
+        for c, home in zip(x, homes, strict=True):
+            out = out * len(home) + home.index(c)
+        return out
+
+    def letters(n: int) -> str:
+        out = []
+        for home in reversed(homes):
+            n, at = divmod(n, len(home))
+            out.append(home[at])
+        return "".join(reversed(out))
+
+    size = 1
+    for home in homes:
+        size *= len(home)
+    return letters(permuted(number(text), size, key, tweak, lambda n: valid(letters(n))))
+
+
+def _put_digits(text: str, digits: str) -> str:
+    it = iter(digits)
+    return "".join(next(it) if "0" <= c <= "9" else c for c in text)
+
+
+def _digits(text: str) -> str:
+    return "".join(c for c in text if "0" <= c <= "9")
+
+
+def _luhn(digits: str) -> bool:
+    total = 0
+    for i, c in enumerate(reversed(digits)):
+        n = int(c) * (1 + i % 2)
+        total += n - 9 * (n > 9)
+    return total % 10 == 0
+
+
+def _mod97(account: str) -> int:
+    return int("".join(str(int(c, 36)) for c in account)) % 97
+
+
+def email(text: str, key: bytes) -> str:
+    local, _, domain = text.rpartition("@")
+    low, (body, _, top) = local.lower(), domain.lower().rpartition(".")
+    plain = [string.ascii_lowercase, string.digits]
+    new = permuted_letters(low, plain, key, f"local {domain.lower()}")
+    new = "".join(b.upper() if a.isupper() else b for a, b in zip(local, new, strict=True))
+    return f"{new}@{permuted_letters(body, plain, key, f'domain {top}')}.{top}.example"
+
+
+def phone(text: str, key: bytes) -> str:
+    digits = _digits(text)
+    head, own = digits[:-10], digits[-10:]
+    ok = lambda x: x[0] != "0" and (own[0] == "1") == (x[0] == "1") if own[0] != "0" else x[0] == "0"
+    return _put_digits(text, head + permuted_letters(own, [string.digits], key, f"phone {len(own)}", ok))
+
+
+def ipv4(text: str, key: bytes) -> str:
+    def kind(n: int) -> tuple:
+        a, b = n >> 24, n >> 16 & 255
+        return (a == 0, a == 10, a == 127, a >= 224, (a, b) == (192, 168), a == 172 and 16 <= b < 32, (a, b) == (169, 254))
+
+    n = functools.reduce(lambda x, y: x << 8 | int(y), text.split("."), 0)
+    x = permuted(n, 1 << 32, key, "ipv4", lambda x: kind(x) == kind(n))
+    return ".".join(str(x >> k & 255) for k in (24, 16, 8, 0))
+
+
+def card(text: str, key: bytes) -> str:
+    digits = _digits(text)
+    new = permuted_letters(digits[1:-1], [string.digits], key, f"card {digits[0]}")
+    return _put_digits(text, next(x for x in (digits[0] + new + c for c in string.digits) if _luhn(x)))
+
+
+def social(text: str, key: bytes) -> str:
+    ok = lambda x: x[:3] not in ("000", "666") and x[0] != "9" and x[3:5] != "00" and x[5:] != "0000"
+    return _put_digits(text, permuted_letters(_digits(text), [string.digits], key, "social", ok))
+
+
+def account(text: str, key: bytes) -> str:
+    flat = text.replace(" ", "")
+    new = permuted_letters(flat[4:], [string.ascii_uppercase, string.digits], key, f"account {flat[:2]}")
+    it = iter(f"{flat[:2]}{98 - _mod97(f'{new}{flat[:2]}00'):02d}{new}")
+    return "".join(c if c == " " else next(it) for c in text)
+
+
+def secret(text: str, key: bytes) -> str:
+    if re.fullmatch("[0-9a-f]+", text):
+        return permuted_letters(text, ["0123456789abcdef"], key, "hexadecimal")
+    if text.startswith("AKIA"):
+        return "AKIA" + permuted_letters(text[4:], [string.ascii_uppercase + string.digits], key, "key id")
+    return permuted_letters(text, [string.ascii_lowercase, string.ascii_uppercase, string.digits], key, "secret")
+
+
+def _script(word: str) -> str:
+    return "cyrillic" if re.search("[Ѐ-ӿ]", word) else "greek" if re.search("[Ͱ-Ͽ]", word) else "latin"
+
+
+def _name_word(word: str, key: bytes, tweak: str, taken: frozenset[str] = frozenset()) -> str:
+    low = word.lower()
+    new = permuted_letters(low, list(_ALPHABETS[_script(word)]), key, f"{tweak} {_script(word)}", lambda x: x not in taken)
+    return "".join(b.upper() if a.isupper() else b for a, b in zip(word, new, strict=True)) if len(low) == len(word) else new
+
+
+def name(text: str, gender: str, key: bytes) -> str:
+    """Given names of the list become others of the same script and gender; other words keep vowels as vowels, in
+    their script. The last of the words is the family name."""
+    words = text.split(" ")
+    out = []
+    for i, word in enumerate(words):
+        pools = {g: GIVEN_NAMES[_script(word), g].split() for g in ("f", "m")}
+        listed = frozenset(x.lower() for p in pools.values() for x in p)
+        own = next((g for g in ("f", "m") if word in pools[g]), None)
+        if i < len(words) - 1 and own:
+            pool = pools[own]
+            out.append(pool[permuted(pool.index(word), len(pool), key, f"given {own} {_script(word)}")])
+        elif i < len(words) - 1:
+            out.append(_name_word(word, key, f"given {gender}", listed))
+        else:
+            out.append(_name_word(word, key, "family"))
+    return " ".join(out)
+
+
+_TITLES = {t: g for g, x in TITLES.items() for t in x.split()}
+_WORD = r"[^\W\d_]{1,30}(?:[’'-][^\W\d_]{1,30}){0,2}"
+_FOUND = re.compile(
+    r"(?P<ipv4>(?<![\d.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?!\d|\.\d))"
+    r"|(?P<social>(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-]))"
+    r"|(?P<card>(?<![\d+])\d(?:[ -]?\d){12,18}(?!\d))"
+    r"|(?P<phone>(?<![\w+])\+\d{1,3}[ .-]?\(?\d{1,4}\)?(?:[ .-]?\d{2,4}){2,4}(?!\d)|(?<![\w+(])\(?\d{3}\)?[ .-]\d{3}[ .-]\d{4}(?![\d-]))"
+    r"|(?P<account>(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w))"
+    r"|(?P<key>(?<!\w)AKIA[0-9A-Z]{16}(?!\w)|(?<!\w)(?:sk|pk|ghp|xox[bp])[-_][A-Za-z0-9_-]{16,200}(?!\w))"
+    r"|(?<!\w)(?i:password|passwd|pwd|token|secret|api[_-]?key)[ \t]{0,3}[:=][ \t]{0,3}[\"']?(?P<secret>[^\s\"',;]{6,200})"
+)
+_NAME = re.compile(rf"(?<!\w)(?P<title>{'|'.join(sorted(_TITLES, key=len, reverse=True))})\.?[ ](?P<name>{_WORD}(?:[ ]{_WORD}){{0,2}})")
+_LOCAL, _DOMAIN = re.compile(r"[A-Za-z0-9._%+-]{1,64}\Z"), re.compile(r"@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,8}\.[A-Za-z]{2,24}(?![A-Za-z0-9])")
+_HINT = re.compile(r"[0-9@]|AKIA|[:=]")
+
+
+def detect(text: str) -> list[tuple[int, int, str, str]]:
+    """(start, end, type, gender) of the entities in a text, in order and without overlap."""
+    found: list[tuple[int, int, str, str]] = []
+    at = text.find("@")
+    while at >= 0:
+        left, right = _LOCAL.search(text[max(0, at - 64) : at]), _DOMAIN.match(text, at)
+        if left and right:
+            found.append((at - len(left[0]), right.end(), "email", ""))
+        at = text.find("@", at + 1)
+    if _HINT.search(text):
+        for m in _FOUND.finditer(text):
+            kind = m.lastgroup or ""
+            own = m[kind]
+            if kind == "ipv4" and max(map(int, own.split("."))) > 255 or kind == "card" and not _luhn(_digits(own)) or kind == "account" and _mod97((flat := own.replace(" ", ""))[4:] + flat[:4]) != 1:
+                continue
+            if kind == "social" and (own[:3] in ("000", "666") or own[0] == "9" or own[4:6] == "00" or own[7:] == "0000") or kind == "phone" and not 7 <= len(_digits(own)) <= 15:
+                continue
+            found.append((*m.span(kind), "secret" if kind == "key" else kind, ""))
+    for m in _NAME.finditer(text):
+        words, n = m["name"].split(" "), 0
+        while n < len(words) and words[n][0].isupper():
+            n += 1
+        if n:
+            found.append((m.start("name"), m.start("name") + len(" ".join(words[:n])), "name", _TITLES[m["title"]]))
+    found.sort(key=lambda x: (x[0], -x[1]))
+    out: list[tuple[int, int, str, str]] = []
+    for x in found:
+        if not out or x[0] >= out[-1][1]:
+            out.append(x)
+    return out
+
+
+_MAKE = {"email": email, "phone": phone, "ipv4": ipv4, "card": card, "social": social, "account": account, "secret": secret}
+
+
+def replace(text: str, key: bytes = DEFAULT_KEY) -> tuple[str, list[tuple[str, str, str]]]:
+    """The text with surrogates, and (type, entity, surrogate) of each place."""
+    parts, at, found = [], 0, []
+    for start, end, kind, gender in detect(text):
+        own = text[start:end]
+        new = name(own, gender, key) if kind == "name" else _MAKE[kind](own, key)
+        parts += [text[at:start], new]
+        at = end
+        found.append((kind, own, new))
+    return ("".join([*parts, text[at:]]) if found else text), found
+
+
+def surrogates(docs: DataFrame, key: bytes = DEFAULT_KEY) -> DataFrame:
+    """All columns of docs as they are, but text with surrogates, and the column ``pii_found``: an array of
+    (kind, entity_digest, surrogate), the digest keyed. A column of that name in docs is replaced. Null texts stay null
+    with no entity."""
+    from pyspark.sql import types as T
+
+    columns = [c for c in docs.columns if c != "pii_found"]
+    kinds = T.StructType([docs.schema[c] for c in columns]).add("pii_found", T.ArrayType(T.StructType([T.StructField(x, T.StringType()) for x in ("kind", "entity_digest", "surrogate")])))
+    kind = pa.list_(pa.struct([("kind", pa.string()), ("entity_digest", pa.string()), ("surrogate", pa.string())]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, texts in steps(batches):
+            done = [replace(x, key) for x in texts]
+            real = part.column("text").is_valid().to_pylist()
+            new = {
+                "text": pa.array([x if ok else None for (x, _), ok in zip(done, real, strict=True)], part.column("text").type),
+                "pii_found": pa.array([[{"kind": k, "entity_digest": hashlib.blake2b(f"{k} {own}".encode(), key=key[:64], digest_size=16).hexdigest(), "surrogate": s} for k, own, s in x] for _, x in done], kind),
+            }
+            yield pa.RecordBatch.from_arrays([new[c] if c in new else part.column(c) for c in [*columns, "pii_found"]], [*columns, "pii_found"])
+
+    return docs.select(*[f"`{c}`" for c in columns]).mapInArrow(run, kinds)
+
+
+def collisions(replaced: DataFrame) -> DataFrame:
+    """kind, surrogate, entities: surrogates that stand for more than one entity. It has no rows unless names differ
+    in upper and lower case only; run it over what surrogates() gives."""
+    found = replaced.select(F.explode("pii_found").alias("x")).select("x.*").distinct()
+    return found.groupBy("kind", "surrogate").agg(F.count("*").alias("entities")).where("entities > 1")
+
+
+def op8_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return surrogates(documents(spark, sf_dir).select("doc_id", "text")).select("doc_id", "text", F.size("pii_found").cast("long").alias("n_found"), F.transform("pii_found", lambda x: x.kind).alias("kinds"))

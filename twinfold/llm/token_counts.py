@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import bpe
 from .pieces import Pieces
-from .shared import documents, id_and_text, steps
+from .shared import documents, id_and_text, slices
 
 
 @functools.lru_cache(2)
@@ -32,7 +32,7 @@ def counter(data: bytes) -> Pieces:
         merged = dict(zip(rest, map(len, vocabulary.encode([bytes([letters[c] for c in w]) for w in rest])), strict=True))
         return [len(library.encode(p, add_special_tokens=False).ids) if x is None else sum([merged.get(w, 1) for w in x]) for p, x in zip(pieces, cut, strict=True)]
 
-    return Pieces(count)
+    return Pieces(count, sum)
 
 
 def count_tokens(docs: DataFrame, tokenizer_path: str, limit: int = 1024) -> DataFrame:
@@ -41,8 +41,8 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, limit: int = 1024) -> Dat
     data = Path(tokenizer_path).read_bytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, texts in steps(batches):
-            n = pa.array([sum(x) for x in counter(data)(texts)], pa.int64())
+        for part in slices(batches):
+            n = pa.array(counter(data)(part.column("text")).sums())
             size = pc.fill_null(pc.binary_length(part.column("text")), 0).cast(pa.int64())
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), size, n, pc.greater(n, limit)], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
 

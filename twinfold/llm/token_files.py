@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .library_ids import id_type, ids_of
-from .shared import documents, id_and_text, partitions, shared_folder, steps, written
+from .shared import documents, id_and_text, partitions, shared_folder, slices, written
 
 SEQUENCES = 64
 FILES = "part int, path string, n_docs long, n_tokens long"
@@ -42,7 +42,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int, folder:
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, texts = next(found := steps(batches), (None, []))
+        part = next(found := slices(batches), None)
         if part is None or not part.num_rows:
             return
         store, root = _store(folder)
@@ -58,7 +58,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int, folder:
                 ids_file.write_batch(pa.RecordBatch.from_arrays([pa.FixedSizeListArray.from_arrays(pa.array(ids), sequence_length), pa.FixedSizeListArray.from_arrays(pa.array(mask), sequence_length)], schema=row))
 
             while part is not None:
-                got = [b"".join(x) for x in ids_of(data)(texts)]
+                got = ids_of(data)(part.column("text")).joined()
                 sizes = np.array([len(x) // kind.itemsize + 1 for x in got], np.int64)
                 end = np.array([end_id], kind).tobytes()
                 rest = np.concatenate([rest, np.frombuffer(b"".join([y for x in got for y in (x, end)]), kind)])
@@ -69,7 +69,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int, folder:
                 for at in range(0, whole, step):
                     put(rest[at : at + step], step)
                 rest = rest[whole:]
-                part, texts = next(found, (None, []))
+                part = next(found, None)
             if len(rest):
                 put(np.pad(rest, (0, -len(rest) % sequence_length)), len(rest))
         yield pa.RecordBatch.from_arrays([pa.array([number], pa.int32()), pa.array([f"{folder}/{name}"]), pa.array([n_docs], pa.int64()), pa.array([total], pa.int64())], [x.split()[0] for x in FILES.split(", ")])
