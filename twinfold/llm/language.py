@@ -132,6 +132,17 @@ def identify_languages(docs: DataFrame, model: Filter) -> DataFrame:
     return id_and_text(docs).withColumn("held_out", F.coalesce(held_out(), F.lit(False))).select("doc_id", "held_out", "text").mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
 
 
+def known_languages(docs: DataFrame, model: Filter, least_score: float = 0.2) -> DataFrame:
+    """The rows of docs, with all their columns, whose language is known: not ``und``, and at least least_score."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches):
+            langs, score = identify(part.column("text"), model)
+            yield part.filter(pa.array((np.array(langs, object) != "und") & (score >= least_score)))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     return identify_languages(docs, train(docs))

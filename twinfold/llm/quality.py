@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import functools
-import re
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import documents, slices
+from .shared import documents, id_and_text, slices
 from .words import split_words, windows
 
 # Frequent words of each language, as plain text.
@@ -135,33 +135,58 @@ def references(docs: DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray]]:
     return {k: (v[:CLASSES], v[CLASSES:]) for k, v in out.items()}
 
 
-def quality(docs: DataFrame, most_chars_apart: float = 0.28, most_words_apart: float = 0.5, least_chars: int = 100, least_words: int = 50) -> DataFrame:
+class Limits(NamedTuple):
+    """Distances from the nearest language reference up to which a document is kept, and the number of characters and
+    words from which on each of the two counts."""
+
+    most_chars_apart: float = 0.28
+    most_words_apart: float = 0.5
+    least_chars: int = 100
+    least_words: int = 50
+
+
+def judge(part: pa.RecordBatch, known: list[tuple[np.ndarray, np.ndarray]], limits: Limits) -> dict[str, pa.Array]:
+    f = features(part)
+    failed, total = base_failed(f), f["chars"].sum(1)
+    long_chars, long_words = total >= limits.least_chars, f["n_words"] >= limits.least_words
+    far = np.full(len(failed), np.inf)
+    chars = words = np.zeros(len(failed))
+    for c, w in known:
+        x, y = np.where(long_chars, distance(f["chars"], c), 0), np.where(long_words, distance(f["words"], w), 0)
+        worst = np.maximum(x / limits.most_chars_apart, y / limits.most_words_apart)
+        chars, words, far = np.where(worst < far, x, chars), np.where(worst < far, y, words), np.minimum(worst, far)
+    out = {k: pa.array(f[k], pa.int64()) for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")} | {"base_failed": pa.array(failed)}
+    return out | {"chars_apart": pa.array(chars, mask=~long_chars | (not known)), "words_apart": pa.array(words, mask=~long_words | (not known)), "kept": pa.array(~failed & ((far <= 1) | (not known)))}
+
+
+def quality(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, chars_apart, words_apart,
     kept of each row of docs.
 
     kept: the base rules hold, and some language reference is near enough in both histograms. A histogram counts only
-    from least_chars characters or least_words words on; below, its distance is null and rejects nothing. References
-    are counted over all documents with a lang (null langs count for none); without any, only the base rules decide.
-    Null texts have no words and fail. Rows repeat as often as in docs; other columns are left out."""
+    from a least length on; below, its distance is null and rejects nothing. References are counted over all documents
+    with a lang (null langs count for none); without any, only the base rules decide. Null texts have no words and
+    fail. Rows repeat as often as in docs; other columns are left out."""
     known = list(references(docs).values())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
-            f = features(part)
-            failed, total = base_failed(f), f["chars"].sum(1)
-            long_chars, long_words = total >= least_chars, f["n_words"] >= least_words
-            far = np.full(len(failed), np.inf)
-            chars = words = np.zeros(len(failed))
-            for c, w in known:
-                x, y = np.where(long_chars, distance(f["chars"], c), 0), np.where(long_words, distance(f["words"], w), 0)
-                worst = np.maximum(x / most_chars_apart, y / most_words_apart)
-                chars, words, far = np.where(worst < far, x, chars), np.where(worst < far, y, words), np.minimum(worst, far)
-            kept = ~failed & ((far <= 1) | (not known))
-            cols = [part.column("doc_id"), *(pa.array(f[k], pa.int64()) for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")), pa.array(failed), pa.array(chars, mask=~long_chars | (not known)), pa.array(words, mask=~long_words | (not known)), pa.array(kept)]
-            yield pa.RecordBatch.from_arrays(cols, [x.split()[0] for x in schema.split(", ")])
+            found = judge(part, known, limits)
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), *found.values()], ["doc_id", *found])
 
     schema = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, chars_apart double, words_apart double, kept boolean"
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
+    return id_and_text(docs).mapInArrow(run, schema)
+
+
+def good_documents(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
+    """The rows of docs, with all their columns, that quality() keeps."""
+    known = list(references(docs).values())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches):
+            yield part.filter(judge(part, known, limits)["kept"])
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
