@@ -23,9 +23,10 @@ class Words(NamedTuple):
 
 
 def split_words(column: pa.Array, lower: bool = False) -> Words:
-    """Maximal runs of characters other than space and U+0009 to U+000D; lower: A-Z become a-z. Null: no words."""
+    """Maximal runs of characters other than space and U+0009 to U+000D; lower: the hashes
+    are of the words with A-Z as a-z. Null: no words."""
     column = pc.fill_null(column, "").cast(pa.large_string())
-    lists = pc.ascii_split_whitespace(pc.ascii_lower(column) if lower else column)
+    lists = pc.ascii_split_whitespace(column)
     coded = lists.flatten().dictionary_encode()
     names, of = coded.dictionary.to_pylist(), coded.indices.to_numpy().astype(np.int64)
     bounds = lists.offsets.to_numpy().astype(np.int64)
@@ -34,7 +35,8 @@ def split_words(column: pa.Array, lower: bool = False) -> Words:
         real = of != names.index("")
         bounds = np.concatenate([[0], np.cumsum(real)])[bounds]
         of = of[real]
-    hashes = np.fromiter((xxhash.xxh3_64_intdigest(x.encode()) for x in names), np.uint64, len(names))
+    spelled = (x.encode().lower() if lower else x.encode() for x in names)
+    hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, spelled), np.uint64, len(names))
     return Words(names, of, hashes[of], bounds)
 
 
