@@ -1,6 +1,7 @@
 """Operator 1: document fingerprints as invertible Bloom lookup sketches, in SQL functions.
 
-A text is cut into paragraphs (lines, and sentences within them), and each distinct paragraph into a 64-bit digest. A
+A text is cut into paragraphs (lines; the first HEAD_LINES of them into sentences, so that short texts have several),
+and each distinct paragraph becomes a 64-bit digest. A
 digest falls into one cell of each of three parts of the sketch; a cell holds how many digests it has, and the XOR of
 them and of their check hashes. The sketches of two versions are subtracted cell by cell; a cell with one digest left
 shows it, and taking it out of its other cells shows more, until nothing is left. If something stays, the same is done
@@ -15,16 +16,24 @@ from pyspark.sql import functions as F
 from .shared import documents, id_and_text
 
 #: Cells of each of the three parts: of the fingerprint, and of the larger sketches in turn.
-FINGERPRINT_CELLS, LARGER_CELLS = 8, (16, 64, 256, 1024)
+FINGERPRINT_CELLS, LARGER_CELLS = 8, (8, 32, 128, 512)
 #: Digests for each group of a larger sketch, and rounds of peeling.
-GROUP_DIGESTS, PEEL_ROUNDS = 24, 12
+GROUP_DIGESTS, PEEL_ROUNDS = 8, 10
+HEAD_LINES = 3
 #: Documents in a bucket of neighbouring doc_ids, and slices of the doc_id range that have as many documents each.
 BUCKET_DOCS, SLICES = 1024, 64
 
 
+def let(name: str, value: str, body: str) -> str:
+    """body with a name for a value that is computed once."""
+    return f"element_at(transform(array({value}), {name} -> {body}), 1)"
+
+
 def digests(text: str) -> str:
     """Distinct 64-bit digests of the paragraphs of a text."""
-    return f"transform(array_distinct(filter(split({text}, '\\\\n+|(?<=[.!?])\\\\s+'), p -> p <> '')), p -> xxhash64(p))"
+    head = f"flatten(transform(slice(lines, 1, {HEAD_LINES}), l -> split(l, '(?<=[.!?])\\\\s+')))"
+    whole = f"filter(concat({head}, slice(lines, {HEAD_LINES + 1}, size(lines) + 1)), p -> p <> '')"
+    return let("lines", f"split({text}, '\\\\n+')", f"transform(array_distinct({whole}), p -> xxhash64(p))")
 
 
 def _items(found: str, sign: int, cells: int) -> str:
@@ -41,11 +50,6 @@ def _cells(items: str, cells: int) -> str:
     return f"concat({', '.join(part)})"
 
 
-def let(name: str, value: str, body: str) -> str:
-    """body with a name for a value that is computed once."""
-    return f"element_at(transform(array({value}), {name} -> {body}), 1)"
-
-
 def sketch(found: str, cells: int) -> str:
     return let("own", _items(found, 1, cells), _cells("own", cells))
 
@@ -58,8 +62,10 @@ def peeled(cells_of_difference: str, cells: int) -> str:
     """The digests that differ, or null if the sketch doesn't peel."""
     places = ", ".join(f"'p{t}', cast(shiftrightunsigned(v.s, {20 * t}) & {cells - 1} as int)" for t in range(3))
     pure = f"array_distinct(transform(filter(st.cells, v -> abs(v.c) = 1 and xxhash64(v.k, 7L) = v.s), v -> named_struct('g', v.c, 'd', v.k, 's', v.s, {places})))"
-    step = let("pure", pure, f"if(size(pure) = 0, st, named_struct('cells', {subtracted('st.cells', _cells('pure', cells))}, 'got', concat(st.got, transform(pure, v -> v.d))))")
-    run = f"aggregate(sequence(1, {PEEL_ROUNDS}), named_struct('cells', {cells_of_difference}, 'got', cast(array() as array<bigint>)), (st, i) -> {step}, st -> if(forall(st.cells, v -> v.c = 0 and v.k = 0 and v.s = 0), st.got, null))"
+    found = f"named_struct('cells', {subtracted('st.cells', _cells('pure', cells))}, 'got', concat(st.got, transform(pure, v -> v.d)), 'go', true)"
+    step = let("pure", pure, f"if(size(pure) = 0, named_struct('cells', st.cells, 'got', st.got, 'go', false), {found})")
+    start = f"named_struct('cells', {cells_of_difference}, 'got', cast(array() as array<bigint>), 'go', true)"
+    run = f"aggregate(sequence(1, {PEEL_ROUNDS}), {start}, (st, i) -> if(st.go, {step}, st), st -> if(forall(st.cells, v -> v.c = 0 and v.k = 0 and v.s = 0), st.got, null))"
     return run
 
 
