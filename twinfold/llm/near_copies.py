@@ -4,7 +4,9 @@ Each document is sketched once, where it is read: the set of its word shingles,
 of BANDS groups of them, and the low BITS bits of all minima, packed. Documents of one set are one class. Classes
 that share a band are candidates; the packed bits estimate their similarity, corrected for chance agreement, and what
 may be alike is confirmed on the full sets. A band shared by many classes isn't expanded into pairs: all compare
-with its most central class, and then only classes that aren't connected yet compare with each other."""
+with its most central class. Classes that share a band but aren't connected by that are compared by prefixes: shingles
+are put in one order, rare ones first, and two sets that are alike enough have one of their first shingles in common, the
+fewer the nearer they are in size. Pairs within a component aren't made."""
 
 from __future__ import annotations
 
@@ -25,9 +27,8 @@ BANDS, ROWS, BITS = 24, 4, 4
 MINIMA = BANDS * ROWS
 #: Estimated similarity below which a pair isn't confirmed: over five standard deviations below 0.85.
 LEAST_ESTIMATE = 0.65
-#: Further rounds that compare with one centre only, as long as the pairs left are many.
-STAR_ROUNDS = 2
-_EMPTY = pa.array([], pa.int64())
+#: Slots of the table of shingle frequencies that orders the shingles; ratio of set sizes within a size class.
+SLOTS, SIZE_RATIO = 1 << 20, 1.02
 
 
 @functools.cache
@@ -98,14 +99,77 @@ def confirmed(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     return pairs.join(b, "b").join(a, "a").select("a", "b", "a_text", "b_text").mapInArrow(_confirm(percent), "a long, b long")
 
 
+def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for part in slices(batches):
+        n = np.bincount(np.concatenate([np.empty(0, np.int64), *[_slot(x) for x in shingle_sets(part.column("text"))]]), minlength=1)
+        slot = np.nonzero(n)[0]
+        yield pa.RecordBatch.from_arrays([pa.array(slot, pa.int32()), pa.array(n[slot], pa.int64())], ["slot", "n"])
+
+
+def _slot(shingles: np.ndarray) -> np.ndarray:
+    return (shingles >> np.uint64(44)).astype(np.int64)
+
+
+def _size_class(n: int) -> int:
+    return int(np.floor(np.log(n) / np.log(SIZE_RATIO) + 1e-9))
+
+
+def _prefixes(frequency: np.ndarray, percent: int):
+    """For each text, first as the smaller set of a pair: its size class and first shingles; then as the larger one: the
+    same for each size class that a smaller set may have. Place counts from 0 in the order by frequency."""
+
+    def least(x: int, y: int) -> int:
+        return -(-percent * (x + y) // (100 + percent))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, most=500_000):
+            cols: list[list[np.ndarray]] = [[] for _ in range(7)]
+            for i, r, x in zip(part.column("class_id").to_pylist(), part.column("root").to_pylist(), shingle_sets(part.column("text")), strict=True):
+                size = len(x)
+                order = x[np.lexsort((x, frequency[_slot(x)]))]
+                wanted = [(False, _size_class(size), size - least(size, size) + 1)]
+                smallest = -(-percent * size // 100)
+                for c in range(_size_class(smallest), _size_class(size) + 1):
+                    from_size = max(smallest, int(np.ceil(SIZE_RATIO**c - 1e-6)))
+                    wanted.append((True, c, size - least(from_size, size) + 1))
+                for larger, c, n in wanted:
+                    n = min(n, size)
+                    for col, v in zip(cols, (order[:n].view(np.int64), np.full(n, c), np.full(n, larger), np.full(n, i), np.full(n, r), np.full(n, size), np.arange(n)), strict=True):
+                        col.append(v)
+            types = (pa.int64(), pa.int32(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c) if c else [], t) for c, t in zip(cols, types, strict=True)], ["token", "size_class", "larger", "id", "root", "size", "place"])
+
+    return run
+
+
+def prefix_pairs(candidates: DataFrame, percent: int) -> DataFrame:
+    """a, b (a < b) of candidates (class_id, root, text) with different roots that may be alike enough: none that is gets lost."""
+    frequency = np.zeros(SLOTS, np.int64)
+    # one number for each slot, however many texts there are
+    for r in candidates.select("text").mapInArrow(_frequencies, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toLocalIterator():
+        frequency[r.slot] = r.n
+    rows = candidates.select("class_id", "root", "text").mapInArrow(_prefixes(frequency, percent), "token long, size_class int, larger boolean, id long, root long, size long, place long")
+    rows = written(rows, "prefixes")
+    cell = ["token", "size_class"]
+    groups = rows.groupBy(*cell, "root").agg(F.count("*").alias("n")).groupBy(*cell).agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.count("*").alias("roots")).where("roots > 1").drop("roots")
+    rows = written(rows.join(groups, cell), "shared-prefixes")
+    x = rows.where("not larger").select(*cell, "main", *[F.col(c).alias(f"x_{c}") for c in ("id", "root", "size", "place")])
+    y = rows.where("larger").select(*cell, *[F.col(c).alias(f"y_{c}") for c in ("id", "root", "size", "place")], (F.col("root") == F.col("main")).alias("y_main"))
+    alike = F.expr(f"x_root <> y_root and (x_size < y_size or x_size = y_size and x_id <> y_id) and 100 * x_size >= {percent} * y_size and {100 + percent} * least(x_size - x_place, y_size - y_place) >= {percent} * (x_size + y_size)")
+    # pairs within the largest component of a group are left out before the join, not after it
+    few = x.where("x_root <> main").join(y, cell).where(alike)
+    many = x.where("x_root = main").join(y.where("not y_main"), cell).where(alike)
+    return few.select("x_id", "y_id").unionByName(many.select("x_id", "y_id")).select(F.least("x_id", "y_id").alias("a"), F.greatest("x_id", "y_id").alias("b")).distinct()
+
+
 def near_copies(docs: DataFrame, percent: int = 85) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of each row of docs.
 
     Two documents are linked if 100 * common shingles >= percent * all their shingles; a component is what links
     reach, component_id its smallest doc_id, and only that document is kept. Texts without words (null, empty, white
-    space) have no shingles and are linked with nothing. Rows of one doc_id count as one document for links. Null
-    doc_ids link to nothing and keep a null component (kept). Columns other than doc_id and text are left out. percent
-    below 80 would need more bands."""
+    space) have no shingles and are linked with nothing. Rows that share a doc_id but not the text belong to the component
+    of their own text; classes of the same smallest doc_id count as one. Null doc_ids link to nothing and keep a null
+    component (kept). Columns other than doc_id and text are left out. percent below 80 would need more bands."""
     docs = id_and_text(docs)
     sketches = written(docs.mapInArrow(_sketch, "doc_id long, set_id binary, n_shingles long, bands array<long>, bits array<long>"), "sketches")
     real = sketches.where("set_id is not null and doc_id is not null")
@@ -118,44 +182,24 @@ def near_copies(docs: DataFrame, percent: int = 85) -> DataFrame:
 
     def likely(pairs: DataFrame) -> DataFrame:
         ends = pairs.join(bits.select(F.col("class_id").alias("a"), F.col("bits").alias("x_bits")), "a").join(bits.select(F.col("class_id").alias("b"), F.col("bits").alias("y_bits")), "b")
-        return ends.where(similarity_estimate("x_bits", "y_bits") >= LEAST_ESTIMATE).select("a", "b").distinct()
-
-    def pair(a, b):
-        return F.least(a, b).alias("a"), F.greatest(a, b).alias("b")
-
-    tried, links, roots = None, None, None
-    for turn in range(STAR_ROUNDS + 1):
-        if roots is None:
-            left = ranked.withColumn("root", F.col("class_id"))
-        else:
-            left = ranked.join(roots.withColumnRenamed("node", "class_id"), "class_id", "left").withColumn("root", F.coalesce("root", "class_id"))
-            groups = left.groupBy("band", "root").agg(F.count("*").alias("n")).groupBy("band").agg(F.count("*").alias("roots"), F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("nn")).where("roots > 1")
-            left = written(left.join(groups.select("band"), "band"), "unlinked-bands")
-            size = groups.agg(F.sum((F.col("n") * F.col("n") - F.col("nn")) / 2)).first()[0] or 0
-            if size == 0:
-                break
-            if turn == STAR_ROUNDS or size <= 4 * left.count():
-                other = left.select("band", F.col("class_id").alias("other"), F.col("root").alias("other_root"))
-                pairs = left.join(other, "band").where("class_id < other and root <> other_root").select(*pair(F.col("class_id"), F.col("other"))).distinct()
-                size = 0
-        if roots is None or size:
-            # in later rounds the most central class outside the component of the band's most central class
-            centre = left.groupBy("band").agg(F.max(F.struct("weight", (-F.col("class_id")).alias("c"), "root")).alias("first"))
-            if roots is not None:
-                centre = left.join(centre, "band").where("root <> first.root").groupBy("band").agg(F.max(F.struct("weight", (-F.col("class_id")).alias("c"), "root")).alias("first"))
-            pairs = left.join(centre, "band").where("root <> first.root").select(*pair(F.col("class_id"), -F.col("first.c"))).distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = written(likely(pairs), "pairs")
-        found = written(confirmed(pairs, docs, percent), "confirmed")
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        links = found if links is None else links.unionByName(found)
-        roots = components(links)
-        if turn and not size:
-            break
-
-    ids = classes.select("set_id", "class_id")
-    placed = sketches.select("doc_id", "set_id", "n_shingles").join(ids, "set_id", "left").join(roots.withColumnRenamed("node", "class_id"), "class_id", "left")
+        return written(ends.where(similarity_estimate("x_bits", "y_bits") >= LEAST_ESTIMATE).select("a", "b").distinct(), "pairs")
+
+    # every class with the most central one of each of its bands
+    centre = ranked.groupBy("band").agg((-F.max(F.struct("weight", (-F.col("class_id")).alias("c")))["c"]).alias("centre"))
+    pairs = ranked.join(centre, "band").where("class_id <> centre").select(F.least("class_id", "centre").alias("a"), F.greatest("class_id", "centre").alias("b")).distinct()
+    links = written(confirmed(likely(pairs), docs, percent), "confirmed")
+
+    # what shares a band with another component
+    roots = components(links).withColumnRenamed("node", "class_id")
+    placed = ranked.select("band", "class_id").join(roots, "class_id", "left").withColumn("root", F.coalesce("root", "class_id"))
+    apart = placed.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("band")
+    apart = placed.join(apart, "band").select("class_id", "root").distinct()
+    candidates = written(apart.join(docs.withColumnRenamed("doc_id", "class_id"), "class_id"), "unlinked-texts")
+    texts = candidates.select(F.col("class_id").alias("doc_id"), "text")
+    links = links.unionByName(written(confirmed(likely(prefix_pairs(candidates, percent)), texts, percent), "confirmed"))
+
+    roots = components(links).withColumnRenamed("node", "class_id")
+    placed = sketches.select("doc_id", "set_id", "n_shingles").join(classes.select("set_id", "class_id"), "set_id", "left").join(roots, "class_id", "left")
     whole = placed.select("doc_id", "n_shingles", F.coalesce("root", "class_id", "doc_id").alias("component_id"))
     return whole.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
