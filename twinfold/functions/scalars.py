@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 UNIT = "\u001f"
 #: Characters that Python's str.strip removes and that occur in text data.
@@ -64,7 +65,7 @@ def fill_template(template: str, **values: Column) -> Column:
     return F.concat(*[values[p] if i % 2 else F.lit(p) for i, p in enumerate(parts)])
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _folded(text: pd.Series) -> pd.Series:
     import unicodedata
 
@@ -82,7 +83,7 @@ def token_estimate(text: Column, language: Column) -> Column:
     return F.greatest(F.lit(1), F.ceil(F.length(text) / F.when(language == "ja", 1.8).otherwise(4.0))).cast("long")
 
 
-@F.pandas_udf("array<struct<left:string,right:string>>")
+@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("left", T.StringType()), T.StructField("right", T.StringType())])))
 def diff_spans(left: pd.Series, right: pd.Series, language: pd.Series) -> pd.Series:
     """The spans in which two sentences differ: words, or characters in Japanese."""
     import difflib
