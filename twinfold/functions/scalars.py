@@ -117,7 +117,8 @@ def parse_label(text: Column, labels: tuple[str, ...] = ("evaluation", "deployme
     field = F.lower(F.get_json_object(inner, "$.label"))
     bare = F.regexp_replace(inner, r"\A[\s\"'`.]+|[\s\"'`.]+\z", "")
     hits = [inner.rlike(rf"\b{x}\b") for x in labels]
-    only = F.coalesce(*[F.when(h & ~F.greatest(*[o for o in hits if o is not h]), x) for h, x in zip(hits, labels, strict=True)])
+    count = sum((h.cast("int") for h in hits), F.lit(0))
+    only = F.coalesce(*[F.when(h & (count == 1), x) for h, x in zip(hits, labels, strict=True)])
     return F.when(field.isin(*labels), field).when(bare.isin(*labels), bare).otherwise(only)
 
 
