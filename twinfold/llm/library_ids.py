@@ -43,14 +43,20 @@ def ids_of(data: bytes) -> Pieces:
     spelled = {ord(c): "".join(map(_letters().__getitem__, c.encode())) for c in map(chr, range(0x180))}
 
     def encode(pieces: list[str]) -> list[bytes]:
-        out = [array(code, [t.id for t in model(x.translate(spelled))]).tobytes() if how and plain(x) else b"" for x in pieces]
-        rest = [i for i, x in enumerate(pieces) if not (how and plain(x))]
+        out, rest = [], []
+        for i, x in enumerate(pieces):
+            if how and plain(x):
+                out.append(array(code, [t.id for t in model(x if x.isascii() and x[0] != " " else x.translate(spelled))]).tobytes())
+            else:
+                out.append(b"")
+                rest.append(i)
         for i, x in zip(rest, library.encode_batch_fast([pieces[i] for i in rest], add_special_tokens=False), strict=True):
             out[i] = array(code, x.ids).tobytes()
         return out
 
     def folded(x: str) -> str:
-        return x.strip(" ").lower() if plain(x) else x
+        word = x[1:] if x[:1] == " " else x
+        return word.lower() if (word.isalpha() if word.isascii() else plain(word)) else x
 
     return Pieces(encode, b"".join, folded if how == "lower" else None)
 

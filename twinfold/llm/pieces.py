@@ -103,13 +103,28 @@ class Pieces:
 
     def _learn(self, known: _Lately, wanted: list[str], lead: str) -> list[Any]:
         if new := known.missing(wanted):
-            parts = [cores(lead + x) for x in new]
-            if fold := self.fold:
-                parts = [[fold(x) for x in p] for p in parts]
-            if absent := self.core.missing({x for p in parts for x in p}):
+            fold = self.fold
+            # a piece that is one part is kept as its string, any other as a list
+            parts: list[Any] = []
+            for x in new:
+                if "\n" in x:
+                    parts.append(cores(lead + x))
+                    continue
+                core = x.rstrip(MARKS)
+                if len(core) < len(x) and core and core[-1].isalnum():
+                    parts.append([lead + core, x[len(core) :]])
+                else:
+                    parts.append(lead + x)
+            if fold:
+                parts = [fold(p) if type(p) is str else [*map(fold, p)] for p in parts]
+            absent = {p for p in parts if type(p) is str}
+            for p in parts:
+                if type(p) is not str:
+                    absent.update(p)
+            if absent := self.core.missing(absent):
                 self.core.add(absent, self.encode(absent))
             core, joined = self.core.new, self.result
-            known.add(new, [core[p[0]] if len(p) == 1 else joined([core[x] for x in p]) for p in parts])
+            known.add(new, [core[p] if type(p) is str else joined([core[x] for x in p]) for p in parts])
         return [*map(known.new.__getitem__, wanted)]
 
     def __call__(self, column: pa.Array) -> Found:
