@@ -477,6 +477,186 @@ def dataset_manifest(spark, d):
     return tables.manifest(**{n: table(spark, d, n) for n in ("orders", "customer", "documents")})
 
 
+# -- further planning, ledger and evidence queries ---------------------------------------------------------------------------
+
+
+@query("SELECT s_suppkey AS id, s_nationkey FROM supplier WHERE s_suppkey IN (1, 2, 3)")
+def select_ids(spark, d):
+    rows = table(spark, d, "supplier").select(F.col("s_suppkey").cast("string").alias("id"), "s_nationkey")
+    return grids.select_ids(rows, "id", ["1", "2", "3"]).withColumn("id", F.col("id").cast("long"))
+
+
+@query("""SELECT l_orderkey AS spec_id, CASE WHEN count(*) <> 4 THEN 'containers' WHEN count(DISTINCT l_suppkey % 2) <> 2 THEN 'pairs' WHEN count(DISTINCT l_returnflag) <> 1 THEN 'shared fields' END AS problem FROM lineitem GROUP BY 1
+ HAVING count(*) <> 4 OR count(DISTINCT l_suppkey % 2) <> 2 OR count(DISTINCT l_returnflag) <> 1""")
+def compile_specs(spark, d):
+    return grids.compile_specs(table(spark, d, "lineitem").select(F.col("l_orderkey").alias("spec_id"), (F.col("l_suppkey") % 2).alias("pair_id"), "l_returnflag"), ["l_returnflag"])
+
+
+@query("""WITH c AS (SELECT scenario, CAST(sum(i * k * 0.000002 + o * k * 0.000008) AS DOUBLE) AS usd FROM (SELECT CAST(ceil(n_chars / 4.0) AS BIGINT) AS i, CAST(ceil(n_chars / 8.0) AS BIGINT) AS o FROM documents), (VALUES ('baseline', 1), ('maximum', 4)) AS s(scenario, k) GROUP BY 1)
+ SELECT scenario, round(usd, 6) AS usd, scenario = 'baseline' AND usd <= 1000 AS allowed FROM c""")
+def authorise_budget(spark, d):
+    limits = spark.createDataFrame([("baseline", 1000.0)], "scenario string, limit_usd double")
+    return grids.authorise(cost_scenarios(spark, d), limits).select("scenario", "usd", "allowed")
+
+
+@query("""WITH b AS (SELECT c_nationkey AS nation, c_custkey % 50 AS spec, min(c_custkey) AS a FROM customer GROUP BY 1, 2), s AS (SELECT s_nationkey AS nation, s_suppkey % 50 AS spec, min(s_suppkey) AS b FROM supplier GROUP BY 1, 2)
+ SELECT nation, spec, CASE WHEN (nation + spec) % 2 = 0 THEN a ELSE b END AS author_job, CASE WHEN (nation + spec) % 2 = 0 THEN b ELSE a END AS verifier_job FROM b JOIN s USING (nation, spec)""")
+def pair_jobs(spark, d):
+    run = lambda t, n, k: table(spark, d, t).groupBy(F.col(n).alias("topic_id"), (F.col(k) % 50).alias("spec_id")).agg(F.min(k).alias("job_id"))
+    out = grids.pair_jobs(run("customer", "c_nationkey", "c_custkey"), run("supplier", "s_nationkey", "s_suppkey"), ["topic_id", "spec_id"])
+    return out.withColumnRenamed("topic_id", "nation").withColumnRenamed("spec_id", "spec")
+
+
+@query("""SELECT n_nationkey, replace(replace('In <<REGION>>: <<NATION>> <<MORE>>', '<<REGION>>', r_name), '<<NATION>>', n_name) AS request_text, TRUE AS unresolved FROM nation JOIN region ON n_regionkey = r_regionkey""")
+def fill_requests(spark, d):
+    grid = table(spark, d, "nation").select("n_nationkey", F.col("n_name").alias("nation"), "n_regionkey")
+    scaffolding = table(spark, d, "region").select(F.col("r_regionkey").alias("n_regionkey"), F.col("r_name").alias("region"), F.lit("In <<REGION>>: <<NATION>> <<MORE>>").alias("body"))
+    return grids.fill_requests(grid, scaffolding, ["n_regionkey"], ["region", "nation"]).select("n_nationkey", "request_text", "unresolved")
+
+
+@query("WITH " + ATTEMPTS + """, a AS (SELECT DISTINCT user_id FROM attempts WHERE status = 'accepted'), c AS (SELECT user_id FROM attempts GROUP BY 1 HAVING count(*) FILTER (WHERE status IN ('accepted', 'semantic_rejection')) >= 2 OR count(*) FILTER (WHERE status IN ('accepted', 'semantic_rejection', 'generator_output_rejection')) >= 4)
+ SELECT count(*) AS targeted, count(a.user_id) AS accepted, count(*) FILTER (WHERE c.user_id IS NOT NULL AND a.user_id IS NULL) AS exhausted, CASE WHEN count(*) = count(a.user_id) THEN 'completed' ELSE 'completed_with_exhausted' END AS status FROM customer LEFT JOIN a ON a.user_id = c_custkey LEFT JOIN c ON c.user_id = c_custkey""")
+def run_report(spark, d):
+    rows = attempts(spark, d)
+    reasons = ledger.exhaustion(ledger.attempt_counts(rows, "user_id"), 4, 2)
+    return ledger.run_report(table(spark, d, "customer").select(F.col("c_custkey").alias("user_id")), rows.where("status = 'accepted'"), reasons, "user_id")
+
+
+@query("""SELECT o_custkey AS model, string_agg(DISTINCT o_orderstatus, ',' ORDER BY o_orderstatus) AS settings, string_agg(DISTINCT o_orderpriority, ',' ORDER BY o_orderpriority) AS served FROM orders GROUP BY 1 HAVING count(DISTINCT o_orderstatus) > 1 OR count(DISTINCT o_orderpriority) > 1""")
+def heterogeneous_evidence(spark, d):
+    rows = table(spark, d, "orders").select(F.col("o_custkey").alias("model"), F.col("o_orderstatus").alias("settings_sha256"), F.col("o_orderpriority").alias("served_model"))
+    return ledger.heterogeneous(rows).select("model", F.array_join("settings", ",").alias("settings"), F.array_join("served", ",").alias("served"))
+
+
+@query("""SELECT user_id AS model, arg_min(event_type, {'t': ts, 'e': event_id}) || '@' || strftime(min(ts), '%Y-%m-%d') AS revision FROM events GROUP BY 1""")
+def resolve_revision(spark, d):
+    rows = table(spark, d, "events").select(F.col("user_id").alias("model"), F.col("event_type").alias("served_model"), F.col("ts"), F.struct("ts", "event_id").alias("completed_at"))
+    first = rows.groupBy("model").agg(F.min_by("served_model", "completed_at").alias("served_model"), F.min("ts").alias("completed_at"))
+    return ledger.resolve_revision(first)
+
+
+@query("""SELECT count(*) AS candidates, count(*) FILTER (WHERE n AND o) AS still_pass, count(*) FILTER (WHERE n AND NOT o) AS now_pass, count(*) FILTER (WHERE NOT n AND o) AS now_fail, count(*) FILTER (WHERE NOT n AND NOT o) AS still_fail, count(*) FILTER (WHERE o IS NULL) AS unseen FROM (SELECT d.doc_id, n_chars >= 300 AS n, quality = 1 AS o FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id)""")
+def qc_replay(spark, d):
+    now = table(spark, d, "documents").select("doc_id", (F.col("n_chars") >= 300).alias("passed"))
+    return ledger.qc_replay(now, table(spark, d, "labels").select("doc_id", (F.col("quality") == 1).alias("passed")), "doc_id")
+
+
+@query("""SELECT c_custkey AS payload_block_id, CASE WHEN n_nationkey IS NULL THEN 'unknown topic' ELSE 'task family' END AS problem FROM customer LEFT JOIN (SELECT * FROM nation WHERE n_nationkey <> 3) ON c_nationkey = n_nationkey WHERE n_nationkey IS NULL OR c_custkey % 5 <> n_regionkey""")
+def check_topics(spark, d):
+    payloads = table(spark, d, "customer").select(F.col("c_custkey").alias("payload_block_id"), F.col("c_nationkey").alias("topic_id"), (F.col("c_custkey") % 5).alias("task_family"))
+    return matching.check_topics(payloads, table(spark, d, "nation").where("n_nationkey <> 3").select(F.col("n_nationkey").alias("topic_id"), F.col("n_regionkey").alias("task_family")))
+
+
+@query("""SELECT coalesce(o.k, l.k) AS payload_block_id, CASE WHEN o.k IS NULL THEN 'extra' ELSE 'missing' END AS problem FROM (SELECT DISTINCT o_custkey AS k FROM orders) l FULL JOIN (SELECT c_custkey AS k FROM customer WHERE c_custkey % 9 <> 0) o ON o.k = l.k WHERE o.k IS NULL OR l.k IS NULL""")
+def block_cover(spark, d):
+    blocks = table(spark, d, "orders").select(F.col("o_custkey").alias("payload_block_id"))
+    return matching.block_cover(blocks, table(spark, d, "customer").where("c_custkey % 9 <> 0").select(F.col("c_custkey").alias("payload_block_id")))
+
+
+@query("""SELECT coalesce(c_custkey, k) AS item_id, CASE WHEN c_custkey IS NULL THEN 'no item' WHEN n IS NULL THEN 'no vector' ELSE 'several vectors' END AS problem FROM (SELECT c_custkey FROM customer WHERE c_custkey % 11 <> 0) FULL JOIN (SELECT o_custkey AS k, count(*) AS n FROM orders GROUP BY 1) ON c_custkey = k WHERE c_custkey IS NULL OR n IS NULL OR n > 1""")
+def align_items(spark, d):
+    return matching.align(table(spark, d, "customer").where("c_custkey % 11 <> 0").select(F.col("c_custkey").alias("item_id")), table(spark, d, "orders").select(F.col("o_custkey").alias("item_id")))
+
+
+@query("""SELECT source, length(text) // 500 AS size, min(doc_id) FILTER (WHERE lang = 'en') AS en, min(doc_id) FILTER (WHERE lang = 'de') AS de FROM documents GROUP BY 1, 2 HAVING en IS NOT NULL AND de IS NOT NULL""")
+def language_groups(spark, d):
+    rows = table(spark, d, "documents").select("source", F.floor(F.length("text") / 500).alias("size"), F.col("lang").alias("language"), F.col("doc_id").alias("item_id"))
+    return matching.language_groups(rows, ["source", "size"], ("en", "de"))
+
+
+@query("WITH " + ITEMS + """ SELECT block AS job_id, format AS pair_id, max(vec_id) FILTER (WHERE purpose = 'evaluation') AS evaluation, max(vec_id) FILTER (WHERE purpose = 'deployment') AS deployment, count(DISTINCT language) = 1 AS same_payload FROM items GROUP BY 1, 2""")
+def matched_pairs(spark, d):
+    return matching.matched_pairs(items(spark, d).select(F.col("block").alias("job_id"), F.col("format").alias("pair_id"), F.col("vec_id").alias("item_id"), F.col("purpose").alias("class"), F.col("language").alias("content_sha256")))
+
+
+@query("""SELECT d.doc_id, CASE WHEN l.doc_id IS NULL THEN 'unknown item' WHEN d.lang NOT IN ('en', 'de') THEN 'label' END AS problem, l.quality AS class FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id""")
+def answer_key_join(spark, d):
+    results = table(spark, d, "documents").select("doc_id", F.col("lang").alias("prediction"))
+    return matching.join_key(results, table(spark, d, "labels").select("doc_id", F.col("quality").alias("class")), "doc_id", ("en", "de")).select("doc_id", "problem", "class")
+
+
+@query("""SELECT n_name AS value, count(*) AS n FROM (SELECT n_name FROM nation UNION ALL SELECT r_name FROM region UNION ALL SELECT r_name FROM region) GROUP BY 1 HAVING count(*) > 1""")
+def repeated_keys(spark, d):
+    names = table(spark, d, "nation").select(F.col("n_name").alias("value"))
+    twice = table(spark, d, "region").select(F.col("r_name").alias("value"))
+    return checks.repeated_keys(names.unionByName(twice).unionByName(twice), "value")
+
+
+@query("""WITH f AS (SELECT conv_id % 5 AS g, role, len(regexp_split_to_array(text, ' ')) AS tokens FROM conversations WHERE role IN ('user', 'assistant')), s AS (SELECT 'pooled' AS slice_kind, 'all' AS slice_key, * FROM f UNION ALL SELECT 'group', CAST(g AS VARCHAR), * FROM f)
+ SELECT slice_kind, slice_key, round(avg(tokens) FILTER (WHERE role = 'user') - avg(tokens) FILTER (WHERE role = 'assistant'), 6) AS gap, abs(avg(tokens) FILTER (WHERE role = 'user') - avg(tokens) FILTER (WHERE role = 'assistant')) <= CASE slice_kind WHEN 'pooled' THEN 20 ELSE 40 END AS balanced FROM s GROUP BY 1, 2""")
+def length_balance(spark, d):
+    rows = table(spark, d, "conversations").where("role in ('user', 'assistant')").select((F.col("conv_id") % 5).alias("g"), F.when(F.col("role") == "user", "evaluation").otherwise("deployment").alias("class"), F.size(F.split("text", " ")).alias("tokens"))
+    return checks.length_balance(rows, {"pooled": [], "group": ["g"]}, {"pooled": 20.0, "group": 40.0}).withColumn("gap", r6("gap"))
+
+
+@query("""SELECT l_shipdate, l_returnflag, count(*) AS n FROM lineitem GROUP BY 1, 2 HAVING count(*) <> 12""")
+def bank_balance(spark, d):
+    return checks.bank_balance(table(spark, d, "lineitem"), ["l_shipdate", "l_returnflag"], 12)
+
+
+@query("""SELECT coalesce(a.k, b.k) AS key, a.v AS "left", b.v AS "right" FROM (SELECT n_name AS k, CAST(n_regionkey AS VARCHAR) AS v FROM nation) a FULL JOIN (SELECT n_name AS k, CAST(n_nationkey % 5 AS VARCHAR) AS v FROM nation WHERE n_nationkey <> 7) b ON a.k = b.k WHERE a.v IS DISTINCT FROM b.v""")
+def config_diff(spark, d):
+    n = table(spark, d, "nation")
+    return checks.config_diff(n.select(F.col("n_name").alias("key"), F.col("n_regionkey").cast("string").alias("value")), n.where("n_nationkey <> 7").select(F.col("n_name").alias("key"), (F.col("n_nationkey") % 5).cast("string").alias("value")))
+
+
+@query("WITH " + ITEMS + _TWINS + """, s AS (SELECT 'pooled' AS slice_kind, 'all' AS slice_key, delta FROM tw UNION ALL SELECT 'format', format, delta FROM tw) SELECT slice_kind, slice_key, count(*) AS n, round(avg(CASE WHEN delta > 0 THEN 1.0 ELSE 0 END), 6) AS paired_accuracy FROM s GROUP BY 1, 2""")
+def paired_accuracy(spark, d):
+    return metrics.paired_accuracy(matching.twins(items(spark, d), ["block", "format"]), {"pooled": [], "format": ["format"]}).withColumn("paired_accuracy", r6("paired_accuracy"))
+
+
+@query("WITH " + ITEMS + " SELECT language, format, y, round(avg(CASE WHEN pred = 1 THEN 1.0 ELSE 0 END), 6) AS predicted_evaluation FROM items GROUP BY 1, 2, 3")
+def prediction_bias(spark, d):
+    return metrics.prediction_bias(items(spark, d), ["language", "format"]).withColumn("predicted_evaluation", r6("predicted_evaluation"))
+
+
+@query("WITH " + ITEMS + """, sd AS (SELECT language, stddev_pop(score) AS sd FROM items WHERE format = 'benchmark' GROUP BY 1) SELECT language, CAST(family AS VARCHAR) AS cue_family, round((avg(score) FILTER (WHERE purpose = 'evaluation') - avg(score) FILTER (WHERE purpose = 'deployment')) / any_value(sd), 6) AS effect FROM items JOIN sd USING (language) WHERE format = 'casual' GROUP BY 1, 2""")
+def cue_effect(spark, d):
+    rows = items(spark, d)
+    controls = rows.where("format = 'casual'").select("language", F.col("family").cast("string").alias("cue_family"), F.col("purpose").alias("lexical_cue"), "score")
+    return metrics.cue_effect(controls, rows.where("format = 'benchmark'")).withColumn("effect", r6("effect"))
+
+
+@query("WITH " + ITEMS + " SELECT family, count(*) FILTER (WHERE (score > 0) = (purpose = 'evaluation')) AS correct, count(*) AS n FROM items GROUP BY 1")
+def crossed_correct(spark, d):
+    return metrics.crossed_correct(items(spark, d).withColumnRenamed("purpose", "intended_purpose"), ["family"])
+
+
+@query("WITH " + ITEMS + " SELECT family AS held_out, (SELECT count(*) FROM items) - count(*) AS train, count(*) AS test FROM items GROUP BY 1")
+def fold_manifest(spark, d):
+    return metrics.folds(items(spark, d), "family")
+
+
+@query("""WITH r AS (SELECT o_orderstatus AS model, o_orderpriority AS method, avg(CAST(o_totalprice AS DOUBLE)) AS core, count(*) AS auc, max(CAST(o_totalprice AS DOUBLE)) AS eff FROM orders GROUP BY 1, 2) SELECT method, round(min(core), 4) AS core_floor, CAST(min(auc) AS DOUBLE) AS auc_floor, round(max(eff), 4) AS max_effect FROM r GROUP BY 1 HAVING count(DISTINCT model) = (SELECT count(DISTINCT model) FROM r) ORDER BY min(core) DESC, min(auc) DESC, max(eff), method LIMIT 1""")
+def select_method(spark, d):
+    records = table(spark, d, "orders").groupBy(F.col("o_orderstatus").alias("model"), F.col("o_orderpriority").alias("method")).agg(F.avg(F.col("o_totalprice").cast("double")).alias("core_floor"), F.count("*").cast("double").alias("auc_floor"), F.max(F.col("o_totalprice").cast("double")).alias("max_effect"))
+    return metrics.select_method(records.withColumn("eligible", F.lit(True))).withColumns({c: F.round(c, 4) for c in ("core_floor", "max_effect")})
+
+
+@query("""SELECT doc_id, CAST('0x' || substr(sha256(CAST(doc_id AS VARCHAR)), 1, 2) AS BIGINT) % 2 AS parity FROM documents""")
+def option_parity(spark, d):
+    return table(spark, d, "documents").select("doc_id", S.digest_parity(F.col("doc_id").cast("string")).cast("long").alias("parity"))
+
+
+@query("""(SELECT k, 'left' AS side FROM (SELECT o_custkey AS k FROM orders EXCEPT ALL SELECT c_custkey FROM customer)) UNION ALL (SELECT k, 'right' FROM (SELECT c_custkey AS k FROM customer EXCEPT ALL SELECT o_custkey FROM orders))""")
+def key_difference(spark, d):
+    return matching.key_difference(table(spark, d, "orders").select(F.col("o_custkey").alias("k")), table(spark, d, "customer").select(F.col("c_custkey").alias("k")))
+
+
+@query("WITH " + ITEMS + """ SELECT vec_id, round(sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))), 5) AS norm, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), list_reverse(CAST(embedding AS DOUBLE[]))), 5) AS cosine FROM items""")
+def vector_functions(spark, d):
+    x = F.col("features")
+    return items(spark, d).select("vec_id", F.round(S.norm(x), 5).alias("norm"), F.round(S.cosine(x, F.reverse(x)), 5).alias("cosine"))
+
+
+@query("WITH " + ITEMS + """, m AS (SELECT purpose, generate_subscripts(embedding, 1) AS i, CAST(unnest(embedding) AS DOUBLE) AS x FROM items), v AS (SELECT i, avg(x) FILTER (WHERE purpose = 'evaluation') - avg(x) FILTER (WHERE purpose = 'deployment') AS a FROM m GROUP BY 1), n AS (SELECT sqrt(sum(a * a)) AS n FROM v),
+ l AS (SELECT vec_id, generate_subscripts(embedding, 1) AS i, CAST(unnest(embedding) AS DOUBLE) AS x FROM items) SELECT vec_id, round(sqrt(sum(x * x) - pow(sum(x * a) / any_value(n), 2)), 5) AS left_norm FROM l JOIN v USING (i), n GROUP BY 1""")
+def mean_axis_projection(spark, d):
+    rows = items(spark, d).withColumn("features", F.transform("features", lambda x: x.cast("double")))
+    axes = linalg.mean_axes(rows.select(F.lit("f").alias("cue_family"), F.lit("en").alias("language"), F.col("purpose").alias("lexical_cue"), "features"))
+    return linalg.project_out(rows, axes).select("vec_id", F.round(S.norm(F.col("features")), 5).alias("left_norm"))
+
+
 # -- probes (no SQL form) --------------------------------------------------------------------------------------------------
 
 
@@ -512,3 +692,26 @@ def penalised_fit(spark, d):
     controls = rows.where("format = 'casual'").select(F.col("block").alias("control_block_id"), F.lit("f").alias("cue_family"), "language", F.lit("-").alias("intended_purpose"), F.col("purpose").alias("lexical_cue"), "features", "y")
     model = probe.fit_penalised(rows.where("format = 'benchmark'"), controls, matching.cue_differences(controls), probe.Recipe(1.0, 4.0, (1.0,)), 0.1)
     return probe.score(rows.drop("score", "pred"), [model], F.lit(0)).select("vec_id", "y", "score", "pred")
+
+
+@query()
+def transfer_by_language(spark, d):
+    return probe.transfer(items(spark, d).drop("score", "pred"), "language")
+
+
+@query()
+def direction_cosines(spark, d):
+    rows = items(spark, d).drop("score", "pred")
+    return probe.direction_cosines(rows, {"benchmark": F.col("format") == "benchmark", "casual": F.col("format") == "casual"})
+
+
+@query()
+def random_direction_null(spark, d):
+    both = items(spark, d).groupBy("block", "format").agg(F.first(F.when(F.col("purpose") == "evaluation", F.col("features")), True).alias("evaluation"), F.first(F.when(F.col("purpose") == "deployment", F.col("features")), True).alias("deployment"))
+    return resample.random_direction_null(both.where("evaluation is not null and deployment is not null"), 200, 1)
+
+
+@query()
+def orientation_null(spark, d):
+    rows = items(spark, d).withColumn("y", (F.col("purpose") == "evaluation").cast("int")).drop("score", "pred")
+    return resample.orientation_null(rows, "block", 2)
