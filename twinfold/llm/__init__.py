@@ -24,4 +24,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from .near_copies import OP7_SQL
+
+    return {"op7_near_copies": OP7_SQL}
