@@ -108,8 +108,9 @@ def with_next(docs: DataFrame) -> DataFrame:
     part = F.size(F.filter(edges, lambda x: x <= F.coalesce("doc_id", F.lit(bounds[0]))))
     low, high = F.get(edges, F.col("slice") - 1).cast("double"), F.get(edges, F.col("slice")).cast("double")
     within = F.least(F.lit(parts - 1), F.floor((F.col("doc_id").cast("double") - low) / (high - low) * parts))
-    dealt = docs.withColumn("slice", part).withColumn("bucket", F.col("slice").cast("long") * parts + F.coalesce(within, F.lit(0)))
+    dealt = docs.withColumn("slice", part).withColumn("bucket", F.coalesce(F.col("slice").cast("long") * parts + F.coalesce(within, F.lit(0)), F.lit(0)))
 
+    # bucket is never null, so that no join filters it below this exchange and all three uses share it
     rows = dealt.select("bucket", "doc_id", "text").repartition("bucket")
     order = Window.partitionBy("bucket").orderBy(F.col("doc_id").asc_nulls_first(), "text")
     near = rows.withColumns({"next_text": F.lead("text").over(order), "before": F.lag(F.lit(1)).over(order)})
