@@ -96,6 +96,22 @@ def test_penalty_shrinks_the_cue_effect(spark):
     assert effect["penalty"] < effect["plain"] / 3
 
 
+def test_projected_probes_and_folds(spark):
+    items = shortcut_items(spark).withColumn("language", F.lit("en"))
+    scored = probe.fold_scores(items, 0.1)
+    assert scored.count() == 40 and metrics.slice_metrics(scored, {"all": []}).first().auc > 0.95
+    bank = controls(spark)
+    fit = items.withColumn("features", F.slice("features", 1, 6))
+    gap = {}
+    for method in ("none", "svd", "mean"):
+        own, other = probe.fit_probe(fit, bank, method, 0.5)
+        gap[method] = abs(metrics.cue_effect(other, own).first().effect)
+    assert max(gap["svd"], gap["mean"]) <= gap["none"] + 1e-6
+    limits = spark.createDataFrame([("auc_floor", ">=", 0.9), ("max_effect", "abs<=", 5.0)], "metric string, op string, bound double")
+    got = {r.model: r.passed for r in probe.confirm({"m": fit}, {"m": bank}, {"m": bank}, probe.Recipe(1.0, 1.0), 0.5, limits).collect()}
+    assert got == {"m": True, None: True}
+
+
 def test_bootstrap_weights_draw_as_many_clusters(spark):
     df = spark.range(30).withColumn("c", (F.col("id") % 6).cast("int"))
     w = resample.cluster_weights(df, "c", 20, 1)

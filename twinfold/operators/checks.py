@@ -354,3 +354,23 @@ def lexicon_rules(terms: DataFrame) -> DataFrame:
     bad = n.select("language", "term", F.when(F.coalesce(F.btrim("term"), F.lit("")) == "", "empty").when(F.col("n") > 1, "repeated").alias("problem")).where("problem is not null")
     narrow = n.where("scope = 'narrow'").join(n.where("scope = 'broad'"), ["language", "term"], "left_anti").select("language", "term", F.lit("narrow but not broad").alias("problem"))
     return bad.unionByName(narrow)
+
+
+def variant_rules(frames: DataFrame, cap: int = 2) -> DataFrame:
+    """frame_id, problems of candidate frames (evaluation, deployment, language, cue_locus): no difference, a locus that the
+    number of differing spans contradicts, a span used more often than the cap."""
+    from ..functions.scalars import diff_spans
+
+    rows = frames.withColumn("_spans", diff_spans("evaluation", "deployment", "language"))
+    used = rows.select(F.explode("_spans").alias("s")).groupBy(F.col("s.left").alias("_left")).agg(F.count("*").alias("_n")).where(F.col("_n") > cap)
+    over = rows.select("frame_id", F.explode("_spans").alias("s")).join(used, F.col("s.left") == F.col("_left")).select("frame_id", F.lit(True).alias("_over")).distinct()
+    n = F.size("_spans")
+    problems = messages((n == 0, "no difference"), ((F.col("cue_locus") == "both") & (n < 2), "locus"), ((F.col("cue_locus") != "both") & (n > 1), "locus"), (F.col("_over"), "span cap"))
+    return rows.join(over, "frame_id", "left").select("frame_id", problems.alias("problems")).where("size(problems) > 0")
+
+
+def accepted_manifest(states: DataFrame, stored: DataFrame) -> DataFrame:
+    """job_id, problem: accepted jobs that the stored manifest (job_id, content_sha256) lacks, has besides, or has otherwise."""
+    from .render import reconstruct_diff
+
+    return reconstruct_diff(stored.select("job_id", "content_sha256"), states.where("status = 'accepted'").select("job_id", "content_sha256"), "job_id")

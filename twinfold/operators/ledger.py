@@ -100,3 +100,17 @@ def qc_replay(now: DataFrame, before: DataFrame, key: str = "candidate_id") -> D
     """Counts of candidates that passed or failed old and new rules (passed BOOLEAN in both)."""
     both = now.select(key, F.col("passed").alias("new")).join(before.select(key, F.col("passed").alias("old")), key, "left")
     return both.agg(F.count("*").alias("candidates"), F.count_if(F.col("new") & F.col("old")).alias("still_pass"), F.count_if(F.col("new") & ~F.col("old")).alias("now_pass"), F.count_if(~F.col("new") & F.col("old")).alias("now_fail"), F.count_if(~F.col("new") & ~F.col("old")).alias("still_fail"), F.count_if(F.col("old").isNull()).alias("unseen"))
+
+
+def run_attempts(pending_rows: DataFrame, call, schema: str) -> DataFrame:
+    """Pending rows with what the user's function adds: ``call`` takes an iterator of pandas frames and gives frames of
+    ``schema``, once for each partition. It may call a model; no client is shipped."""
+    return pending_rows.mapInPandas(call, schema)
+
+
+def revalidate_accepted(accepted: DataFrame, verdict: str = "validation") -> DataFrame:
+    """Accepted rows without a passing, consistent verdict, with their errors."""
+    from .checks import verdict_errors, verdict_passes
+
+    rows = verdict_errors(accepted, verdict)
+    return rows.where(F.col(verdict).isNull() | (F.size("errors") > 0) | ~verdict_passes(F.col(verdict)))

@@ -108,7 +108,7 @@ def _members(pdf: pd.DataFrame, k: int) -> np.ndarray:
 def fit_many(rows: DataFrame, k: int, c: list[float], recipe: Recipe = Recipe(), zero_sd: str = "one", tolerance: float = 1e-6, most_passes: int = 400) -> list[Fit]:
     """k fits at inverse strengths c. rows: features, y, fits (array of the numbers of the fits that a row trains), and
     role: ``fit``, ``control`` or ``difference`` (of two standardised vectors; y is not used). zero_sd: ``one`` divides
-    constant dimensions by 1, ``add`` adds 1e-6 to all. A fit whose rows have one class only is an error. Cache rows: each
+    constant dimensions by 1, ``add`` adds 1e-6 to all, ``raw`` takes vectors as they are. A fit whose rows have one class only is an error. Cache rows: each
     pass reads them once."""
     width = len(rows.select("features").first()[0])
 
@@ -129,6 +129,8 @@ def fit_many(rows: DataFrame, k: int, c: list[float], recipe: Recipe = Recipe(),
     mean = own[:, :width] / n[:, None]
     sd = np.sqrt(np.maximum(own[:, width : 2 * width] / n[:, None] - mean**2, 0))
     sd = np.where(sd < 1e-12, 1.0, sd) if zero_sd == "one" else sd + 1e-6
+    if zero_sd == "raw":
+        mean, sd = np.zeros_like(mean), np.ones_like(sd)
 
     counts = {r.role: r.n for r in rows.groupBy("role").agg(F.count("*").alias("n")).collect()}
     strength = 1 / (np.array(c, float) * n)
@@ -287,6 +289,65 @@ def fit_penalised(fit: DataFrame, controls: DataFrame, differences: DataFrame, r
         rows.unpersist()
 
 
+def _one_fit(train: DataFrame, c: float, y: str = "y") -> Fit:
+    rows = train.select(F.transform("features", lambda v: v.cast("double")).alias("features"), F.col(y).cast("double").alias("y"), F.array(F.lit(0)).alias("fits"), F.lit("fit").alias("role")).cache()
+    try:
+        return fit_many(rows, 1, [c], zero_sd="raw")[0]
+    finally:
+        rows.unpersist()
+
+
+def fold_scores(items: DataFrame, c: float, family: str = "family", key: str = "language", fit_language: str | None = None, fit_mask: Column | None = None, y: str = "y", least: int = 10) -> DataFrame:
+    """items of each held-out family with score and pred (1 above 0), standardised by language with the training rows'
+    statistics. Folds with fewer than ``least`` training rows or one class are skipped. fit_language: fit on it only."""
+    mask, out = F.lit(True) if fit_mask is None else fit_mask, None
+    for held in sorted(r[0] for r in items.select(family).distinct().collect()):
+        train = items.where((F.col(family) != held) & mask)
+        size = train.agg(F.count("*").alias("n"), F.count_distinct(y).alias("k")).first()
+        if size.n < least or size.k < 2:
+            continue
+        moved = standardise_by(train, train, key)
+        model = _one_fit(moved.where(F.col(key) == fit_language) if fit_language else moved, c, y)
+        own = score(standardise_by(train, items.where(F.col(family) == held), key), [model], F.lit(0), tie=">")
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
+def fit_probe(fit: DataFrame, controls: DataFrame, method: str, c: float, fraction: float = 0.9, key: str = "language") -> tuple[DataFrame, DataFrame]:
+    """Scored rows of fit and of controls of a probe whose vectors are standardised by language (statistics of fit) and
+    freed of a subspace: of the cue differences (``svd``), of the mean cue axes (``mean``) or of nothing (``none``)."""
+    from . import linalg
+    from .matching import cue_differences
+
+    x, z = standardise_by(fit, fit, key), standardise_by(fit, controls, key)
+    if method != "none":
+        basis = linalg.svd_basis(cue_differences(z), fraction) if method == "svd" else linalg.mean_axes(z)
+        x, z = linalg.project_out(x, basis), linalg.project_out(z, basis)
+    model = _one_fit(x, c)
+    return score(x, [model], F.lit(0), tie=">"), score(z, [model], F.lit(0), tie=">")
+
+
+def score_frozen(fit: DataFrame, controls: DataFrame, c: float, key: str = "language") -> DataFrame:
+    """controls, scored by the direction fitted on all of fit."""
+    return fit_probe(fit, controls, "none", c, key=key)[1]
+
+
+def confirm(fits: dict[str, DataFrame], dev: dict[str, DataFrame], fresh: dict[str, DataFrame], recipe: Recipe, c: float, thresholds: DataFrame) -> DataFrame:
+    """model, passed, failed_gates, one shot: the frozen recipe fitted on the rows and development controls of each model,
+    fresh controls scored, gates on auc_floor and max_effect; the row with a null model says whether all models pass."""
+    from .matching import cue_differences
+
+    out = None
+    for name, fit in fits.items():
+        rows = dev[name].withColumn("y", (F.col("intended_purpose") == "evaluation").cast("double"))
+        model = fit_penalised(fit, rows, cue_differences(dev[name]), recipe, c)
+        record = metrics.control_record(score(fresh[name], [model], F.lit(0)), score(fit, [model], F.lit(0)))
+        own = record.select(F.lit(name).alias("model"), F.lit(model.converged).alias("_ok"), F.stack(F.lit(2), F.lit("auc_floor"), F.col("auc_floor"), F.lit("max_effect"), F.col("max_effect")).alias("metric", "value"))
+        out = own if out is None else out.unionByName(own)
+    gates = metrics.apply_gates(out, thresholds, ["model", "_ok"]).withColumn("passed", F.col("passed") & F.col("_ok"))
+    return gates.rollup("model").agg(F.bool_and("passed").alias("passed"), F.count_if(~F.col("passed")).alias("failed_gates"))
+
+
 def crossfit_controls(controls: DataFrame, fit: DataFrame, recipe: Recipe, c: float, block: str = "control_block_id") -> DataFrame:
     """controls with scores from fits whose controls and differences leave the row's block out. One fit a block; the scored
     rows of all blocks in one table."""
