@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import documents, id_and_text, slices
+from .shared import WIDE_STEP_CHARS, documents, id_and_text, slices
 from .words import mixed
 
 LETTERS = 4
@@ -91,7 +91,7 @@ def train(docs: DataFrame, sample_docs: int = 500, top_grams: int = 3000) -> Fil
         return build([])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches):
+        for part in slices(batches, most=WIDE_STEP_CHARS):
             hashes, sizes, _ = grams(part.column("text"))
             langs = np.repeat(np.array(part.column("lang").to_pylist(), object), sizes)
             for lang in set(part.column("lang").to_pylist()):
@@ -125,7 +125,7 @@ def identify_languages(docs: DataFrame, model: Filter) -> DataFrame:
     Other columns are left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches):
+        for part in slices(batches, most=WIDE_STEP_CHARS):
             langs, score = identify(part.column("text"), model)
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("held_out"), pa.array(langs, pa.string()), pa.array(score)], ["doc_id", "held_out", "lang_pred", "score"])
 
@@ -136,7 +136,7 @@ def known_languages(docs: DataFrame, model: Filter, least_score: float = 0.2) ->
     """The rows of docs, with all their columns, whose language is known: not ``und``, and at least least_score."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches):
+        for part in slices(batches, most=WIDE_STEP_CHARS):
             langs, score = identify(part.column("text"), model)
             yield part.filter(pa.array((np.array(langs, object) != "und") & (score >= least_score)))
 

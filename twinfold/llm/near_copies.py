@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import documents, id_and_text, slices, written
+from .shared import WIDE_STEP_CHARS, documents, id_and_text, slices, written
 from .words import mixed, shingle_sets
 
 BANDS, ROWS, BITS = 24, 4, 4
@@ -56,7 +56,7 @@ def bands_and_bits(low: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for part in slices(batches):
+    for part in slices(batches, most=WIDE_STEP_CHARS):
         names, sizes, keys, bits, seen = [], [], [], [], {}
         for x in shingle_sets(part.column("text")):
             name = hashlib.blake2b(x.tobytes(), digest_size=16).digest() if len(x) else None
@@ -79,7 +79,7 @@ def similarity_estimate(a: str, b: str):
 def _confirm(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for part in slices([whole], "b_text"):
+            for part in slices([whole], "b_text", WIDE_STEP_CHARS):
                 mid = part.column("a_text").dictionary_encode()
                 left, right = shingle_sets(mid.dictionary), shingle_sets(part.column("b_text"))
                 keep = []
@@ -100,7 +100,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
 
 
 def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for part in slices(batches):
+    for part in slices(batches, most=WIDE_STEP_CHARS):
         n = np.bincount(np.concatenate([np.empty(0, np.int64), *[_slot(x) for x in shingle_sets(part.column("text"))]]), minlength=1)
         slot = np.nonzero(n)[0]
         yield pa.RecordBatch.from_arrays([pa.array(slot, pa.int32()), pa.array(n[slot], pa.int64())], ["slot", "n"])

@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import documents, id_and_text, slices
+from .shared import WIDE_STEP_CHARS, documents, id_and_text, slices
 from .words import split_words, windows
 
 # Frequent words of each language, as plain text.
@@ -119,7 +119,7 @@ def references(docs: DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray]]:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
-        for part in slices(batches):
+        for part in slices(batches, most=WIDE_STEP_CHARS):
             f = features(part)
             both, ok = np.concatenate([f["chars"], f["words"]], 1), ~base_failed(f)
             langs = np.array(part.column("lang").to_pylist(), object)
@@ -170,7 +170,7 @@ def quality(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
     known = list(references(docs).values())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches):
+        for part in slices(batches, most=WIDE_STEP_CHARS):
             found = judge(part, known, limits)
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), *found.values()], ["doc_id", *found])
 
@@ -183,7 +183,7 @@ def good_documents(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
     known = list(references(docs).values())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches):
+        for part in slices(batches, most=WIDE_STEP_CHARS):
             yield part.filter(judge(part, known, limits)["kept"])
 
     return docs.mapInArrow(run, docs.schema)

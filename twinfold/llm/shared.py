@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 #: Characters of text that one step of a Python operator holds at a time.
 STEP_CHARS = 4_000_000
+#: The same for operators whose arrays have several numbers for each character.
+WIDE_STEP_CHARS = 1_000_000
 
 
 @functools.cache
