@@ -62,6 +62,31 @@ def freshness(new: DataFrame, spent: DataFrame, keys: list[str]) -> DataFrame:
     return new.join(spent.select(*keys).distinct(), keys, "left_semi")
 
 
+def spent_passages(new: DataFrame, spent: DataFrame, ident: str, width: int = 8, text: str = "text") -> DataFrame:
+    """ident, windows, shared of each row of new that shares a run of ``width`` words (all its words, if it has fewer) with
+    a text of spent: how many different runs it has, and how many of them occur. Whole texts count on both sides, ASCII
+    letters without case. Runs are 64-bit hashes, distinct before they meet, so a common one is no large group; no pairs of
+    texts are made. Texts without words share nothing."""
+
+    def runs(n: Column | int) -> Column:
+        last = F.size("_w") - n + 1
+        return F.when(last > 0, F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.xxhash64(F.slice("_w", i, n))))
+
+    def words(df: DataFrame, *keep: str) -> DataFrame:
+        plain = F.translate(F.col(text), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+        return df.select(*keep, F.filter(F.split(plain, "[ \\t\\n\\x0B\\f\\r]+"), lambda x: x != "").alias("_w")).where("size(_w) > 0")
+
+    own = words(new, ident).withColumn("_n", F.least(F.size("_w"), F.lit(width)))
+    widths = sorted(r[0] for r in own.select("_n").distinct().collect())  # at most width numbers
+    own = own.select(ident, F.explode(runs(F.col("_n"))).alias("_run")).distinct()
+    found = [words(spent).select(F.explode(runs(F.lit(n))).alias("_run")) for n in widths]
+    if not found:
+        return own.select(ident, F.lit(0).cast("long").alias("windows"), F.lit(0).cast("long").alias("shared"))
+    met = reduce(DataFrame.unionByName, found).distinct().withColumn("_met", F.lit(1))
+    counted = own.join(met, "_run", "left").groupBy(ident).agg(F.count("*").alias("windows"), F.count("_met").alias("shared"))
+    return counted.where("shared > 0")
+
+
 def normalised_cue_line(line: Column, term: Column) -> Column:
     return F.replace(F.lower(line), F.lower(term), F.lit("{cue_term}"))
 

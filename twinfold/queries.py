@@ -262,6 +262,18 @@ def freshness(spark, d):
     return matching.freshness(head("benchmark"), head("documents"), ["head"]).select("item_id")
 
 
+def _words(t: str) -> str:
+    return f"list_filter(string_split_regex(translate({t}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \\t\\n\\x0B\\f\\r]+'), lambda x: x <> '')"
+
+
+@query(f"""WITH b AS (SELECT item_id, w, least(len(w), 8) AS n FROM (SELECT item_id, {_words("text")} AS w FROM benchmark) WHERE len(w) > 0),
+ own AS (SELECT DISTINCT item_id, unnest(list_transform(range(1, len(w) - n + 2), lambda i: array_to_string(w[i : i + n - 1], ' '))) AS g FROM b), k AS (SELECT DISTINCT n FROM b),
+ met AS (SELECT DISTINCT unnest(list_transform(range(1, len(w) - n + 2), lambda i: array_to_string(w[i : i + n - 1], ' '))) AS g FROM (SELECT {_words("text")} AS w FROM documents), k WHERE len(w) >= n)
+ SELECT item_id, count(*) AS windows, count(met.g) AS shared FROM own LEFT JOIN met ON own.g = met.g GROUP BY 1 HAVING count(met.g) > 0""")
+def freshness_windows(spark, d):
+    return matching.spent_passages(table(spark, d, "benchmark"), table(spark, d, "documents"), "item_id")
+
+
 # -- ledger --------------------------------------------------------------------------------------------------------------
 
 
