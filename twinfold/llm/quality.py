@@ -136,13 +136,28 @@ def references(docs: DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray]]:
 
 
 class Limits(NamedTuple):
-    """Distances from the nearest language reference up to which a document is kept, and the number of characters and
-    words from which on each of the two counts."""
+    """The distance of characters from the nearest language reference up to which a document is kept; the same of words,
+    as a share of the distance that a text without any common word has from that reference: for long texts, and for
+    texts of least_words; the number of characters and words from which on each of the two counts; and the percent of
+    common words in a reference below which (a language without a list) it says nothing about words."""
 
     most_chars_apart: float = 0.28
-    most_words_apart: float = 0.5
+    long_words_share: float = 0.6
+    short_words_share: float = 0.9
     least_chars: int = 100
     least_words: int = 50
+    least_common_percent: int = 10
+
+
+def most_words_apart(n_words: np.ndarray, reference: np.ndarray, limits: Limits) -> np.ndarray:
+    """The word distance up to which a text of n_words is kept. It grows as the text gets shorter, as chance does with the
+    root of the number, and stays below that of a text without common words."""
+    if 100 * reference[:-1].sum() < limits.least_common_percent * reference.sum():
+        return np.ones(len(n_words))
+    none = np.zeros((1, len(reference)))
+    none[0, -1] = 1
+    chance = np.sqrt(limits.least_words / np.maximum(n_words, limits.least_words))
+    return distance(none, reference)[0] * (limits.long_words_share + (limits.short_words_share - limits.long_words_share) * chance)
 
 
 def judge(part: pa.RecordBatch, known: list[tuple[np.ndarray, np.ndarray]], limits: Limits) -> dict[str, pa.Array]:
@@ -153,7 +168,7 @@ def judge(part: pa.RecordBatch, known: list[tuple[np.ndarray, np.ndarray]], limi
     chars = words = np.zeros(len(failed))
     for c, w in known:
         x, y = np.where(long_chars, distance(f["chars"], c), 0), np.where(long_words, distance(f["words"], w), 0)
-        worst = np.maximum(x / limits.most_chars_apart, y / limits.most_words_apart)
+        worst = np.maximum(x / limits.most_chars_apart, y / most_words_apart(f["n_words"], w, limits))
         chars, words, far = np.where(worst < far, x, chars), np.where(worst < far, y, words), np.minimum(worst, far)
     out = {k: pa.array(f[k], pa.int64()) for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")} | {"base_failed": pa.array(failed)}
     return out | {"chars_apart": pa.array(chars, mask=~long_chars | (not known)), "words_apart": pa.array(words, mask=~long_words | (not known)), "kept": pa.array(~failed & ((far <= 1) | (not known)))}
