@@ -16,6 +16,8 @@ from twinfold.llm.surrogates import surrogates
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: Share of known n-grams below which the language of a document counts as unknown.
 LEAST_LANGUAGE_SCORE = 0.2
+#: Percent of common word shingles from which on two documents are near copies.
+NEAR_PERCENT = 80
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,7 +33,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest doc_id of each group of near copies."""
-    gone = written(near_copies(docs).where(~F.col("kept")).select("doc_id"), "near-copies")
+    gone = written(near_copies(docs, percent=NEAR_PERCENT).where(~F.col("kept")).select("doc_id"), "near-copies")
     return docs.select(COLUMNS).join(gone.distinct(), "doc_id", "left_anti").select(COLUMNS)
 
 

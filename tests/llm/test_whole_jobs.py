@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import numpy as np
 
-from twinfold.llm import quality
+import corpus_pipeline
+from twinfold.llm import near_copies, quality
 
 SF = "/root/testdata/sf0.01"
 
@@ -27,3 +28,18 @@ def test_word_limit_follows_length_and_reference():
     most = quality.most_words_apart(np.array([50, 100, 5000]), reference, limits)
     assert quality.distance(np.array([[0, 0, 1]]), reference)[0] > most[0] > most[1] > most[2] > 0
     assert (quality.most_words_apart(np.array([50, 5000]), np.array([1, 1, 98.0]), limits) == 1).all()
+
+
+def test_pipeline_drops_near_copies_from_80_percent(spark):
+    words = [f"w{i}" for i in range(304)]
+    other = [f"x{i}" if i in range(100, 100 + 26) else w for i, w in enumerate(words)]
+    apart = [f"y{i}" if i in range(100, 100 + 40) else w for i, w in enumerate(words)]
+    sets = [{tuple(x[k : k + 5]) for k in range(300)} for x in (words, other, apart)]
+    alike = [len(sets[0] & x) / len(sets[0] | x) for x in sets[1:]]
+    rows = spark.createDataFrame([(i, " ".join(x), "en", "s", 1) for i, x in ((1, words), (2, other), (3, apart))], "doc_id long, text string, lang string, source string, n_chars long")
+    assert 0.8 < alike[0] < 0.85 and alike[1] < 0.8
+    assert [r.doc_id for r in corpus_pipeline.near_duplicates(spark, rows, "").orderBy("doc_id").collect()] == [1, 3]
+
+
+def test_least_estimate_loses_no_pair_at_its_percent():
+    assert 0.54 < near_copies.least_estimate(80) < 0.56 and 0.61 < near_copies.least_estimate(85) < 0.64

@@ -25,8 +25,6 @@ from .words import mixed, shingle_sets
 
 BANDS, ROWS, BITS = 24, 4, 4
 MINIMA = BANDS * ROWS
-#: Estimated similarity below which a pair isn't confirmed: over five standard deviations below 0.85.
-LEAST_ESTIMATE = 0.65
 #: Slots of the table of shingle frequencies that orders the shingles; ratio of set sizes within a size class.
 SLOTS, SIZE_RATIO = 1 << 20, 1.02
 
@@ -76,6 +74,13 @@ def similarity_estimate(a: str, b: str):
     return F.expr(f"((1 - aggregate({differ}, 0, (s, x) -> s + x) / {MINIMA}D) - {1 / 2**BITS}D) / {1 - 1 / 2**BITS}D")
 
 
+def least_estimate(percent: int) -> float:
+    """Estimated similarity below which a pair isn't confirmed: six standard deviations below percent."""
+    chance = 1 / 2**BITS
+    agree = chance + (1 - chance) * percent / 100
+    return percent / 100 - 6 * (agree * (1 - agree) / MINIMA) ** 0.5 / (1 - chance)
+
+
 def _confirm(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -182,7 +187,7 @@ def near_copies(docs: DataFrame, percent: int = 85) -> DataFrame:
 
     def likely(pairs: DataFrame) -> DataFrame:
         ends = pairs.join(bits.select(F.col("class_id").alias("a"), F.col("bits").alias("x_bits")), "a").join(bits.select(F.col("class_id").alias("b"), F.col("bits").alias("y_bits")), "b")
-        return written(ends.where(similarity_estimate("x_bits", "y_bits") >= LEAST_ESTIMATE).select("a", "b").distinct(), "pairs")
+        return written(ends.where(similarity_estimate("x_bits", "y_bits") >= least_estimate(percent)).select("a", "b").distinct(), "pairs")
 
     # every class with the most central one of each of its bands
     centre = ranked.groupBy("band").agg((-F.max(F.struct("weight", (-F.col("class_id")).alias("c")))["c"]).alias("centre"))
