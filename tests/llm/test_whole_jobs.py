@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 
 import corpus_pipeline
-from twinfold.llm import near_copies, quality
+from twinfold.llm import near_copies, quality, surrogates
 
 SF = "/root/testdata/sf0.01"
 
@@ -43,3 +43,30 @@ def test_pipeline_drops_near_copies_from_80_percent(spark):
 
 def test_least_estimate_loses_no_pair_at_its_percent():
     assert 0.54 < near_copies.least_estimate(80) < 0.56 and 0.61 < near_copies.least_estimate(85) < 0.64
+
+
+def test_surrogates_cover_whole_secrets():
+    for n in (6, 128, 129, 201, 5000):
+        value = "".join("aZ5-"[k % 4] for k in range(n))
+        new, found = surrogates.replace(f"token={value} end", b"k")
+        assert [x[:2] for x in found] == [("secret", value)] and new.endswith(" end") and len(new) == n + 10
+        letters = [k for k in range(n) if k % 4 < 3]
+        assert sum(value[k] == found[0][2][k] for k in letters) <= max(3, 0.2 * len(letters))
+    long_key = "sk-" + "aB3" * 100
+    assert long_key[200:] not in surrogates.replace(f"see {long_key}.", b"k")[0]
+    assert surrogates.permuted_letters("a" * 300, ["ab"], b"k", "t") != surrogates.permuted_letters("b" + "a" * 299, ["ab"], b"k", "t")
+
+
+def test_surrogates_of_long_and_recurring_names():
+    text = "Herr Ludwig van Beethoven kam. Beethoven's Werk, Ludwig van Beethoven und Frau Ursula von der Leyen Maria Anna Xaver traf Herr Stein; Xaver ging. Dr Quorra Müller, Frau Quorra Müller, Mr Stone's dog and Stone"
+    new, found = surrogates.replace(text, b"k")
+    own = [x for _, x, _ in found]
+    assert own == ["Ludwig van Beethoven", "Beethoven", "Ludwig van Beethoven", "Ursula von der Leyen Maria Anna Xaver", "Stein", "Xaver", "Quorra Müller", "Quorra Müller", "Stone", "Stone"]
+    assert not any(x in new for x in ("Beethoven", "Ludwig", "Leyen", "Xaver", "Quorra", "Stone"))
+    by = {x: y for _, x, y in found}
+    assert by["Ludwig van Beethoven"].split()[-1] == by["Beethoven"] and by["Ursula von der Leyen Maria Anna Xaver"].split()[-1] == by["Xaver"]
+    assert len({y for _, x, y in found if x == "Quorra Müller"}) == 1
+
+
+def test_secret_types_do_not_share_surrogates():
+    assert not any(surrogates._HEXADECIMAL.fullmatch(surrogates.secret(f"zz{k}", b"k")) for k in range(3000))

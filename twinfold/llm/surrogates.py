@@ -21,6 +21,8 @@ from .shared import documents, steps
 
 DEFAULT_KEY = b"replace this key in production"
 ROUNDS = 10
+#: Characters that are permuted together: few enough for the digests to reach each bit, and for short numbers.
+PIECE = 128
 
 # Given names by script and gender, and the forms of address that show the gender.
 GIVEN_NAMES = {
@@ -59,7 +61,16 @@ def permuted(n: int, size: int, key: bytes, tweak: str, valid: Callable[[int], b
 
 
 def permuted_letters(text: str, sets: list[str], key: bytes, tweak: str, valid: Callable[[str], bool] = lambda _: True) -> str:
-    """Each character of one of the sets becomes one of the same set; others stay. All of them are permuted together."""
+    """Each character of one of the sets becomes one of the same set; others stay. All of them are permuted together; of a
+    text longer than PIECE each piece is, under a key that all pieces before it change, which is one-to-one, too (and no
+    such text is asked for validity)."""
+    if len(text) > PIECE:
+        out = []
+        for at in range(0, len(text), PIECE):
+            own = text[at : at + PIECE]
+            out.append(permuted_letters(own, sets, key, tweak))
+            tweak = hashlib.blake2b(f"{tweak} {own}".encode(), key=key[:64], digest_size=16).hexdigest()
+        return "".join(out)
     homes = [next((s for s in sets if c in s), c) for c in text]
 
     def number(x: str) -> int:
@@ -146,12 +157,16 @@ def account(text: str, key: bytes) -> str:
     return "".join(c if c == " " else next(it) for c in text)
 
 
+_HEXADECIMAL = re.compile("[0-9a-f]+")
+
+
 def secret(text: str, key: bytes) -> str:
-    if re.fullmatch("[0-9a-f]+", text):
+    if _HEXADECIMAL.fullmatch(text):
         return permuted_letters(text, ["0123456789abcdef"], key, "hexadecimal")
     if text.startswith("AKIA"):
         return "AKIA" + permuted_letters(text[4:], [string.ascii_uppercase + string.digits], key, "key id")
-    return permuted_letters(text, [string.ascii_lowercase, string.ascii_uppercase, string.digits], key, "secret")
+    other = lambda x: not _HEXADECIMAL.fullmatch(x) and not x.startswith("AKIA")
+    return permuted_letters(text, [string.ascii_lowercase, string.ascii_uppercase, string.digits], key, "secret", other)
 
 
 def _script(word: str) -> str:
@@ -164,49 +179,101 @@ def _name_word(word: str, key: bytes, tweak: str, taken: frozenset[str] = frozen
     return "".join(b.upper() if a.isupper() else b for a, b in zip(word, new, strict=True)) if len(low) == len(word) else new
 
 
-def name(text: str, gender: str, key: bytes) -> str:
+def name(text: str, key: bytes) -> str:
     """Given names of the list become others of the same script and gender; other words keep vowels as vowels, in
-    their script. The last of the words is the family name."""
+    their script, whatever the title. Particles stay. The last of the words is the family name."""
     words = text.split(" ")
     out = []
     for i, word in enumerate(words):
         pools = {g: GIVEN_NAMES[_script(word), g].split() for g in ("f", "m")}
         listed = frozenset(x.lower() for p in pools.values() for x in p)
         own = next((g for g in ("f", "m") if word in pools[g]), None)
-        if i < len(words) - 1 and own:
+        if word in _PARTICLES or word in _AFTER_PARTICLES:
+            out.append(word)
+        elif i < len(words) - 1 and own:
             pool = pools[own]
             out.append(pool[permuted(pool.index(word), len(pool), key, f"given {own} {_script(word)}")])
         elif i < len(words) - 1:
-            out.append(_name_word(word, key, f"given {gender}", listed))
+            out.append(_name_word(word, key, "given", listed))
         else:
             out.append(_name_word(word, key, "family"))
     return " ".join(out)
 
 
-_TITLES = {t: g for g, x in TITLES.items() for t in x.split()}
-_WORD = r"[^\W\d_]{1,30}(?:[’'-][^\W\d_]{1,30}){0,2}"
+_TITLES = {t for x in TITLES.values() for t in x.split()}
+_WORD = r"[^\W\d_]++(?:[’'-][^\W\d_]++)*+"
+#: Lower-case words within names; those of the second set follow one of the first.
+_PARTICLES, _AFTER_PARTICLES = frozenset("van von de del della di da dos das du ter ten af bin ibn".split()), frozenset("der den dem la las los le".split())
 _FOUND = re.compile(
     r"(?P<ipv4>(?<![\d.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?!\d|\.\d))"
     r"|(?P<social>(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-]))"
     r"|(?P<card>(?<![\d+])\d(?:[ -]?\d){12,18}(?!\d))"
     r"|(?P<phone>(?<![\w+])\+\d{1,3}[ .-]?\(?\d{1,4}\)?(?:[ .-]?\d{2,4}){2,4}(?!\d)|(?<![\w+(])\(?\d{3}\)?[ .-]\d{3}[ .-]\d{4}(?![\d-]))"
     r"|(?P<account>(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w))"
-    r"|(?P<key>(?<!\w)AKIA[0-9A-Z]{16}(?!\w)|(?<!\w)(?:sk|pk|ghp|xox[bp])[-_][A-Za-z0-9_-]{16,200}(?!\w))"
-    r"|(?<!\w)(?i:password|passwd|pwd|token|secret|api[_-]?key)[ \t]{0,3}[:=][ \t]{0,3}[\"']?(?P<secret>[^\s\"',;]{6,200})"
+    r"|(?P<key>(?<!\w)AKIA[0-9A-Z]{16}(?!\w)|(?<!\w)(?:sk|pk|ghp|xox[bp])[-_][A-Za-z0-9_-]{16,}+(?!\w))"
+    r"|(?<!\w)(?i:password|passwd|pwd|token|secret|api[_-]?key)[ \t]{0,3}[:=][ \t]{0,3}[\"']?(?P<secret>[^\s\"',;]{6,}+)"
 )
-_NAME = re.compile(rf"(?<!\w)(?P<title>{'|'.join(sorted(_TITLES, key=len, reverse=True))})\.?[ ](?P<name>{_WORD}(?:[ ]{_WORD}){{0,2}})")
+_TITLE = re.compile(rf"(?<!\w)(?:{'|'.join(sorted(_TITLES, key=len, reverse=True))})\.?(?=[ ])")
+_WORDS, _OWNER = re.compile(rf"(?<!\w){_WORD}(?!\w)"), re.compile("[’']s$")
+_NEXT_WORD = re.compile(rf"[ ]({_WORD})")
 _LOCAL, _DOMAIN = re.compile(r"[A-Za-z0-9._%+-]{1,64}\Z"), re.compile(r"@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,8}\.[A-Za-z]{2,24}(?![A-Za-z0-9])")
 _HINT = re.compile(r"[0-9@]|AKIA|[:=]")
 
 
-def detect(text: str) -> list[tuple[int, int, str, str]]:
-    """(start, end, type, gender) of the entities in a text, in order and without overlap."""
-    found: list[tuple[int, int, str, str]] = []
+def _names(text: str) -> list[tuple[int, int]]:
+    """Where names are: all capitalised words after a title, with particles between them, and each later or earlier place
+    without a title that has the family name, with the other words of a found name before it."""
+    found: list[tuple[int, int]] = []
+    families: set[str] = set()
+    others: set[str] = set()
+    for m in _TITLE.finditer(text):
+        at, end, words, particle = m.end(), 0, [], ""
+        while (x := _NEXT_WORD.match(text, at)) and x[1] not in _TITLES:
+            if x[1][0].isupper():
+                words.append(_OWNER.sub("", x[1]))
+                end, particle = x.start(1) + len(words[-1]), ""
+                if end < x.end():
+                    break
+            elif x[1] in _PARTICLES and not particle or x[1] in _AFTER_PARTICLES and particle in _PARTICLES:
+                particle = x[1]
+            else:
+                break
+            at = x.end()
+        if words:
+            found.append((m.end() + 1, end))
+            families.add(words[-1])
+            others.update(words[:-1])
+    if not families:
+        return found
+    known = families | others | _PARTICLES | _AFTER_PARTICLES
+    run: list[tuple[int, int, str]] = []
+
+    def close() -> None:
+        while run and run[-1][2] not in families:
+            run.pop()
+        real = [x for x in run if x[2] in families or x[2] in others]
+        if real:
+            found.append((real[0][0], run[-1][1]))
+        run.clear()
+
+    for m in _WORDS.finditer(text):
+        word = _OWNER.sub("", m[0])
+        if run and (m.start() != run[-1][1] + 1 or text[run[-1][1]] != " "):
+            close()
+        if word in known:
+            run.append((m.start(), m.start() + len(word), word))
+    close()
+    return found
+
+
+def detect(text: str) -> list[tuple[int, int, str]]:
+    """(start, end, type) of the entities in a text, in order and without overlap."""
+    found: list[tuple[int, int, str]] = []
     at = text.find("@")
     while at >= 0:
         left, right = _LOCAL.search(text[max(0, at - 64) : at]), _DOMAIN.match(text, at)
         if left and right:
-            found.append((at - len(left[0]), right.end(), "email", ""))
+            found.append((at - len(left[0]), right.end(), "email"))
         at = text.find("@", at + 1)
     if _HINT.search(text):
         for m in _FOUND.finditer(text):
@@ -216,15 +283,10 @@ def detect(text: str) -> list[tuple[int, int, str, str]]:
                 continue
             if kind == "social" and (own[:3] in ("000", "666") or own[0] == "9" or own[4:6] == "00" or own[7:] == "0000") or kind == "phone" and not 7 <= len(_digits(own)) <= 15:
                 continue
-            found.append((*m.span(kind), "secret" if kind == "key" else kind, ""))
-    for m in _NAME.finditer(text):
-        words, n = m["name"].split(" "), 0
-        while n < len(words) and words[n][0].isupper():
-            n += 1
-        if n:
-            found.append((m.start("name"), m.start("name") + len(" ".join(words[:n])), "name", _TITLES[m["title"]]))
+            found.append((*m.span(kind), "secret" if kind == "key" else kind))
+    found += [(a, b, "name") for a, b in _names(text)]
     found.sort(key=lambda x: (x[0], -x[1]))
-    out: list[tuple[int, int, str, str]] = []
+    out: list[tuple[int, int, str]] = []
     for x in found:
         if not out or x[0] >= out[-1][1]:
             out.append(x)
@@ -237,9 +299,9 @@ _MAKE = {"email": email, "phone": phone, "ipv4": ipv4, "card": card, "social": s
 def replace(text: str, key: bytes = DEFAULT_KEY) -> tuple[str, list[tuple[str, str, str]]]:
     """The text with surrogates, and (type, entity, surrogate) of each place."""
     parts, at, found = [], 0, []
-    for start, end, kind, gender in detect(text):
+    for start, end, kind in detect(text):
         own = text[start:end]
-        new = name(own, gender, key) if kind == "name" else _MAKE[kind](own, key)
+        new = name(own, key) if kind == "name" else _MAKE[kind](own, key)
         parts += [text[at:start], new]
         at = end
         found.append((kind, own, new))
