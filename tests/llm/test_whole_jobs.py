@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 
 import corpus_pipeline
-from twinfold.llm import near_copies, quality, surrogates
+from twinfold.llm import fingerprints, near_copies, quality, surrogates
 
 SF = "/root/testdata/sf0.01"
 
@@ -70,3 +70,25 @@ def test_surrogates_of_long_and_recurring_names():
 
 def test_secret_types_do_not_share_surrogates():
     assert not any(surrogates._HEXADECIMAL.fullmatch(surrogates.secret(f"zz{k}", b"k")) for k in range(3000))
+
+
+def test_fingerprints_cut_all_lines_alike(spark):
+    lines = [[f"Sentence {k} of line {n} is here." for k in range(10)] for n in range(6)]
+    changed = {n: [[x.replace("here", "there") if (m, k) == (n, 4) else x for k, x in enumerate(line)] for m, line in enumerate(lines)] for n in range(6)}
+    joined = lambda x: "\n".join(map(" ".join, x))
+    rows = spark.createDataFrame([(n, joined(lines), joined(x)) for n, x in changed.items()], "n int, one string, other string")
+    got = rows.selectExpr("n", f"{fingerprints.digests('one')} as a", f"{fingerprints.digests('other')} as b").collect()
+    assert {(len(r.a), len(set(r.a) & set(r.b))) for r in got} == {(60, 59)}
+
+
+def test_registered_fingerprints_use_sentences_throughout(spark):
+    import re
+
+    d = "/root/testdata/sf0.001"
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{d}/documents.parquet").collect()}
+    ids = sorted(texts)
+    cut = lambda t: {p for x in re.split(r"\n+", t) for p in re.split(r"(?<=[.!?])\s+", x) if p}
+    for r in fingerprints.op1_fingerprints(spark, d).collect():
+        own, after = texts[r.doc_id], texts[ids[(ids.index(r.doc_id) + 1) % len(ids)]]
+        a, b = cut(own), cut(own[: len(own) - len(own) // 2] + after[: len(own) // 2])
+        assert abs(r.near_edited - (len(a & b) / len(a | b) if a | b else 1)) < 1e-9

@@ -1,8 +1,7 @@
 """Operator 1: document fingerprints as invertible Bloom lookup sketches, in SQL functions.
 
-A text is cut into paragraphs (lines; the first HEAD_LINES of them into sentences, so that short texts have several),
-and each distinct paragraph becomes a 64-bit digest. A
-digest falls into one cell of each of three parts of the sketch; a cell holds how many digests it has, and the XOR of
+A text is cut into paragraphs (the sentences of its lines, throughout in the registered query), and each distinct paragraph becomes a 64-bit
+digest. A digest falls into one cell of each of three parts of the sketch; a cell holds how many digests it has, and the XOR of
 them and of their check hashes. The sketches of two versions are subtracted cell by cell; a cell with one digest left
 shows it, and taking it out of its other cells shows more, until nothing is left. If something stays, the same is done
 with larger sketches: the digests are dealt to groups by their hash, and a group that doesn't peel gets four times the
@@ -19,6 +18,7 @@ from .shared import documents, id_and_text
 FINGERPRINT_CELLS, LARGER_CELLS = 8, (8, 32, 128, 512)
 #: Digests for each group of a larger sketch, and rounds of peeling.
 GROUP_DIGESTS, PEEL_ROUNDS = 8, 10
+#: Lines that are cut into sentences if nothing else is asked for; the registered query asks for all.
 HEAD_LINES = 3
 #: Documents in a bucket of neighbouring doc_ids, and slices of the doc_id range that have as many documents each.
 BUCKET_DOCS, SLICES = 1024, 64
@@ -29,10 +29,13 @@ def let(name: str, value: str, body: str) -> str:
     return f"element_at(transform(array({value}), {name} -> {body}), 1)"
 
 
-def digests(text: str) -> str:
-    """Distinct 64-bit digests of the paragraphs of a text."""
-    head = f"flatten(transform(slice(lines, 1, {HEAD_LINES}), l -> split(l, '(?<=[.!?])\\\\s+')))"
-    whole = f"filter(concat({head}, slice(lines, {HEAD_LINES + 1}, size(lines) + 1)), p -> p <> '')"
+def digests(text: str, head_lines: int | None = None) -> str:
+    """Distinct 64-bit digests of the paragraphs of a text: sentences of all lines, or of the first head_lines and the
+    lines after them."""
+    if head_lines is None:
+        return f"transform(array_distinct(filter(split({text}, '\\\\n+|(?<=[.!?])\\\\s+'), p -> p <> '')), p -> xxhash64(p))"
+    head = f"flatten(transform(slice(lines, 1, {head_lines}), l -> split(l, '(?<=[.!?])\\\\s+')))"
+    whole = f"filter(concat({head}, slice(lines, {head_lines + 1}, size(lines) + 1)), p -> p <> '')"
     return let("lines", f"split({text}, '\\\\n+')", f"transform(array_distinct({whole}), p -> xxhash64(p))")
 
 
@@ -127,17 +130,17 @@ def with_next(docs: DataFrame) -> DataFrame:
     return inner.unionByName(last.join(after, "bucket").join(first, "next_bucket").select("doc_id", "text", "next_text"))
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
+def fingerprints(docs: DataFrame, head_lines: int | None = HEAD_LINES) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next of each row of docs.
 
     The edited text has its last floor(n_chars / 2) code points replaced by the first as many (or all) of the next
-    text. Likeness is common by all distinct paragraph digests, from what the sketches' difference peels to; two
+    text. head_lines: see digests(). Likeness is common by all distinct paragraph digests, from what the sketches' difference peels to; two
     texts without paragraphs (null, empty) have likeness 1. A table of one row is its own next. Rows repeat as often
     as in docs; other columns are left out."""
     rows = with_next(docs).withColumn("n_chars", F.length("text").cast("long"))
     half = F.floor(F.col("n_chars") / 2).cast("int")
     rows = rows.withColumn("edited", F.concat(F.substring("text", F.lit(1), F.col("n_chars").cast("int") - half), F.substring("next_text", F.lit(1), half)))
-    rows = rows.withColumns({k: F.expr(digests(c)) for k, c in (("a", "text"), ("b", "edited"), ("c", "next_text"))})
+    rows = rows.withColumns({k: F.expr(digests(c, head_lines)) for k, c in (("a", "text"), ("b", "edited"), ("c", "next_text"))})
     rows = rows.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "a", "b", "c")
     rows = rows.withColumns({f"{c}_cells": F.expr(sketch(c, FINGERPRINT_CELLS)) for c in "abc"})
     rows = rows.withColumns({f"{c}_apart": F.expr(difference_size("a_cells", f"{c}_cells", "a", c)) for c in "bc"})
@@ -148,4 +151,4 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
 
 def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fingerprints(documents(spark, sf_dir))
+    return fingerprints(documents(spark, sf_dir), head_lines=None)
