@@ -23,3 +23,10 @@ def test_freshness_windows_finds_texts_inside_documents(spark):
     # a mark without a space may touch the first and the last word
     assert inside.count() > 0 and inside.join(got.where("windows - shared <= 2"), "item_id", "left_anti").count() == 0
     assert same(got, SQL["freshness_windows"], d) == ""
+
+
+def test_rendering_holds_whole_texts(spark):
+    d = "/root/testdata/sf0.001"
+    rows, texts = QUERIES["render_whole_blocks"](spark, d).collect(), {r.item_id: r.text for r in spark.read.parquet(f"{d}/benchmark.parquet").collect()}
+    squeeze = lambda t: "".join(t.split())
+    assert rows and all(squeeze(texts[int(r.payload_block_id[3:])]) in squeeze(r.text) for r in rows)

@@ -174,15 +174,22 @@ _RENDER = """pay AS (SELECT item_id, 'pb_' || lpad(CAST(item_id AS VARCHAR), 6,
  CASE WHEN format = 'benchmark' THEN letter END AS answer_key FROM pay JOIN pairs ON rk % 3 = place JOIN opt USING (payload_block_id), (VALUES ('evaluation'), ('deployment')) AS a(purpose), (VALUES ('benchmark'), ('casual')) AS b(format))"""
 
 
-def _payloads(spark, d):
+#: The same over whole texts: the first half (rounded down) is the context, the rest the question.
+_RENDER_WHOLE = _RENDER.replace("substr(text, 1, 60) AS context, substr(text, 61, 60) AS question", "substr(text, 1, length(text) // 2) AS context, substr(text, length(text) // 2 + 1) AS question")
+
+
+def _payloads(spark, d, whole=False):
+    half = F.floor(F.length("text") / 2).cast("int")
+    context = F.substring("text", F.lit(1), half) if whole else F.substring("text", 1, 60)
+    question = F.substring("text", half + 1, F.length("text")) if whole else F.substring("text", 61, 60)
     b = table(spark, d, "benchmark")
     ident = F.concat(F.lit("pb_"), F.lpad(F.col("item_id").cast("string"), 6, "0"))
-    return b.select(ident.alias("payload_block_id"), F.substring("text", 1, 60).alias("context"), F.substring("text", 61, 60).alias("question"), F.lit("yes").alias("correct_answer"), F.array(*map(F.lit, ("no", "maybe", "never"))).alias("distractors"))
+    return b.select(ident.alias("payload_block_id"), context.alias("context"), question.alias("question"), F.lit("yes").alias("correct_answer"), F.array(*map(F.lit, ("no", "maybe", "never"))).alias("distractors"))
 
 
-def _rendered(spark, d):
+def _rendered(spark, d, whole=False):
     pairs = spark.createDataFrame(_PAIRS, "pair_id string, family_id string, cue_locus string, evaluation string, deployment string")
-    return render.render_blocks(_payloads(spark, d), pairs, _FORMATS)
+    return render.render_blocks(_payloads(spark, d, whole), pairs, _FORMATS)
 
 
 @query(f"WITH {_RENDER} SELECT item_id, payload_block_id, purpose, format, purpose_pair_id, purpose_family_id, text, answer_key, sha256(text) AS rendered_text_sha256 FROM rendered")
@@ -190,21 +197,36 @@ def render_blocks(spark, d):
     return _rendered(spark, d).select("item_id", "payload_block_id", "purpose", "format", "purpose_pair_id", "purpose_family_id", "text", "answer_key", "rendered_text_sha256")
 
 
+@query(SQL["render_blocks"].replace(_RENDER, _RENDER_WHOLE))
+def render_whole_blocks(spark, d):
+    return _rendered(spark, d, True).select("item_id", "payload_block_id", "purpose", "format", "purpose_pair_id", "purpose_family_id", "text", "answer_key", "rendered_text_sha256")
+
+
 @query(f"""WITH {_RENDER}, kept AS (SELECT * FROM rendered WHERE NOT (CAST(substr(payload_block_id, 4) AS INT) % 5 = 0 AND purpose = 'deployment' AND format = 'casual')) SELECT payload_block_id, count(*) AS n, 'cells' AS problem FROM kept GROUP BY 1 HAVING count(*) <> 4""")
-def block_completeness(spark, d):
-    rows = _rendered(spark, d).where(~((F.substring("payload_block_id", 4, 6).cast("int") % 5 == 0) & (F.col("purpose") == "deployment") & (F.col("format") == "casual")))
+def block_completeness(spark, d, whole=False):
+    rows = _rendered(spark, d, whole).where(~((F.substring("payload_block_id", 4, 6).cast("int") % 5 == 0) & (F.col("purpose") == "deployment") & (F.col("format") == "casual")))
     return checks.block_checks(rows).select("payload_block_id", "n", F.array_join("problems", ",").alias("problem"))
 
 
+@query(SQL["block_completeness"].replace(_RENDER, _RENDER_WHOLE))
+def whole_block_completeness(spark, d):
+    return block_completeness(spark, d, True)
+
+
 @query(f"""WITH {_RENDER} SELECT item_id, CASE WHEN CAST(substr(payload_block_id, 4) AS INT) % 7 = 0 THEN 'missing' ELSE 'changed' END AS problem FROM rendered WHERE (CAST(substr(payload_block_id, 4) AS INT) % 7 = 0 OR CAST(substr(payload_block_id, 4) AS INT) % 7 = 3) AND format = 'casual'""")
-def reconstruct_diff(spark, d):
-    expected = _rendered(spark, d)
+def reconstruct_diff(spark, d, whole=False):
+    expected = _rendered(spark, d, whole)
     k = F.substring("payload_block_id", 4, 6).cast("int") % 7
     casual = F.col("format") == "casual"
     actual = expected.where(~((k == 0) & casual)).withColumn("text", F.when((k == 3) & casual, F.concat("text", F.lit("!"))).otherwise(F.col("text")))
     return render.reconstruct_diff(actual, expected, "item_id")
 
 
+@query(SQL["reconstruct_diff"].replace(_RENDER, _RENDER_WHOLE))
+def reconstruct_whole_diff(spark, d):
+    return reconstruct_diff(spark, d, True)
+
+
 @query("WITH " + ITEMS + " SELECT purpose, format, count(*) AS n FROM items GROUP BY CUBE (purpose, format)")
 def cell_counts_cube(spark, d):
     return checks.cell_counts(items(spark, d))
