@@ -3,8 +3,8 @@
 from compare import same
 from pyspark.sql import functions as F
 
-from twinfold.operators import matching
-from twinfold.queries import QUERIES, SQL
+from twinfold.operators import matching, probe, resample
+from twinfold.queries import QUERIES, SQL, items
 
 
 def test_spent_passages(spark):
@@ -30,3 +30,14 @@ def test_rendering_holds_whole_texts(spark):
     rows, texts = QUERIES["render_whole_blocks"](spark, d).collect(), {r.item_id: r.text for r in spark.read.parquet(f"{d}/benchmark.parquet").collect()}
     squeeze = lambda t: "".join(t.split())
     assert rows and all(squeeze(texts[int(r.payload_block_id[3:])]) in squeeze(r.text) for r in rows)
+
+
+def test_nulls_and_strengths_of_the_reference(spark):
+    d = "/root/testdata/sf0.001"
+    null = {r.rep: r.paired_accuracy for r in QUERIES["orientation_null"](spark, d).collect()}
+    assert set(null) == set(range(20))
+    rows = items(spark, d).withColumn("y", (F.col("purpose") == "evaluation").cast("int")).drop("score", "pred")
+    labelled = rows.withColumn("_label", resample.orientation_labels(rows, "block", 7))
+    own = matching.twins(probe.out_of_fold(labelled, {"null": (F.lit(True), F.lit(True))}, y="_label"), ["block", "format"])
+    assert abs(own.agg(F.avg((F.col("delta") > 0).cast("double"))).first()[0] - null[7]) < 1e-6
+    assert {r.c for r in QUERIES["pick_c"](spark, d).select("c").distinct().collect()} == {0.005, 0.02, 0.05, 0.2, 0.5}

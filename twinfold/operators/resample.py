@@ -80,13 +80,25 @@ def orientation_labels(items: DataFrame, block: str, rep: int, y: str = "y") ->
 
 
 def orientation_null(items: DataFrame, block: str, reps: int, c: float = 0.1, family: str = "family") -> DataFrame:
-    """rep, paired_accuracy of probes that are fitted on swapped labels, against the true ones."""
+    """rep, paired_accuracy of probes that are fitted on swapped labels, against the true ones. The folds of all replicates
+    are fitted in the same passes: each row is there once for each label that some replicate gives it."""
     from .matching import twins
-    from .probe import out_of_fold
-
-    out = None
-    for rep in range(reps):
-        scored = out_of_fold(items.withColumn("_label", orientation_labels(items, block, rep)), {"null": (F.lit(True), F.lit(True))}, c, family, "_label")
-        own = twins(scored, [block, "format"]).agg(F.lit(rep).alias("rep"), F.avg((F.col("delta") > 0).cast("double")).alias("paired_accuracy"))
-        out = own if out is None else out.unionByName(own)
-    return out
+    from .probe import fit_many, score
+
+    families = sorted(r[0] for r in items.select(family).distinct().collect())
+    nf = len(families)
+    rows = items.withColumn("_at", F.create_map(*[F.lit(x) for i, f in enumerate(families) for x in (f, i)])[F.col(family)])
+
+    def trains(label: int) -> Column:
+        others = lambda rep: F.transform(F.filter(F.sequence(F.lit(0), F.lit(nf - 1)), lambda j: j != F.col("_at")), lambda j: j + rep * nf)
+        return F.flatten(F.array(*[F.when(orientation_labels(items, block, rep) == label, others(rep)).otherwise(F.array().cast("array<int>")) for rep in range(reps)]))
+
+    zero, one = (rows.select("features", F.lit(float(y)).alias("y"), trains(y).alias("fits"), F.lit("fit").alias("role")).where("size(fits) > 0") for y in (0, 1))
+    table = zero.unionByName(one).cache()
+    try:
+        fits = fit_many(table, nf * reps, [c] * (nf * reps))
+    finally:
+        table.unpersist()
+    long = rows.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))))
+    scored = score(long.withColumn("_fit", F.col("_at") + F.col("rep") * nf), fits, "_fit").drop("_at", "_fit")
+    return twins(scored, ["rep", block, "format"]).groupBy("rep").agg(F.avg((F.col("delta") > 0).cast("double")).alias("paired_accuracy"))

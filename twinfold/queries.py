@@ -487,6 +487,16 @@ def cluster_bootstrap_auc(spark, d):
     return resample.cluster_auc_interval(items(spark, d), "block", 200, 5).select(r6("low").alias("low"), r6("high").alias("high"))
 
 
+@query(SQL["cluster_bootstrap_bacc"].replace("range(200)", "range(2000)"))
+def cluster_bootstrap_bacc_2000(spark, d):
+    return resample.cluster_interval(items(spark, d), "block", lambda w: metrics.balanced_accuracy(weight=w), 2000, 5).select(r6("low").alias("low"), r6("high").alias("high"))
+
+
+@query(SQL["cluster_bootstrap_auc"].replace("range(200)", "range(2000)"))
+def cluster_bootstrap_auc_2000(spark, d):
+    return resample.cluster_auc_interval(items(spark, d), "block", 2000, 5).select(r6("low").alias("low"), r6("high").alias("high"))
+
+
 @query("""SELECT event_id, '/' || k || '#name' AS pointer, k AS text FROM (SELECT event_id, unnest(json_keys(props)) AS k FROM events) UNION ALL SELECT event_id, '/' || k, json_extract_string(props, '$.' || k) FROM (SELECT event_id, props, unnest(json_keys(props)) AS k FROM events) WHERE json_type(props, '$.' || k) = 'VARCHAR'""")
 def flatten_strings(spark, d):
     return matching.flatten_strings(table(spark, d, "events").select("event_id", "props"), "event_id", "props")
@@ -709,7 +719,7 @@ def format_probe(spark, d):
 
 @query()
 def pick_c(spark, d):
-    return probe.pick_c(items(spark, d).drop("score", "pred"), (0.02, 0.2))
+    return probe.pick_c(items(spark, d).drop("score", "pred"))
 
 
 @query()
@@ -748,4 +758,4 @@ def random_direction_null(spark, d):
 @query()
 def orientation_null(spark, d):
     rows = items(spark, d).withColumn("y", (F.col("purpose") == "evaluation").cast("int")).drop("score", "pred")
-    return resample.orientation_null(rows, "block", 2)
+    return resample.orientation_null(rows, "block", 20)
