@@ -4,12 +4,11 @@ from __future__ import annotations
 
 import base64
 import functools
-import heapq
 import json
 
 import numpy as np
 
-#: Widths of the matrices; a longer string takes the linked-list form of the same rule.
+#: Widths of the matrices; a longer string takes several rows of the last width.
 WIDTHS = (2, 4, 6, 8, 12, 16, 24, 32, 48, 64, 128, 256)
 #: Cells of a matrix at most.
 CELLS = 2_000_000
@@ -78,7 +77,7 @@ class Vocabulary:
             elif len(word) < 2:
                 out[i] = [int(self.first[x]) for x in word]
             elif len(word) > WIDTHS[-1]:
-                out[i] = self._long(word)
+                out[i] = self._wide(word)
             else:
                 by[next(w for w in WIDTHS if len(word) <= w)].append(i)
         for width, rows in by.items():
@@ -115,33 +114,51 @@ class Vocabulary:
                 x = at[ok]
                 rank[ok, x], merged[ok, x] = self.table.find(ids[ok, x], ids[ok, x + 1])
 
-    def _long(self, word: bytes) -> list[int]:
-        """Lowest rank first, then leftmost, with a heap and neighbour links."""
-        ids = self.first[np.frombuffer(word, np.uint8)].tolist()
-        n = len(ids)
-        after, before, alive = list(range(1, n + 1)), list(range(-1, n - 1)), [True] * n
-        heap: list[tuple[int, int, int, int]] = []
-
-        def offer(i: int) -> None:
-            j = after[i]
-            if j < n and (found := self.pairs.get((ids[i], ids[j]))):
-                heapq.heappush(heap, (found[0], i, ids[i], ids[j]))
-
-        for i in range(n):
-            offer(i)
-        while heap:
-            _, i, a, b = heapq.heappop(heap)
-            j = after[i]
-            if not alive[i] or j >= n or ids[i] != a or ids[j] != b:
-                continue
-            ids[i], alive[j] = self.pairs[a, b][1], False
-            after[i] = after[j]
-            if after[i] < n:
-                before[after[i]] = i
-            offer(i)
-            if before[i] >= 0:
-                offer(before[i])
-        return [x for x, ok in zip(ids, alive, strict=True) if ok]
+    def _wide(self, word: bytes) -> list[int]:
+        """The same for one string over many rows: each row keeps its leftmost lowest rank, so a round looks at one number a
+        row, merges in the first row that has the lowest of them and closes up there."""
+        width = WIDTHS[-1]
+        count = -(-len(word) // width)
+        ids = np.full(count * width, -1, np.int32)
+        ids[: len(word)] = self.first[np.frombuffer(word, np.uint8)]
+        rank, merged = np.full(count * width, _NONE, np.int64), np.full(count * width, -1, np.int32)
+        rank[:-1], merged[:-1] = self.table.find(ids[:-1], ids[1:])
+        ids, rank, merged = (x.reshape(count, width) for x in (ids, rank, merged))
+        used = np.minimum(width, len(word) - width * np.arange(count)).tolist()
+        low = rank.min(1)
+        after, before = list(range(1, count + 1)), list(range(-1, count - 1))
+
+        def look(row: int, at: int) -> None:
+            """The pair of a cell and the one after it anew."""
+            right = ids[row, at + 1] if at + 1 < used[row] else ids[after[row], 0] if after[row] < count else -1
+            key = (int(ids[row, at]), int(right))
+            rank[row, at], merged[row, at] = self.pairs.get(key, (_NONE, -1))
+
+        while True:
+            row = int(low.argmin())
+            if low[row] >= _NONE:
+                break
+            at = int(rank[row].argmin())
+            ids[row, at] = merged[row, at]
+            gone, place = (row, at + 1) if at + 1 < used[row] else (after[row], 0)
+            for x, empty in ((ids, -1), (rank, _NONE), (merged, -1)):
+                x[gone, place:-1] = x[gone, place + 1 :]
+                x[gone, -1] = empty
+            used[gone] -= 1
+            if not used[gone]:
+                if after[gone] < count:
+                    before[after[gone]] = before[gone]
+                after[before[gone]] = after[gone]
+            look(row, at)
+            touched = {row, gone}
+            if at:
+                look(row, at - 1)
+            elif before[row] >= 0:
+                look(before[row], used[before[row]] - 1)
+                touched.add(before[row])
+            for x in touched:
+                low[x] = rank[x].min()
+        return ids[ids >= 0].tolist()
 
 
 @functools.lru_cache(2)

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .library_ids import id_type, ids_of
+from .pieces import closed
 from .shared import documents, id_and_text, slices
 
 ROWS = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -94,15 +95,16 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int, sequence_length: int
         types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
         for part in slices(batches):
             rows = []
+            ids, ends = closed(*ids_of(data)(part.column("text")).joined(kind), end_id)
+            wide, stored = ids.astype("<u4"), memoryview(ids).cast("B")
             keys = zip(part.column("grp").to_pylist(), part.column("row").to_pylist(), part.column("doc_id").to_pylist(), strict=True)
-            for (grp, row, doc), found in zip(keys, ids_of(data)(part.column("text")).joined(), strict=True):
-                ids = np.append(np.frombuffer(found, kind), kind.type(end_id))
-                n = len(ids)
+            for (grp, row, doc), first, last in zip(keys, ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+                n = last - first
                 whole = n - n % sequence_length
                 for at in range(0, whole, sequence_length):
-                    rows.append((grp, row, doc, at, sequence_length, crc(ids[at : at + sequence_length]), n, None))
+                    rows.append((grp, row, doc, at, sequence_length, zlib.crc32(wide[first + at : first + at + sequence_length]), n, None))
                 if whole < n:
-                    rows.append((grp, row, doc, whole, n - whole, None, n, ids[whole:].tobytes()))
+                    rows.append((grp, row, doc, whole, n - whole, None, n, bytes(stored[(first + whole) * kind.itemsize : last * kind.itemsize])))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
 
     def group(table: pa.Table) -> pa.Table:

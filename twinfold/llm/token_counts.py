@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import json
 from collections.abc import Iterator
 from pathlib import Path
 
@@ -11,6 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 from . import bpe
+from .library_ids import direct
 from .pieces import Pieces
 from .shared import documents, id_and_text, slices
 
@@ -18,26 +20,29 @@ from .shared import documents, id_and_text, slices
 @functools.lru_cache(2)
 def counter(data: bytes) -> Pieces:
     """The number of tokens of each piece: 1 for each pre-token that is proven to encode alone as one token;
-    the others are merged. A piece that holds a special string goes to the library."""
+    the others are merged. A piece that holds a special string goes to the library. Raises for files that aren't
+    byte-level BPE with the usual pattern."""
     from tokenizers import Tokenizer
 
+    if direct(json.loads(data)) != "bytes":
+        raise ValueError("not a byte-level BPE file whose texts may be cut into pieces")
     library = Tokenizer.from_buffer(data)
     vocabulary, proven, special = bpe.from_json(data)
     split = library.pre_tokenizer.pre_tokenize_str
     letters = bpe.byte_letters()
 
-    def count(pieces: list[str]) -> list[int]:
+    def count(pieces: list[str]) -> pa.Array:
         cut = [None if any(s in x for s in special) else [w for w, _ in split(x)] for x in pieces]
         rest = list({w for x in cut if x for w in x if w not in proven})
         merged = dict(zip(rest, map(len, vocabulary.encode([bytes([letters[c] for c in w]) for w in rest])), strict=True))
-        return [len(library.encode(p, add_special_tokens=False).ids) if x is None else sum([merged.get(w, 1) for w in x]) for p, x in zip(pieces, cut, strict=True)]
+        return pa.array([len(library.encode(p, add_special_tokens=False).ids) if x is None else sum([merged.get(w, 1) for w in x]) for p, x in zip(pieces, cut, strict=True)], pa.int64())
 
-    return Pieces(count, sum)
+    return Pieces(count)
 
 
 def count_tokens(docs: DataFrame, tokenizer_path: str, limit: int = 1024) -> DataFrame:
     """doc_id, n_bytes (UTF-8), n_tokens, over_limit of each row of docs, for a byte-level BPE tokenizer file.
-    Null and empty texts count 0. Rows repeat as often as in docs; other columns are left out."""
+    Null and empty texts count 0. Rows repeat as often as in docs, so an empty table gives none; other columns are left out."""
     data = Path(tokenizer_path).read_bytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .library_ids import id_type, ids_of
+from .pieces import closed
 from .shared import documents, id_and_text, partitions, shared_folder, slices, written
 
 SEQUENCES = 64
@@ -58,12 +59,10 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int, folder:
                 ids_file.write_batch(pa.RecordBatch.from_arrays([pa.FixedSizeListArray.from_arrays(pa.array(ids), sequence_length), pa.FixedSizeListArray.from_arrays(pa.array(mask), sequence_length)], schema=row))
 
             while part is not None:
-                got = ids_of(data)(part.column("text")).joined()
-                sizes = np.array([len(x) // kind.itemsize + 1 for x in got], np.int64)
-                end = np.array([end_id], kind).tobytes()
-                rest = np.concatenate([rest, np.frombuffer(b"".join([y for x in got for y in (x, end)]), kind)])
-                docs_file.write_batch(pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(total + np.cumsum(sizes) - sizes), pa.array(sizes)], schema=index))
-                total, n_docs = total + int(sizes.sum()), n_docs + len(sizes)
+                ids, ends = closed(*ids_of(data)(part.column("text")).joined(kind), end_id)
+                rest = np.concatenate([rest, ids])
+                docs_file.write_batch(pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(total + ends[:-1]), pa.array(np.diff(ends))], schema=index))
+                total, n_docs = total + len(ids), n_docs + part.num_rows
                 step = SEQUENCES * sequence_length
                 whole = len(rest) - len(rest) % step
                 for at in range(0, whole, step):
