@@ -1,11 +1,12 @@
 """Operator 1: document fingerprints as invertible Bloom lookup sketches, in SQL functions.
 
-A text is cut into paragraphs (the sentences of its lines, throughout in the registered query), and each distinct paragraph becomes a 64-bit
-digest. A digest falls into one cell of each of three parts of the sketch; a cell holds how many digests it has, and the XOR of
-them and of their check hashes. The sketches of two versions are subtracted cell by cell; a cell with one digest left
-shows it, and taking it out of its other cells shows more, until nothing is left. If something stays, the same is done
-with larger sketches: the digests are dealt to groups by their hash, and a group that doesn't peel gets four times the
-cells. All of it is a projection of one row, linear in the number of its paragraphs but for the dealing."""
+A text is cut into paragraphs (the sentences of its lines), and each distinct paragraph becomes a digest of 47 bits of
+its hash and 16 bits that check them. A digest falls into one cell of each of three parts of the sketch; a cell holds
+how many digests it has, and the XOR of them. The sketches of two versions are subtracted cell by cell; a cell with one
+digest left shows it, and taking it out of its other cells shows more, until nothing is left. If something stays, the same
+is done with larger sketches: the digests are dealt to groups by their hash, and a group that doesn't peel gets four times
+the cells and other places in them. All of it is a projection of one row; its work grows as the number of paragraphs,
+but for the dealing, which takes three rounds of as many parts as the cube root of the groups."""
 
 from __future__ import annotations
 
@@ -14,14 +15,15 @@ from pyspark.sql import functions as F
 
 from .shared import documents, id_and_text
 
-#: Cells of each of the three parts: of the fingerprint, and of the larger sketches in turn.
-FINGERPRINT_CELLS, LARGER_CELLS = 8, (8, 32, 128, 512)
+#: Cells of each of the three parts of the fingerprint; of the larger sketches in turn, each with places of its own.
+CELLS, LARGER_CELLS = 8, (32, 512, 512, 512)
 #: Digests for each group of a larger sketch, and rounds of peeling.
-GROUP_DIGESTS, PEEL_ROUNDS = 8, 10
-#: Lines that are cut into sentences if nothing else is asked for; the registered query asks for all.
-HEAD_LINES = 3
+GROUP_DIGESTS, PEEL_ROUNDS = 8, 16
 #: Documents in a bucket of neighbouring doc_ids, and slices of the doc_id range that have as many documents each.
 BUCKET_DOCS, SLICES = 1024, 64
+#: 47 bits of a hash; the 16 bits below them check them.
+_BITS, _CHECK = (1 << 63) - (1 << 16), "xxhash64(shiftrightunsigned({0}, 16)) & 65535"
+_ZERO = "named_struct('c', 0, 'k', 0L)"
 
 
 def let(name: str, value: str, body: str) -> str:
@@ -29,58 +31,81 @@ def let(name: str, value: str, body: str) -> str:
     return f"element_at(transform(array({value}), {name} -> {body}), 1)"
 
 
-def digests(text: str, head_lines: int | None = None) -> str:
-    """Distinct 64-bit digests of the paragraphs of a text: sentences of all lines, or of the first head_lines and the
-    lines after them."""
-    if head_lines is None:
-        return f"transform(array_distinct(filter(split({text}, '\\\\n+|(?<=[.!?])\\\\s+'), p -> p <> '')), p -> xxhash64(p))"
-    head = f"flatten(transform(slice(lines, 1, {head_lines}), l -> split(l, '(?<=[.!?])\\\\s+')))"
-    whole = f"filter(concat({head}, slice(lines, {head_lines + 1}, size(lines) + 1)), p -> p <> '')"
-    return let("lines", f"split({text}, '\\\\n+')", f"transform(array_distinct({whole}), p -> xxhash64(p))")
+def digests(text: str) -> str:
+    """Distinct positive 64-bit digests of the paragraphs of a text: the sentences of its lines."""
+    found = f"filter(split({text}, '(?=\\\\s)(?:\\\\n+|(?<=[.!?])\\\\s+)'), p -> p <> '')"
+    return f"array_distinct(transform(transform({found}, p -> xxhash64(p) & {_BITS}L), h -> h | ({_CHECK.format('h')})))"
 
 
-def _items(found: str, sign: int, cells: int) -> str:
-    """Digests with their check hash, sign and cell in each part."""
-    places = ", ".join(f"'p{t}', cast(shiftrightunsigned(s, {20 * t}) & {cells - 1} as int)" for t in range(3))
-    return f"transform({found}, d -> element_at(transform(array(xxhash64(d, 7L)), s -> named_struct('g', {sign}, 'd', d, 's', s, {places})), 1))"
+def _mask(digest: str) -> str:
+    """The cells of a digest as bits of a number."""
+    return " | ".join(f"shiftleft({1 << CELLS * t}, cast(shiftright({digest}, {16 + 8 * t}) & {CELLS - 1} as int))" for t in range(3))
 
 
-def _cells(items: str, cells: int) -> str:
-    """The sketch of items: count, XOR of digests, XOR of check hashes for each cell of the three parts."""
-    zero = "named_struct('c', 0, 'k', 0L, 's', 0L)"
-    one = "named_struct('c', a.c + x.g, 'k', a.k ^ x.d, 's', a.s ^ x.s)"
-    part = [f"transform(sequence(0, {cells - 1}), j -> aggregate(filter({items}, x -> x.p{t} = j), {zero}, (a, x) -> {one}))" for t in range(3)]
-    return f"concat({', '.join(part)})"
+def _items(found: str, sign: int, group: str) -> str:
+    return f"transform({found}, d -> named_struct('x', {'d' if sign > 0 else '-d'}, 'm', {_mask('d')}, 'n', {group}))"
 
 
-def sketch(found: str, cells: int) -> str:
-    return let("own", _items(found, 1, cells), _cells("own", cells))
+def _changed(by: str, start: str, sign: str) -> str:
+    """A cell (c: how many, k: their XOR) after the items of ``by`` that are in cell i have been put in (+) or taken out (-)."""
+    return f"aggregate({by}, {start}, (a, x) -> if((shiftright(x.m, i) & 1) = 1, named_struct('c', a.c {sign} cast(sign(x.x) as int), 'k', a.k ^ abs(x.x)), a))"
+
+
+def _cells(items: str) -> str:
+    """The sketch of items."""
+    return f"transform(sequence(0, {3 * CELLS - 1}), i -> {_changed(items, _ZERO, '+')})"
+
+
+def sketch(found: str) -> str:
+    return let("own", _items(found, 1, "0L"), _cells("own"))
 
 
 def subtracted(a: str, b: str) -> str:
-    return f"zip_with({a}, {b}, (l, r) -> named_struct('c', l.c - r.c, 'k', l.k ^ r.k, 's', l.s ^ r.s))"
+    return f"zip_with({a}, {b}, (l, r) -> named_struct('c', l.c - r.c, 'k', l.k ^ r.k))"
+
+
+def _peeled(cells: str, pure: str, left: str) -> str:
+    step = let("pure", pure, f"if(size(pure) = 0, named_struct('cells', st.cells, 'got', st.got, 'go', false), named_struct('cells', {left}, 'got', st.got || transform(pure, x -> x.x), 'go', true))")
+    start = f"named_struct('cells', {cells}, 'got', cast(array() as array<bigint>), 'go', true)"
+    return f"aggregate(sequence(1, {PEEL_ROUNDS}), {start}, (st, r) -> if(st.go, {step}, st), st -> if(forall(st.cells, v -> v.c = 0 and v.k = 0), st.got, null))"
+
+
+_ALONE = f"(v.c = 1 or v.c = -1) and (v.k & 65535) = ({_CHECK.format('v.k')})"
+
+
+def peeled(cells: str) -> str:
+    """The digests that differ, negative if only the second text has them; null if the sketch doesn't peel."""
+    pure = f"transform(array_distinct(transform(filter(st.cells, v -> {_ALONE}), v -> v.k * v.c)), x -> named_struct('x', x, 'm', {_mask('abs(x)')}))"
+    return _peeled(cells, pure, f"transform(st.cells, (v, i) -> {_changed('pure', 'v', '-')})")
+
+
+def peeled_larger(items: str) -> str:
+    """The same from a sketch of items of m cells a part, in which the salt (from 1) says where a digest lies."""
+    place = "pmod(shiftrightunsigned(xxhash64({0}, salt), 10 * {1}), m)"
+    cell = "aggregate(filter({0}, x -> {1} = {2}), {3}, (a, x) -> named_struct('c', a.c {4} cast(sign(x.x) as int), 'k', a.k ^ abs(x.x)))"
+    cells = f"flatten(transform(sequence(0, 2), t -> transform(sequence(0, m - 1), j -> {cell.format(items, place.format('abs(x.x)', 't'), 'j', _ZERO, '+')})))"
+    pure = f"transform(array_distinct(transform(filter(st.cells, v -> {_ALONE}), v -> v.k * v.c)), x -> named_struct('x', x))"
+    return _peeled(cells, pure, f"transform(st.cells, (v, i) -> {cell.format('pure', place.format('abs(x.x)', 'cast(i div m as int)'), 'i % m', 'v', '-')})")
 
 
-def peeled(cells_of_difference: str, cells: int) -> str:
-    """The digests that differ, or null if the sketch doesn't peel."""
-    places = ", ".join(f"'p{t}', cast(shiftrightunsigned(v.s, {20 * t}) & {cells - 1} as int)" for t in range(3))
-    pure = f"array_distinct(transform(filter(st.cells, v -> abs(v.c) = 1 and xxhash64(v.k, 7L) = v.s), v -> named_struct('g', v.c, 'd', v.k, 's', v.s, {places})))"
-    found = f"named_struct('cells', {subtracted('st.cells', _cells('pure', cells))}, 'got', concat(st.got, transform(pure, v -> v.d)), 'go', true)"
-    step = let("pure", pure, f"if(size(pure) = 0, named_struct('cells', st.cells, 'got', st.got, 'go', false), {found})")
-    start = f"named_struct('cells', {cells_of_difference}, 'got', cast(array() as array<bigint>), 'go', true)"
-    run = f"aggregate(sequence(1, {PEEL_ROUNDS}), {start}, (st, i) -> if(st.go, {step}, st), st -> if(forall(st.cells, v -> v.c = 0 and v.k = 0 and v.s = 0), st.got, null))"
-    return run
+def _dealt(items: str) -> str:
+    """Items by the number n of their group, in three rounds of f parts."""
+    part = "transform(sequence(0L, f - 1), q -> filter({0}, x -> pmod(x.n div {1}, f) = q))"
+    thirds = f"flatten(transform({part.format(items, '(f * f)')}, w -> {part.format('w', 'f')}))"
+    return f"filter(flatten(transform({thirds}, w -> {part.format('w', '1')})), w -> size(w) > 0)"
 
 
-def difference_size(a_sketch: str, b_sketch: str, a: str, b: str) -> str:
-    """How many digests of a and b are in one of them only: from the fingerprints, else from larger sketches. A group
-    that no size peels counts as wholly different."""
-    first = f"size({peeled(subtracted(a_sketch, b_sketch), FINGERPRINT_CELLS)})"
-    larger = [f"size({peeled(let('mine', f'concat({_items("ga", 1, n)}, {_items("gb", -1, n)})', _cells('mine', n)), n)})" for n in LARGER_CELLS]
-    tries = ", ".join(f"nullif({x}, -1)" for x in larger)
-    group = let("ga", f"filter({a}, d -> pmod(shiftright(d, 8), n) = g)", let("gb", f"filter({b}, d -> pmod(shiftright(d, 8), n) = g)", f"coalesce({tries}, size(ga) + size(gb))"))
-    groups = let("n", f"cast(ceil((size({a}) + size({b})) / {GROUP_DIGESTS}D) as int)", f"if(n = 0, 0, aggregate(transform(sequence(0, greatest(n, 1) - 1), g -> {group}), 0, (u, v) -> u + v))")
-    return f"coalesce(nullif({first}, -1), {groups})"
+def differences(own: str, others: list[str]) -> str:
+    """For each of the others (columns of digests, beside columns of the same name and _cells with their sketches) the
+    digests that are in own only, and negative those that are in it only: from the fingerprints, else from larger sketches.
+    Digests that no size and places show (of odds below 1e-12 a group) raise an error."""
+    sizes = ", ".join(map(str, LARGER_CELLS))
+    tries = f"aggregate(sequence(1, {len(LARGER_CELLS)}), cast(null as array<bigint>), (got, salt) -> coalesce(got, {let('m', f'element_at(array({sizes}), salt)', peeled_larger('w'))}))"
+    group = f"coalesce({peeled(_cells('w'))}, {tries}, cast(raise_error('a sketch does not peel') as array<bigint>))"
+    signed = f"{_items(own, 1, 'pmod(xxhash64(d), n)')} || {_items('o.d', -1, 'pmod(xxhash64(d), n)')}"
+    dealt = let("n", f"greatest(1L, cast(ceil((size({own}) + size(o.d)) / {GROUP_DIGESTS}D) as bigint))", let("f", "cast(ceil(cbrt(n)) as bigint)", let("every", signed, _dealt("every"))))
+    pairs = ", ".join(f"named_struct('d', {x}, 'cells', {x}_cells)" for x in others)
+    return f"transform(array({pairs}), o -> coalesce({peeled(subtracted(f'{own}_cells', 'o.cells'))}, flatten(transform({dealt}, w -> {group}))))"
 
 
 def likeness(a: Column, b: Column, apart: Column) -> Column:
@@ -90,8 +115,8 @@ def likeness(a: Column, b: Column, apart: Column) -> Column:
 
 
 def serialised(cells: str) -> str:
-    """Each cell as 4, 16 and 16 hexadecimal digits."""
-    return f"array_join(transform({cells}, v -> concat(lpad(hex(v.c), 4, '0'), lpad(hex(v.k), 16, '0'), lpad(hex(v.s), 16, '0'))), '')"
+    """Each cell as 8 and 16 hexadecimal digits."""
+    return f"array_join(transform({cells}, v -> concat(lpad(hex(v.c), 8, '0'), lpad(hex(v.k), 16, '0'))), '')"
 
 
 def with_next(docs: DataFrame) -> DataFrame:
@@ -130,25 +155,27 @@ def with_next(docs: DataFrame) -> DataFrame:
     return inner.unionByName(last.join(after, "bucket").join(first, "next_bucket").select("doc_id", "text", "next_text"))
 
 
-def fingerprints(docs: DataFrame, head_lines: int | None = HEAD_LINES) -> DataFrame:
-    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next of each row of docs.
+def fingerprints(docs: DataFrame) -> DataFrame:
+    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, edited_difference,
+    next_difference of each row of docs.
 
     The edited text has its last floor(n_chars / 2) code points replaced by the first as many (or all) of the next
-    text. head_lines: see digests(). Likeness is common by all distinct paragraph digests, from what the sketches' difference peels to; two
-    texts without paragraphs (null, empty) have likeness 1. A table of one row is its own next. Rows repeat as often
-    as in docs; other columns are left out."""
+    text. The differences are the digests that the sketches' difference peels to, negative for those of the other
+    text; likeness is common by all distinct digests by them. Two texts without paragraphs (null,
+    empty) have likeness 1. A table of one row is its own next; equal doc_ids follow each other by text, and an empty table
+    gives no row. Rows repeat as often as in docs; other columns are left out."""
     rows = with_next(docs).withColumn("n_chars", F.length("text").cast("long"))
     half = F.floor(F.col("n_chars") / 2).cast("int")
     rows = rows.withColumn("edited", F.concat(F.substring("text", F.lit(1), F.col("n_chars").cast("int") - half), F.substring("next_text", F.lit(1), half)))
-    rows = rows.withColumns({k: F.expr(digests(c, head_lines)) for k, c in (("a", "text"), ("b", "edited"), ("c", "next_text"))})
+    rows = rows.withColumns({k: F.expr(digests(c)) for k, c in (("a", "text"), ("b", "edited"), ("c", "next_text"))})
     rows = rows.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "a", "b", "c")
-    rows = rows.withColumns({f"{c}_cells": F.expr(sketch(c, FINGERPRINT_CELLS)) for c in "abc"})
-    rows = rows.withColumns({f"{c}_apart": F.expr(difference_size("a_cells", f"{c}_cells", "a", c)) for c in "bc"})
+    rows = rows.withColumns({f"{c}_cells": F.expr(sketch(c)) for c in "abc"}).withColumn("apart", F.expr(differences("a", ["b", "c"])))
     return rows.select(
         "doc_id", "n_chars", "edited_sha256", F.expr(serialised("a_cells")).alias("fingerprint"), F.expr(serialised("b_cells")).alias("edited_fingerprint"),
-        likeness(F.col("a"), F.col("b"), F.col("b_apart")).alias("near_edited"), likeness(F.col("a"), F.col("c"), F.col("c_apart")).alias("near_next"),
+        likeness(F.col("a"), F.col("b"), F.size(F.col("apart")[0])).alias("near_edited"), likeness(F.col("a"), F.col("c"), F.size(F.col("apart")[1])).alias("near_next"),
+        F.col("apart")[0].alias("edited_difference"), F.col("apart")[1].alias("next_difference"),
     )
 
 
 def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fingerprints(documents(spark, sf_dir), head_lines=None)
+    return fingerprints(documents(spark, sf_dir)).drop("edited_difference", "next_difference")
