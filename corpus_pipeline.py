@@ -7,11 +7,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from twinfold.llm.language import known_languages, train
-from twinfold.llm.near_copies import near_copies
+from twinfold.llm.near_copies import without_near_copies
 from twinfold.llm.packing import pack
 from twinfold.llm.quality import good_documents
 from twinfold.llm.shared import written
-from twinfold.llm.surrogates import surrogates
+from twinfold.llm.surrogates import surrogate_key, surrogates
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: Share of known n-grams below which the language of a document counts as unknown.
@@ -32,14 +32,13 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each group of near copies."""
-    gone = written(near_copies(docs, percent=NEAR_PERCENT).where(~F.col("kept")).select("doc_id"), "near-copies")
-    return docs.select(COLUMNS).join(gone.distinct(), "doc_id", "left_anti").select(COLUMNS)
+    """One document of each group of near copies: the one with the smallest doc_id, one row of equal ones."""
+    return without_near_copies(docs.select(COLUMNS), NEAR_PERCENT)
 
 
 def private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with surrogates for personal data and secrets; n_chars is counted anew."""
-    return surrogates(docs.select(COLUMNS)).withColumn("n_chars", F.length("text").cast("long")).select(COLUMNS)
+    return surrogates(docs.select(COLUMNS), surrogate_key(spark)).withColumn("n_chars", F.length("text").cast("long")).select(COLUMNS)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

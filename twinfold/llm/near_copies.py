@@ -174,7 +174,10 @@ def near_copies(docs: DataFrame, percent: int = 85) -> DataFrame:
     reach, component_id its smallest doc_id, and only that document is kept. Texts without words (null, empty, white
     space) have no shingles and are linked with nothing. Rows that share a doc_id but not the text belong to the component
     of their own text; classes of the same smallest doc_id count as one. Null doc_ids link to nothing and keep a null
-    component (kept). Columns other than doc_id and text are left out. percent below 80 would need more bands."""
+    component (kept). Columns other than doc_id and text are left out. percent is from 80 to 100: the bands would miss
+    pairs that are less alike."""
+    if not 80 <= percent <= 100:
+        raise ValueError("percent must be from 80 to 100")
     docs = id_and_text(docs)
     sketches = written(docs.mapInArrow(_sketch, "doc_id long, set_id binary, n_shingles long, bands array<long>, bits array<long>"), "sketches")
     real = sketches.where("set_id is not null and doc_id is not null")
@@ -209,6 +212,18 @@ def near_copies(docs: DataFrame, percent: int = 85) -> DataFrame:
     return whole.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
+def without_near_copies(docs: DataFrame, percent: int = 80) -> DataFrame:
+    """The rows of docs, with all their columns, of which one of each component stays: the one with the smallest doc_id (null
+    last; any of equal ones). Each row counts by itself, whatever doc_id others have. Texts without words all stay."""
+    keyed = written(docs.select(F.monotonically_increasing_id().alias("_row"), F.struct(*[f"`{c}`" for c in docs.columns]).alias("_own")), "numbered")
+    found = near_copies(keyed.select(F.col("_row").alias("doc_id"), F.col("_own.text").alias("text")), percent).select(F.col("doc_id").alias("_row"), "component_id")
+    # one row for each component, added up before the shuffle; no join by component
+    rows = written(found.join(keyed.select("_row", F.col("_own.doc_id").alias("id")), "_row"), "components")
+    stay = rows.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull(), "id", "_row")).alias("least")).select("least._row")
+    gone = written(rows.select("_row").join(stay, "_row", "left_anti"), "near-copies")
+    return keyed.join(gone, "_row", "left_anti").select("_own.*")
+
+
 def op7_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_copies(documents(spark, sf_dir), percent=85)
 

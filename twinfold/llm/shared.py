@@ -25,9 +25,13 @@ def _own_folder() -> str:
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder path that the driver and all executors reach: below spark.checkpoint.dir,
-    or a temporary folder of this machine only where that setting is unset (local tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or _own_folder()
+    """A new folder path that the driver and all executors reach, below spark.checkpoint.dir. Where that setting is unset, a
+    temporary folder of this machine if Spark runs on it alone (local tests); on a cluster an error."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.conf.get("spark.master", "local").startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors reach")
+        base = _own_folder()
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
