@@ -15,11 +15,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import WIDE_STEP_CHARS, documents, id_and_text, slices
+from .shared import WIDE_STEP_CHARS, documents, id_and_text, slices, written
 from .words import mixed
 
 LETTERS = 4
-SLOTS, HASHES = 1 << 16, 4
+HASHES = 4
+#: Slots of the filter for each n-gram of the language that has most, rounded up to a power of two; parts in which the
+#: sample of a language is drawn first.
+SLOTS_PER_GRAM, SALTS = 8, 64
 
 
 def held_out() -> Column:
@@ -58,35 +61,47 @@ def grams(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 class Filter(NamedTuple):
     languages: list[str]
-    slots: np.ndarray  # (planes of 64 languages, SLOTS)
+    slots: np.ndarray  # (planes of 64 languages, slots)
     chance: np.ndarray  # false positives of each language
 
 
-def _slots(hashes: np.ndarray) -> Iterator[np.ndarray]:
+def _slots(hashes: np.ndarray, n: int) -> Iterator[np.ndarray]:
+    """The places of each n-gram in n slots, a power of two."""
     step = hashes >> np.uint64(40) | np.uint64(1)
     for k in range(HASHES):
-        yield ((hashes + np.uint64(k) * step) & np.uint64(SLOTS - 1)).astype(np.int64)
+        yield ((hashes + np.uint64(k) * step) & np.uint64(n - 1)).astype(np.int64)
 
 
 def build(counted: list[tuple[str, int]]) -> Filter:
     """From (language, hash as signed number) pairs."""
-    languages = sorted({x for x, _ in counted})
-    slots = np.zeros((max(1, -(-len(languages) // 64)), SLOTS), np.uint64)
+    own: dict[str, list[int]] = {}
+    for lang, h in counted:
+        own.setdefault(lang, []).append(h)
+    languages = sorted(own)
+    n = 1 << max(10, SLOTS_PER_GRAM * max(map(len, own.values()), default=1) - 1).bit_length()
+    slots = np.zeros((max(1, -(-len(languages) // 64)), n), np.uint64)
     for i, lang in enumerate(languages):
-        own = np.array([h for x, h in counted if x == lang], np.int64).view(np.uint64)
-        for at in _slots(own):
+        for at in _slots(np.array(own[lang], np.int64).view(np.uint64), n):
             slots[i // 64, at] |= np.uint64(1) << np.uint64(i % 64)
     fill = np.array([((slots[i // 64] >> np.uint64(i % 64)) & np.uint64(1)).mean() for i in range(len(languages))])
     return Filter(languages, slots, fill**HASHES)
 
 
-def train(docs: DataFrame, sample_docs: int = 500, top_grams: int = 3000) -> Filter:
+def train(docs: DataFrame, sample_docs: int = 500, least_share: float = 1e-4) -> Filter:
     """Learns from the whole texts of at most sample_docs documents of each language (those of the smallest hashes of
-    doc_id) that aren't held out, the top_grams most frequent n-grams of each."""
+    doc_id) that aren't held out: all n-grams that are at least least_share of their language's, so never more than
+    1 / least_share of one language. docs has doc_id, text and lang; rows with a null in one of them, or docs without a
+    column lang, teach nothing."""
+    if "lang" not in docs.columns:
+        return build([])
     labelled = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
+    # a language may have most of the rows, so each of its parts draws first; then at most SALTS * sample_docs rows a language
+    salted = labelled.select("doc_id", "lang", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(SALTS)).alias("salt"))
+    order = (F.xxhash64("doc_id"), F.col("doc_id"))
+    drawn = salted.withColumn("rank", F.row_number().over(Window.partitionBy("lang", "salt").orderBy(*order))).where(F.col("rank") <= sample_docs)
+    drawn = drawn.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).where(F.col("rank") <= sample_docs)
     # at most sample_docs numbers for each language
-    chosen = [r.doc_id for r in labelled.select("doc_id", "lang").withColumn("rank", rank).where(F.col("rank") <= sample_docs).select("doc_id").collect()]
+    chosen = [r.doc_id for r in drawn.select("doc_id").collect()]
     if not chosen:
         return build([])
 
@@ -99,13 +114,14 @@ def train(docs: DataFrame, sample_docs: int = 500, top_grams: int = 3000) -> Fil
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(own), pa.string()), pa.array(own.view(np.int64)), pa.array(n, pa.int64())], ["lang", "gram", "n"])
 
     counted = labelled.where(F.col("doc_id").isin(chosen)).select("text", "lang").mapInArrow(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    top = counted.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))).where(F.col("rank") <= top_grams)
-    return build([(r.lang, r.gram) for r in top.select("lang", "gram").collect()])
+    counted = written(counted, "n-grams")
+    frequent = counted.join(counted.groupBy("lang").agg(F.sum("n").alias("every")), "lang").where(F.col("n") >= F.col("every") * least_share)
+    return build([(r.lang, r.gram) for r in frequent.select("lang", "gram").collect()])
 
 
 def identify(column: pa.Array, model: Filter) -> tuple[list[str], np.ndarray]:
     hashes, sizes, letter = grams(column)
-    slots = list(_slots(hashes))
+    slots = list(_slots(hashes, model.slots.shape[1]))
     ends = np.concatenate([[0], np.cumsum(sizes)])
     share = np.zeros((len(sizes), max(1, len(model.languages))))
     for plane, table in enumerate(model.slots):

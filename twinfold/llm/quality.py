@@ -116,6 +116,8 @@ def references(docs: DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray]]:
     """For each value of lang the summed histograms of all its documents that pass the base rules. One row for each
     language and task batch is summed in Spark; what comes back is one row a language."""
     size = CLASSES + len(_vocabulary()) + 1
+    if "lang" not in docs.columns:
+        return {}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
@@ -180,8 +182,8 @@ def quality(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
 
     kept: the base rules hold, and some language reference is near enough in both histograms. A histogram counts only
     from a least length on; below, its distance is null and rejects nothing. References are counted over all documents
-    with a lang (null langs count for none); without any, only the base rules decide. Null texts have no words and
-    fail. Rows repeat as often as in docs; other columns are left out."""
+    with a lang (null langs count for none); without any, or without a column lang, only the base rules decide. Null texts
+    have no words and fail; an empty table gives no row. Rows repeat as often as in docs; other columns are left out."""
     known = list(references(docs).values())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
