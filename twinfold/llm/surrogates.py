@@ -2,8 +2,14 @@
 
 Each surrogate is a keyed permutation of the entity within the set of strings of its type, script, letter classes and
 length (a Feistel network with cycle walking), so two entities never share a surrogate and one entity has the same
-surrogate in all documents, without any table of what was found. Validity (card and account check digits, number
-ranges, gender of given names) is part of that set: the walk goes on until the surrogate is valid, too."""
+surrogate in all documents, without any table of what was found. The permutation is one keyed cycle through the set, so no
+entity is its own surrogate. Validity (card and account check digits, number ranges, gender of given names) is part of that
+set: the walk goes on until the surrogate is valid, too. collisions() checks what was given out over a whole corpus.
+
+Detected are e-mail addresses, phone numbers (with country code; ten digits in groups of 3, 3, 4; German and French national
+forms), card and account numbers with right check digits, social security numbers, IPv4 and IPv6 addresses, keys and values of
+passwords, tokens and secrets, and names after a title; the words of such a name are replaced wherever they recur in the
+document. Street addresses, and names of persons who are never named with a title, aren't."""
 
 from __future__ import annotations
 
@@ -17,9 +23,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import documents, steps
+from .shared import documents, steps, written
 
-DEFAULT_KEY = b"replace this key in production"
+#: Setting of the session that holds the key, and the key of the registered query and of tests, where it is unset.
+KEY_SETTING, TEST_KEY = "spark.twinfold.surrogateKey", "only for tests: set a secret key"
 ROUNDS = 10
 #: Characters that are permuted together: few enough for the digests to reach each bit, and for short numbers.
 PIECE = 128
@@ -35,28 +42,44 @@ GIVEN_NAMES = {
 }
 TITLES = {"m": "Mr Mister Herr Herrn Monsieur Señor Sr Don Г-н Господин Κύριος", "f": "Mrs Ms Miss Frau Madame Mme Mlle Señora Sra Srta Doña Г-жа Госпожа Κυρία", "": "Dr Prof"}
 
+#: Letters that take each other's place, by script: plain and accented vowels, plain and other consonants.
 _ALPHABETS = {
-    "latin": ("aeiouyàáâäãåèéêëìíîïòóôöõùúûü", "bcdfghjklmnpqrstvwxzßçñ"),
+    "latin": ("aeiouy", "àáâäãåèéêëìíîïòóôöõùúûü", "bcdfghjklmnpqrstvwxz", "ßçñ"),
     "cyrillic": ("аеёиоуыэюя", "бвгджзйклмнпрстфхцчшщъь"),
-    "greek": ("αεηιουωάέήίόύώ", "βγδζθκλμνξπρστφχψς"),
+    "greek": ("αεηιουω", "άέήίόύώ", "βγδζθκλμνξπρστφχψς"),
 }
 
 
+def surrogate_key(spark: SparkSession) -> bytes:
+    return spark.conf.get(KEY_SETTING, TEST_KEY).encode()
+
+
+def _feistel(x: int, size: int, half: int, key: bytes, tweak: str, back: bool) -> int:
+    """A keyed permutation of the numbers below size, or its inverse."""
+    mask, width = (1 << half) - 1, half // 8 + 1
+    while True:
+        left, right = x >> half, x & mask
+        for r in reversed(range(ROUNDS)) if back else range(ROUNDS):
+            own = left if back else right
+            digest = hashlib.blake2b(own.to_bytes(width, "big") + bytes([r]) + size.to_bytes(size.bit_length() // 8 + 1, "big") + tweak.encode(), key=key[:64], digest_size=min(64, width + 8)).digest()
+            own_mask = int.from_bytes(digest, "big") & mask
+            left, right = (right ^ own_mask, left) if back else (right, left ^ own_mask)
+        x = left << half | right
+        if x < size:
+            return x
+
+
 def permuted(n: int, size: int, key: bytes, tweak: str, valid: Callable[[int], bool] = lambda _: True) -> int:
-    """The image of n in a keyed permutation of the valid numbers below size, of which n is one."""
+    """The valid number after n in a keyed cycle of all numbers below size, of which n is a valid one. It differs from n
+    unless n is the only one."""
     if size < 2:
         return n
     half = max(1, ((size - 1).bit_length() + 1) // 2)
-    mask = (1 << half) - 1
-    width = half // 8 + 1
-    x = n
+    at = _feistel(n, size, half, key, tweak, False)
     while True:
-        left, right = x >> half, x & mask
-        for r in range(ROUNDS):
-            digest = hashlib.blake2b(right.to_bytes(width, "big") + bytes([r]) + size.to_bytes(size.bit_length() // 8 + 1, "big") + tweak.encode(), key=key[:64], digest_size=min(64, width + 8)).digest()
-            left, right = right, left ^ (int.from_bytes(digest, "big") & mask)
-        x = left << half | right
-        if x < size and valid(x):
+        at = (at + 1) % size
+        x = _feistel(at, size, half, key, tweak, True)
+        if x == n or valid(x):
             return x
 
 
@@ -169,20 +192,30 @@ def secret(text: str, key: bytes) -> str:
     return permuted_letters(text, [string.ascii_lowercase, string.ascii_uppercase, string.digits], key, "secret", other)
 
 
+@functools.lru_cache(4096)
+def _letters_like(c: str) -> str:
+    """Of a letter of another script: the letters of its case among the 256 characters around it."""
+    first = ord(c) & ~0xFF
+    return "".join(x for x in map(chr, range(first, first + 256)) if x.isalpha() and x.islower() == c.islower() and x.isupper() == c.isupper() and len(x.lower()) == len(x.upper()) == 1)
+
+
 def _script(word: str) -> str:
     return "cyrillic" if re.search("[Ѐ-ӿ]", word) else "greek" if re.search("[Ͱ-Ͽ]", word) else "latin"
 
 
 def _name_word(word: str, key: bytes, tweak: str, taken: frozenset[str] = frozenset()) -> str:
     low = word.lower()
-    new = permuted_letters(low, list(_ALPHABETS[_script(word)]), key, f"{tweak} {_script(word)}", lambda x: x not in taken)
+    sets = list(_ALPHABETS[_script(word)])
+    sets += sorted({_letters_like(c) for c in low if c.isalpha() and not any(c in x for x in sets)})
+    new = permuted_letters(low, sets, key, f"{tweak} {_script(word)}", lambda x: x not in taken)
     return "".join(b.upper() if a.isupper() else b for a, b in zip(word, new, strict=True)) if len(low) == len(word) else new
 
 
-def name(text: str, key: bytes) -> str:
+def name(text: str, key: bytes, family: bool = True) -> str:
     """Given names of the list become others of the same script and gender; other words keep vowels as vowels, in
-    their script, whatever the title. Particles stay. The last of the words is the family name."""
+    their script, whatever the title. Particles stay. The last of the words is the family name, if there is one."""
     words = text.split(" ")
+    last = len(words) - family
     out = []
     for i, word in enumerate(words):
         pools = {g: GIVEN_NAMES[_script(word), g].split() for g in ("f", "m")}
@@ -190,10 +223,10 @@ def name(text: str, key: bytes) -> str:
         own = next((g for g in ("f", "m") if word in pools[g]), None)
         if word in _PARTICLES or word in _AFTER_PARTICLES:
             out.append(word)
-        elif i < len(words) - 1 and own:
+        elif i < last and own:
             pool = pools[own]
             out.append(pool[permuted(pool.index(word), len(pool), key, f"given {own} {_script(word)}")])
-        elif i < len(words) - 1:
+        elif i < last:
             out.append(_name_word(word, key, "given", listed))
         else:
             out.append(_name_word(word, key, "family"))
@@ -205,31 +238,33 @@ _WORD = r"[^\W\d_]++(?:[’'-][^\W\d_]++)*+"
 #: Lower-case words within names; those of the second set follow one of the first.
 _PARTICLES, _AFTER_PARTICLES = frozenset("van von de del della di da dos das du ter ten af bin ibn".split()), frozenset("der den dem la las los le".split())
 _FOUND = re.compile(
-    r"(?P<ipv4>(?<![\d.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?!\d|\.\d))"
+    r"(?P<ipv6>(?<![\w:.])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![\w:.])|(?<![\w:.])(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6}(?![\w:.]))"
+    r"|(?P<ipv4>(?<![\d.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?!\d|\.\d))"
     r"|(?P<social>(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-]))"
     r"|(?P<card>(?<![\d+])\d(?:[ -]?\d){12,18}(?!\d))"
-    r"|(?P<phone>(?<![\w+])\+\d{1,3}[ .-]?\(?\d{1,4}\)?(?:[ .-]?\d{2,4}){2,4}(?!\d)|(?<![\w+(])\(?\d{3}\)?[ .-]\d{3}[ .-]\d{4}(?![\d-]))"
+    r"|(?P<phone>(?<![\w+])\+\d{1,3}[ .-]?\(?\d{1,4}\)?(?:[ .-]?\d{2,4}){2,4}(?!\d)|(?<![\w+(])\(?\d{3}\)?[ .-]\d{3}[ .-]\d{4}(?![\d-])"
+    r"|(?<![\w.,+/-])(?:0\d{2,4}[ /-]\d{5,8}|0[1-9](?:[ .]\d{2}){4})(?![\w/-]|[.,]\d))"
     r"|(?P<account>(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w))"
     r"|(?P<key>(?<!\w)AKIA[0-9A-Z]{16}(?!\w)|(?<!\w)(?:sk|pk|ghp|xox[bp])[-_][A-Za-z0-9_-]{16,}+(?!\w))"
-    r"|(?<!\w)(?i:password|passwd|pwd|token|secret|api[_-]?key)[ \t]{0,3}[:=][ \t]{0,3}[\"']?(?P<secret>[^\s\"',;]{6,}+)"
+    r"|(?<!\w)(?i:password|passwd|pwd|token|secret|api[_-]?key)[ \t]*+[:=][ \t]*+[\"']?(?P<secret>[^\s\"',;]{6,}+)"
 )
 _TITLE = re.compile(rf"(?<!\w)(?:{'|'.join(sorted(_TITLES, key=len, reverse=True))})\.?(?=[ ])")
 _WORDS, _OWNER = re.compile(rf"(?<!\w){_WORD}(?!\w)"), re.compile("[’']s$")
 _NEXT_WORD = re.compile(rf"[ ]({_WORD})")
-_LOCAL, _DOMAIN = re.compile(r"[A-Za-z0-9._%+-]{1,64}\Z"), re.compile(r"@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,8}\.[A-Za-z]{2,24}(?![A-Za-z0-9])")
+_LOCAL, _DOMAIN, _TOP = frozenset(string.ascii_letters + string.digits + "._%+-"), re.compile(r"@([A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)*+)"), re.compile("[A-Za-z]{2,}")
 _HINT = re.compile(r"[0-9@]|AKIA|[:=]")
 
 
-def _names(text: str) -> list[tuple[int, int]]:
-    """Where names are: all capitalised words after a title, with particles between them, and each later or earlier place
-    without a title that has the family name, with the other words of a found name before it."""
-    found: list[tuple[int, int]] = []
+def _names(text: str) -> list[tuple[int, int, str]]:
+    """Where names are, and whether with the family name (name) or not (given): all capitalised words after a title, with
+    particles between them, and each other place that has one of these words."""
+    found: list[tuple[int, int, str]] = []
     families: set[str] = set()
     others: set[str] = set()
     for m in _TITLE.finditer(text):
         at, end, words, particle = m.end(), 0, [], ""
         while (x := _NEXT_WORD.match(text, at)) and x[1] not in _TITLES:
-            if x[1][0].isupper():
+            if x[1][0].isupper() or x[1][0].isalpha() and not x[1][0].islower():
                 words.append(_OWNER.sub("", x[1]))
                 end, particle = x.start(1) + len(words[-1]), ""
                 if end < x.end():
@@ -240,7 +275,7 @@ def _names(text: str) -> list[tuple[int, int]]:
                 break
             at = x.end()
         if words:
-            found.append((m.end() + 1, end))
+            found.append((m.end() + 1, end, "name"))
             families.add(words[-1])
             others.update(words[:-1])
     if not families:
@@ -249,11 +284,16 @@ def _names(text: str) -> list[tuple[int, int]]:
     run: list[tuple[int, int, str]] = []
 
     def close() -> None:
-        while run and run[-1][2] not in families:
-            run.pop()
-        real = [x for x in run if x[2] in families or x[2] in others]
-        if real:
-            found.append((real[0][0], run[-1][1]))
+        """The words of a run that are of a name, without particles around them; up to the last family name if there is one."""
+        kind = "name" if any(x[2] in families for x in run) else "given"
+        while run and (run[-1][2] not in families if kind == "name" else run[-1][2] not in others):
+            gone = run.pop()
+            if gone[2] in others and kind == "name":
+                found.append((gone[0], gone[1], "given"))
+        while run and run[0][2] not in families and run[0][2] not in others:
+            run.pop(0)
+        if run:
+            found.append((run[0][0], run[-1][1], kind))
         run.clear()
 
     for m in _WORDS.finditer(text):
@@ -266,15 +306,25 @@ def _names(text: str) -> list[tuple[int, int]]:
     return found
 
 
+def _emails(text: str) -> Iterator[tuple[int, int, str]]:
+    at, before = text.find("@"), 0
+    while at >= 0:
+        start = at
+        while start > before and text[start - 1] in _LOCAL:
+            start -= 1
+        if start < at and (m := _DOMAIN.match(text, at)):
+            labels = m[1].split(".")
+            while len(labels) > 1 and not _TOP.fullmatch(labels[-1]):
+                labels.pop()
+            if len(labels) > 1:
+                yield start, at + 1 + len(".".join(labels)), "email"
+        before = at + 1
+        at = text.find("@", before)
+
+
 def detect(text: str) -> list[tuple[int, int, str]]:
     """(start, end, type) of the entities in a text, in order and without overlap."""
-    found: list[tuple[int, int, str]] = []
-    at = text.find("@")
-    while at >= 0:
-        left, right = _LOCAL.search(text[max(0, at - 64) : at]), _DOMAIN.match(text, at)
-        if left and right:
-            found.append((at - len(left[0]), right.end(), "email"))
-        at = text.find("@", at + 1)
+    found: list[tuple[int, int, str]] = [*_emails(text)]
     if _HINT.search(text):
         for m in _FOUND.finditer(text):
             kind = m.lastgroup or ""
@@ -284,7 +334,7 @@ def detect(text: str) -> list[tuple[int, int, str]]:
             if kind == "social" and (own[:3] in ("000", "666") or own[0] == "9" or own[4:6] == "00" or own[7:] == "0000") or kind == "phone" and not 7 <= len(_digits(own)) <= 15:
                 continue
             found.append((*m.span(kind), "secret" if kind == "key" else kind))
-    found += [(a, b, "name") for a, b in _names(text)]
+    found += _names(text)
     found.sort(key=lambda x: (x[0], -x[1]))
     out: list[tuple[int, int, str]] = []
     for x in found:
@@ -293,50 +343,80 @@ def detect(text: str) -> list[tuple[int, int, str]]:
     return out
 
 
-_MAKE = {"email": email, "phone": phone, "ipv4": ipv4, "card": card, "social": social, "account": account, "secret": secret}
+def given(text: str, key: bytes) -> str:
+    return name(text, key, False)
+
+
+def ipv6(text: str, key: bytes) -> str:
+    """Hexadecimal digits; no group begins with a zero that doesn't begin with one now."""
+    low = text.lower()
+    head = lambda x: [not y or y[0] == "0" for y in x.split(":")]
+    new = permuted_letters(low, ["0123456789abcdef"], key, "ipv6", lambda x: head(x) == head(low))
+    return new.upper() if any(c in "ABCDEF" for c in text) else new
+
+
+_MAKE = {"email": email, "phone": phone, "ipv4": ipv4, "ipv6": ipv6, "card": card, "social": social, "account": account, "secret": secret, "name": name, "given": given}
+
+
+def canonical(kind: str, text: str) -> str:
+    """One form of an entity however it is written: what its surrogate depends on."""
+    if kind in ("phone", "card", "social"):
+        digits = _digits(text)
+        return digits[-10:] if kind == "phone" else digits
+    if kind in ("email", "ipv6"):
+        return text.lower()
+    return text.replace(" ", "") if kind == "account" else text.lower() if kind in ("name", "given") else text
 
 
-def replace(text: str, key: bytes = DEFAULT_KEY) -> tuple[str, list[tuple[str, str, str]]]:
+def replace(text: str, key: bytes) -> tuple[str, list[tuple[str, str, str]]]:
     """The text with surrogates, and (type, entity, surrogate) of each place."""
     parts, at, found = [], 0, []
     for start, end, kind in detect(text):
         own = text[start:end]
-        new = name(own, key) if kind == "name" else _MAKE[kind](own, key)
+        new = _MAKE[kind](own, key)
         parts += [text[at:start], new]
         at = end
         found.append((kind, own, new))
     return ("".join([*parts, text[at:]]) if found else text), found
 
 
-def surrogates(docs: DataFrame, key: bytes = DEFAULT_KEY) -> DataFrame:
-    """All columns of docs as they are, but text with surrogates, and the column ``pii_found``: an array of
-    (kind, entity_digest, surrogate), the digest keyed. A column of that name in docs is replaced. Null texts stay null
-    with no entity."""
+def surrogates(docs: DataFrame, key: bytes) -> DataFrame:
+    """All columns of docs as they are, but text (as a string) with surrogates, and the column ``pii_found``: an array of
+    (kind, entity_digest, surrogate), the digest keyed and of the entity's canonical form. A column of that name in docs,
+    in any case, is replaced. Null texts stay null with no entity, empty ones empty. Equal rows give equal rows, as many as
+    in docs, and an empty table gives none."""
     from pyspark.sql import types as T
 
-    columns = [c for c in docs.columns if c != "pii_found"]
-    kinds = T.StructType([docs.schema[c] for c in columns]).add("pii_found", T.ArrayType(T.StructType([T.StructField(x, T.StringType()) for x in ("kind", "entity_digest", "surrogate")])))
+    columns = [c for c in docs.columns if c.lower() != "pii_found"]
+    docs = docs.select(*[F.col(f"`{c}`").cast("string").alias(c) if c.lower() == "text" else F.col(f"`{c}`") for c in columns])
+    kinds = T.StructType([*docs.schema.fields]).add("pii_found", T.ArrayType(T.StructType([T.StructField(x, T.StringType()) for x in ("kind", "entity_digest", "surrogate")])))
     kind = pa.list_(pa.struct([("kind", pa.string()), ("entity_digest", pa.string()), ("surrogate", pa.string())]))
+    digest = lambda k, own: hashlib.blake2b(f"{k} {canonical(k, own)}".encode(), key=key[:64], digest_size=16).hexdigest()
+    place = [c.lower() for c in columns].index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, texts in steps(batches):
+        for part, texts in steps(batches, columns[place]):
             done = [replace(x, key) for x in texts]
-            real = part.column("text").is_valid().to_pylist()
-            new = {
-                "text": pa.array([x if ok else None for (x, _), ok in zip(done, real, strict=True)], part.column("text").type),
-                "pii_found": pa.array([[{"kind": k, "entity_digest": hashlib.blake2b(f"{k} {own}".encode(), key=key[:64], digest_size=16).hexdigest(), "surrogate": s} for k, own, s in x] for _, x in done], kind),
-            }
-            yield pa.RecordBatch.from_arrays([new[c] if c in new else part.column(c) for c in [*columns, "pii_found"]], [*columns, "pii_found"])
+            own = part.column(place)
+            text = pa.array([x if ok else None for (x, _), ok in zip(done, own.is_valid().to_pylist(), strict=True)], own.type)
+            found = pa.array([[{"kind": k, "entity_digest": digest(k, own), "surrogate": s} for k, own, s in x] for _, x in done], kind)
+            yield pa.RecordBatch.from_arrays([*(text if i == place else x for i, x in enumerate(part.columns)), found], [*columns, "pii_found"])
 
-    return docs.select(*[f"`{c}`" for c in columns]).mapInArrow(run, kinds)
+    return docs.mapInArrow(run, kinds)
 
 
 def collisions(replaced: DataFrame) -> DataFrame:
-    """kind, surrogate, entities: surrogates that stand for more than one entity. It has no rows unless names differ
-    in upper and lower case only; run it over what surrogates() gives."""
-    found = replaced.select(F.explode("pii_found").alias("x")).select("x.*").distinct()
+    """kind, surrogate (canonical), entities: surrogates that stand for more than one entity, of what surrogates() gives.
+    The permutations rule them out; this is the check."""
+    surrogate = F.when(F.col("kind").isin("email", "ipv6", "name", "given"), F.lower("surrogate")).when(F.col("kind") == "account", F.replace("surrogate", F.lit(" "), F.lit("")))
+    surrogate = F.coalesce(F.when(F.col("kind") == "phone", F.right(F.regexp_replace("surrogate", "[^0-9]", ""), F.lit(10))).when(F.col("kind").isin("card", "social"), F.regexp_replace("surrogate", "[^0-9]", "")), surrogate, F.col("surrogate"))
+    found = replaced.select(F.explode("pii_found").alias("x")).select("x.*").select("kind", surrogate.alias("surrogate"), "entity_digest").distinct()
     return found.groupBy("kind", "surrogate").agg(F.count("*").alias("entities")).where("entities > 1")
 
 
 def op8_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return surrogates(documents(spark, sf_dir).select("doc_id", "text")).select("doc_id", "text", F.size("pii_found").cast("long").alias("n_found"), F.transform("pii_found", lambda x: x.kind).alias("kinds"))
+    """doc_id, text, n_found, kinds of each document; and collisions, the number of surrogates of the whole table that stand
+    for more than one entity."""
+    done = written(surrogates(documents(spark, sf_dir).select("doc_id", "text"), surrogate_key(spark)), "surrogates")
+    number = collisions(done).agg(F.count("*").alias("collisions"))
+    return done.select("doc_id", "text", F.size("pii_found").cast("long").alias("n_found"), F.transform("pii_found", lambda x: x.kind).alias("kinds")).crossJoin(F.broadcast(number))
