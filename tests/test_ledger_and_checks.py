@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from twinfold.functions import scalars as S
@@ -46,14 +47,18 @@ def test_budgets_and_feedback(spark):
 
 
 def test_text_functions(spark):
-    rows = spark.createDataFrame([("  Ｆoo\tBAR ß ", '```json\n{"label": "Evaluation"}\n```'), ("plain", "I think deployment."), (None, "evaluation or deployment")], "a string, b string")
+    rows = spark.createDataFrame([("  Ｆoo\tBAR ß ", '```json\n{"label": "Evaluation"}\n```'), ("plain", "I think deployment."), (None, "evaluation or deployment"), ("x", " Deployment "), ("y", '{"label": "other", "note": "evaluation"}'), ("z", "so 'label': 'evaluation'")], "a string, b string")
     got = rows.select(S.folded(F.col("a")).alias("f"), S.parse_label(F.col("b")).alias("l")).collect()
-    assert [tuple(r) for r in got] == [("foo bar ss", "evaluation"), ("plain", "deployment"), (None, None)]
+    assert [tuple(r) for r in got] == [("foo bar ss", "evaluation"), ("plain", None), (None, None), ("x", "deployment"), ("y", None), ("z", "evaluation")]
     hits = spark.createDataFrame([(1, "en", "A test; testing contest"), (2, "ja", "これは試験です")], "id int, language string, text string")
     found = {r.id: r.hits for r in checks.cue_hits(hits, {"en": ["test"], "ja": ["試験"]}, "id", inflected=True).collect()}
-    assert found == {1: ["test", "testing"], 2: ["試験"]}
+    assert found == {1: ["test", "test"], 2: ["試験"]}
     spans = spark.createDataFrame([("a b c", "a x c", "en")], "l string, r string, g string").select(S.diff_spans("l", "r", "g").alias("s")).first().s
     assert [(x.left, x.right) for x in spans] == [("b", "x")]
+    rows = spark.createDataFrame([("a  b", "a b", "en"), ("ein", "eine", "de"), (None, "x", "en")], "l string, r string, g string")
+    assert [r.s if r.s is None else [(x.left, x.right) for x in r.s] for r in rows.select(S.diff_spans("l", "r", "g").alias("s")).collect()] == [[("", "")], [("", "e")], None]
+    with pytest.raises(Exception, match="none of the options"):
+        rows.select(checks.answer_ordinal(F.array(F.lit("a")), F.col("r"))).collect()
 
 
 def test_votes(spark):

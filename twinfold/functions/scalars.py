@@ -83,16 +83,41 @@ def token_estimate(text: Column, language: Column) -> Column:
     return F.greatest(F.lit(1), F.ceil(F.length(text) / F.when(language == "ja", 1.8).otherwise(4.0))).cast("long")
 
 
+@F.pandas_udf(T.StringType())
+def _nfkc(text: pd.Series) -> pd.Series:
+    import unicodedata
+
+    return text.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
+
+
+@F.pandas_udf(T.StringType())
+def _nfkc_folded(text: pd.Series) -> pd.Series:
+    import unicodedata
+
+    return text.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x).casefold())
+
+
+def nfkc(text: Column) -> Column:
+    """NFKC. ASCII texts stay in the JVM."""
+    return F.when(text.rlike(r"\A[\x00-\x7f]*\z"), text).otherwise(_nfkc(text))
+
+
+def nfkc_folded(text: Column) -> Column:
+    """NFKC and case folding, white space as it is. ASCII texts stay in the JVM."""
+    return F.when(text.rlike(r"\A[\x00-\x7f]*\z"), F.lower(text)).otherwise(_nfkc_folded(text))
+
+
 @F.pandas_udf(T.ArrayType(T.StructType([T.StructField("left", T.StringType()), T.StructField("right", T.StringType())])))
 def diff_spans(left: pd.Series, right: pd.Series, language: pd.Series) -> pd.Series:
-    """The spans in which two sentences differ: words, or characters in Japanese."""
+    """The spans in which two sentences differ: what single spaces part in English, characters in every other language. A
+    side without text of its own at such a place is empty there."""
     import difflib
 
     def spans(a: str | None, b: str | None, lang: str | None) -> list[dict] | None:
         if a is None or b is None:
             return None
-        x, y, glue = (list(a), list(b), "") if lang == "ja" else (a.split(), b.split(), " ")
-        return [{"left": glue.join(x[i:j]), "right": glue.join(y[k:m])} for op, i, j, k, m in difflib.SequenceMatcher(None, x, y, autojunk=False).get_opcodes() if op != "equal"]
+        x, y, glue = (a.split(" "), b.split(" "), " ") if lang == "en" else (list(a), list(b), "")
+        return [{"left": glue.join(x[i:j]), "right": glue.join(y[k:m])} for op, i, j, k, m in difflib.SequenceMatcher(None, x, y).get_opcodes() if op != "equal"]
 
     return pd.Series([spans(*row) for row in zip(left, right, language, strict=True)])
 
@@ -112,19 +137,24 @@ def parse_object(text: Column, schema: str) -> Column:
 
 
 def parse_label(text: Column, labels: tuple[str, ...] = ("evaluation", "deployment")) -> Column:
-    """The label of a reply: the field ``label`` of a JSON object, a bare word, or the only label in the text; else null."""
-    inner = F.lower(unfenced(text))
-    field = F.lower(F.get_json_object(inner, "$.label"))
-    bare = F.regexp_replace(inner, r"\A[\s\"'`.]+|[\s\"'`.]+\z", "")
-    hits = [inner.rlike(rf"\b{x}\b") for x in labels]
+    """The label of a reply: the field ``label`` of a JSON object (null if that is another one), else the label alone, else
+    the only one of the labels that stands as ``"label": "..."``, in either quotes, in the text; else null."""
+    own = stripped(text)
+    inner = F.when(own.startswith("```"), stripped(F.regexp_replace(own, r"(?m)^[ \t]*```.*$", ""))).otherwise(own)
+    fields = F.from_json(inner, "map<string,string>")
+    field = F.lower(stripped(F.element_at(fields, F.lit("label"))))
+    low = F.lower(inner)
+    quoted = F.replace(low, F.lit("'"), F.lit('"'))
+    hits = [F.contains(quoted, F.lit(f'"label": "{x}"')) for x in labels]
     count = sum((h.cast("int") for h in hits), F.lit(0))
     only = F.coalesce(*[F.when(h & (count == 1), x) for h, x in zip(hits, labels, strict=True)])
-    return F.when(field.isin(*labels), field).when(bare.isin(*labels), bare).otherwise(only)
+    return F.when(F.coalesce(F.map_contains_key(fields, F.lit("label")), F.lit(False)), F.when(field.isin(*labels), field)).when(low.isin(*labels), low).otherwise(only)
 
 
 def truncated(response: Column) -> Column:
     """Whether a model's JSON response was cut off at its length limit."""
-    return F.coalesce(F.lower(F.get_json_object(response, "$.choices[0].finish_reason")).isin("length", "max_tokens"), F.lit(False))
+    first = lambda name: F.get_json_object(response, f"$.choices[0].{name}")
+    return F.coalesce(first("finish_reason") == "length", F.lit(False)) | F.coalesce(first("native_finish_reason") == "max_output_tokens", F.lit(False))
 
 
 # -- numbers and vectors ---------------------------------------------------------------------------------------------

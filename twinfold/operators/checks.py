@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalars import folded
+from ..functions.scalars import folded, nfkc, nfkc_folded
 
 # Which check each issue code contradicts.
 ISSUE_CHECKS = {
@@ -26,7 +26,8 @@ ISSUE_CHECKS = {
     "format_leakage": "format_neutral",
     "temporally_unstable": "temporally_stable",
 }
-JAPANESE = "[\\u3040-\\u30ff\\u3400-\\u9fff]"
+#: Hiragana, katakana and common ideographs, as they are counted in Japanese texts.
+JAPANESE_LETTERS = "[ぁ-んァ-ヶ一-龯]"
 
 
 def messages(*rules: tuple[Column, str | Column], most: int | None = None) -> Column:
@@ -136,26 +137,48 @@ def lexicon_hits(texts: DataFrame, terms: DataFrame, key: str, text: str = "text
     return each.join(terms.select(F.lower("term").alias("term")).distinct(), "term").groupBy(key, "term").agg(F.count("*").alias("hits"))
 
 
-def cue_hits(texts: DataFrame, lexicon: dict[str, list[str]], key: str, inflected: bool = False) -> DataFrame:
-    """key, language, hits: every occurrence of a small lexicon's terms: whole words, with English endings if inflected;
-    anywhere in Japanese."""
+#: Endings with which an English cue term counts, too.
+ENDINGS = "(?:s|es|ed|ing|d)?"
+
+
+def term_hits(text: Column, language: Column, lexicon: dict[str, list[str]], inflected: bool = False) -> Column:
+    """Every occurrence of a small lexicon's terms, as often as each occurs: in English as words, with English endings if
+    inflected; in other languages anywhere. Texts and terms are compared under NFKC, English ones case-folded."""
     import re
+    import unicodedata
+
+    out = F.array().cast("array<string>")
+    for lang, terms in lexicon.items():
+        found = []
+        for term in terms:
+            name = unicodedata.normalize("NFKC", term) if lang != "en" else term.casefold()
+            if lang == "en":
+                n = F.regexp_count(nfkc_folded(text), F.lit(f"(?<![a-z]){re.escape(name)}{ENDINGS if inflected else ''}(?![a-z])"))
+            else:
+                n = F.floor((F.length(nfkc(text)) - F.length(F.replace(nfkc(text), F.lit(name), F.lit("")))) / len(name)).cast("int")
+            found.append(F.array_repeat(F.lit(term), F.coalesce(n, F.lit(0))))
+        if found:
+            out = F.when(language == lang, F.concat(*found)).otherwise(out)
+    return out
 
-    out = F.lit(None).cast("array<string>")
-    for language, terms in lexicon.items():
-        any_of = "|".join(re.escape(t) for t in sorted(terms, key=len, reverse=True))
-        ending = "(?:s|es|ed|ing)?" if inflected and language == "en" else ""
-        pattern = f"(?i)({any_of})" if language == "ja" else f"(?i)(?<![\\p{{L}}\\p{{N}}])((?:{any_of}){ending})(?![\\p{{L}}\\p{{N}}])"
-        out = F.when(F.col("language") == language, F.regexp_extract_all("text", F.lit(pattern), F.lit(1))).otherwise(out)
-    return texts.select(key, "language", F.transform(out, lambda x: F.lower(x)).alias("hits")).where("size(hits) > 0")
+
+def cue_hits(texts: DataFrame, lexicon: dict[str, list[str]], key: str, inflected: bool = False) -> DataFrame:
+    """key, language, hits of texts (language, text) with any: see term_hits."""
+    return texts.select(key, "language", term_hits(F.col("text"), F.col("language"), lexicon, inflected).alias("hits")).where("size(hits) > 0")
 
 
-def leakage_hits(df: DataFrame, key: str, visible: str, private: list[str], label: str | None = None) -> DataFrame:
-    """key, fields: private fields whose value stands in the visible text (any case), and the label as a whole word."""
+def leakage_hits(df: DataFrame, key: str, visible: str, private: list[str], label: str | None = None, public: list[str] | None = None, exempt: list[str] | None = None) -> DataFrame:
+    """key, fields: private fields whose value stands in the visible text (any case), and the label, as a word among ASCII
+    letters. A field in ``exempt`` is none where its value is part of one of the ``public`` columns."""
     low = F.lower(visible)
-    rules = [((F.length(c) > 0) & (F.instr(low, F.lower(F.col(c))) > 0), c) for c in private]
+    open_text = F.lower(F.concat_ws("\n", *(public or [])))
+    rules = []
+    for c in private:
+        own = F.lower(F.col(c))
+        hit = (F.length(c) > 0) & (F.instr(low, own) > 0)
+        rules.append((hit & (F.instr(open_text, own) == 0) if c in (exempt or []) else hit, c))
     if label:
-        rules.append((low.rlike(F.concat(F.lit("\\b\\Q"), F.lower(F.col(label)), F.lit("\\E\\b"))), label))
+        rules.append(((F.length(label) > 0) & F.rlike(low, F.concat(F.lit("(?<![a-z])\\Q"), F.lower(F.col(label)), F.lit("\\E(?![a-z])"))), label))
     return df.select(key, messages(*rules).alias("fields")).where("size(fields) > 0")
 
 
@@ -164,20 +187,35 @@ def script_hits(text: Column) -> Column:
     return messages((text.rlike("[A-Za-z]"), "latin letters"), (text.rlike("[\\uff10-\\uff19]"), "full-width digits"))
 
 
-def content_qc(df: DataFrame, text: str = "text", max_latin_share: float = 0.3, min_japanese: int = 1, phrases: tuple[str, ...] = ()) -> DataFrame:
-    """``qc_problems`` of generated texts (language, text): empty, too little of the language's script, full-width
-    digits, an answer-revealing phrase."""
-    t = F.col(text)
-    ja = F.col("language") == "ja"
-    latin, japanese = F.regexp_count(t, F.lit("[A-Za-z]")), F.regexp_count(t, F.lit(JAPANESE))
+def content_qc(
+    df: DataFrame, text: str = "text", slots: list[str] | None = None, lexicon: dict[str, list[str]] | None = None, phrases: dict[str, list[str]] | None = None,
+    max_latin_share: float = 0.3, min_japanese: int = 1,
+) -> DataFrame:
+    """``qc_problems`` of generated texts (language, text): empty; no JSON object of just the slots (where slots are given);
+    an empty slot; a term of the lexicon (English ones with endings); too large a share of Latin letters, too few Japanese
+    characters or full-width digits in Japanese; a phrase that gives the answer away. What follows an empty text or a wrong
+    object isn't looked at. Characters are counted, and phrases sought, under NFKC."""
+    import unicodedata
+
+    t, ja = F.col(text), F.col("language") == "ja"
+    empty = F.coalesce(F.btrim(t) == "", F.lit(True))
+    wrong, whole, blank = F.lit(False), t, F.lit(False)
+    if slots:
+        own = F.from_json(t, "map<string,string>")
+        wrong = F.coalesce(~F.array_sort(F.map_keys(own)).eqNullSafe(F.array(*map(F.lit, sorted(slots)))), F.lit(True))
+        values = [F.coalesce(F.element_at(own, F.lit(x)), F.lit("")) for x in slots]
+        whole, blank = F.concat_ws("\n", *values), reduce(lambda a, b: a | b, [F.btrim(x) == "" for x in values])
+    df = df.withColumn("_whole", whole).withColumn("_plain", nfkc(F.col("_whole"))).withColumn("_ok", ~empty & ~wrong)
+    plain = F.col("_plain")
+    latin, japanese = F.regexp_count(plain, F.lit("[A-Za-z]")), F.regexp_count(plain, F.lit(JAPANESE_LETTERS))
+    low = nfkc_folded(F.col("_whole"))
     rules: list[tuple[Column, str | Column]] = [
-        (t.isNull() | (F.btrim(t) == ""), "empty"),
-        (ja & (F.try_divide(latin, latin + japanese) > max_latin_share), "latin share"),
-        (ja & (japanese < min_japanese), "japanese characters"),
-        (ja & t.rlike("[\\uff10-\\uff19]"), "full-width digits"),
-        *[(F.instr(F.lower(t), F.lit(p.lower())) > 0, f"phrase {p}") for p in phrases],
-    ]
-    return df.withColumn("qc_problems", messages(*rules))
+        (blank, "empty slot"), (F.size(term_hits(F.col("_whole"), F.col("language"), lexicon or {}, True)) > 0, "cue"), (ja & (F.try_divide(latin, latin + japanese) > max_latin_share), "latin share"),
+        (ja & (japanese < min_japanese), "japanese characters"), (ja & F.col("_whole").rlike("[\\uff10-\\uff19]"), "full-width digits"),
+        *[((F.col("language") == lang) & (F.instr(low, F.lit(unicodedata.normalize("NFKC", x).casefold())) > 0), f"phrase {x}") for lang, own in (phrases or {}).items() for x in own],
+    ]
+    found = F.when(empty, F.array(F.lit("empty"))).when(wrong, F.array(F.lit("not the slots"))).otherwise(messages(*rules))
+    return df.withColumn("qc_problems", found).drop("_whole", "_plain", "_ok")
 
 
 def fields_agree(df: DataFrame, pairs: dict[str, tuple[str, str]]) -> DataFrame:
@@ -186,9 +224,9 @@ def fields_agree(df: DataFrame, pairs: dict[str, tuple[str, str]]) -> DataFrame:
 
 
 def answer_ordinal(options: Column, answer: Column) -> Column:
-    """Place of the answer among the options from 0; null if it isn't there."""
+    """Place of the answer among the options, from 1; null without options. An answer that isn't one of them is an error."""
     at = F.array_position(options, answer)
-    return F.when(at > 0, at - 1)
+    return F.when(options.isNull(), F.lit(None).cast("bigint")).when(at > 0, at).otherwise(F.raise_error(F.lit("the answer is none of the options")).cast("bigint"))
 
 
 def length_balance(frames: DataFrame, slices: dict[str, list[str]], caps: dict[str, float]) -> DataFrame:
@@ -232,7 +270,7 @@ def transfer_grid(items: DataFrame, formats: dict[str, str]) -> DataFrame:
     want = F.create_map(*[F.lit(x) for kv in formats.items() for x in kv])
     agg = items.groupBy("scenario", "class").agg(F.count("*").alias("n"), F.count_if(~F.col("format").eqNullSafe(F.element_at(want, F.col("scenario")))).alias("wrong"))
     size = agg.groupBy("scenario").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
-    return agg.join(F.broadcast(size), "scenario").select("scenario", "class", "n", F.when(F.col("wrong") > 0, "format").when(F.col("lo") != F.col("hi"), "sizes").alias("problem"))
+    return agg.join(size, "scenario").select("scenario", "class", "n", F.when(F.col("wrong") > 0, "format").when(F.col("lo") != F.col("hi"), "sizes").alias("problem"))
 
 
 def config_diff(a: DataFrame, b: DataFrame, ignore: tuple[str, ...] = ()) -> DataFrame:
@@ -266,23 +304,60 @@ def factor_balance(df: DataFrame, factors: list[str]) -> DataFrame:
     return df.select(F.explode(F.array(*pairs)).alias("p")).groupBy(F.col("p.factor_1"), F.col("p.value_1"), F.col("p.factor_2"), F.col("p.value_2")).agg(F.count("*").alias("n"))
 
 
-def family_catalog(pairs: DataFrame, families: DataFrame) -> DataFrame:
-    """family_id, problem: unknown or missing families, and families with more than one fold."""
-    agg = pairs.groupBy("family_id").agg(F.count_distinct("fold").alias("folds"))
-    both = agg.join(families.select("family_id", F.lit(1).alias("known")), "family_id", "full_outer")
-    return both.select("family_id", F.when(F.col("known").isNull(), "unknown").when(F.col("folds").isNull(), "missing").when(F.col("folds") > 1, "several folds").alias("problem")).where("problem is not null")
+def family_catalog(pairs: DataFrame, families: DataFrame, rows: DataFrame, cells: dict[str, list[str]]) -> DataFrame:
+    """kind, key, problem of a catalog of frame families. families: family_id, holdout_fold; pairs: pair_id, family_id, the
+    columns of cells, evaluation, deployment, content_spec_id; rows (containers): pair_id, class, family_id, the columns of
+    cells, text; cells: the values of each column.
 
-
-def body_rules(body: Column) -> Column:
-    """Problems of a template body: numbered or XML scaffolding."""
-    return messages((body.rlike("(?m)^\\s*\\d+[.)]\\s"), "numbered"), (body.rlike("</?[a-z][a-z0-9_-]*>"), "markup"))
-
-
-def corpus_shape(topics: DataFrame, domains: int, per_domain: int) -> DataFrame:
-    """domain, n of domains with another number of topics; a row with null domain if the number of domains is wrong."""
-    n = topics.groupBy("domain").agg(F.count("*").alias("n"))
-    whole = n.agg(F.count("*").alias("n")).where(F.col("n") != domains).select(F.lit(None).cast("string").alias("domain"), "n")
-    return n.where(F.col("n") != per_domain).unionByName(whole)
+    Family ids and folds are one to one; pair ids are unique and their families known; each family has one pair in each
+    cell; each pair has a container of each class that mirrors it; frame texts are unique; the pairs of a content
+    specification are of two families."""
+    names = [*cells]
+    text = lambda c: F.col(c).cast("string")
+    twice = lambda df, c, kind, what: df.groupBy(text(c).alias("key")).agg(F.count("*").alias("n")).where("n > 1").select(F.lit(kind).alias("kind"), "key", F.lit(what).alias("problem"))
+    found = [twice(families, "family_id", "family", "repeated"), twice(families, "holdout_fold", "fold", "several families"), twice(pairs, "pair_id", "pair", "repeated")]
+    n = pairs.groupBy("family_id", *names).agg(F.count("*").alias("n"))
+    grid = families.select("family_id").distinct()
+    for c, values in cells.items():
+        grid = grid.withColumn(c, F.explode(F.array(*map(F.lit, values))))
+    both = grid.withColumn("wanted", F.lit(1)).join(n, ["family_id", *names], "full_outer")
+    problem = F.when(F.col("wanted").isNull(), "cell unknown").when(F.col("n").isNull(), "cell empty").when(F.col("n") > 1, "cell with several pairs")
+    found.append(both.select(F.lit("family").alias("kind"), F.concat_ws("/", "family_id", *names).alias("key"), problem.alias("problem")).where("problem is not null"))
+    wanted = pairs.select("pair_id", F.explode(F.array(*[F.struct(F.lit(k).alias("class"), F.col(k).alias("text")) for k in ("evaluation", "deployment")])).alias("w"), F.struct("family_id", *names).alias("_own")).select("pair_id", "w.class", F.col("w.text").alias("_text"), "_own")
+    own = rows.select("pair_id", "class", "text", F.struct("family_id", *names).alias("_other"))
+    mirror = wanted.join(own, ["pair_id", "class"], "full_outer")
+    problem = F.when(F.col("_own").isNull(), "container without pair").when(F.col("_other").isNull(), "no container").when(~F.col("_own").eqNullSafe(F.col("_other")) | ~F.col("_text").eqNullSafe(F.col("text")), "not mirrored")
+    found.append(mirror.select(F.lit("container").alias("kind"), F.concat_ws("/", "pair_id", "class").alias("key"), problem.alias("problem")).where("problem is not null"))
+    found.append(twice(rows, "text", "text", "repeated"))
+    spread = pairs.groupBy(text("content_spec_id").alias("key")).agg(F.count_distinct("family_id").alias("n")).where("n <> 2")
+    found.append(spread.select(F.lit("content").alias("kind"), "key", F.lit("not of two families").alias("problem")))
+    return reduce(DataFrame.unionByName, found)
+
+
+def body_rules(body: Column, constraint: Column | None = None, kind: Column | None = None, scaffolding: Column | None = None) -> Column:
+    """Problems of a template body: numbered or XML scaffolding; with the profile's columns also a constraint that
+    contradicts its kind, and scaffolding other than plain."""
+    rules = [(body.rlike(r"(?im)\{\{(?:N|番号)\}\}|\bItem\s+\d+\s+of\s+\d+\b|^\s*\d+[.)]\s"), "numbered"), (body.rlike("</?[A-Za-z][^>]*>"), "markup")]
+    if constraint is not None and kind is not None:
+        rules.append(((constraint == "unconstrained") != (kind == "none"), "constraint"))
+    if scaffolding is not None:
+        rules.append((scaffolding != "plain", "scaffolding"))
+    return messages(*rules)
+
+
+def corpus_shape(topics: DataFrame, containers: DataFrame, domains: int = 8, per_domain: int = 5, specs: int = 10, container_ids: list[str] | None = None) -> DataFrame:
+    """problem, key, n: a wrong number of topics, of domains or of topics in a domain (key), of content specifications
+    (containers: spec_id, container_id), and container ids that are missing, unknown or repeated (c01 to c40 by default)."""
+    ids = container_ids or [f"c{i:02d}" for i in range(1, 41)]
+    row = lambda df, name: df.select(F.lit(name).alias("problem"), F.lit(None).cast("string").alias("key"), "n")
+    each = topics.groupBy(F.col("domain").cast("string").alias("key")).agg(F.count("*").alias("n"))
+    have = containers.groupBy(F.col("container_id").cast("string").alias("key")).agg(F.count("*").alias("n"))
+    want = topics.sparkSession.createDataFrame([(x, 1) for x in ids], "key string, wanted int")
+    both = want.join(have, "key", "full_outer").select(F.lit("container ids").alias("problem"), "key", F.coalesce("n", F.lit(0)).cast("long").alias("n"), "wanted").where("wanted is null or n <> 1").drop("wanted")
+    return (
+        row(topics.agg(F.count("*").alias("n")).where(F.col("n") != domains * per_domain), "topics").unionByName(row(each.agg(F.count("*").alias("n")).where(F.col("n") != domains), "domains"))
+        .unionByName(each.where(F.col("n") != per_domain).select(F.lit("domain").alias("problem"), "key", "n")).unionByName(row(containers.agg(F.count_distinct("spec_id").alias("n")).where(F.col("n") != specs), "specs")).unionByName(both)
+    )
 
 
 def audit_requests(df: DataFrame, key: str, text: str, private: list[str], limit_tokens: int) -> DataFrame:
@@ -296,7 +371,7 @@ def audit_requests(df: DataFrame, key: str, text: str, private: list[str], limit
 
 def evidence_gate(reports: DataFrame, current: DataFrame) -> DataFrame:
     """report, problems: a report that didn't pass, or whose hashes (name, sha256) aren't the current ones."""
-    both = reports.join(F.broadcast(current.select("name", F.col("sha256").alias("_now"))), "name", "left")
+    both = reports.join(current.select("name", F.col("sha256").alias("_now")), "name", "left")
     return both.groupBy("report").agg(F.array_compact(F.array(F.when(~F.bool_and("passed"), "not passed"), F.when(~F.bool_and(F.col("sha256").eqNullSafe(F.col("_now"))), "stale"))).alias("problems"))
 
 
@@ -342,6 +417,22 @@ def container_rules(df: DataFrame) -> DataFrame:
     return df.select("container_id", problems.alias("problems")).where("size(problems) > 0")
 
 
+def container_view(source: DataFrame, local: DataFrame, fields: list[str], mapped: dict[str, dict[str, str]], version: str) -> DataFrame:
+    """container_id, problems of localised containers against their sources, both with container_id, body, slots
+    ARRAY<STRING>, the fields that must stay, and the mapped columns (for each the local word of each source word; slots word by
+    word); the source with row_sha256, the local one with source_sha256 and catalog_version."""
+    s, t = source.select("container_id", F.struct("*").alias("s")), local.select("container_id", F.struct("*").alias("l"))
+    words = lambda m: F.create_map(*[F.lit(x) for kv in m.items() for x in kv])
+    own = F.array_distinct(F.regexp_extract_all("l.body", F.lit(r"\{\{([^{}]+)\}\}"), F.lit(1)))
+    rules: list[tuple[Column, str | Column]] = [(F.col("s").isNull() | F.col("l").isNull(), "one side only"), *[(~F.col(f"s.{c}").eqNullSafe(F.col(f"l.{c}")), f"{c} differs") for c in fields]]
+    for c, m in mapped.items():
+        known = words(m)
+        want = F.transform("s.slots", lambda x: F.element_at(known, x)) if c == "slots" else F.element_at(known, F.col(f"s.{c}"))  # noqa: B023
+        rules.append((~F.col(f"l.{c}").eqNullSafe(want), f"{c} not the local form"))
+    rules += [(~own.eqNullSafe(F.col("l.slots")), "slots of the body"), (F.col("l.catalog_version") != version, "catalog version"), (~F.col("l.source_sha256").eqNullSafe(F.col("s.row_sha256")), "source changed"), (F.col("l.body").rlike("[\\uff10-\\uff19]"), "full-width digits")]
+    return s.join(t, "container_id", "full_outer").select("container_id", messages(*rules).alias("problems")).where("size(problems) > 0")
+
+
 def frame_rules(text: Column, attributions: dict[str, str], kind: Column, directives: tuple[str, ...] = ()) -> Column:
     """Problems of a frame sentence: attribution of its class missing, not one sentence, markup, slots, format directives."""
     want = F.element_at(F.create_map(*[F.lit(x) for kv in attributions.items() for x in kv]), kind)

@@ -12,7 +12,7 @@ def check_topics(payloads: DataFrame, topics: DataFrame) -> DataFrame:
     """payload_block_id, problem: an unknown topic, or a task family that isn't the topic's."""
     known = topics.select("topic_id", F.col("task_family").alias("_family"))
     problem = F.when(F.col("_family").isNull(), "unknown topic").when(F.col("_family") != F.col("task_family"), "task family")
-    return payloads.join(F.broadcast(known), "topic_id", "left").select("payload_block_id", problem.alias("problem")).where("problem is not null")
+    return payloads.join(known, "topic_id", "left").select("payload_block_id", problem.alias("problem")).where("problem is not null")
 
 
 def block_cover(items: DataFrame, payloads: DataFrame, key: str = "payload_block_id") -> DataFrame:

@@ -90,7 +90,7 @@ def apply_gates(metrics: DataFrame, thresholds: DataFrame, by: list[str]) -> Dat
     ``abs<=``. A null value fails. A small table of thresholds."""
     v, b = F.col("value"), F.col("bound")
     ok = F.when(F.col("op") == ">=", v >= b).when(F.col("op") == ">", v > b).when(F.col("op") == "abs<=", F.abs(v) <= b)
-    return metrics.join(F.broadcast(thresholds), "metric").select(*by, "metric", "value", "op", "bound", F.coalesce(ok, F.lit(False)).alias("passed"))
+    return metrics.join(thresholds, "metric").select(*by, "metric", "value", "op", "bound", F.coalesce(ok, F.lit(False)).alias("passed"))
 
 
 def verdicts(gates: DataFrame, by: list[str]) -> DataFrame:
@@ -108,7 +108,7 @@ def control_ordering(controls: DataFrame, fit: DataFrame) -> DataFrame:
     rows = controls.withColumn("y", (F.col("intended_purpose") == "evaluation").cast("int"))
     cell = ["language", "cue_family"]
     means = rows.groupBy(*cell).agg(F.avg(F.when(F.col("y") == 1, F.col("score"))).alias("e"), F.avg(F.when(F.col("y") == 0, F.col("score"))).alias("d"), F.avg("score").alias("m"))
-    return means.join(auc(rows, cell).select(*cell, "auc"), cell).join(F.broadcast(fit_spread(fit)), "language").select(*cell, "auc", ((F.col("e") - F.col("d")) / F.col("fit_sd")).alias("gap"), (F.col("m") / F.col("fit_sd")).alias("offset"))
+    return means.join(auc(rows, cell).select(*cell, "auc"), cell).join(fit_spread(fit), "language").select(*cell, "auc", ((F.col("e") - F.col("d")) / F.col("fit_sd")).alias("gap"), (F.col("m") / F.col("fit_sd")).alias("offset"))
 
 
 def crossed_correct(controls: DataFrame, by: list[str]) -> DataFrame:
@@ -120,7 +120,7 @@ def cue_effect(controls: DataFrame, fit: DataFrame) -> DataFrame:
     """language, cue_family, effect: mean score with the evaluation cue minus with the deployment cue, in fit deviations."""
     mean = lambda k: F.avg(F.when(F.col("lexical_cue") == k, F.col("score")))
     agg = controls.groupBy("language", "cue_family").agg((mean("evaluation") - mean("deployment")).alias("gap"))
-    return agg.join(F.broadcast(fit_spread(fit)), "language").select("language", "cue_family", F.try_divide("gap", "fit_sd").alias("effect"))
+    return agg.join(fit_spread(fit), "language").select("language", "cue_family", F.try_divide("gap", "fit_sd").alias("effect"))
 
 
 def control_record(controls: DataFrame, fit: DataFrame) -> DataFrame:

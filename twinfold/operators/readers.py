@@ -64,7 +64,7 @@ def reader_eligibility(models: DataFrame, generators: DataFrame, least: int = 2)
     n = models.groupBy("lineage").agg(F.count("*").alias("_lineage"))
     m = models.groupBy("model_id").agg(F.count("*").alias("_id"))
     used = generators.select("lineage").distinct().withColumn("_used", F.lit(True))
-    rows = models.join(n, "lineage").join(m, "model_id").join(F.broadcast(used), "lineage", "left")
+    rows = models.join(n, "lineage").join(m, "model_id").join(used, "lineage", "left")
     problems = F.array_compact(F.array(F.when(F.col("_id") > 1, "id twice"), F.when(F.col("_lineage") > 1, "lineage twice"), F.when(F.col("_used"), "generator"), F.when(~F.coalesce("attested", F.lit(False)), "attestation")))
     own = rows.select("model_id", problems.alias("problems"))
     few = own.agg((F.count_if(F.size("problems") == 0) < least).alias("_few"))

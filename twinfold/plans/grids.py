@@ -34,7 +34,7 @@ def select_ids(df: DataFrame, column: str, ids: list[str] | None) -> DataFrame:
         return df
     wanted = df.sparkSession.createDataFrame([(x,) for x in sorted(set(ids))], f"{column} string")
     unknown = wanted.join(df, column, "left_anti").agg(F.array_sort(F.collect_list(column)).alias("unknown"))
-    checked = df.join(F.broadcast(wanted), column, "left_semi").crossJoin(F.broadcast(unknown))
+    checked = df.join(wanted, column, "left_semi").crossJoin(F.broadcast(unknown))
     return checked.where(F.when(F.size("unknown") > 0, F.raise_error(F.concat(F.lit("unknown ids: "), F.array_join("unknown", ", "))).cast("boolean")).otherwise(True)).drop("unknown")
 
 
@@ -97,7 +97,7 @@ def cost_scenarios(jobs: DataFrame, prices: DataFrame, scenarios: dict[str, int]
     """scenario, profile, calls, input_tokens, output_tokens, usd; profile null is the sum. jobs: profile, input_tokens,
     output_tokens; prices: profile, usd_per_input, usd_per_output; scenarios: attempts of each job."""
     table = jobs.sparkSession.createDataFrame(list(scenarios.items()), "scenario string, attempts int")
-    used = jobs.groupBy("profile").agg(F.count("*").alias("n"), F.sum("input_tokens").alias("i"), F.sum("output_tokens").alias("o")).join(F.broadcast(prices), "profile").crossJoin(F.broadcast(table))
+    used = jobs.groupBy("profile").agg(F.count("*").alias("n"), F.sum("input_tokens").alias("i"), F.sum("output_tokens").alias("o")).join(prices, "profile").crossJoin(F.broadcast(table))
     each = used.select("scenario", "profile", *[(F.col(c) * F.col("attempts")).alias(c) for c in ("n", "i", "o")], "usd_per_input", "usd_per_output")
     usd = F.sum(F.col("i").cast("decimal(20,0)") * F.col("usd_per_input").cast("decimal(18,12)") + F.col("o").cast("decimal(20,0)") * F.col("usd_per_output").cast("decimal(18,12)")).cast("decimal(38,12)")
     return each.groupingSets([["scenario", "profile"], ["scenario"]], "scenario", "profile").agg(F.sum("n").alias("calls"), F.sum("i").alias("input_tokens"), F.sum("o").alias("output_tokens"), usd.alias("usd"))
@@ -106,13 +106,13 @@ def cost_scenarios(jobs: DataFrame, prices: DataFrame, scenarios: dict[str, int]
 def authorise(costs: DataFrame, limits: DataFrame) -> DataFrame:
     """scenario, usd, limit_usd, allowed for the scenario sums; a scenario without a limit isn't allowed."""
     sums = costs.where("profile is null").select("scenario", "usd")
-    return sums.join(F.broadcast(limits), "scenario", "left").withColumn("allowed", F.coalesce(F.col("usd") <= F.col("limit_usd"), F.lit(False)))
+    return sums.join(limits, "scenario", "left").withColumn("allowed", F.coalesce(F.col("usd") <= F.col("limit_usd"), F.lit(False)))
 
 
 def observed_cost(records: DataFrame, prices: DataFrame) -> DataFrame:
     """model, calls, input_tokens, output_tokens, usd from the records' usage; missing usage counts 0."""
     used = records.groupBy("model").agg(F.count("*").alias("calls"), F.sum(F.coalesce("input_tokens", F.lit(0))).alias("input_tokens"), F.sum(F.coalesce("output_tokens", F.lit(0))).alias("output_tokens"))
-    return used.join(F.broadcast(prices), "model", "left").select("model", "calls", "input_tokens", "output_tokens", F.round(F.col("input_tokens") * F.col("usd_per_input") + F.col("output_tokens") * F.col("usd_per_output"), 4).alias("usd"))
+    return used.join(prices, "model", "left").select("model", "calls", "input_tokens", "output_tokens", F.round(F.col("input_tokens") * F.col("usd_per_input") + F.col("output_tokens") * F.col("usd_per_output"), 4).alias("usd"))
 
 
 def plan_cost(jobs: DataFrame, prices: DataFrame, attempts: int, budget_usd: float, basis: str = "all_attempts") -> DataFrame:
@@ -137,7 +137,7 @@ def pair_jobs(run_a: DataFrame, run_b: DataFrame, identity: list[str]) -> DataFr
 def fill_requests(grid: DataFrame, scaffolding: DataFrame, keys: list[str], placeholders: list[str], body: str = "body") -> DataFrame:
     """The body of each row's scaffolding with ``<<NAME>>`` replaced by the column of that name; ``unresolved`` says
     whether some ``<<`` is left."""
-    rows = grid.join(F.broadcast(scaffolding), keys)
+    rows = grid.join(scaffolding, keys)
     text = reduce(lambda t, p: F.replace(t, F.lit(f"<<{p.upper()}>>"), F.coalesce(F.col(p).cast("string"), F.lit(""))), placeholders, F.col(body))
     return rows.withColumn("request_text", text).withColumn("unresolved", F.contains(F.col("request_text"), F.lit("<<")))
 

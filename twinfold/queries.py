@@ -759,3 +759,6 @@ def random_direction_null(spark, d):
 def orientation_null(spark, d):
     rows = items(spark, d).withColumn("y", (F.col("purpose") == "evaluation").cast("int")).drop("score", "pred")
     return resample.orientation_null(rows, "block", 20)
+
+
+from . import set_queries  # noqa: E402, F401  (registers further queries)
