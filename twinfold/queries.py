@@ -1,7 +1,7 @@
 """Registered queries over the driver's tables, each with the same question in SQL where SQL can ask it.
 
 Stand-ins: a vector item is a row of embeddings in a complete block of four (purpose by vec_id, format by vec_id / 2); its
-family is block % 5, its score the first coordinate. Attempts are events of a user in order of time. Readers are sources."""
+family is block % 5, its score the sum of its coordinates by 8. Attempts are events of a user in order of time. Readers are sources."""
 
 from __future__ import annotations
 
@@ -42,12 +42,12 @@ def r6(c):
 
 ITEMS = """items AS (SELECT vec_id, vec_id // 4 AS block, (vec_id // 4) % 5 AS family, CASE WHEN vec_id % 2 = 0 THEN 'evaluation' ELSE 'deployment' END AS purpose,
  CASE WHEN (vec_id // 2) % 2 = 0 THEN 'benchmark' ELSE 'casual' END AS format, CASE WHEN label < 5 THEN 'en' ELSE 'ja' END AS language, label % 2 AS y,
- embedding, CAST(embedding[1] AS DOUBLE) AS score, CASE WHEN embedding[1] >= 0 THEN 1 ELSE 0 END AS pred FROM embeddings)"""
+ embedding, total / 8 AS score, CASE WHEN total >= 0 THEN 1 ELSE 0 END AS pred FROM (SELECT *, list_reduce(list_transform(embedding, lambda x: CAST(x AS DOUBLE)), lambda a, b: a + b) AS total FROM embeddings))"""
 
 
 def items(spark: SparkSession, d: str) -> DataFrame:
     v = F.col("vec_id")
-    score = F.get("embedding", F.lit(0)).cast("double")
+    score = F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double")) / 8
     block = F.floor(v / 4)
     return table(spark, d, "embeddings").select(
         "vec_id", block.alias("block"), (block % 5).alias("family"), F.when(v % 2 == 0, "evaluation").otherwise("deployment").alias("purpose"),
@@ -131,12 +131,12 @@ def grid_counts(spark, d):
     return grids.grid_counts(rows, ["o_orderpriority", "l_returnflag"])
 
 
-@query("""SELECT a.c_custkey AS k, CASE WHEN a.c_nationkey IS DISTINCT FROM b.c_nationkey THEN 'c_nationkey' ELSE 'c_mktsegment' END AS first_differs
+@query("""SELECT a.c_custkey AS k, concat_ws(',', CASE WHEN a.c_nationkey IS DISTINCT FROM b.c_nationkey THEN 'c_nationkey' END, CASE WHEN a.c_mktsegment IS DISTINCT FROM b.c_mktsegment THEN 'c_mktsegment' END) AS differs
  FROM customer a JOIN customer b ON a.c_custkey = b.c_custkey + 1 WHERE a.c_nationkey IS DISTINCT FROM b.c_nationkey OR a.c_mktsegment IS DISTINCT FROM b.c_mktsegment
- UNION ALL SELECT max(c_custkey) + 1, 'c_nationkey' FROM customer UNION ALL SELECT min(c_custkey), 'c_nationkey' FROM customer""")
+ UNION ALL SELECT max(c_custkey) + 1, 'c_nationkey,c_mktsegment' FROM customer UNION ALL SELECT min(c_custkey), 'c_nationkey,c_mktsegment' FROM customer""")
 def shape_parity(spark, d):
     c = table(spark, d, "customer").select(F.col("c_custkey").alias("k"), "c_nationkey", "c_mktsegment")
-    return grids.shape_parity(c, c.withColumn("k", F.col("k") + 1), "k", ["c_nationkey", "c_mktsegment"]).select("k", F.get("differs", F.lit(0)).alias("first_differs"))
+    return grids.shape_parity(c, c.withColumn("k", F.col("k") + 1), "k", ["c_nationkey", "c_mktsegment"]).select("k", F.array_join("differs", ",").alias("differs"))
 
 
 @query("""WITH jobs AS (SELECT lang AS profile, CAST(ceil(n_chars / 4.0) AS BIGINT) AS i, CAST(ceil(n_chars / 8.0) AS BIGINT) AS o FROM documents), u AS (SELECT profile, scenario, count(*) * any_value(k) AS n, sum(i) * any_value(k) AS i, sum(o) * any_value(k) AS o FROM jobs, (VALUES ('baseline', 1), ('maximum', 4)) AS s(scenario, k) GROUP BY 1, 2)
@@ -166,7 +166,7 @@ def global_rank(spark, d):
 
 _PAIRS = [("p1", "ff01", "both", "In this test,", "In production,"), ("p2", "ff02", "noun_only", "For the exam,", "For the user,"), ("p3", "ff03", "verb_only", "We evaluate:", "We deploy:")]
 _FORMATS = {"benchmark": "{purpose}\n{body}\n{options}", "casual": "{purpose} {body}"}
-_RENDER = """pay AS (SELECT item_id, 'pb_' || lpad(CAST(item_id AS VARCHAR), 6, '0') AS payload_block_id, substr(text, 1, 60) AS context, substr(text, 61, 60) AS question, row_number() OVER (ORDER BY item_id) - 1 AS rk FROM benchmark),
+_RENDER = """pay AS (SELECT item_id, 'pb_' || lpad(CAST(item_id AS VARCHAR), 6, '0') AS payload_block_id, substr(text, 1, length(text) // 2) AS context, substr(text, length(text) // 2 + 1) AS question, row_number() OVER (ORDER BY item_id) - 1 AS rk FROM benchmark),
  pairs AS (SELECT * FROM (VALUES (0, 'p1', 'ff01', 'In this test,', 'In production,'), (1, 'p2', 'ff02', 'For the exam,', 'For the user,'), (2, 'p3', 'ff03', 'We evaluate:', 'We deploy:')) AS t(place, pair_id, family_id, e, dp)),
  opt AS (SELECT payload_block_id, string_agg(chr(CAST(64 + k AS INT)) || '. ' || o, chr(10) ORDER BY k) AS options, max(CASE WHEN o = 'yes' THEN chr(CAST(64 + k AS INT)) END) AS letter FROM (SELECT payload_block_id, o, row_number() OVER (PARTITION BY payload_block_id ORDER BY sha256(payload_block_id || o), o) AS k FROM pay, (VALUES ('yes'), ('no'), ('maybe'), ('never')) AS v(o)) GROUP BY 1),
  rendered AS (SELECT 'item::' || payload_block_id || '::' || pair_id || CASE WHEN purpose = 'evaluation' THEN '::ev::' ELSE '::dp::' END || CASE WHEN format = 'benchmark' THEN 'bm' ELSE 'cs' END AS item_id, payload_block_id, purpose, format, pair_id AS purpose_pair_id, family_id AS purpose_family_id,
@@ -174,22 +174,18 @@ _RENDER = """pay AS (SELECT item_id, 'pb_' || lpad(CAST(item_id AS VARCHAR), 6,
  CASE WHEN format = 'benchmark' THEN letter END AS answer_key FROM pay JOIN pairs ON rk % 3 = place JOIN opt USING (payload_block_id), (VALUES ('evaluation'), ('deployment')) AS a(purpose), (VALUES ('benchmark'), ('casual')) AS b(format))"""
 
 
-#: The same over whole texts: the first half (rounded down) is the context, the rest the question.
-_RENDER_WHOLE = _RENDER.replace("substr(text, 1, 60) AS context, substr(text, 61, 60) AS question", "substr(text, 1, length(text) // 2) AS context, substr(text, length(text) // 2 + 1) AS question")
-
-
-def _payloads(spark, d, whole=False):
+#: Of each whole text the first half (rounded down) is the context, the rest the question.
+def _payloads(spark, d):
     half = F.floor(F.length("text") / 2).cast("int")
-    context = F.substring("text", F.lit(1), half) if whole else F.substring("text", 1, 60)
-    question = F.substring("text", half + 1, F.length("text")) if whole else F.substring("text", 61, 60)
+    context, question = F.substring("text", F.lit(1), half), F.substring("text", half + 1, F.length("text"))
     b = table(spark, d, "benchmark")
     ident = F.concat(F.lit("pb_"), F.lpad(F.col("item_id").cast("string"), 6, "0"))
     return b.select(ident.alias("payload_block_id"), context.alias("context"), question.alias("question"), F.lit("yes").alias("correct_answer"), F.array(*map(F.lit, ("no", "maybe", "never"))).alias("distractors"))
 
 
-def _rendered(spark, d, whole=False):
+def _rendered(spark, d):
     pairs = spark.createDataFrame(_PAIRS, "pair_id string, family_id string, cue_locus string, evaluation string, deployment string")
-    return render.render_blocks(_payloads(spark, d, whole), pairs, _FORMATS)
+    return render.render_blocks(_payloads(spark, d), pairs, _FORMATS)
 
 
 @query(f"WITH {_RENDER} SELECT item_id, payload_block_id, purpose, format, purpose_pair_id, purpose_family_id, text, answer_key, sha256(text) AS rendered_text_sha256 FROM rendered")
@@ -197,34 +193,34 @@ def render_blocks(spark, d):
     return _rendered(spark, d).select("item_id", "payload_block_id", "purpose", "format", "purpose_pair_id", "purpose_family_id", "text", "answer_key", "rendered_text_sha256")
 
 
-@query(SQL["render_blocks"].replace(_RENDER, _RENDER_WHOLE))
+@query(SQL["render_blocks"])
 def render_whole_blocks(spark, d):
-    return _rendered(spark, d, True).select("item_id", "payload_block_id", "purpose", "format", "purpose_pair_id", "purpose_family_id", "text", "answer_key", "rendered_text_sha256")
+    return render_blocks(spark, d)
 
 
 @query(f"""WITH {_RENDER}, kept AS (SELECT * FROM rendered WHERE NOT (CAST(substr(payload_block_id, 4) AS INT) % 5 = 0 AND purpose = 'deployment' AND format = 'casual')) SELECT payload_block_id, count(*) AS n, 'cells' AS problem FROM kept GROUP BY 1 HAVING count(*) <> 4""")
-def block_completeness(spark, d, whole=False):
-    rows = _rendered(spark, d, whole).where(~((F.substring("payload_block_id", 4, 6).cast("int") % 5 == 0) & (F.col("purpose") == "deployment") & (F.col("format") == "casual")))
+def block_completeness(spark, d):
+    rows = _rendered(spark, d).where(~((F.substring("payload_block_id", 4, 6).cast("int") % 5 == 0) & (F.col("purpose") == "deployment") & (F.col("format") == "casual")))
     return checks.block_checks(rows).select("payload_block_id", "n", F.array_join("problems", ",").alias("problem"))
 
 
-@query(SQL["block_completeness"].replace(_RENDER, _RENDER_WHOLE))
+@query(SQL["block_completeness"])
 def whole_block_completeness(spark, d):
-    return block_completeness(spark, d, True)
+    return block_completeness(spark, d)
 
 
 @query(f"""WITH {_RENDER} SELECT item_id, CASE WHEN CAST(substr(payload_block_id, 4) AS INT) % 7 = 0 THEN 'missing' ELSE 'changed' END AS problem FROM rendered WHERE (CAST(substr(payload_block_id, 4) AS INT) % 7 = 0 OR CAST(substr(payload_block_id, 4) AS INT) % 7 = 3) AND format = 'casual'""")
-def reconstruct_diff(spark, d, whole=False):
-    expected = _rendered(spark, d, whole)
+def reconstruct_diff(spark, d):
+    expected = _rendered(spark, d)
     k = F.substring("payload_block_id", 4, 6).cast("int") % 7
     casual = F.col("format") == "casual"
     actual = expected.where(~((k == 0) & casual)).withColumn("text", F.when((k == 3) & casual, F.concat("text", F.lit("!"))).otherwise(F.col("text")))
     return render.reconstruct_diff(actual, expected, "item_id")
 
 
-@query(SQL["reconstruct_diff"].replace(_RENDER, _RENDER_WHOLE))
+@query(SQL["reconstruct_diff"])
 def reconstruct_whole_diff(spark, d):
-    return reconstruct_diff(spark, d, True)
+    return reconstruct_diff(spark, d)
 
 
 @query("WITH " + ITEMS + " SELECT purpose, format, count(*) AS n FROM items GROUP BY CUBE (purpose, format)")
@@ -278,10 +274,14 @@ def script_share(spark, d):
     return table(spark, d, "documents").groupBy("lang").agg(F.count("*").alias("docs"), F.sum(F.regexp_count(t, F.lit("[A-Za-z]"))).alias("latin"), F.sum(F.regexp_count(t, F.lit("[0-9]"))).alias("digits"), F.count_if(t.rlike("(?i)\\bpassword=")).alias("revealing"))
 
 
-@query("""SELECT DISTINCT b.item_id FROM benchmark b JOIN (SELECT DISTINCT substr(text, 1, 40) AS head FROM documents) s ON substr(b.text, 1, 40) = s.head""")
+_SENTENCES = r"regexp_extract_all(text, '([^.!?\n]+)', 1)"
+
+
+@query(f"""WITH u AS (SELECT 'documents' AS src, unnest({_SENTENCES}) AS x FROM documents), o AS (SELECT item_id, unnest({_SENTENCES}) AS x FROM benchmark) SELECT o.item_id, count(DISTINCT trim(o.x)) AS sentences FROM o WHERE trim(o.x) IN (SELECT trim(x) FROM u) AND trim(o.x) <> '' GROUP BY 1""")
 def freshness(spark, d):
-    head = lambda n: table(spark, d, n).withColumn("head", F.substring("text", 1, 40))
-    return matching.freshness(head("benchmark"), head("documents"), ["head"]).select("item_id")
+    cut = F.explode(F.regexp_extract_all("text", F.lit(r"([^.!?\n]+)"), F.lit(1))).alias("x")
+    own = lambda n, *c: table(spark, d, n).select(*c, cut).select(*c, F.btrim("x").alias("sentence")).where("sentence <> ''")
+    return matching.freshness(own("benchmark", "item_id"), own("documents"), ["sentence"]).groupBy("item_id").agg(F.count_distinct("sentence").alias("sentences"))
 
 
 def _words(t: str) -> str:
@@ -402,16 +402,17 @@ def effective_n(spark, d):
     return metrics.effective_n(items(spark, d), ["block"]).withColumns({c: r6(c) for c in ("distinct_fraction", "within_share")})
 
 
-@query("WITH " + ITEMS + """, p AS (SELECT block, format, max(CASE WHEN purpose = 'evaluation' THEN score END) - max(CASE WHEN purpose = 'deployment' THEN score END) AS first, count(*) AS n FROM items GROUP BY 1, 2) SELECT block, format, round(first, 6) AS first FROM p WHERE n = 2""")
+@query("WITH " + ITEMS + """, p AS (SELECT block, format, max(CASE WHEN purpose = 'evaluation' THEN score END) - max(CASE WHEN purpose = 'deployment' THEN score END) AS total, count(*) AS n FROM items GROUP BY 1, 2) SELECT block, format, round(total, 6) AS total FROM p WHERE n = 2""")
 def cue_differences(spark, d):
     rows = items(spark, d).select(F.col("block").alias("control_block_id"), F.col("format").alias("cue_family"), F.lit("en").alias("language"), F.lit("-").alias("intended_purpose"), F.col("purpose").alias("lexical_cue"), "features")
-    return matching.cue_differences(rows).select(F.col("control_block_id").alias("block"), F.col("cue_family").alias("format"), r6(F.get("difference", F.lit(0))).alias("first"))
+    return matching.cue_differences(rows).select(F.col("control_block_id").alias("block"), F.col("cue_family").alias("format"), r6(F.aggregate("difference", F.lit(0.0), lambda s, x: s + x) / 8).alias("total"))
 
 
-@query("WITH " + ITEMS + """, m AS (SELECT family, avg(CAST(embedding[1] AS DOUBLE)) AS mu, stddev_pop(CAST(embedding[1] AS DOUBLE)) + 1e-6 AS sd FROM items WHERE format = 'benchmark' GROUP BY 1 HAVING count(*) > 1) SELECT vec_id, round((score - mu) / sd, 5) AS first FROM items JOIN m USING (family)""")
+@query("WITH " + ITEMS + """, l AS (SELECT vec_id, family, format, generate_subscripts(embedding, 1) AS i, CAST(unnest(embedding) AS DOUBLE) AS x FROM items), m AS (SELECT family, i, avg(x) AS mu, stddev_pop(x) + 1e-6 AS sd FROM l WHERE format = 'benchmark' GROUP BY 1, 2 HAVING count(*) > 1)
+ SELECT vec_id, round(sum((x - mu) / sd), 4) AS total FROM l JOIN m USING (family, i) GROUP BY 1""")
 def standardise_by_family(spark, d):
     rows = items(spark, d)
-    return probe.standardise_by(rows.where("format = 'benchmark'"), rows, "family").select("vec_id", F.round(F.get("features", F.lit(0)), 5).alias("first"))
+    return probe.standardise_by(rows.where("format = 'benchmark'"), rows, "family").select("vec_id", F.round(F.aggregate("features", F.lit(0.0), lambda s, x: s + x), 4).alias("total"))
 
 
 @query("""WITH j AS (SELECT d.source, d.lang, l.quality, CASE WHEN d.n_chars > 1000 THEN 1 ELSE 0 END AS p FROM documents d JOIN labels l USING (doc_id)), a AS (SELECT lang, source, count(*) AS items, count(*) FILTER (WHERE quality = p) AS correct FROM j GROUP BY 1, 2)
