@@ -134,7 +134,7 @@ def references(docs: DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray]]:
     out: dict[str, np.ndarray] = {}
     for r in counted.groupBy("lang", "i").agg(F.sum("x").alias("x")).toLocalIterator():
         out.setdefault(r.lang, np.zeros(size))[r.i] = r.x
-    return {k: (v[:CLASSES], v[CLASSES:]) for k, v in out.items()}
+    return {k: (v[:CLASSES], v[CLASSES:]) for k, v in sorted(out.items())}
 
 
 class Limits(NamedTuple):
@@ -170,8 +170,10 @@ def judge(part: pa.RecordBatch, known: list[tuple[np.ndarray, np.ndarray]], limi
     chars = words = np.zeros(len(failed))
     for c, w in known:
         x, y = np.where(long_chars, distance(f["chars"], c), 0), np.where(long_words, distance(f["words"], w), 0)
-        worst = np.maximum(x / limits.most_chars_apart, y / most_words_apart(f["n_words"], w, limits))
-        chars, words, far = np.where(worst < far, x, chars), np.where(worst < far, y, words), np.minimum(worst, far)
+        # rounded, so that references at equal distance are told apart by the characters and not by their order
+        worst = np.round(np.maximum(x / limits.most_chars_apart, y / most_words_apart(f["n_words"], w, limits)), 9)
+        nearer = (worst < far) | (worst == far) & (x < chars)
+        chars, words, far = np.where(nearer, x, chars), np.where(nearer, y, words), np.minimum(worst, far)
     out = {k: pa.array(f[k], pa.int64()) for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")} | {"base_failed": pa.array(failed)}
     return out | {"chars_apart": pa.array(chars, mask=~long_chars | (not known)), "words_apart": pa.array(words, mask=~long_words | (not known)), "kept": pa.array(~failed & ((far <= 1) | (not known)))}
 
