@@ -22,7 +22,7 @@ LETTERS = 4
 HASHES = 4
 #: Slots of the filter for each n-gram of the language that has most, rounded up to a power of two; parts in which the
 #: sample of a language is drawn first.
-SLOTS_PER_GRAM, SALTS = 8, 64
+SLOTS_PER_GRAM, SALTS = 8, 16
 
 
 def held_out() -> Column:
