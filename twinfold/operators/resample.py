@@ -29,17 +29,33 @@ def cluster_weights(df: DataFrame, cluster: str, samples: int, seed: int) -> Dat
 
 def cluster_interval(df: DataFrame, cluster: str, metric: Callable[[Column], Column], samples: int, seed: int, by: list[str] | None = None) -> DataFrame:
     """by, low, high: the 2.5 and 97.5 percentiles of a metric of weighted rows, given as a function from the weight column
-    to an aggregate. Rows are never copied: the weights join the clusters. Rows are summed by cluster first where the metric
-    allows it; see cluster_auc_interval for one that needs ranks."""
+    to an aggregate. Each row meets every replicate that draws its cluster (about 0.63 of them), so where the metric is made of
+    sums, give one row of sums a cluster, as cluster_recall_interval does."""
     by = by or []
     rows = df.join(cluster_weights(df, cluster, samples, seed), cluster)
     values = rows.groupBy("rep", *by).agg(metric(F.col("weight")).alias("value")).where("value is not null")
     return values.groupBy(*by).agg(F.percentile("value", 0.025).alias("low"), F.percentile("value", 0.975).alias("high"))
 
 
+def cluster_recall_interval(df: DataFrame, cluster: str, samples: int, seed: int, y: str = "y", pred: str = "pred") -> DataFrame:
+    """low, high of the balanced accuracy. Rows are added up by cluster before they meet the replicates, so what is copied
+    has one row a cluster, however many rows there are."""
+    hit = F.col(y) == F.col(pred)
+    sums = df.groupBy(cluster).agg(*[F.count_if(F.col(y) == k).alias(f"_n{k}") for k in (0, 1)], *[F.count_if((F.col(y) == k) & hit).alias(f"_h{k}") for k in (0, 1)])
+
+    def balanced(w: Column) -> Column:
+        a, b = (F.try_divide(F.sum(w * F.col(f"_h{k}")), F.sum(w * F.col(f"_n{k}"))) for k in (0, 1))
+        return F.coalesce((a + b) / 2, a, b)
+
+    return cluster_interval(sums, cluster, balanced, samples, seed)
+
+
 def cluster_auc_interval(df: DataFrame, cluster: str, samples: int, seed: int) -> DataFrame:
-    """low, high of the AUC: weighted ranks for each replicate, without pairs of rows."""
-    rows = df.join(cluster_weights(df, cluster, samples, seed), cluster)
+    """low, high of the AUC: weighted ranks for each replicate, without pairs of rows. Ranks need the rows themselves, so each
+    meets the replicates that draw its cluster: about 0.63 * samples copies of (cluster, score, y)."""
+    # rows of equal cluster, score and class count as one with a weight
+    same = df.groupBy(cluster, "score", "y").agg(F.count("*").alias("_same"))
+    rows = same.join(cluster_weights(df, cluster, samples, seed), cluster).withColumn("weight", F.col("weight") * F.col("_same"))
     values = metrics.auc(rows, ["rep"], weight="weight").where("auc is not null")
     return values.agg(F.percentile("auc", 0.025).alias("low"), F.percentile("auc", 0.975).alias("high"))
 

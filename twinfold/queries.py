@@ -479,7 +479,7 @@ _DRAWS = """, c AS (SELECT block, row_number() OVER (ORDER BY block) - 1 AS rk F
 @query("WITH " + ITEMS + _DRAWS + """, v AS (SELECT rep, coalesce((a + b) / 2, a, b) AS value FROM (SELECT rep, sum(CASE WHEN y = 0 AND pred = 0 THEN weight ELSE 0 END) FILTER (WHERE y = 0) / nullif(sum(weight) FILTER (WHERE y = 0), 0) AS a, sum(CASE WHEN y = 1 AND pred = 1 THEN weight ELSE 0 END) FILTER (WHERE y = 1) / nullif(sum(weight) FILTER (WHERE y = 1), 0) AS b FROM x GROUP BY 1))
  SELECT round(quantile_cont(value, 0.025), 6) AS low, round(quantile_cont(value, 0.975), 6) AS high FROM v""")
 def cluster_bootstrap_bacc(spark, d):
-    return resample.cluster_interval(items(spark, d), "block", lambda w: metrics.balanced_accuracy(weight=w), 200, 5).select(r6("low").alias("low"), r6("high").alias("high"))
+    return resample.cluster_recall_interval(items(spark, d), "block", 200, 5).select(r6("low").alias("low"), r6("high").alias("high"))
 
 
 @query("WITH " + ITEMS + _DRAWS + """, g AS (SELECT rep, score, coalesce(sum(weight) FILTER (WHERE y = 1), 0) AS pos, coalesce(sum(weight) FILTER (WHERE y = 0), 0) AS neg FROM x GROUP BY 1, 2), h AS (SELECT *, coalesce(sum(neg) OVER (PARTITION BY rep ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM g),
@@ -490,7 +490,7 @@ def cluster_bootstrap_auc(spark, d):
 
 @query(SQL["cluster_bootstrap_bacc"].replace("range(200)", "range(2000)"))
 def cluster_bootstrap_bacc_2000(spark, d):
-    return resample.cluster_interval(items(spark, d), "block", lambda w: metrics.balanced_accuracy(weight=w), 2000, 5).select(r6("low").alias("low"), r6("high").alias("high"))
+    return resample.cluster_recall_interval(items(spark, d), "block", 2000, 5).select(r6("low").alias("low"), r6("high").alias("high"))
 
 
 @query(SQL["cluster_bootstrap_auc"].replace("range(200)", "range(2000)"))

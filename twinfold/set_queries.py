@@ -3,12 +3,16 @@ tables by expressions that Spark and SQL share."""
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import scalars as S
 from .operators import checks, ledger, matching, metrics, readers, render, resample
 from .plans import grids
+from .sources import tables
 from .queries import ITEMS, items, query, r6, table
 
 
@@ -475,3 +479,60 @@ def verdict_errors(spark, d):
 @query(_verdict_sql("SELECT event_id, errors FROM e WHERE errors <> '' OR NOT passes"))
 def revalidate_accepted(spark, d):
     return ledger.revalidate_accepted(_verdicts(spark, d)).select("event_id", F.array_join("errors", ";").alias("errors"))
+
+
+# -- sources and sinks ---------------------------------------------------------------------------------------------------
+
+
+def _folder(spark: SparkSession, name: str) -> str:
+    """A new folder that the driver and all executors reach; of this machine only where Spark runs on it alone."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.conf.get("spark.master", "local").startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors reach")
+        base = "file://" + tempfile.mkdtemp(prefix="spark-tables-")
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+@query("SELECT doc_id, sha256(text) AS text_sha256, lang, source, n_chars FROM documents")
+def jsonl_round_trip(spark, d):
+    docs, path = table(spark, d, "documents"), _folder(spark, "jsonl")
+    tables.write_jsonl(docs, path)
+    return tables.read_jsonl(spark, path, docs.schema).select("doc_id", F.sha2("text", 256).alias("text_sha256"), "lang", "source", "n_chars")
+
+
+@query("SELECT count(*) AS files, sum(n)::BIGINT AS customers FROM (SELECT count(*) AS n FROM customer GROUP BY c_nationkey)")
+def json_dir_round_trip(spark, d):
+    """One file of one object for each nation, written by the report sink and read as a folder of files."""
+    path = _folder(spark, "json-dir")
+    each = table(spark, d, "customer").groupBy(F.col("c_nationkey").cast("string").alias("run")).agg(F.count("*").cast("double").alias("value"))
+    tables.write_report(each.select("run", F.lit("nation").alias("slice_kind"), F.lit("all").alias("slice_key"), F.lit("customers").alias("metric"), "value").repartition(25, "run"), path)
+    rows = spark.read.schema("run string, metrics map<string,double>").json(path)
+    return rows.agg(F.count("*").alias("files"), F.sum(F.element_at("metrics", F.lit("nation::all::customers"))).cast("long").alias("customers"))
+
+
+@query("""SELECT 'customer' AS artifact, count(*) AS "rows", NULL::VARCHAR AS problem FROM customer UNION ALL SELECT 'documents', count(*), 'changed' FROM documents""")
+def publish_and_verify(spark, d):
+    """Two tables published, then checked against the source, of which one text has changed since."""
+    docs, customer = table(spark, d, "documents"), table(spark, d, "customer")
+    stored = tables.publish_dataset(_folder(spark, "published"), documents=docs, customer=customer)
+    first = docs.agg(F.min("doc_id").alias("first"))
+    later = docs.crossJoin(F.broadcast(first)).withColumn("text", F.when(F.col("doc_id") == F.col("first"), F.concat("text", F.lit("!"))).otherwise(F.col("text"))).drop("first")
+    problems = tables.verify_manifest(tables.manifest(documents=later, customer=customer), stored)
+    return stored.join(problems, "artifact", "left").select("artifact", "rows", "problem")
+
+
+@query("SELECT user_id, count(*) AS attempts, count(*) FILTER (WHERE value > 5) AS large FROM events GROUP BY 1")
+def attempts_by_call(spark, d):
+    """A function of the user's over each partition of pending rows; here one that judges each row by its value."""
+
+    def call(frames):
+        for pdf in frames:
+            yield pdf.assign(large=pdf["value"] > 5)[["user_id", "large"]]
+
+    return ledger.run_attempts(table(spark, d, "events").select("user_id", "value"), call, "user_id long, large boolean").groupBy("user_id").agg(F.count("*").alias("attempts"), F.count_if("large").alias("large"))
+
+
+@query("""SELECT doc_id, trim(regexp_replace(lower(replace(text, 'ß', 'ss')), '[ \\t\\n\\r\\v\\f\\x{a0}]+', ' ', 'g')) AS folded FROM documents""")
+def folded_texts(spark, d):
+    return table(spark, d, "documents").select("doc_id", S.folded(F.col("text")).alias("folded"))
