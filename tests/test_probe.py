@@ -160,3 +160,19 @@ def test_sources(spark, tmp_path):
     done = tables.publish_dataset(str(tmp_path / "out"), t=df)
     assert tables.verify_manifest(done, tables.manifest(t=df.repartition(3))).count() == 0
     assert tables.verify_manifest(done, tables.manifest(t=df.where("id > 0"))).first().problem == "changed"
+
+
+def test_sums_of_many_tasks_are_those_of_one(spark):
+    import numpy as np
+    import pandas as pd
+
+    from twinfold.operators import linalg, probe
+
+    def run(batches):
+        yield pd.DataFrame({"fit": [0, 1], "v": [[float(sum(len(b) for b in batches)), 1.0], [2.0, 3.0]]})
+
+    df = spark.range(1000).repartition(probe.FEW_TASKS * 2 + 5)
+    assert probe._sums(df, run, 2, 2).tolist() == [[1000.0, probe.FEW_TASKS * 2 + 5], [2.0 * (probe.FEW_TASKS * 2 + 5), 3.0 * (probe.FEW_TASKS * 2 + 5)]]
+    x = np.random.default_rng(0).normal(size=(300, 4))
+    rows = spark.createDataFrame([(list(map(float, v)),) for v in x], "v array<double>").repartition(40)
+    assert np.allclose(np.linalg.svd(linalg.triangle(rows, "v"))[1], np.linalg.svd(x)[1])

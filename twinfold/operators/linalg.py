@@ -27,13 +27,13 @@ def _triangles(column: str):
 
 def triangle(df: DataFrame, column: str, fan_in: int = 16) -> np.ndarray:
     """The triangular factor of all vectors as rows: each task leaves one of at most width rows, fan_in of them meet in a
-    task of the next round, and the last one comes to the driver. Singular values and right vectors are those of the
+    task of the next round (behind a shuffle, so that the rounds before keep their tasks), and the last one comes to the driver. Singular values and right vectors are those of the
     whole table, without squaring its condition number."""
     step = df.select(column).mapInPandas(_triangles(column), f"{column} array<double>")
     parts = df.rdd.getNumPartitions()
     while parts > 1:
         parts = -(-parts // fan_in)
-        step = step.coalesce(parts).mapInPandas(_triangles(column), f"{column} array<double>")
+        step = step.repartition(parts).mapInPandas(_triangles(column), f"{column} array<double>")
     rows = [r[0] for r in step.collect()]
     return np.array(rows) if rows else np.zeros((0, 0))
 

@@ -17,6 +17,7 @@ from . import metrics
 
 
 FEW_TASKS = 32
+FAN_IN = 16
 
 
 @dataclass
@@ -83,17 +84,22 @@ def minimise(start: np.ndarray, tolerance: float, most: int, memory: int = 12) -
 
 
 def _sums(df: DataFrame, run, k: int, width: int) -> np.ndarray:
-    """Summed vectors of run's output by fit. Each task gives one row for each fit; those of many tasks are added up in
-    Spark, those of a few on the driver."""
+    """Summed vectors of run's output by fit. Each task gives one row for each fit; of many tasks FAN_IN meet in a task of
+    the next round, so none holds those of all, and what comes to the driver is of a few."""
 
-    def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"fit": [pdf.fit.iloc[0]], "v": [np.stack(pdf.v.to_numpy()).sum(0)]})
-
-    parts = df.mapInPandas(run, "fit int, v array<double>")
-    if df.rdd.getNumPartitions() > FEW_TASKS:
-        parts = parts.groupBy("fit").applyInPandas(add, "fit int, v array<double>")
+    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total: dict[int, np.ndarray] = {}
+        for pdf in batches:
+            for fit, v in zip(pdf.fit, pdf.v, strict=True):
+                total[fit] = total[fit] + v if fit in total else np.array(v)
+        yield pd.DataFrame({"fit": list(total), "v": list(total.values())})
+
+    parts, tasks = df.mapInPandas(run, "fit int, v array<double>"), df.rdd.getNumPartitions()
+    while tasks > FEW_TASKS:
+        tasks = -(-tasks // FAN_IN)
+        parts = parts.repartition(tasks).mapInPandas(add, "fit int, v array<double>")
     out = np.zeros((k, width))
-    for r in parts.collect():
+    for r in parts.toLocalIterator():
         out[r.fit] += np.array(r.v)
     return out
 
@@ -245,7 +251,10 @@ def pick_c(items: DataFrame, grid: tuple[float, ...] = (0.005, 0.02, 0.05, 0.2,
     fits = fit_many(table.drop("tests"), len(cells), [c for _, _, c in cells], zero_sd="add")
     names = spark.createDataFrame([(k, o, i, c) for k, (o, i, c) in enumerate(cells)], f"fit int, outer {dict(items.dtypes)[family]}, inner {dict(items.dtypes)[family]}, c double")
     scored = score(table.select("features", "y", F.explode("tests").alias("fit")), fits, tie=">")
-    each = scored.join(F.broadcast(names), "fit").groupBy("outer", "c", "inner").agg(metrics.balanced_accuracy().alias("a"))
+    # a few rows a cell, held here so that the cached vectors can go
+    each = scored.join(names, "fit").groupBy("outer", "c", "inner").agg(metrics.balanced_accuracy().alias("a"))
+    each = spark.createDataFrame(each.collect(), each.schema)
+    table.unpersist()
     agg = each.groupBy("outer", "c").agg(F.avg("a").alias("mean_accuracy"))
     best = agg.groupBy("outer").agg(F.max_by("c", F.struct("mean_accuracy", -F.col("c"))).alias("_best"))
     return agg.join(best, "outer").select("outer", "c", "mean_accuracy", (F.col("c") == F.col("_best")).alias("best"))
@@ -264,6 +273,7 @@ def direction_cosines(items: DataFrame, masks: dict[str, Column], c: float = 0.1
     fits_of = F.array_compact(F.array(*[F.when(m, F.lit(i)) for i, m in enumerate(masks.values())]))
     table = items.select("features", F.col("y").cast("double").alias("y"), fits_of.alias("fits"), F.lit("fit").alias("role")).cache()
     w = [f.weight / np.linalg.norm(f.weight) for f in fit_many(table, len(names), [c] * len(names), zero_sd="add")]
+    table.unpersist()
     return items.sparkSession.createDataFrame([(a, b, float(w[i] @ w[j])) for i, a in enumerate(names) for j, b in enumerate(names)], "left string, right string, cosine double")
 
 
