@@ -241,9 +241,11 @@ def schema_violations(spark, d):
     return checks.violations(table(spark, d, "documents"), rules).where("size(violations) > 0").select("doc_id", F.array_join("violations", ",").alias("v"))
 
 
-@query("""SELECT text, string_agg(DISTINCT corpus, ',' ORDER BY corpus) AS corpora FROM (SELECT text, 'documents' AS corpus FROM documents UNION ALL SELECT text, 'benchmark' FROM benchmark UNION ALL SELECT text, 'conversations' FROM conversations) GROUP BY 1 HAVING count(DISTINCT corpus) > 1""")
+@query("""SELECT text, string_agg(DISTINCT corpus, ',' ORDER BY corpus) AS corpora FROM (SELECT text, CASE WHEN l.doc_id IS NULL THEN 'open' ELSE 'labelled' END AS corpus FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id) GROUP BY 1 HAVING count(DISTINCT corpus) > 1""")
 def disjoint_texts(spark, d):
-    return checks.disjoint_texts(documents=table(spark, d, "documents"), benchmark=table(spark, d, "benchmark"), conversations=table(spark, d, "conversations")).select("text", F.array_join("corpora", ",").alias("corpora"))
+    docs, labelled = table(spark, d, "documents"), table(spark, d, "labels").select("doc_id")
+    found = checks.disjoint_texts(labelled=docs.join(labelled, "doc_id", "left_semi"), open=docs.join(labelled, "doc_id", "left_anti"))
+    return found.select("text", F.array_join("corpora", ",").alias("corpora"))
 
 
 @query("""WITH e AS (SELECT conv_id, turn // 2 AS k, role, text FROM conversations WHERE role = 'user'), a AS (SELECT conv_id, turn // 2 AS k, role, text FROM conversations WHERE role = 'assistant'), e1 AS (SELECT conv_id, k, min(text) AS text FROM e GROUP BY 1, 2), a1 AS (SELECT conv_id, k, min(text) AS text FROM a GROUP BY 1, 2)
@@ -262,10 +264,14 @@ def lexicon_hits(spark, d):
     return checks.lexicon_hits(table(spark, d, "documents"), terms, "doc_id")
 
 
-@query("""SELECT conv_id, turn, concat_ws(',', CASE WHEN instr(lower(text), lower(role)) > 0 THEN 'role' END, CASE WHEN instr(lower(text), CAST(conv_id AS VARCHAR)) > 0 THEN 'conv' END) AS fields FROM conversations WHERE instr(lower(text), lower(role)) > 0 OR instr(lower(text), CAST(conv_id AS VARCHAR)) > 0""")
+_PAGE = "(SELECT page_id, html, regexp_extract(url, '://[a-z]+[.]?([a-z]+)', 1) AS host, regexp_extract(url, '://[^/]+/([a-z]+)/', 1) AS lang FROM pages)"
+
+
+@query(f"""SELECT page_id, concat_ws(',', CASE WHEN host <> '' AND instr(lower(html), lower(host)) > 0 THEN 'host' END, CASE WHEN lang <> '' AND regexp_matches(lower(html), '(^|[^a-z])' || lang || '([^a-z]|$)') THEN 'lang' END) AS fields FROM {_PAGE}
+ WHERE host <> '' AND instr(lower(html), lower(host)) > 0 OR lang <> '' AND regexp_matches(lower(html), '(^|[^a-z])' || lang || '([^a-z]|$)')""")
 def leakage_hits(spark, d):
-    rows = table(spark, d, "conversations").withColumn("conv", F.col("conv_id").cast("string")).withColumn("key", F.struct("conv_id", "turn"))
-    return checks.leakage_hits(rows, "key", "text", ["role", "conv"]).select("key.conv_id", "key.turn", F.array_join("fields", ",").alias("fields"))
+    pages = table(spark, d, "pages").withColumns({"host": F.regexp_extract("url", "://[a-z]+[.]?([a-z]+)", 1), "lang": F.regexp_extract("url", "://[^/]+/([a-z]+)/", 1)})
+    return checks.leakage_hits(pages, "page_id", "html", ["host"], "lang").select("page_id", F.array_join("fields", ",").alias("fields"))
 
 
 @query("""SELECT lang, count(*) AS docs, sum(length(regexp_replace(text, '[^A-Za-z]', '', 'g')))::BIGINT AS latin, sum(length(regexp_replace(text, '[^0-9]', '', 'g')))::BIGINT AS digits, count(*) FILTER (WHERE regexp_matches(text, '(?i)\\bpassword=')) AS revealing FROM documents GROUP BY 1""")
