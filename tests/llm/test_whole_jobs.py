@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from twinfold.llm import fingerprints, near_copies, quality, surrogates
@@ -92,3 +93,14 @@ def test_registered_fingerprints_use_sentences_throughout(spark):
         own, after = texts[r.doc_id], texts[ids[(ids.index(r.doc_id) + 1) % len(ids)]]
         a, b = cut(own), cut(own[: len(own) - len(own) // 2] + after[: len(own) // 2])
         assert abs(r.near_edited - (len(a & b) / len(a | b) if a | b else 1)) < 1e-9
+
+
+def test_hot_keys_are_dealt_to_parts_and_nothing_is_lost(spark, monkeypatch):
+    monkeypatch.setattr(near_copies, "HOT_SHARES", 8)
+    rows = spark.range(3000).select(F.when(F.col("id") < 2000, F.lit(-1)).otherwise(F.col("id")).alias("band"), F.col("id").alias("class_id"))
+    own = rows.groupBy("band").agg(F.count("*").alias("n"), F.min("class_id").alias("low"))
+    found = near_copies.joined(rows, own, ["band"], "class_id")
+    want = rows.join(own.drop("n"), "band")
+    assert found.count() == 3000 and found.exceptAll(want.select(found.columns)).count() == 0
+    none = near_copies.joined(rows.where("false"), own.where("false"), ["band"], "class_id")
+    assert none.columns == found.columns and none.count() == 0

@@ -27,6 +27,8 @@ BANDS, ROWS, BITS = 24, 4, 4
 MINIMA = BANDS * ROWS
 #: Slots of the table of shingle frequencies that orders the shingles; ratio of set sizes within a size class.
 SLOTS, SIZE_RATIO = 1 << 20, 1.02
+#: A key that holds more than this part of a table's rows is hot; fewer than HOT_SHARES keys are, at any size.
+HOT_SHARES = 4096
 
 
 @functools.cache
@@ -104,6 +106,18 @@ def confirmed(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     return pairs.join(b, "b").join(a, "a").select("a", "b", "a_text", "b_text").mapInArrow(_confirm(percent), "a long, b long")
 
 
+def joined(rows: DataFrame, own: DataFrame, keys: list[str], by: str) -> DataFrame:
+    """rows with the columns of own: one row a key, with the number n of its rows (not null). The rows of a hot key are dealt to as
+    many parts as it has shares, by the column ``by``; each part has a copy of the key's row. So no task gets a hot key
+    whole, and what is broadcast has fewer than HOT_SHARES rows."""
+    total = own.agg(F.sum("n")).first()[0] or 0
+    hot = F.broadcast(own.where(F.col("n") * HOT_SHARES > total).select(*keys, F.ceil(F.col("n") * HOT_SHARES / total if total else F.lit(1)).cast("long").alias("_parts")))
+    parts = F.coalesce("_parts", F.lit(1).cast("long"))
+    dealt = rows.join(hot, keys, "left").withColumn("_part", F.pmod(F.xxhash64(by), parts)).drop("_parts")
+    copies = own.drop("n").join(hot, keys, "left").withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))).drop("_parts")
+    return dealt.join(copies, [*keys, "_part"]).drop("_part")
+
+
 def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part in slices(batches, most=WIDE_STEP_CHARS):
         n = np.bincount(np.concatenate([np.empty(0, np.int64), *[_slot(x) for x in shingle_sets(part.column("text"))]]), minlength=1)
@@ -156,8 +170,8 @@ def prefix_pairs(candidates: DataFrame, percent: int) -> DataFrame:
     rows = candidates.select("class_id", "root", "text").mapInArrow(_prefixes(frequency, percent), "token long, size_class int, larger boolean, id long, root long, size long, place long")
     rows = written(rows, "prefixes")
     cell = ["token", "size_class"]
-    groups = rows.groupBy(*cell, "root").agg(F.count("*").alias("n")).groupBy(*cell).agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.count("*").alias("roots")).where("roots > 1").drop("roots")
-    rows = written(rows.join(groups, cell), "shared-prefixes")
+    groups = rows.groupBy(*cell, "root").agg(F.count("*").alias("n")).groupBy(*cell).agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.count("*").alias("roots"), F.sum("n").alias("n")).where("roots > 1").drop("roots")
+    rows = written(joined(rows, written(groups, "prefix-groups"), cell, "id"), "shared-prefixes")
     x = rows.where("not larger").select(*cell, "main", *[F.col(c).alias(f"x_{c}") for c in ("id", "root", "size", "place")])
     y = rows.where("larger").select(*cell, *[F.col(c).alias(f"y_{c}") for c in ("id", "root", "size", "place")], (F.col("root") == F.col("main")).alias("y_main"))
     alike = F.expr(f"x_root <> y_root and (x_size < y_size or x_size = y_size and x_id <> y_id) and 100 * x_size >= {percent} * y_size and {100 + percent} * least(x_size - x_place, y_size - y_place) >= {percent} * (x_size + y_size)")
@@ -183,8 +197,9 @@ def near_copies(docs: DataFrame, percent: int = 85) -> DataFrame:
     real = sketches.where("set_id is not null and doc_id is not null")
     classes = written(real.groupBy("set_id").agg(F.min("doc_id").alias("class_id"), F.first("bands").alias("bands"), F.first("bits").alias("bits")), "classes")
     rows = classes.select("class_id", F.explode("bands").alias("band"))
-    shared = written(rows.join(rows.groupBy("band").agg(F.count("*").alias("n")).where("n > 1"), "band"), "bands")
-    weight = shared.groupBy("class_id").agg(F.sum("n").alias("weight"))
+    sizes = written(rows.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band", "n", F.col("n").alias("rows")), "band-sizes")
+    shared = written(joined(rows, sizes, ["band"], "class_id"), "bands")
+    weight = shared.groupBy("class_id").agg(F.sum("rows").alias("weight"))
     ranked = written(shared.join(weight, "class_id").select("band", "class_id", "weight"), "ranked-bands")
     bits = classes.select("class_id", "bits")
 
@@ -193,15 +208,15 @@ def near_copies(docs: DataFrame, percent: int = 85) -> DataFrame:
         return written(ends.where(similarity_estimate("x_bits", "y_bits") >= least_estimate(percent)).select("a", "b").distinct(), "pairs")
 
     # every class with the most central one of each of its bands
-    centre = ranked.groupBy("band").agg((-F.max(F.struct("weight", (-F.col("class_id")).alias("c")))["c"]).alias("centre"))
-    pairs = ranked.join(centre, "band").where("class_id <> centre").select(F.least("class_id", "centre").alias("a"), F.greatest("class_id", "centre").alias("b")).distinct()
+    centre = written(ranked.groupBy("band").agg((-F.max(F.struct("weight", (-F.col("class_id")).alias("c")))["c"]).alias("centre"), F.count("*").alias("n")), "centres")
+    pairs = joined(ranked.select("band", "class_id"), centre, ["band"], "class_id").where("class_id <> centre").select(F.least("class_id", "centre").alias("a"), F.greatest("class_id", "centre").alias("b")).distinct()
     links = written(confirmed(likely(pairs), docs, percent), "confirmed")
 
     # what shares a band with another component
     roots = components(links).withColumnRenamed("node", "class_id")
     placed = ranked.select("band", "class_id").join(roots, "class_id", "left").withColumn("root", F.coalesce("root", "class_id"))
-    apart = placed.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("band")
-    apart = placed.join(apart, "band").select("class_id", "root").distinct()
+    apart = written(placed.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n")).where("low <> high").select("band", "n"), "unlinked-bands")
+    apart = joined(placed, apart, ["band"], "class_id").select("class_id", "root").distinct()
     candidates = written(apart.join(docs.withColumnRenamed("doc_id", "class_id"), "class_id"), "unlinked-texts")
     texts = candidates.select(F.col("class_id").alias("doc_id"), "text")
     links = links.unionByName(written(confirmed(likely(prefix_pairs(candidates, percent)), texts, percent), "confirmed"))
