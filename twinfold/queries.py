@@ -523,7 +523,24 @@ def pool_last_token(spark, d):
     return last.join(inside, "item_id", "left").select(F.col("item_id").alias("conv_id"), "last_text", "last_user")
 
 
-@query()
+def _manifest_sql(name: str, columns: dict[str, str]) -> str:
+    """Row hashes of JSON objects in order of the columns' names, then digests by six, three and no leading digits."""
+    row = "to_json({" + ", ".join(f"'{c}': {columns[c]}" for c in sorted(columns)) + "})"
+    each = f"SELECT sha256(CAST({row} AS VARCHAR)) AS k, count(*) AS n FROM {name} GROUP BY 1"
+    each = f"SELECT k, k || ':' || n AS d, n FROM ({each})"
+    for digits in (6, 3):
+        each = f"SELECT substr(k, 1, {digits}) AS k, sha256(string_agg(d, '' ORDER BY d)) AS d, sum(n) AS n FROM ({each}) GROUP BY 1"
+    return f"SELECT '{name}' AS artifact, CAST(coalesce(sum(n), 0) AS BIGINT) AS \"rows\", sha256(coalesce(string_agg(d, '' ORDER BY d), '')) AS digest FROM ({each})"
+
+
+_MANIFEST = {
+    "orders": {c: c for c in ("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority")} | {"o_orderdate": "strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S.%g')"},
+    "customer": {c: c for c in ("c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment")},
+    "documents": {c: c for c in ("doc_id", "text", "lang", "source", "n_chars")},
+}
+
+
+@query(" UNION ALL ".join(_manifest_sql(n, c) for n, c in _MANIFEST.items()))
 def dataset_manifest(spark, d):
     return tables.manifest(**{n: table(spark, d, n) for n in ("orders", "customer", "documents")})
 
