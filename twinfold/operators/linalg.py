@@ -6,11 +6,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .metrics import rank_for_variance
 
+#: Coordinates of partial sums that a task holds before it gives them on.
+HELD_NUMBERS = 4_000_000
+
 
 def _triangles(column: str):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -58,9 +61,63 @@ def rowspace_basis(differences: DataFrame, column: str = "difference") -> np.nda
     return v[:rank]
 
 
+def vector_sums(df: DataFrame, by: list[str], column: str = "features") -> DataFrame:
+    """by, n, sums, squares of each group: its vectors (not null), and sums of their coordinates and of the squares of these.
+    Each task adds up what it reads, a bounded number of groups at a time, so that a large group leaves it as one row;
+    these partial sums then meet by group, of which a task holds one."""
+    schema = "_key string, n long, sums array<double>, squares array<double>"
+
+    def frame(rows: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame(rows, columns=["_key", "n", "sums", "squares"])
+
+    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[str, tuple] = {}
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            x = np.stack(pdf[column].to_numpy()).astype(float)
+            of, keys = pd.factorize(pdf["_key"])
+            order, n = np.argsort(of, kind="stable"), np.bincount(of)
+            x, first = x[order], np.cumsum(n) - n
+            for key, *own in zip(keys, n.tolist(), np.add.reduceat(x, first), np.add.reduceat(x * x, first), strict=True):
+                held[key] = tuple(a + b for a, b in zip(held[key], own, strict=True)) if key in held else tuple(own)
+            if len(held) * x.shape[1] > HELD_NUMBERS:
+                yield frame([(k, *v) for k, v in held.items()])
+                held = {}
+        yield frame([(k, *v) for k, v in held.items()])
+
+    def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last = None
+        for pdf in batches:
+            done = []
+            for key, *own in zip(pdf["_key"], pdf["n"], pdf["sums"], pdf["squares"], strict=True):
+                if last is not None and last[0] == key:
+                    last = (key, *(a + b for a, b in zip(last[1:], own, strict=True)))
+                    continue
+                if last is not None:
+                    done.append(last)
+                last = (key, *own)
+            if done:
+                yield frame(done)
+        if last is not None:
+            yield frame([last])
+
+    key = F.to_json(F.struct(*by)) if by else F.lit("{}")
+    parts = df.where(F.col(column).isNotNull()).select(key.alias("_key"), column).mapInPandas(partial, schema)
+    whole = parts.repartition("_key").sortWithinPartitions("_key").mapInPandas(meet, schema)
+    if not by:
+        return whole.drop("_key")
+    return whole.withColumn("_key", F.from_json("_key", df.select(*by).schema)).select("_key.*", "n", "sums", "squares")
+
+
+def mean_and_variance() -> tuple[Column, Column]:
+    """Of rows of vector_sums: the mean vector and the vector of population variances."""
+    mean = F.transform("sums", lambda x: x / F.col("n"))
+    return mean, F.zip_with("squares", mean, lambda q, m: F.greatest(q / F.col("n") - m * m, F.lit(0.0)))
+
+
 def mean_vectors(df: DataFrame, by: list[str], column: str = "features") -> DataFrame:
-    long = df.select(*by, F.posexplode(column).alias("i", "x")).groupBy(*by, "i").agg(F.avg("x").alias("x"))
-    return long.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda p: p.x).alias("mean"))
+    return vector_sums(df, by, column).select(*by, mean_and_variance()[0].alias("mean"))
 
 
 def mean_axes(controls: DataFrame, column: str = "features") -> np.ndarray:

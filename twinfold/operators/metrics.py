@@ -156,9 +156,11 @@ def recentred_accuracy(df: DataFrame, cell: list[str], pair: str) -> DataFrame:
 def effective_n(df: DataFrame, group: list[str], features: str = "features") -> DataFrame:
     """n, distinct_vectors, distinct_fraction, within_share: part of the summed variance over all dimensions that lies
     within groups (of two rows or more)."""
-    long = df.select(*group, F.posexplode(features).alias("i", "x"))
-    whole = long.groupBy("i").agg(F.var_pop("x").alias("v")).agg(F.sum("v").alias("total"))
-    each = long.groupBy(*group, "i").agg(F.var_pop("x").alias("v"), F.count("*").alias("k")).where("k > 1").groupBy(*group).agg(F.sum("v").alias("v")).agg(F.avg("v").alias("within"))
+    from .linalg import mean_and_variance, vector_sums
+
+    total = F.aggregate(mean_and_variance()[1], F.lit(0.0), lambda s, v: s + v)
+    whole = vector_sums(df, [], features).agg(F.first(total).alias("total"))
+    each = vector_sums(df, group, features).where("n > 1").agg(F.avg(total).alias("within"))
     size = df.agg(F.count("*").alias("n"), F.count_distinct(F.xxhash64(features)).alias("distinct_vectors"))
     return size.crossJoin(whole).crossJoin(each).select("n", "distinct_vectors", (F.col("distinct_vectors") / F.col("n")).alias("distinct_fraction"), F.try_divide("within", "total").alias("within_share"))
 

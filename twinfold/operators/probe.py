@@ -231,9 +231,10 @@ def out_of_fold(items: DataFrame, selectors: dict[str, tuple[Column, Column]], c
 def standardise_by(train: DataFrame, df: DataFrame, key: str, features: str = "features", extra: float = 1e-6) -> DataFrame:
     """df with features standardised by the training statistics of its group (population deviation plus extra); groups
     with fewer than two training rows stay as they are. Column arithmetic on arrays; the statistics are one row a group."""
-    long = train.select(key, F.posexplode(features).alias("i", "x")).groupBy(key, "i").agg(F.avg("x").alias("m"), (F.stddev_pop("x") + extra).alias("s"), F.count("*").alias("n"))
-    ordered = lambda c: F.transform(F.array_sort(F.collect_list(F.struct("i", c))), lambda p: p[c])
-    stats = long.where("n > 1").groupBy(key).agg(ordered("m").alias("_m"), ordered("s").alias("_s"))
+    from .linalg import mean_and_variance, vector_sums
+
+    mean, variance = mean_and_variance()
+    stats = vector_sums(train, [key], features).where("n > 1").select(key, mean.alias("_m"), F.transform(variance, lambda v: F.sqrt(v) + extra).alias("_s"))
     moved = F.zip_with(F.zip_with(features, "_m", lambda x, m: x.cast("double") - m), "_s", lambda x, s: x / s)
     return df.join(stats, key, "left").withColumn(features, F.when(F.col("_m").isNull(), F.transform(features, lambda x: x.cast("double"))).otherwise(moved)).drop("_m", "_s")
 
