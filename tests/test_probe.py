@@ -176,3 +176,16 @@ def test_sums_of_many_tasks_are_those_of_one(spark):
     x = np.random.default_rng(0).normal(size=(300, 4))
     rows = spark.createDataFrame([(list(map(float, v)),) for v in x], "v array<double>").repartition(40)
     assert np.allclose(np.linalg.svd(linalg.triangle(rows, "v"))[1], np.linalg.svd(x)[1])
+
+
+def test_sums_of_vectors_by_group(spark, monkeypatch):
+    from twinfold.operators import linalg
+
+    monkeypatch.setattr(linalg, "HELD_NUMBERS", 4)
+    x = np.random.default_rng(7).normal(size=(60, 3))
+    rows = [(None if i % 4 == 0 else f"k{i % 4}", i % 2, list(map(float, v))) for i, v in enumerate(x)] + [("k1", 1, None)]
+    df = spark.createDataFrame(rows, "a string, b int, features array<double>").repartition(6)
+    got = {(r.a, r.b): r for r in linalg.vector_sums(df, ["a", "b"]).collect()}
+    assert set(got) == {(None, 0), ("k1", 1), ("k2", 0), ("k3", 1)}
+    assert got[None, 0].n == 15 and np.allclose(got[None, 0].sums, x[::4].sum(0)) and np.allclose(got["k3", 1].squares, (x[3::4] ** 2).sum(0))
+    assert np.allclose(linalg.vector_sums(df, []).first().sums, x.sum(0)) and linalg.vector_sums(df.where("false"), ["a"]).count() == 0
