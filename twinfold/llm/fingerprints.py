@@ -3,9 +3,11 @@
 A text is cut into paragraphs (the sentences of its lines), and each distinct paragraph becomes a digest of 47 bits of
 its hash and 16 bits that check them. A digest falls into one cell of each of three parts of the sketch; a cell holds
 how many digests it has, and the XOR of them. The sketches of two versions are subtracted cell by cell; a cell with one
-digest left shows it, and taking it out of its other cells shows more, until nothing is left. If something stays, the same
+digest left shows it, and taking it out of its other cells shows more, until nothing is left. A cell is taken for such a one if its
+check bits agree and it is one of the digest's cells; a cell of several digests may still look so, which is why what is put back is
+no difference, and why digests that the versions don't have count as a failure. If something stays or fails, the same
 is done with larger sketches: the digests are dealt to groups by their hash, and a group that doesn't peel gets four times
-the cells and other places in them. All of it is a projection of one row; its work grows as the number of paragraphs,
+the cells and other places in them. A group that no sketch settles (odds below 1e-12) is compared digest by digest. All of it is a projection of one row; its work grows as the number of paragraphs,
 but for the dealing, which takes three rounds of as many parts as the cube root of the groups."""
 
 from __future__ import annotations
@@ -64,10 +66,14 @@ def subtracted(a: str, b: str) -> str:
     return f"zip_with({a}, {b}, (l, r) -> named_struct('c', l.c - r.c, 'k', l.k ^ r.k))"
 
 
+#: What was taken out, without digests that were put back later.
+_CANCELLED = "if(size(array_distinct(transform(st.got, x -> abs(x)))) = size(st.got), st.got, filter(st.got, x -> not array_contains(st.got, -x)))"
+
+
 def _peeled(cells: str, pure: str, left: str) -> str:
     step = let("pure", pure, f"if(size(pure) = 0, named_struct('cells', st.cells, 'got', st.got, 'go', false), named_struct('cells', {left}, 'got', st.got || transform(pure, x -> x.x), 'go', true))")
     start = f"named_struct('cells', {cells}, 'got', cast(array() as array<bigint>), 'go', true)"
-    return f"aggregate(sequence(1, {PEEL_ROUNDS}), {start}, (st, r) -> if(st.go, {step}, st), st -> if(forall(st.cells, v -> v.c = 0 and v.k = 0), st.got, null))"
+    return f"aggregate(sequence(1, {PEEL_ROUNDS}), {start}, (st, r) -> if(st.go, {step}, st), st -> if(forall(st.cells, v -> v.c = 0 and v.k = 0) and size(array_distinct(st.got)) = size(st.got), {_CANCELLED}, null))"
 
 
 _ALONE = f"(v.c = 1 or v.c = -1) and (v.k & 65535) = ({_CHECK.format('v.k')})"
@@ -75,7 +81,7 @@ _ALONE = f"(v.c = 1 or v.c = -1) and (v.k & 65535) = ({_CHECK.format('v.k')})"
 
 def peeled(cells: str) -> str:
     """The digests that differ, negative if only the second text has them; null if the sketch doesn't peel."""
-    pure = f"transform(array_distinct(transform(filter(st.cells, v -> {_ALONE}), v -> v.k * v.c)), x -> named_struct('x', x, 'm', {_mask('abs(x)')}))"
+    pure = f"transform(array_distinct(transform(filter(st.cells, (v, i) -> {_ALONE} and (shiftright({_mask('v.k')}, i) & 1) = 1), v -> v.k * v.c)), x -> named_struct('x', x, 'm', {_mask('abs(x)')}))"
     return _peeled(cells, pure, f"transform(st.cells, (v, i) -> {_changed('pure', 'v', '-')})")
 
 
@@ -84,7 +90,7 @@ def peeled_larger(items: str) -> str:
     place = "pmod(shiftrightunsigned(xxhash64({0}, salt), 10 * {1}), m)"
     cell = "aggregate(filter({0}, x -> {1} = {2}), {3}, (a, x) -> named_struct('c', a.c {4} cast(sign(x.x) as int), 'k', a.k ^ abs(x.x)))"
     cells = f"flatten(transform(sequence(0, 2), t -> transform(sequence(0, m - 1), j -> {cell.format(items, place.format('abs(x.x)', 't'), 'j', _ZERO, '+')})))"
-    pure = f"transform(array_distinct(transform(filter(st.cells, v -> {_ALONE}), v -> v.k * v.c)), x -> named_struct('x', x))"
+    pure = f"transform(array_distinct(transform(filter(st.cells, (v, i) -> {_ALONE} and {place.format('v.k', 'cast(i div m as int)')} = i % m), v -> v.k * v.c)), x -> named_struct('x', x))"
     return _peeled(cells, pure, f"transform(st.cells, (v, i) -> {cell.format('pure', place.format('abs(x.x)', 'cast(i div m as int)'), 'i % m', 'v', '-')})")
 
 
@@ -97,15 +103,18 @@ def _dealt(items: str) -> str:
 
 def differences(own: str, others: list[str]) -> str:
     """For each of the others (columns of digests, beside columns of the same name and _cells with their sketches) the
-    digests that are in own only, and negative those that are in it only: from the fingerprints, else from larger sketches.
-    Digests that no size and places show (of odds below 1e-12 a group) raise an error."""
+    digests that are in own only, and negative those that are in it only: from the fingerprints, else from larger sketches, else
+    (for a group that none of them settles) from the digests themselves."""
+    # what was peeled, if the two versions have it
+    known = lambda got, every: let("g", got, f"if(size(g) = 0 or size(array_except(g, {every})) = 0, g, null)")
+    signed_items = "transform(w, y -> y.x)"
     sizes = ", ".join(map(str, LARGER_CELLS))
-    tries = f"aggregate(sequence(1, {len(LARGER_CELLS)}), cast(null as array<bigint>), (got, salt) -> coalesce(got, {let('m', f'element_at(array({sizes}), salt)', peeled_larger('w'))}))"
-    group = f"coalesce({peeled(_cells('w'))}, {tries}, cast(raise_error('a sketch does not peel') as array<bigint>))"
+    tries = f"aggregate(sequence(1, {len(LARGER_CELLS)}), cast(null as array<bigint>), (got, salt) -> coalesce(got, {known(let('m', f'element_at(array({sizes}), salt)', peeled_larger('w')), signed_items)}))"
+    group = f"coalesce({known(peeled(_cells('w')), signed_items)}, {tries}, filter({signed_items}, x -> not exists(w, y -> y.x = -x)))"
     signed = f"{_items(own, 1, 'pmod(xxhash64(d), n)')} || {_items('o.d', -1, 'pmod(xxhash64(d), n)')}"
     dealt = let("n", f"greatest(1L, cast(ceil((size({own}) + size(o.d)) / {GROUP_DIGESTS}D) as bigint))", let("f", "cast(ceil(cbrt(n)) as bigint)", let("every", signed, _dealt("every"))))
     pairs = ", ".join(f"named_struct('d', {x}, 'cells', {x}_cells)" for x in others)
-    return f"transform(array({pairs}), o -> coalesce({peeled(subtracted(f'{own}_cells', 'o.cells'))}, flatten(transform({dealt}, w -> {group}))))"
+    return f"transform(array({pairs}), o -> coalesce({known(peeled(subtracted(f'{own}_cells', 'o.cells')), f'{own} || transform(o.d, d -> -d)')}, flatten(transform({dealt}, w -> {group}))))"
 
 
 def likeness(a: Column, b: Column, apart: Column) -> Column:
