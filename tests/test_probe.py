@@ -3,7 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from twinfold.operators import linalg, matching, metrics, probe, resample
+from twinfold.operators import fits, linalg, matching, metrics, probe, protocols, resample
 
 
 def newton(x, y, c):
@@ -90,25 +90,25 @@ def test_penalty_shrinks_the_cue_effect(spark):
     rows, diffs = bank.withColumn("y", (F.col("intended_purpose") == "evaluation").cast("double")), matching.cue_differences(bank)
     effect = {}
     for name, recipe in {"plain": probe.Recipe(), "penalty": probe.Recipe(1.0, 4.0, (1.0,))}.items():
-        model = probe.fit_penalised(fit, rows, diffs, recipe, 0.5)
+        model = protocols.fit_penalised(fit, rows, diffs, recipe, 0.5)
         assert model.converged
-        effect[name] = abs(metrics.cue_effect(probe.score(bank, [model], F.lit(0)), probe.score(fit, [model], F.lit(0))).first().effect)
+        effect[name] = abs(metrics.cue_effect(fits.score_batch(bank, [model], F.lit(0)), fits.score_batch(fit, [model], F.lit(0))).first().effect)
     assert effect["penalty"] < effect["plain"] / 3
 
 
 def test_projected_probes_and_folds(spark):
     items = shortcut_items(spark).withColumn("language", F.lit("en"))
-    scored = probe.fold_scores(items, 0.1)
+    scored = protocols.fold_scores(items, 0.1)
     assert scored.count() == 40 and metrics.slice_metrics(scored, {"all": []}).first().auc > 0.95
     bank = controls(spark)
     fit = items.withColumn("features", F.slice("features", 1, 6))
     gap = {}
     for method in ("none", "svd", "mean"):
-        own, other = probe.fit_probe(fit, bank, method, 0.5)
+        own, other = protocols.fit_probe(fit, bank, method, 0.5)
         gap[method] = abs(metrics.cue_effect(other, own).first().effect)
     assert max(gap["svd"], gap["mean"]) <= gap["none"] + 1e-6
     limits = spark.createDataFrame([("auc_floor", ">=", 0.9), ("max_effect", "abs<=", 5.0)], "metric string, op string, bound double")
-    got = {r.model: r.passed for r in probe.confirm({"m": fit}, {"m": bank}, {"m": bank}, probe.Recipe(1.0, 1.0), 0.5, limits).collect()}
+    got = {r.model: r.passed for r in protocols.confirm({"m": fit}, {"m": bank}, {"m": bank}, probe.Recipe(1.0, 1.0), 0.5, limits).collect()}
     assert got == {"m": True, None: True}
 
 
@@ -171,8 +171,8 @@ def test_sums_of_many_tasks_are_those_of_one(spark):
     def run(batches):
         yield pd.DataFrame({"fit": [0, 1], "v": [[float(sum(len(b) for b in batches)), 1.0], [2.0, 3.0]]})
 
-    df = spark.range(1000).repartition(probe.FEW_TASKS * 2 + 5)
-    assert probe._sums(df, run, 2, 2).tolist() == [[1000.0, probe.FEW_TASKS * 2 + 5], [2.0 * (probe.FEW_TASKS * 2 + 5), 3.0 * (probe.FEW_TASKS * 2 + 5)]]
+    df = spark.range(1000).repartition(probe.FAN_IN * 4 + 5)
+    assert probe._sums(df, run, 2, 2).tolist() == [[1000.0, probe.FAN_IN * 4 + 5], [2.0 * (probe.FAN_IN * 4 + 5), 3.0 * (probe.FAN_IN * 4 + 5)]]
     x = np.random.default_rng(0).normal(size=(300, 4))
     rows = spark.createDataFrame([(list(map(float, v)),) for v in x], "v array<double>").repartition(40)
     assert np.allclose(np.linalg.svd(linalg.triangle(rows, "v"))[1], np.linalg.svd(x)[1])

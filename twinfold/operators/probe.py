@@ -16,8 +16,9 @@ from pyspark.sql import functions as F
 from . import metrics
 
 
-FEW_TASKS = 32
 FAN_IN = 16
+#: Numbers in the vectors of a task of a pass, below which tasks are put together.
+TASK_NUMBERS = 4_000_000
 
 
 @dataclass
@@ -83,9 +84,15 @@ def minimise(start: np.ndarray, tolerance: float, most: int, memory: int = 12) -
     return x, bool(np.abs(g).max() <= tolerance), calls
 
 
+def in_few_tasks(rows: DataFrame, numbers: float) -> DataFrame:
+    """rows with about TASK_NUMBERS numbers a task, if they lie in more tasks than that: a pass over a small table is one task."""
+    tasks = max(1, int(-(-numbers // TASK_NUMBERS)))
+    return rows.coalesce(tasks) if tasks < rows.rdd.getNumPartitions() else rows
+
+
 def _sums(df: DataFrame, run, k: int, width: int) -> np.ndarray:
-    """Summed vectors of run's output by fit. Each task gives one row for each fit; of many tasks FAN_IN meet in a task of
-    the next round, so none holds those of all, and what comes to the driver is of a few."""
+    """Summed vectors of run's output by fit. Each task gives one row for each fit; FAN_IN tasks' rows meet in a task of
+    the next round, so none holds those of all, and one row a fit comes to the driver, in one job."""
 
     def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total: dict[int, np.ndarray] = {}
@@ -95,11 +102,11 @@ def _sums(df: DataFrame, run, k: int, width: int) -> np.ndarray:
         yield pd.DataFrame({"fit": list(total), "v": list(total.values())})
 
     parts, tasks = df.mapInPandas(run, "fit int, v array<double>"), df.rdd.getNumPartitions()
-    while tasks > FEW_TASKS:
+    while tasks > 1:
         tasks = -(-tasks // FAN_IN)
         parts = parts.repartition(tasks).mapInPandas(add, "fit int, v array<double>")
     out = np.zeros((k, width))
-    for r in parts.toLocalIterator():
+    for r in parts.collect():
         out[r.fit] += np.array(r.v)
     return out
 
@@ -139,6 +146,7 @@ def fit_many(rows: DataFrame, k: int, c: list[float], recipe: Recipe = Recipe(),
         mean, sd = np.zeros_like(mean), np.ones_like(sd)
 
     counts = {r.role: r.n for r in rows.groupBy("role").agg(F.count("*").alias("n")).collect()}
+    rows = in_few_tasks(rows, sum(counts.values()) * width)
     strength = 1 / (np.array(c, float) * n)
     theta, passes, good = np.zeros((k, width + 1)), np.zeros(k, int), np.ones(k, bool)
     for penalty in [*recipe.continuation, recipe.cue_penalty]:
@@ -278,121 +286,6 @@ def direction_cosines(items: DataFrame, masks: dict[str, Column], c: float = 0.1
     return items.sparkSession.createDataFrame([(a, b, float(w[i] @ w[j])) for i, a in enumerate(names) for j, b in enumerate(names)], "left string, right string, cosine double")
 
 
-def sweep(items: DataFrame, activations: DataFrame, selectors: dict[str, tuple[Column, Column]], c: float = 0.1) -> DataFrame:
-    """layer, regime, n, balanced_accuracy, auc for each layer: one batched fit a layer over that layer's partition."""
-    out = None
-    for layer in sorted(r[0] for r in activations.select("layer").distinct().collect()):
-        rows = items.join(activations.where(F.col("layer") == layer).select("item_id", "features"), "item_id")
-        scored = out_of_fold(rows, selectors, c)
-        own = metrics.slice_metrics(scored, {"regime": ["regime"]}).select(F.lit(layer).alias("layer"), F.col("slice_key").alias("regime"), "n", "balanced_accuracy", "auc")
-        out = own if out is None else out.unionByName(own)
-    return out
-
-
-def fit_penalised(fit: DataFrame, controls: DataFrame, differences: DataFrame, recipe: Recipe, c: float) -> Fit:
-    """One fit with control loss and cue penalty. fit: features, y; controls: features, y; differences: difference (of raw
-    vectors). A fit that doesn't converge says so and isn't an error."""
-    shape = lambda df, role, x, y: df.select(F.transform(x, lambda v: v.cast("double")).alias("features"), F.col(y).cast("double").alias("y") if y else F.lit(0.0).alias("y"), F.array(F.lit(0)).alias("fits"), F.lit(role).alias("role"))
-    rows = shape(fit, "fit", "features", "y").unionByName(shape(controls, "control", "features", "y")).unionByName(shape(differences, "difference", "difference", None)).cache()
-    try:
-        return fit_many(rows, 1, [c], recipe, zero_sd="add")[0]
-    finally:
-        rows.unpersist()
-
-
-def _one_fit(train: DataFrame, c: float, y: str = "y") -> Fit:
-    rows = train.select(F.transform("features", lambda v: v.cast("double")).alias("features"), F.col(y).cast("double").alias("y"), F.array(F.lit(0)).alias("fits"), F.lit("fit").alias("role")).cache()
-    try:
-        return fit_many(rows, 1, [c], zero_sd="raw")[0]
-    finally:
-        rows.unpersist()
-
-
-def fold_scores(items: DataFrame, c: float, family: str = "family", key: str = "language", fit_language: str | None = None, fit_mask: Column | None = None, y: str = "y", least: int = 10) -> DataFrame:
-    """items of each held-out family with score and pred (1 above 0), standardised by language with the training rows'
-    statistics. Folds with fewer than ``least`` training rows or one class are skipped. fit_language: fit on it only."""
-    mask, out = F.lit(True) if fit_mask is None else fit_mask, None
-    for held in sorted(r[0] for r in items.select(family).distinct().collect()):
-        train = items.where((F.col(family) != held) & mask)
-        size = train.agg(F.count("*").alias("n"), F.count_distinct(y).alias("k")).first()
-        if size.n < least or size.k < 2:
-            continue
-        moved = standardise_by(train, train, key)
-        model = _one_fit(moved.where(F.col(key) == fit_language) if fit_language else moved, c, y)
-        own = score(standardise_by(train, items.where(F.col(family) == held), key), [model], F.lit(0), tie=">")
-        out = own if out is None else out.unionByName(own)
-    return out
-
-
-def fit_probe(fit: DataFrame, controls: DataFrame, method: str, c: float, fraction: float = 0.9, key: str = "language") -> tuple[DataFrame, DataFrame]:
-    """Scored rows of fit and of controls of a probe whose vectors are standardised by language (statistics of fit) and
-    freed of a subspace: of the cue differences (``svd``), of the mean cue axes (``mean``) or of nothing (``none``)."""
-    from . import linalg
-    from .matching import cue_differences
-
-    x, z = standardise_by(fit, fit, key), standardise_by(fit, controls, key)
-    if method != "none":
-        basis = linalg.svd_basis(cue_differences(z), fraction) if method == "svd" else linalg.mean_axes(z)
-        x, z = linalg.project_out(x, basis), linalg.project_out(z, basis)
-    model = _one_fit(x, c)
-    return score(x, [model], F.lit(0), tie=">"), score(z, [model], F.lit(0), tie=">")
-
-
-def score_frozen(fit: DataFrame, controls: DataFrame, c: float, key: str = "language") -> DataFrame:
-    """controls, scored by the direction fitted on all of fit."""
-    return fit_probe(fit, controls, "none", c, key=key)[1]
-
-
-def confirm(fits: dict[str, DataFrame], dev: dict[str, DataFrame], fresh: dict[str, DataFrame], recipe: Recipe, c: float, thresholds: DataFrame) -> DataFrame:
-    """model, passed, failed_gates, one shot: the frozen recipe fitted on the rows and development controls of each model,
-    fresh controls scored, gates on auc_floor and max_effect; the row with a null model says whether all models pass."""
-    from .matching import cue_differences
-
-    out = None
-    for name, fit in fits.items():
-        rows = dev[name].withColumn("y", (F.col("intended_purpose") == "evaluation").cast("double"))
-        model = fit_penalised(fit, rows, cue_differences(dev[name]), recipe, c)
-        record = metrics.control_record(score(fresh[name], [model], F.lit(0)), score(fit, [model], F.lit(0)))
-        own = record.select(F.lit(name).alias("model"), F.lit(model.converged).alias("_ok"), F.stack(F.lit(2), F.lit("auc_floor"), F.col("auc_floor"), F.lit("max_effect"), F.col("max_effect")).alias("metric", "value"))
-        out = own if out is None else out.unionByName(own)
-    gates = metrics.apply_gates(out, thresholds, ["model", "_ok"]).withColumn("passed", F.col("passed") & F.col("_ok"))
-    return gates.rollup("model").agg(F.bool_and("passed").alias("passed"), F.count_if(~F.col("passed")).alias("failed_gates"))
-
-
-def crossfit_controls(controls: DataFrame, fit: DataFrame, recipe: Recipe, c: float, block: str = "control_block_id") -> DataFrame:
-    """controls with scores from fits whose controls and differences leave the row's block out. One fit a block; the scored
-    rows of all blocks in one table."""
-    from .matching import cue_differences
-
-    out = None
-    for b in sorted(r[0] for r in controls.select(block).distinct().collect()):
-        rest = controls.where(F.col(block) != b)
-        rows = rest.withColumn("y", (F.col("intended_purpose") == "evaluation").cast("double"))
-        model = fit_penalised(fit, rows, cue_differences(rest), recipe, c)
-        own = score(controls.where(F.col(block) == b), [model], F.lit(0), tie=">").withColumn("converged", F.lit(model.converged))
-        out = own if out is None else out.unionByName(own)
-    return out
-
-
-def reciprocal(banks: dict[str, DataFrame], fit: DataFrame, recipes: dict[str, Recipe], c: float) -> DataFrame:
-    """recipe, source, target, auc_floor, max_effect, eligible: controls of one bank steer the fit, those of another test it.
-    A fit that doesn't converge makes its recipe ineligible."""
-    from .matching import cue_differences
-
-    out = None
-    for name, recipe in recipes.items():
-        for source, bank in banks.items():
-            rows = bank.withColumn("y", (F.col("intended_purpose") == "evaluation").cast("double"))
-            model = fit_penalised(fit, rows, cue_differences(bank), recipe, c)
-            spread = score(fit, [model], F.lit(0))
-            for target, other in banks.items():
-                if target != source:
-                    record = metrics.control_record(score(other, [model], F.lit(0)), spread)
-                    own = record.select(F.lit(name).alias("recipe"), F.lit(source).alias("source"), F.lit(target).alias("target"), "auc_floor", "max_effect", F.lit(model.converged).alias("eligible"))
-                    out = own if out is None else out.unionByName(own)
-    return out
-
-
 def pool_tokens(tokens: DataFrame, how: str, span_end: str | None = None) -> DataFrame:
     """One vector an item from (item_id, pos, char_end, features): the last token, the mean, or the last token that lies
     wholly before the end of a span (the last one if there is none)."""

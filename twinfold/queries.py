@@ -785,4 +785,4 @@ def orientation_null(spark, d):
     return resample.orientation_null(rows, "block", 20)
 
 
-from . import set_queries  # noqa: E402, F401  (registers further queries)
+from . import probe_queries, set_queries  # noqa: E402, F401  (register further queries)
