@@ -112,10 +112,40 @@ def test_projected_probes_and_folds(spark):
     assert got == {"m": True, None: True}
 
 
-def test_bootstrap_weights_draw_as_many_clusters(spark):
-    df = spark.range(30).withColumn("c", (F.col("id") % 6).cast("int"))
-    w = resample.cluster_weights(df, "c", 20, 1)
-    assert {r.s for r in w.groupBy("rep").agg(F.sum("weight").alias("s")).collect()} == {6.0}
+def test_split_weights_are_multinomial(spark):
+    w = resample.cluster_weights(np.arange(300), 300, 4000, 1)
+    assert (w.sum(0) == 300).all() and abs(w.mean() - 1) < 1e-9
+    # variance 1 - 1/n of each cluster, covariance -1/n, and no order effect
+    assert np.abs(w.var(1) - 1).max() < 0.15 and abs(np.corrcoef(w[:150].sum(0), w[150:].sum(0))[0, 1] + 1) < 1e-9
+    assert abs(w[::2].sum(0).var() / 75 - 1) < 0.1 and abs((w == 0).mean() - np.exp(-1)) < 0.005
+    # any part of the clusters has the weights that it has in the whole
+    some = np.array([0, 7, 149, 150, 299])
+    assert (resample.cluster_weights(some, 300, 4000, 1) == w[some]).all()
+    assert (resample.cluster_weights(some, 300, 4000, 2) != w[some]).any()
+
+
+def test_intervals_are_those_of_copied_rows(spark, monkeypatch):
+    monkeypatch.setattr(resample, "WEIGHED_ROWS", 7)
+    rng = np.random.default_rng(3)
+    rows = [(int(c), int(y), float(np.round(s, 1)), int(s > 0), "ab"[c % 2]) for c, y, s in zip(rng.integers(0, 20, 200), rng.integers(0, 2, 200), rng.normal(size=200), strict=True)]
+    df = spark.createDataFrame([*rows, (None, 1, 9.0, 1, "a")], "c int, y int, score double, pred int, k string").repartition(6)
+    cs, ys, ss, ps, ks = map(np.array, zip(*rows, strict=True))
+    w = resample.cluster_weights(np.arange(20), 20, 300, 4)
+    auc, bacc, mean = [], [], {"a": [], "b": []}
+    for r in range(300):
+        v = w[cs, r].astype(float)
+        pos, neg = ys == 1, ys == 0
+        win = (ss[pos][:, None] > ss[neg]) + 0.5 * (ss[pos][:, None] == ss[neg])
+        auc.append(v[pos] @ win @ v[neg] / v[pos].sum() / v[neg].sum())
+        bacc.append(np.mean([(v * (ps == k))[ys == k].sum() / v[ys == k].sum() for k in (0, 1)]))
+        for k in mean:
+            mean[k].append((v * ss)[ks == k].sum() / v[ks == k].sum())
+    got = resample.cluster_auc_interval(df, "c", 300, 4).first()
+    assert np.allclose([got.low, got.high], np.percentile(auc, [2.5, 97.5]))
+    got = resample.cluster_recall_interval(df, "c", 300, 4).first()
+    assert np.allclose([got.low, got.high], np.percentile(bacc, [2.5, 97.5]))
+    for r in resample.cluster_interval(df, "c", {"_v": F.col("score"), "_n": F.lit(1)}, F.col("_v") / F.col("_n"), 300, 4, ["k"]).collect():
+        assert np.allclose([r.low, r.high], np.percentile(mean[r.k], [2.5, 97.5]))
 
 
 def test_gates_are_conjunctive(spark):

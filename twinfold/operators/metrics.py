@@ -8,10 +8,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-#: Ranges of scores, about equal in rows, that rank sums are taken in.
-RANGES = 64
-
-
 # -- aggregate expressions, for groupBy(...).agg(...) ------------------------------------------------------------------
 
 
@@ -39,9 +35,9 @@ def rank_sums(df: DataFrame, cell: list[str], y: str = "y", score: str = "score"
     """cell, wins (positives above negatives, ties a half), p and n (positives and negatives)."""
     w = F.col(weight) if weight else F.lit(1.0)
     at = df.groupBy(*cell, score).agg(F.coalesce(F.sum(F.when(F.col(y) == 1, w)), F.lit(0.0)).alias("pos"), F.coalesce(F.sum(F.when(F.col(y) == 0, w)), F.lit(0.0)).alias("neg"))
-    # a cell may hold most of the rows, so its scores are cut into ranges: running sums within each, then over the ranges
-    bounds = df.agg(F.percentile_approx(score, [i / RANGES for i in range(1, RANGES)], 1000).alias("_bounds"))
-    at = at.crossJoin(F.broadcast(bounds)).withColumn("_range", F.coalesce(F.size(F.filter("_bounds", lambda x: x <= F.col(score))), F.lit(-1))).drop("_bounds")
+    # a cell may hold most of the rows, so rows are dealt by ranges of (cell, score), about equal in rows and as many as there are
+    # shuffle partitions: running sums within each range, then over the ranges of a cell
+    at = at.repartitionByRange(*cell, score).withColumn("_range", F.spark_partition_id())
     before = lambda by, order, what: F.coalesce(F.sum(what).over(Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
     own = at.withColumn("_below", before([*cell, "_range"], score, "neg")).groupBy(*cell, "_range").agg(F.sum(F.col("pos") * (F.col("_below") + F.col("neg") / 2)).alias("_wins"), F.sum("pos").alias("_p"), F.sum("neg").alias("_n"))
     return own.withColumn("_below", before(cell, "_range", "_n")).groupBy(*cell).agg(F.sum(F.col("_wins") + F.col("_p") * F.col("_below")).alias("wins"), F.sum("_p").alias("p"), F.sum("_n").alias("n"))

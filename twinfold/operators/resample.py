@@ -1,68 +1,156 @@
-"""Whole-cluster bootstrap with draws from SHA-256, random-direction and orientation nulls."""
+"""Whole-cluster bootstrap by split multinomials, random-direction and orientation nulls.
+
+How often each of n clusters is drawn in n draws is split down a tree: of the m draws that fall on a range of cluster ranks, a binomial
+number falls on its left half, down to single clusters. Each number comes from a hash of seed, replicate and range alone, so a
+task finds the weights of the clusters it holds by the ranges above them, and no draw, weight or copy of a row is made elsewhere."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import metrics
 
-
-def cluster_weights(df: DataFrame, cluster: str, samples: int, seed: int) -> DataFrame:
-    """rep, cluster, weight: how often each cluster is drawn in each of ``samples`` resamples of as many clusters as there
-    are. Draw j of a replicate takes the cluster whose rank is the SHA-256 of seed, replicate and j modulo the number."""
-    spark = df.sparkSession
-    ranked = df.select(cluster).distinct()
+#: Draws up to which a binomial is counted one by one; beyond, it is rounded from a normal one. Rows that a task weighs at a time.
+COUNTED, WEIGHED_ROWS = 32, 1024
+_WORD = np.uint64(0xFFFFFFFF)
+
+
+def mix(x: np.ndarray) -> np.ndarray:
+    """A 32-bit hash of 32-bit numbers: shifts by 16, 15 and 16, products with 0x7FEB352D and 0x846CA68B."""
+    x = x ^ (x >> np.uint64(16))
+    x = (x * np.uint64(0x7FEB352D)) & _WORD
+    x = x ^ (x >> np.uint64(15))
+    x = (x * np.uint64(0x846CA68B)) & _WORD
+    return x ^ (x >> np.uint64(16))
+
+
+def binomial(m: np.ndarray, share: float, key: np.ndarray) -> np.ndarray:
+    """For each of m a number of draws of it, each of which hits with the probability share, from a hash of its key."""
+    u = lambda j: mix((key + np.uint64((j + 1) * 0x9E3779B9 % (1 << 32))) & _WORD).astype(float)
+    out = np.zeros(len(m), np.int64)
+    for j in range(min(COUNTED, int(m.max(initial=0)))):
+        out += (m > j) & (m <= COUNTED) & (u(j) < share * 2.0**32)
+    if (m > COUNTED).any():
+        z = np.sqrt(-2 * np.log((u(0) + 0.5) / 2.0**32)) * np.cos(2 * np.pi * (u(1) + 0.5) / 2.0**32)
+        near = np.floor(m * share + z * np.sqrt(m * share * (1 - share)) + 0.5).astype(np.int64)
+        out = np.where(m > COUNTED, np.clip(near, 0, m), out)
+    return out
+
+
+def cluster_weights(ranks: np.ndarray, n: int, samples: int, seed: int) -> np.ndarray:
+    """Row i: how often the cluster of rank ranks[i] (ascending, different) of n is drawn in each replicate."""
+    out = np.zeros((len(ranks), samples), np.int64)
+    rep = mix((np.uint64(seed * 0x9E3779B1 % (1 << 32)) + np.arange(samples, dtype=np.uint64)) & _WORD)
+    fold = lambda x: np.uint64((x ^ x >> 32) & 0xFFFFFFFF)
+    stack = [(0, n, np.full(samples, n, np.int64), 0, len(ranks))]
+    while stack:
+        low, high, m, a, b = stack.pop()
+        if a == b:
+            continue
+        if high - low == 1:
+            out[a] = m
+            continue
+        middle = (low + high) // 2
+        left = binomial(m, (middle - low) / (high - low), mix(mix(rep ^ fold(low)) ^ fold(high)))
+        cut = a + int(np.searchsorted(ranks[a:b], middle))
+        stack += [(low, middle, left, a, cut), (middle, high, m - left, cut, b)]
+    return out
+
+
+def ranked_clusters(df: DataFrame, cluster: str) -> tuple[DataFrame, int]:
+    """cluster and _rank of each different cluster (not null), and their number."""
     from ..plans.grids import global_rank
 
-    ranked = global_rank(ranked, cluster, "_rank")
-    n = ranked.count()
-    draws = spark.range(samples).select(F.col("id").cast("int").alias("rep")).crossJoin(spark.range(n).select(F.col("id").alias("draw")))
-    digest = F.substring(F.sha2(F.concat_ws("|", F.lit(str(seed)), F.col("rep").cast("string"), F.col("draw").cast("string")), 256), 1, 12)
-    taken = draws.select("rep", F.pmod(F.conv(digest, 16, 10).cast("long"), F.lit(n)).alias("_rank")).groupBy("rep", "_rank").agg(F.count("*").cast("double").alias("weight"))
-    return taken.join(ranked, "_rank").select("rep", cluster, "weight")
-
-
-def cluster_interval(df: DataFrame, cluster: str, metric: Callable[[Column], Column], samples: int, seed: int, by: list[str] | None = None) -> DataFrame:
-    """by, low, high: the 2.5 and 97.5 percentiles of a metric of weighted rows, given as a function from the weight column
-    to an aggregate. Each row meets every replicate that draws its cluster (about 0.63 of them), so where the metric is made of
-    sums, give one row of sums a cluster, as cluster_recall_interval does."""
-    by = by or []
-    rows = df.join(cluster_weights(df, cluster, samples, seed), cluster)
-    values = rows.groupBy("rep", *by).agg(metric(F.col("weight")).alias("value")).where("value is not null")
+    ranked = global_rank(df.select(cluster).where(F.col(cluster).isNotNull()).distinct(), cluster, "_rank")
+    return ranked, ranked.count()
+
+
+def cluster_interval(df: DataFrame, cluster: str, sums: dict[str, Column], metric: Column, samples: int, seed: int, by: list[str] | None = None) -> DataFrame:
+    """by, low, high: the 2.5 and 97.5 percentiles of a metric of weighted sums over ``samples`` resamples of as many clusters as there
+    are (rows of a null cluster are left out). sums: names and what a row adds to each; metric: an expression of the names. Rows are
+    added up by cluster first; a task gives one row of sums a replicate, whatever it holds."""
+    by, names = by or [], list(sums)
+    ranked, n = ranked_clusters(df, cluster)
+    own = df.groupBy(cluster, *by).agg(*[F.sum(c).cast("double").alias(name) for name, c in sums.items()])
+    rows = own.join(ranked, cluster).select("_rank", *by, F.array(*[F.coalesce(name, F.lit(0.0)) for name in names]).alias("_s"))
+    keys = [f for f in rows.schema.fields if f.name in by]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[tuple, np.ndarray] = {}
+        for pdf in batches:
+            for start in range(0, len(pdf), WEIGHED_ROWS):
+                part = pdf.iloc[start : start + WEIGHED_ROWS]
+                ranks, at = np.unique(part["_rank"].to_numpy(), return_inverse=True)
+                w = cluster_weights(ranks, n, samples, seed)
+                for key, i in part.assign(_i=np.arange(len(part))).groupby(by, dropna=False)["_i"] if by else [((), pd.Series(np.arange(len(part))))]:
+                    v = w[at[i.to_numpy()]].T @ np.stack(part["_s"].iloc[i.to_numpy()].to_numpy())
+                    held[key] = held[key] + v if key in held else v
+        for key, v in held.items():
+            yield pd.DataFrame({"rep": np.arange(samples), **{k: [x] * samples for k, x in zip(by, key, strict=True)}, **{name: v[:, j] for j, name in enumerate(names)}})
+
+    schema = ", ".join(["rep int", *[f"`{f.name}` {f.dataType.simpleString()}" for f in keys], *[f"`{x}` double" for x in names]])
+    values = rows.mapInPandas(run, schema).groupBy("rep", *by).agg(*[F.sum(x).alias(x) for x in names]).select(*by, metric.alias("value")).where("value is not null")
     return values.groupBy(*by).agg(F.percentile("value", 0.025).alias("low"), F.percentile("value", 0.975).alias("high"))
 
 
 def cluster_recall_interval(df: DataFrame, cluster: str, samples: int, seed: int, y: str = "y", pred: str = "pred") -> DataFrame:
-    """low, high of the balanced accuracy. Rows are added up by cluster before they meet the replicates, so what is copied
-    has one row a cluster, however many rows there are."""
+    """low, high of the balanced accuracy."""
     hit = F.col(y) == F.col(pred)
-    sums = df.groupBy(cluster).agg(*[F.count_if(F.col(y) == k).alias(f"_n{k}") for k in (0, 1)], *[F.count_if((F.col(y) == k) & hit).alias(f"_h{k}") for k in (0, 1)])
+    sums = {f"_n{k}": (F.col(y) == k).cast("double") for k in (0, 1)} | {f"_h{k}": ((F.col(y) == k) & hit).cast("double") for k in (0, 1)}
+    a, b = (F.try_divide(F.col(f"_h{k}"), F.col(f"_n{k}")) for k in (0, 1))
+    return cluster_interval(df, cluster, sums, F.coalesce((a + b) / 2, a, b), samples, seed)
 
-    def balanced(w: Column) -> Column:
-        a, b = (F.try_divide(F.sum(w * F.col(f"_h{k}")), F.sum(w * F.col(f"_n{k}"))) for k in (0, 1))
-        return F.coalesce((a + b) / 2, a, b)
 
-    return cluster_interval(sums, cluster, balanced, samples, seed)
+def cluster_auc_interval(df: DataFrame, cluster: str, samples: int, seed: int) -> DataFrame:
+    """low, high of the AUC. Rows lie in ranges of scores; a task weighs its rows in order, for all replicates at once, and gives each
+    replicate's wins, positives and negatives of its range. Ranges then meet in order, so no row is copied for a replicate."""
+    ranked, n = ranked_clusters(df, cluster)
+    # rows of equal cluster, score and class count as one
+    same = df.where("score is not null").groupBy(cluster, "score", "y").agg(F.count("*").alias("_same"))
+    rows = same.join(ranked, cluster).select("_rank", F.col("score").cast("double").alias("score"), F.col("y").cast("int").alias("y"), "_same")
 
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        wins, pos, neg, low = np.zeros(samples), np.zeros(samples), np.zeros(samples), None
+        score, own_pos, own_neg = None, np.zeros(samples), np.zeros(samples)  # of the last score, which may go on
 
-def cluster_auc_interval(df: DataFrame, cluster: str, samples: int, seed: int) -> DataFrame:
-    """low, high of the AUC: weighted ranks for each replicate, without pairs of rows. Ranks need the rows themselves, so each
-    meets the replicates that draw its cluster: about 0.63 * samples copies of (cluster, score, y)."""
-    # rows of equal cluster, score and class count as one with a weight
-    same = df.groupBy(cluster, "score", "y").agg(F.count("*").alias("_same"))
-    rows = same.join(cluster_weights(df, cluster, samples, seed), cluster).withColumn("weight", F.col("weight") * F.col("_same"))
-    values = metrics.auc(rows, ["rep"], weight="weight").where("auc is not null")
-    return values.agg(F.percentile("auc", 0.025).alias("low"), F.percentile("auc", 0.975).alias("high"))
+        def close():
+            nonlocal wins, pos, neg
+            wins, pos, neg = wins + own_pos * (neg + own_neg / 2), pos + own_pos, neg + own_neg
+
+        for pdf in batches:
+            for start in range(0, len(pdf), WEIGHED_ROWS):
+                part = pdf.iloc[start : start + WEIGHED_ROWS]
+                low = part["score"].iloc[0] if low is None else low
+                ranks, at = np.unique(part["_rank"].to_numpy(), return_inverse=True)
+                w = cluster_weights(ranks, n, samples, seed)[at] * part["_same"].to_numpy()[:, None]
+                s, one = part["score"].to_numpy(), part["y"].to_numpy() == 1
+                first = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
+                p, q = (np.add.reduceat(w * side[:, None], first, axis=0).astype(float) for side in (one, ~one))
+                if score is not None and s[0] == score:
+                    p[0], q[0] = p[0] + own_pos, q[0] + own_neg
+                elif score is not None:
+                    close()
+                below = neg + np.cumsum(q, axis=0) - q
+                wins, pos, neg = wins + (p[:-1] * (below[:-1] + q[:-1] / 2)).sum(0), pos + p[:-1].sum(0), neg + q[:-1].sum(0)
+                score, own_pos, own_neg = s[-1], p[-1], q[-1]
+        if low is not None:
+            close()
+            yield pd.DataFrame({"low": low, "rep": np.arange(samples), "wins": wins, "p": pos, "n": neg})
+
+    ranges = rows.repartitionByRange("score").sortWithinPartitions("score").mapInPandas(run, "low double, rep int, wins double, p double, n double")
+    below = F.coalesce(F.sum("n").over(Window.partitionBy("rep").orderBy("low").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    each = ranges.withColumn("_below", below).groupBy("rep").agg(F.try_divide(F.sum(F.col("wins") + F.col("p") * F.col("_below")), F.sum("p") * F.sum("n")).alias("auc"))
+    return each.where("auc is not null").agg(F.percentile("auc", 0.025).alias("low"), F.percentile("auc", 0.975).alias("high"))
 
 
 def mean_interval(df: DataFrame, value: str, ident: str, samples: int, seed: int) -> DataFrame:
-    """low, high of the mean of single rows."""
-    return cluster_interval(df, ident, lambda w: F.sum(w * F.col(value)) / F.sum(w), samples, seed)
+    """low, high of the mean of the rows, drawn by ident."""
+    return cluster_interval(df, ident, {"_v": F.col(value), "_n": F.lit(1)}, F.try_divide(F.col("_v"), F.col("_n")), samples, seed)
 
 
 def metric_record(point: DataFrame, interval: DataFrame, name: str, threshold: float | None = None) -> DataFrame:

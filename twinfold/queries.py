@@ -478,29 +478,40 @@ def best_layer(spark, d):
     return metrics.best_layer(rows, ["model"], "q").withColumn("q", r6("q"))
 
 
-_DRAWS = """, c AS (SELECT block, row_number() OVER (ORDER BY block) - 1 AS rk FROM (SELECT DISTINCT block FROM items)), n AS (SELECT count(*) AS n FROM c),
- w AS (SELECT rep, CAST('0x' || substr(sha256(concat_ws('|', '5', rep, j)), 1, 12) AS BIGINT) % n.n AS rk, count(*) AS weight FROM n, range(200) AS r(rep), range((SELECT n FROM n)) AS q(j) GROUP BY 1, 2), x AS (SELECT rep, weight, items.* FROM w JOIN c USING (rk) JOIN items USING (block))"""
+def _mixed(x: str) -> str:
+    """The 32-bit hash of resample.mix in SQL."""
+    steps = ["xor(a, a >> 16)", "(a * 2146121005::UBIGINT) % 4294967296", "xor(a, a >> 15)", "(a * 2221713035::UBIGINT) % 4294967296", "xor(a, a >> 16)"]
+    out = f"[({x})::UBIGINT]"
+    for s in steps:
+        out = f"list_transform({out}, lambda a: {s})"
+    return f"({out})[1]"
 
 
-@query("WITH " + ITEMS + _DRAWS + """, v AS (SELECT rep, coalesce((a + b) / 2, a, b) AS value FROM (SELECT rep, sum(CASE WHEN y = 0 AND pred = 0 THEN weight ELSE 0 END) FILTER (WHERE y = 0) / nullif(sum(weight) FILTER (WHERE y = 0), 0) AS a, sum(CASE WHEN y = 1 AND pred = 1 THEN weight ELSE 0 END) FILTER (WHERE y = 1) / nullif(sum(weight) FILTER (WHERE y = 1), 0) AS b FROM x GROUP BY 1))
- SELECT round(quantile_cont(value, 0.025), 6) AS low, round(quantile_cont(value, 0.975), 6) AS high FROM v""")
-def cluster_bootstrap_bacc(spark, d):
-    return resample.cluster_recall_interval(items(spark, d), "block", 200, 5).select(r6("low").alias("low"), r6("high").alias("high"))
+def split_draws(samples: int, seed: int, cluster: str = "block", rows: str = "items") -> str:
+    """CTEs c (cluster, rk) and w (rep, rk, weight): multinomial weights by splitting ranges of ranks in halves."""
+    u = lambda j: _mixed(f"(key + ({j} + 1)::UBIGINT * 2654435769) % 4294967296")
+    normal = f"sqrt(-2 * ln(({u('0')} + 0.5) / 4294967296)) * cos(2 * pi() * ({u('1')} + 0.5) / 4294967296)"
+    counted = f"len(list_filter(range(m), lambda j: {u('j')} < (mid - lo) / (hi - lo) * 4294967296))"
+    left = f"CASE WHEN m <= 32 THEN {counted} ELSE least(m, greatest(0, floor(m * ((mid - lo) / (hi - lo)) + {normal} * sqrt(m * ((mid - lo) / (hi - lo)) * (1 - (mid - lo) / (hi - lo))) + 0.5)::BIGINT)) END"
+    start = seed * 0x9E3779B1 % (1 << 32)
+    return f"""c AS (SELECT {cluster}, row_number() OVER (ORDER BY {cluster}) - 1 AS rk FROM (SELECT DISTINCT {cluster} FROM {rows})),
+ nd AS (SELECT rep, {_mixed(f"({start} + rep) % 4294967296")} AS seed, 0::BIGINT AS lo, (SELECT count(*) FROM c) AS hi, (SELECT count(*) FROM c) AS m FROM range({samples}) AS r(rep) UNION ALL
+  SELECT rep, seed, h.lo, h.hi, h.m FROM (SELECT rep, seed, unnest([{{'lo': lo, 'hi': mid, 'm': l}}, {{'lo': mid, 'hi': hi, 'm': m - l}}]) AS h FROM (SELECT *, {left} AS l FROM (SELECT *, (lo + hi) // 2 AS mid, {_mixed(f"xor({_mixed('xor(seed, lo::UBIGINT)')}, hi::UBIGINT)")} AS key FROM nd WHERE hi - lo > 1)))),
+ w AS MATERIALIZED (SELECT rep, lo AS rk, m AS weight FROM nd WHERE hi - lo = 1)"""
 
 
-@query("WITH " + ITEMS + _DRAWS + """, g AS (SELECT rep, score, coalesce(sum(weight) FILTER (WHERE y = 1), 0) AS pos, coalesce(sum(weight) FILTER (WHERE y = 0), 0) AS neg FROM x GROUP BY 1, 2), h AS (SELECT *, coalesce(sum(neg) OVER (PARTITION BY rep ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM g),
- v AS (SELECT rep, sum(pos * (below + neg / 2.0)) / (sum(pos) * sum(neg)) AS value FROM h GROUP BY 1) SELECT round(quantile_cont(value, 0.025), 6) AS low, round(quantile_cont(value, 0.975), 6) AS high FROM v""")
-def cluster_bootstrap_auc(spark, d):
-    return resample.cluster_auc_interval(items(spark, d), "block", 200, 5).select(r6("low").alias("low"), r6("high").alias("high"))
+_DRAWS = ", " + split_draws(2000, 5) + ", x AS (SELECT rep, weight, items.* FROM w JOIN c USING (rk) JOIN items USING (block))"
 
 
-@query(SQL["cluster_bootstrap_bacc"].replace("range(200)", "range(2000)"))
-def cluster_bootstrap_bacc_2000(spark, d):
+@query("WITH RECURSIVE " + ITEMS + _DRAWS + """, v AS (SELECT rep, coalesce((a + b) / 2, a, b) AS value FROM (SELECT rep, sum(CASE WHEN y = 0 AND pred = 0 THEN weight ELSE 0 END) FILTER (WHERE y = 0) / nullif(sum(weight) FILTER (WHERE y = 0), 0) AS a, sum(CASE WHEN y = 1 AND pred = 1 THEN weight ELSE 0 END) FILTER (WHERE y = 1) / nullif(sum(weight) FILTER (WHERE y = 1), 0) AS b FROM x GROUP BY 1))
+ SELECT round(quantile_cont(value, 0.025), 6) AS low, round(quantile_cont(value, 0.975), 6) AS high FROM v""")
+def cluster_bootstrap_bacc(spark, d):
     return resample.cluster_recall_interval(items(spark, d), "block", 2000, 5).select(r6("low").alias("low"), r6("high").alias("high"))
 
 
-@query(SQL["cluster_bootstrap_auc"].replace("range(200)", "range(2000)"))
-def cluster_bootstrap_auc_2000(spark, d):
+@query("WITH RECURSIVE " + ITEMS + _DRAWS + """, g AS (SELECT rep, score, coalesce(sum(weight) FILTER (WHERE y = 1), 0) AS pos, coalesce(sum(weight) FILTER (WHERE y = 0), 0) AS neg FROM x GROUP BY 1, 2), h AS (SELECT *, coalesce(sum(neg) OVER (PARTITION BY rep ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM g),
+ v AS (SELECT rep, sum(pos * (below + neg / 2.0)) / (sum(pos) * sum(neg)) AS value FROM h GROUP BY 1) SELECT round(quantile_cont(value, 0.025), 6) AS low, round(quantile_cont(value, 0.975), 6) AS high FROM v""")
+def cluster_bootstrap_auc(spark, d):
     return resample.cluster_auc_interval(items(spark, d), "block", 2000, 5).select(r6("low").alias("low"), r6("high").alias("high"))
 
 

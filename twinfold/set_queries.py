@@ -13,7 +13,7 @@ from .functions import scalars as S
 from .operators import checks, ledger, matching, metrics, readers, render, resample
 from .plans import grids
 from .sources import tables
-from .queries import ITEMS, items, query, r6, table
+from .queries import ITEMS, items, query, r6, split_draws, table
 
 
 class Rows:
@@ -427,14 +427,13 @@ def top_cells(spark, d):
     return out.select("position", "layer", r6(metrics.relative_depth(F.col("layer"), 7)).alias("depth"), r6("floor").alias("floor"))
 
 
-_DRAWN = """, d AS (SELECT rep, CAST(CAST('0x' || substr(sha256('5|' || rep || '|' || j), 1, 12) AS BIGINT) % (SELECT count(DISTINCT block) FROM items) AS BIGINT) AS rank FROM range(200) AS a(rep), range((SELECT count(DISTINCT block) FROM items)) AS b(j)), w AS (SELECT rep, rank, count(*) AS weight FROM d GROUP BY 1, 2), k AS (SELECT block, row_number() OVER (ORDER BY block) - 1 AS rank FROM (SELECT DISTINCT block FROM items)),
- v AS (SELECT rep, sum(weight * score) / sum(weight) AS value FROM items JOIN k USING (block) JOIN w USING (rank) GROUP BY 1)"""
+_DRAWN = ", " + split_draws(5000, 5) + ", v AS (SELECT rep, sum(weight * score) / sum(weight) AS value FROM items JOIN c USING (block) JOIN w USING (rk) GROUP BY 1)"
 
 
-@query("WITH " + ITEMS + _DRAWN + " SELECT 'mean_score' AS metric, round((SELECT avg(score) FROM items), 6) AS value, round(quantile_cont(value, 0.025), 6) AS low, round(quantile_cont(value, 0.975), 6) AS high, 0.0 AS threshold, (SELECT avg(score) FROM items) >= 0.0 AS passed FROM v")
+@query("WITH RECURSIVE " + ITEMS + _DRAWN + " SELECT 'mean_score' AS metric, round((SELECT avg(score) FROM items), 6) AS value, round(quantile_cont(value, 0.025), 6) AS low, round(quantile_cont(value, 0.975), 6) AS high, 0.0 AS threshold, (SELECT avg(score) FROM items) >= 0.0 AS passed FROM v")
 def mean_record(spark, d):
     rows = items(spark, d)
-    interval = resample.mean_interval(rows, "score", "block", 200, 5)
+    interval = resample.mean_interval(rows, "score", "block", 5000, 5)
     return resample.metric_record(rows.agg(F.avg("score").alias("value")), interval, "mean_score", 0.0).withColumns({c: r6(c) for c in ("value", "low", "high")})
 
 
