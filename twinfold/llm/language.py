@@ -87,36 +87,34 @@ def build(counted: list[tuple[str, int]]) -> Filter:
     return Filter(languages, slots, fill**HASHES)
 
 
-def train(docs: DataFrame, sample_docs: int = 500, least_share: float = 1e-4) -> Filter:
-    """Learns from the whole texts of at most sample_docs documents of each language (those of the smallest hashes of
-    doc_id) that aren't held out: all n-grams that are at least least_share of their language's, so never more than
-    1 / least_share of one language. docs has doc_id, text and lang; rows with a null in one of them, or docs without a
-    column lang, teach nothing."""
+def train(docs: DataFrame, sample_docs: int = 500) -> Filter:
+    """Learns all n-grams of the whole texts of at most sample_docs documents of each language (those of the smallest hashes of doc_id and
+    text) that aren't held out; the filter has SLOTS_PER_GRAM slots for each of them. docs has doc_id, text and lang; rows with a null in
+    one of them, or docs without a column lang, teach nothing."""
     if "lang" not in docs.columns:
         return build([])
     labelled = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
     # a language may have most of the rows, so each of its parts draws first; then at most SALTS * sample_docs rows a language
-    salted = labelled.select("doc_id", "lang", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(SALTS)).alias("salt"))
-    order = (F.xxhash64("doc_id"), F.col("doc_id"))
+    keyed = labelled.select("doc_id", "lang", F.xxhash64("text").alias("own"))
+    salted = keyed.withColumn("salt", F.pmod(F.xxhash64("doc_id", "own", F.lit(1)), F.lit(SALTS)))
+    order = (F.xxhash64("doc_id", "own"), F.col("doc_id"), F.col("own"))
     drawn = salted.withColumn("rank", F.row_number().over(Window.partitionBy("lang", "salt").orderBy(*order))).where(F.col("rank") <= sample_docs)
     drawn = drawn.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).where(F.col("rank") <= sample_docs)
-    # at most sample_docs numbers for each language
-    chosen = [r.doc_id for r in drawn.select("doc_id").collect()]
-    if not chosen:
-        return build([])
+    # equal rows count once here; the texts come by a join on all three, so that no other row of the doc_id does
+    drawn = written(drawn.select("doc_id", "lang", "own").distinct(), "sample")
+    sample = labelled.withColumn("own", F.xxhash64("text")).join(drawn, ["doc_id", "lang", "own"], "left_semi").dropDuplicates(["doc_id", "lang", "own"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, most=WIDE_STEP_CHARS):
             hashes, sizes, _ = grams(part.column("text"))
             langs = np.repeat(np.array(part.column("lang").to_pylist(), object), sizes)
             for lang in set(part.column("lang").to_pylist()):
-                own, n = np.unique(hashes[langs == lang], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(own), pa.string()), pa.array(own.view(np.int64)), pa.array(n, pa.int64())], ["lang", "gram", "n"])
+                own = np.unique(hashes[langs == lang])
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(own), pa.string()), pa.array(own.view(np.int64))], ["lang", "gram"])
 
-    counted = labelled.where(F.col("doc_id").isin(chosen)).select("text", "lang").mapInArrow(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    counted = written(counted, "n-grams")
-    frequent = counted.join(counted.groupBy("lang").agg(F.sum("n").alias("every")), "lang").where(F.col("n") >= F.col("every") * least_share)
-    return build([(r.lang, r.gram) for r in frequent.select("lang", "gram").collect()])
+    found = sample.select("text", "lang").mapInArrow(run, "lang string, gram long").distinct()
+    # the n-grams of at most sample_docs documents a language
+    return build([(r.lang, r.gram) for r in found.toLocalIterator()])
 
 
 def identify(column: pa.Array, model: Filter) -> tuple[list[str], np.ndarray]:
