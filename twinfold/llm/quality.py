@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import WIDE_STEP_CHARS, documents, id_and_text, slices
+from .shared import WIDE_STEP_CHARS, documents, id_and_text, slices, written
 from .words import split_words, windows
 
 # Frequent words of each language, as plain text.
@@ -98,6 +98,10 @@ def features(part: pa.RecordBatch) -> dict[str, np.ndarray]:
     }
 
 
+#: Languages that have a reference.
+MOST_LANGUAGES = 256
+
+
 def base_failed(f: dict[str, np.ndarray]) -> np.ndarray:
     return (f["n_words"] < 10) | (100 * f["n_repeat_words"] > 20 * f["n_words"])
 
@@ -113,8 +117,9 @@ def distance(counts: np.ndarray, reference: np.ndarray) -> np.ndarray:
 
 
 def references(docs: DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray]]:
-    """For each value of lang the summed histograms of all its documents that pass the base rules. One row for each
-    language and task batch is summed in Spark; what comes back is one row a language."""
+    """For each of the MOST_LANGUAGES values of lang with most counts (equal ones by name) the summed histograms of all its documents that
+    pass the base rules. Unclean labels may have millions of values; documents of the others are held against these references, too. One
+    row for each language and task batch is summed in Spark."""
     size = CLASSES + len(_vocabulary()) + 1
     if "lang" not in docs.columns:
         return {}
@@ -131,8 +136,10 @@ def references(docs: DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray]]:
         yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.int32(), pa.int64()))], ["lang", "i", "x"])
 
     counted = docs.select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).mapInArrow(run, "lang string, i int, x long")
+    sums = written(counted.groupBy("lang", "i").agg(F.sum("x").alias("x")), "references")
+    most = sums.groupBy("lang").agg(F.sum("x").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES)
     out: dict[str, np.ndarray] = {}
-    for r in counted.groupBy("lang", "i").agg(F.sum("x").alias("x")).toLocalIterator():
+    for r in sums.join(F.broadcast(most.select("lang")), "lang", "left_semi").collect():
         out.setdefault(r.lang, np.zeros(size))[r.i] = r.x
     return {k: (v[:CLASSES], v[CLASSES:]) for k, v in sorted(out.items())}
 
