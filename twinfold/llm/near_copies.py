@@ -103,15 +103,19 @@ def confirmed(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     texts = docs.where("doc_id is not null and text is not null")
     a = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("a_text"))
     b = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("b_text"))
-    return pairs.join(b, "b").join(a, "a").select("a", "b", "a_text", "b_text").mapInArrow(_confirm(percent), "a long, b long")
+    # a centre may have most of the pairs
+    sizes = written(pairs.groupBy("a").agg(F.count("*").alias("n")), "centre-sizes")
+    both = joined(pairs.join(b, "b"), sizes.join(a, "a"), ["a"], "b", sizes)
+    return both.select("a", "b", "a_text", "b_text").mapInArrow(_confirm(percent), "a long, b long")
 
 
-def joined(rows: DataFrame, own: DataFrame, keys: list[str], by: str) -> DataFrame:
-    """rows with the columns of own: one row a key, with the number n of its rows (not null). The rows of a hot key are dealt to as
+def joined(rows: DataFrame, own: DataFrame, keys: list[str], by: str, sizes: DataFrame | None = None) -> DataFrame:
+    """rows with the columns of own: one row a key, with the number n of its rows (not null; or in a table sizes). The rows of a hot key are dealt to as
     many parts as it has shares, by the column ``by``; each part has a copy of the key's row. So no task gets a hot key
     whole, and what is broadcast has fewer than HOT_SHARES rows."""
-    total = own.agg(F.sum("n")).first()[0] or 0
-    hot = F.broadcast(own.where(F.col("n") * HOT_SHARES > total).select(*keys, F.ceil(F.col("n") * HOT_SHARES / total if total else F.lit(1)).cast("long").alias("_parts")))
+    sizes = own if sizes is None else sizes
+    total = sizes.agg(F.sum("n")).first()[0] or 0
+    hot = F.broadcast(sizes.where(F.col("n") * HOT_SHARES > total).select(*keys, F.ceil(F.col("n") * HOT_SHARES / total if total else F.lit(1)).cast("long").alias("_parts")))
     parts = F.coalesce("_parts", F.lit(1).cast("long"))
     dealt = rows.join(hot, keys, "left").withColumn("_part", F.pmod(F.xxhash64(by), parts)).drop("_parts")
     copies = own.drop("n").join(hot, keys, "left").withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))).drop("_parts")
