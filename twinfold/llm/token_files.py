@@ -1,6 +1,6 @@
 """Operator 3: token ids in Arrow files of equal-length sequences and masks.
 
-Each partition of the documents, in ascending doc_id order, becomes two files in Arrow's file format:
+Each partition of the documents, in ascending doc_id order (as many as there are shuffle partitions, and more from FILE_BYTES each on), becomes two files in Arrow's file format:
 ``*.ids.arrow`` with the columns ids (fixed-size list of 16- or 32-bit numbers) and mask (fixed-size list of
 booleans, false in the padding of the last sequence), SEQUENCES rows to a batch, and ``*.docs.arrow`` with
 doc_id, start (in this file's ids) and n_tokens. Buffers aren't compressed, so a mapped file gives any
@@ -24,6 +24,8 @@ from .pieces import closed
 from .shared import documents, id_and_text, partitions, shared_folder, slices, written
 
 SEQUENCES = 64
+#: Bytes of text a file, beyond which there are more files than shuffle partitions.
+FILE_BYTES = 256_000_000
 FILES = "part int, path string, n_docs long, n_tokens long"
 
 
@@ -73,14 +75,16 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int, folder:
                 put(np.pad(rest, (0, -len(rest) % sequence_length)), len(rest))
         yield pa.RecordBatch.from_arrays([pa.array([number], pa.int32()), pa.array([f"{folder}/{name}"]), pa.array([n_docs], pa.int64()), pa.array([total], pa.int64())], [x.split()[0] for x in FILES.split(", ")])
 
-    ordered = id_and_text(docs).repartitionByRange(partitions(spark), F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    rows = id_and_text(docs)
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    ordered = rows.repartitionByRange(max(partitions(spark), -(-size // FILE_BYTES)), F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
     return written(ordered.mapInArrow(write, FILES), "token-file-list")
 
 
 def read_token_files(files: DataFrame, sequence_length: int = 2048) -> DataFrame:
     """doc_id, start (ids of all documents before it), n_tokens, ids_crc32 of each document in the listed files."""
     spark = files.sparkSession
-    # one row for each file: as many as write_token_files has partitions, never more with more documents
+    # one row for each file: one for FILE_BYTES of text
     listed, base = [], 0
     for x in sorted(files.collect(), key=lambda x: x.part):
         listed.append((x.path, base))
