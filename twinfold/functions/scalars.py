@@ -78,6 +78,17 @@ def folded(text: Column) -> Column:
     return F.when(text.rlike(r"\A[\x00-\x7f]*\z"), plain).otherwise(_folded(text))
 
 
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _casefolded(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda xs: None if xs is None else [None if x is None else x.strip().casefold() for x in xs])
+
+
+def casefolded(texts: Column) -> Column:
+    """Each text of an array without white space around it, case folded. ASCII texts stay in the JVM."""
+    plain = F.transform(texts, lambda x: F.lower(F.btrim(x, F.lit(" \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f"))))
+    return F.when(F.array_join(texts, "").rlike(r"\A[\x00-\x7f]*\z"), plain).otherwise(_casefolded(texts))
+
+
 def token_estimate(text: Column, language: Column) -> Column:
     """Characters by 4.0, or by 1.8 in Japanese, rounded up, 1 at least."""
     return F.greatest(F.lit(1), F.ceil(F.length(text) / F.when(language == "ja", 1.8).otherwise(4.0))).cast("long")
@@ -127,7 +138,7 @@ def diff_spans(left: pd.Series, right: pd.Series, language: pd.Series) -> pd.Ser
 
 def unfenced(text: Column) -> Column:
     """What a code fence around the whole text holds, or the text."""
-    return F.coalesce(F.nullif(F.regexp_extract(stripped(text), r"(?s)\A```(?:json)?\s*(.*?)\s*```\z", 1), F.lit("")), stripped(text))
+    return F.coalesce(F.nullif(F.regexp_extract(stripped(text), r"(?is)\A```(?:json)?\s*(.*?)\s*```\z", 1), F.lit("")), stripped(text))
 
 
 def parse_object(text: Column, schema: str) -> Column:

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalars import folded, nfkc, nfkc_folded
+from ..functions.scalars import casefolded, folded, nfkc, nfkc_folded, unfenced
 
 # Which check each issue code contradicts.
 ISSUE_CHECKS = {
@@ -56,9 +56,8 @@ def violations(df: DataFrame, rules: dict[str, dict], most: int = 8) -> DataFram
 
 
 def distinct_answers(correct: Column, distractors: Column) -> Column:
-    """Whether the answer and the distractors differ after folding."""
-    ascii_fold = F.transform(F.concat(F.array(correct), distractors), lambda x: F.btrim(F.lower(x)))
-    return F.size(F.array_distinct(ascii_fold)) == F.size(distractors) + 1
+    """Whether the answer and the distractors differ without white space around them and case folded."""
+    return F.size(F.array_distinct(casefolded(F.concat(F.array(correct), distractors)))) == F.size(distractors) + 1
 
 
 def repeated_keys(df: DataFrame, *key: str) -> DataFrame:
@@ -191,7 +190,8 @@ def content_qc(
     df: DataFrame, text: str = "text", slots: list[str] | None = None, lexicon: dict[str, list[str]] | None = None, phrases: dict[str, list[str]] | None = None,
     max_latin_share: float = 0.3, min_japanese: int = 1,
 ) -> DataFrame:
-    """``qc_problems`` of generated texts (language, text): empty; no JSON object of just the slots (where slots are given);
+    """``qc_problems`` of generated texts (language, text): empty; no JSON object, in a code fence or not, of just the slots with a string
+    each (where slots are given);
     an empty slot; a term of the lexicon (English ones with endings); too large a share of Latin letters, too few Japanese
     characters or full-width digits in Japanese; a phrase that gives the answer away. What follows an empty text or a wrong
     object isn't looked at. Characters are counted, and phrases sought, under NFKC."""
@@ -201,8 +201,10 @@ def content_qc(
     empty = F.coalesce(F.btrim(t) == "", F.lit(True))
     wrong, whole, blank = F.lit(False), t, F.lit(False)
     if slots:
-        own = F.from_json(t, "map<string,string>")
-        wrong = F.coalesce(~F.array_sort(F.map_keys(own)).eqNullSafe(F.array(*map(F.lit, sorted(slots)))), F.lit(True))
+        inner = unfenced(t)
+        own, typed = F.from_json(inner, "map<string,string>"), F.try_parse_json(inner)
+        other = reduce(lambda a, b: a | b, [F.coalesce(F.schema_of_variant(F.try_variant_get(typed, f"$.{x}", "variant")) != "STRING", F.lit(True)) for x in slots])
+        wrong = F.coalesce(~F.array_sort(F.map_keys(own)).eqNullSafe(F.array(*map(F.lit, sorted(slots)))), F.lit(True)) | other
         values = [F.coalesce(F.element_at(own, F.lit(x)), F.lit("")) for x in slots]
         whole, blank = F.concat_ws("\n", *values), reduce(lambda a, b: a | b, [F.btrim(x) == "" for x in values])
     df = df.withColumn("_whole", whole).withColumn("_plain", nfkc(F.col("_whole"))).withColumn("_ok", ~empty & ~wrong)
@@ -250,14 +252,54 @@ def span_counts(frames: DataFrame, cap: int = 2) -> DataFrame:
     return frames.select(F.explode("spans").alias("span")).groupBy("span").agg(F.count("*").alias("n")).where(F.col("n") > cap)
 
 
-def control_rules(items: DataFrame) -> DataFrame:
-    """control_id, problems of lexical controls: the cue term exactly once in the text, the counterpart not at all, and
-    each pair with both purposes and one cue term."""
-    once = F.size(F.split(F.lower("text"), F.concat(F.lit("\\Q"), F.lower("cue_term"), F.lit("\\E")))) == 2
-    pairs = items.groupBy("language", "control_pair_id").agg(F.count("*").alias("_n"), F.count_distinct("intended_purpose").alias("_p"), F.count_distinct("cue_term").alias("_t"))
-    rows = items.join(pairs, ["language", "control_pair_id"])
-    problems = messages((~once, "cue term not once"), (F.instr(F.lower("text"), F.lower(F.col("counterpart_term"))) > 0, "counterpart in text"), ((F.col("_n") != 2) | (F.col("_p") != 2), "pair not crossed"), (F.col("_t") != 1, "pair with several terms"))
-    return rows.select("control_id", problems.alias("problems")).where("size(problems) > 0")
+def control_rules(items: DataFrame, terms: dict[str, dict[str, str]], by: list[str] | None = None, pairs: int = 12, mention_pairs: tuple[int, ...] = (1, 2, 5, 6, 9), explicit: int = 16, implicit: int = 8) -> DataFrame:
+    """by, level, language, key, problem of banks of lexical controls (by: what tells banks apart).
+
+    items: control_id, control_pair_id, language, cue_family, control_type, intended_purpose, lexical_cue, cue_term, text. terms: the
+    explicit term of each cue by language. Texts and terms are compared case folded. Rows: a repeated id or text; an explicit cue whose
+    term isn't the language's; a term that isn't in the text, or that of another row of the pair that is; an explicit term in a text
+    of an implicit cue. Pairs (lcp01 and so on, of every language): not one row of each cue; mention pairs that aren't neutral mentions;
+    others that aren't crossed. Languages: the number of explicit and implicit rows."""
+    by, language = by or [], [*(by or []), "language"]
+    low = items.withColumn("_f", casefolded(F.array("text", "cue_term"))).withColumns({"_text": casefolded(F.array("text"))[0], "_term": F.col("_f")[1]}).drop("_f")
+    known = F.create_map(*[x for k, own in terms.items() for x in (F.lit(k), F.create_map(*[F.lit(y) for cue, term in own.items() for y in (cue, term.casefold())]))])
+    own_terms = F.try_element_at(known, F.col("language"))
+    every = F.map_values(own_terms)
+    row = messages(
+        ((F.col("cue_family") == "explicit_lexeme") & ~F.col("_term").eqNullSafe(F.try_element_at(own_terms, F.col("lexical_cue"))), "not the explicit term"), (F.coalesce(F.instr("_text", F.col("_term")), F.lit(0)) == 0, "term not in text"),
+        ((F.col("cue_family") == "implicit_cue") & F.exists(every, lambda x: F.instr(F.col("_text"), x) > 0), "explicit term in implicit text"),
+    )
+    flat = lambda df, level, key, problem: df.select(*by, F.lit(level).alias("level"), "language", F.col(key).cast("string").alias("key"), problem.alias("problem"))
+    out = [flat(low.withColumn("_p", F.explode(row)), "row", "control_id", F.col("_p"))]
+    for column, problem in (("control_id", "repeated id"), ("text", "repeated text")):
+        again = items.groupBy(*by, column).agg(F.count("*").alias("n"), F.min("language").alias("language"), F.min("control_id").alias("_id")).where("n > 1")
+        out.append(flat(again, "row", "_id", F.lit(problem)))
+    # terms of a pair with how many rows have each, so that a pair of any size isn't a group of pairs of rows
+    own = [*language, "control_pair_id"]
+    used = low.groupBy(*own, F.col("_term").alias("_other")).agg(F.count("*").alias("_n"), F.min("control_id").alias("_one"))
+    met = low.join(used, own).where((F.instr(F.col("_text"), F.col("_other")) > 0) & ((F.col("_n") > 1) | (F.col("_one") != F.col("control_id"))))
+    out.append(flat(met.select(*by, "language", "control_id").distinct(), "row", "control_id", F.lit("counterpart in text")))
+
+    number = F.explode(F.sequence(F.lit(1), F.lit(pairs)))
+    wanted = items.select(*by).distinct() if by else items.sparkSession.range(1).select()
+    wanted = wanted.crossJoin(F.broadcast(items.sparkSession.createDataFrame([(k,) for k in terms], "language string"))).withColumn("_k", number)
+    wanted = wanted.withColumn("control_pair_id", F.format_string("lcp%02d", "_k"))
+    cell = lambda purpose, cue: F.count_if((F.col("intended_purpose") == purpose) & (F.col("lexical_cue") == cue))
+    found = items.groupBy(*own).agg(
+        F.count("*").alias("_n"), F.count_if(F.col("lexical_cue") == "evaluation").alias("_e"), F.count_if(F.col("lexical_cue") == "deployment").alias("_d"), F.count_if((F.col("control_type") == "mention_only") & (F.col("intended_purpose") == "neutral")).alias("_m"),
+        F.count_if(F.col("control_type") == "crossed_distractor").alias("_c"), cell("evaluation", "deployment").alias("_ed"), cell("deployment", "evaluation").alias("_de"),
+    )
+    joined = wanted.join(found, own, "left")
+    mention = F.col("_k").isin(*mention_pairs)
+    crossed = (F.col("_c") == F.col("_n")) & (F.col("_ed") == 1) & (F.col("_de") == 1)
+    bad = F.when(~F.coalesce((F.col("_n") == 2) & (F.col("_e") == 1) & (F.col("_d") == 1), F.lit(False)), "not cue matched").when(mention & (F.col("_m") != F.col("_n")), "not neutral mention-only").when(~mention & ~crossed, "not crossed")
+    out.append(flat(joined.withColumn("_p", bad).where("_p is not null"), "pair", "control_pair_id", F.col("_p")))
+
+    size = items.groupBy(*language).agg(F.count("*").alias("_n"), F.count_if(F.col("cue_family") == "explicit_lexeme").alias("_x"), F.count_if(F.col("cue_family") == "implicit_cue").alias("_i"))
+    every_language = wanted.select(*language).distinct().join(size, language, "left").na.fill(0, ["_n", "_x", "_i"])
+    counts = messages((F.col("_n") != explicit + implicit, f"not {explicit + implicit} items"), ((F.col("_x") != explicit) | (F.col("_i") != implicit), f"not {explicit} explicit and {implicit} implicit items"))
+    out.append(flat(every_language.withColumn("_p", F.explode(counts)), "language", "language", F.col("_p")))
+    return reduce(DataFrame.unionByName, out)
 
 
 def bank_balance(items: DataFrame, cell: list[str], per_cell: int) -> DataFrame:

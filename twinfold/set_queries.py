@@ -71,11 +71,14 @@ def answer_ordinals(spark, d):
     return table(spark, d, "orders").select("o_orderkey", checks.answer_ordinal(options, F.col("o_orderpriority")).alias("ordinal"))
 
 
-@query("SELECT p_partkey, len(list_distinct(list_transform([p_name, p_brand, ' ' || upper(p_brand), p_type], lambda x: lower(trim(x))))) = 4 AS distinct_answers FROM part UNION ALL SELECT p_partkey, len(list_distinct([lower(p_name), lower(p_brand), lower(p_type), CAST(p_size AS VARCHAR)])) = 4 FROM part")
+@query("SELECT p_partkey, len(list_distinct(list_transform([p_name, p_brand, ' ' || upper(p_brand), p_type], lambda x: lower(trim(x))))) = 4 AS distinct_answers FROM part UNION ALL SELECT p_partkey, len(list_distinct([lower(p_name), lower(p_brand), lower(p_type), CAST(p_size AS VARCHAR)])) = 4 FROM part UNION ALL SELECT p_partkey, p_size <= 25 FROM part")
 def distinct_answers(spark, d):
     part = table(spark, d, "part")
     one = part.select("p_partkey", checks.distinct_answers(F.col("p_name"), F.array(F.col("p_brand"), F.concat(F.lit(" "), F.upper("p_brand")), F.col("p_type"))).alias("distinct_answers"))
-    return one.unionByName(part.select("p_partkey", checks.distinct_answers(F.col("p_name"), F.array(F.col("p_brand"), F.col("p_type"), F.col("p_size").cast("string"))).alias("distinct_answers")))
+    two = part.select("p_partkey", checks.distinct_answers(F.col("p_name"), F.array(F.col("p_brand"), F.col("p_type"), F.col("p_size").cast("string"))).alias("distinct_answers"))
+    # the large ones have the brand again: in other letters, a sharp s spelt out, with a tab and a no-break space around it
+    sharp = F.array(F.concat("p_brand", F.lit(" Straße")), F.when(F.col("p_size") > 25, F.concat(F.lit("\t"), F.upper("p_brand"), F.lit(" STRASSE\u00a0"))).otherwise("-"), F.lit("="))
+    return one.unionByName(two).unionByName(part.select("p_partkey", checks.distinct_answers(F.col("p_name"), sharp).alias("distinct_answers")))
 
 
 # -- row rules -----------------------------------------------------------------------------------------------------------
@@ -101,10 +104,10 @@ def leakage_of_topics(spark, d):
 
 
 CONTENT = Rows("documents", doc_id="doc_id", language="CASE WHEN doc_id % 2 = 0 THEN 'ja' ELSE 'en' END", text="""CASE WHEN doc_id % 7 = 0 THEN '  ' WHEN doc_id % 7 = 1 THEN '{"context": "a"}' WHEN doc_id % 7 = 2 THEN concat('{"context": "試験 ', source, '", "question": "どれ"}') WHEN doc_id % 7 = 3 THEN '{"context": "これは文章です。", "question": "１番"}'
- WHEN doc_id % 7 = 4 THEN concat('{"context": "tested by ', source, '", "question": "', lang, '"}') WHEN doc_id % 7 = 5 THEN '{"context": " ", "question": "The correct answer is A"}' ELSE '{"context": "plain", "question": "what"}' END""")
+ WHEN doc_id % 7 = 4 THEN concat('{"context": "tested by ', source, '", "question": "', lang, '"}') WHEN doc_id % 7 = 5 THEN '{"context": " ", "question": "The correct answer is A"}' WHEN doc_id % 3 = 0 THEN concat('{"context": "plain", "question": ', doc_id, '}') WHEN doc_id % 3 = 1 THEN concat('```JSON ', '{"context": "plain ', source, '", "question": "test"}', ' ``` ') ELSE concat('{"context": {"a": "', lang, '"}, "question": "what"}') END""")
 
 
-@query(f"""WITH p AS (SELECT *, trim(text) = '' AS empty, CASE WHEN trim(text) <> '' THEN text->>'$.context' END AS c, CASE WHEN trim(text) <> '' THEN text->>'$.question' END AS q FROM {CONTENT}), w AS (SELECT *, concat_ws(chr(10), c, q) AS t FROM p),
+@query(f"""WITH p AS (SELECT *, trim(text) = '' AS empty, CASE WHEN trim(text) <> '' AND json_type(j, '$.context') = 'VARCHAR' AND json_type(j, '$.question') = 'VARCHAR' THEN j->>'$.context' END AS c, CASE WHEN trim(text) <> '' AND json_type(j, '$.context') = 'VARCHAR' AND json_type(j, '$.question') = 'VARCHAR' THEN j->>'$.question' END AS q FROM (SELECT *, CASE WHEN trim(text) <> '' THEN regexp_replace(regexp_replace(trim(text), '^```(json|JSON)? *', ''), ' *```$', '') END AS j FROM {CONTENT})), w AS (SELECT *, concat_ws(chr(10), c, q) AS t FROM p),
  x AS (SELECT *, length(regexp_replace(t, '[^A-Za-z]', '', 'g')) AS latin, length(regexp_replace(t, '[^ぁ-んァ-ヶ一-龯]', '', 'g')) AS jp FROM w)
  SELECT doc_id, CASE WHEN empty THEN 'empty' WHEN c IS NULL OR q IS NULL THEN 'not the slots' ELSE concat_ws(';', CASE WHEN trim(c) = '' OR trim(q) = '' THEN 'empty slot' END,
  CASE WHEN language = 'en' AND regexp_matches(lower(t), '(^|[^a-z])test(s|es|ed|ing|d)?([^a-z]|$)') OR language = 'ja' AND instr(t, '試験') > 0 THEN 'cue' END, CASE WHEN language = 'ja' AND latin + jp > 0 AND latin / (latin + jp) > 0.3 THEN 'latin share' END,
@@ -192,13 +195,32 @@ def span_counts(spark, d):
     return checks.span_counts(table(spark, d, "part").select(F.array("p_brand", "p_brand", F.concat("p_type", F.lit("!"))).alias("spans")))
 
 
-CONTROLS = Rows("events", control_id="event_id", language="CASE WHEN user_id % 2 = 0 THEN 'en' ELSE 'de' END", control_pair_id="event_id - event_id % 2", intended_purpose="CASE WHEN event_id % 5 = 0 OR event_id % 2 = 0 THEN 'evaluation' ELSE 'deployment' END", cue_term="event_type", counterpart_term="CASE WHEN event_type = 'click' THEN 'view' ELSE 'click' END", text="concat(event_type, ' ', CASE WHEN event_id % 7 = 0 THEN 'click' ELSE 'x' END, props)")
-
-
-@query(f"""WITH c AS (SELECT * FROM {CONTROLS}), p AS (SELECT language, control_pair_id, count(*) AS n, count(DISTINCT intended_purpose) AS pp, count(DISTINCT cue_term) AS t FROM c GROUP BY 1, 2), r AS (SELECT control_id, concat_ws(';', CASE WHEN len(string_split(lower(text), lower(cue_term))) <> 2 THEN 'cue term not once' END,
- CASE WHEN instr(lower(text), lower(counterpart_term)) > 0 THEN 'counterpart in text' END, CASE WHEN n <> 2 OR pp <> 2 THEN 'pair not crossed' END, CASE WHEN t <> 1 THEN 'pair with several terms' END) AS problems FROM c JOIN p USING (language, control_pair_id)) SELECT * FROM r WHERE problems <> ''""")
+_ODD = "CAST((event_id % 24 - event_id % 2) / 2 + 1 AS INT)"
+#: Banks of 48 events; what breaks rules comes with the types, users and values of the events.
+CONTROLS = Rows(
+    "events", bank="event_id - event_id % 48", control_id="CASE WHEN value > 99 THEN event_id - event_id % 2 ELSE event_id END", language="CASE WHEN event_id % 48 < 24 THEN 'en' ELSE 'de' END", control_pair_id=f"concat('lcp', lpad(CAST({_ODD} AS VARCHAR(9)), 2, '0'))",
+    lexical_cue="CASE WHEN user_id % 29 = 0 THEN 'evaluation' WHEN event_id % 2 = 0 THEN 'evaluation' ELSE 'deployment' END", cue_family=f"CASE WHEN {_ODD} > 8 OR user_id % 31 = 0 THEN 'implicit_cue' ELSE 'explicit_lexeme' END",
+    control_type=f"CASE WHEN event_type = 'click' AND value > 90 THEN 'other' WHEN {_ODD} IN (1, 2, 5, 6, 9) THEN 'mention_only' ELSE 'crossed_distractor' END", intended_purpose=f"CASE WHEN {_ODD} IN (1, 2, 5, 6, 9) THEN 'neutral' WHEN event_id % 2 = 1 OR user_id % 23 = 0 THEN 'evaluation' ELSE 'deployment' END",
+    cue_term=f"CASE WHEN {_ODD} > 8 THEN concat('Term', CASE WHEN event_id % 2 = 0 THEN 'a' ELSE 'b' END) WHEN user_id % 19 = 0 THEN 'Assessment' WHEN event_id % 2 = 0 THEN CASE WHEN event_id % 48 < 24 THEN 'Evaluation' ELSE 'Prüfung' END ELSE CASE WHEN event_id % 48 < 24 THEN 'deployment' ELSE 'EINSATZ' END END",
+    text=f"CASE WHEN value < 1 THEN 'the same' ELSE concat('Text ', CAST(event_id AS VARCHAR(20)), CASE WHEN user_id % 13 = 0 THEN '' WHEN {_ODD} > 8 THEN CASE WHEN event_id % 2 = 0 THEN ' TERMA ' ELSE ' termB ' END WHEN user_id % 19 = 0 THEN ' assessment ' WHEN event_id % 2 = 0 THEN CASE WHEN event_id % 48 < 24 THEN ' evaluation ' ELSE ' PRÜFUNG ' END ELSE CASE WHEN event_id % 48 < 24 THEN ' Deployment ' ELSE ' Einsatz ' END END, CASE WHEN user_id % 17 = 0 THEN 'terma deployment' ELSE '' END, event_type) END",
+)
+_TERMS = {"en": {"evaluation": "evaluation", "deployment": "deployment"}, "de": {"evaluation": "Prüfung", "deployment": "Einsatz"}}
+
+
+@query(f"""WITH c AS (SELECT *, lower(text) AS t, lower(cue_term) AS m FROM {CONTROLS}), x(language, ev, de) AS (VALUES ('en', 'evaluation', 'deployment'), ('de', 'prüfung', 'einsatz')),
+ r AS (SELECT bank, language, CAST(control_id AS VARCHAR) AS key, unnest([CASE WHEN cue_family = 'explicit_lexeme' AND m <> CASE WHEN lexical_cue = 'evaluation' THEN ev ELSE de END THEN 'not the explicit term' END, CASE WHEN instr(t, m) = 0 THEN 'term not in text' END, CASE WHEN cue_family = 'implicit_cue' AND (instr(t, ev) > 0 OR instr(t, de) > 0) THEN 'explicit term in implicit text' END]) AS problem FROM c JOIN x USING (language)),
+ o AS (SELECT a.bank, a.language, a.control_pair_id, a.control_id FROM c a JOIN c b ON a.bank = b.bank AND a.language = b.language AND a.control_pair_id = b.control_pair_id AND a.control_id <> b.control_id AND instr(a.t, b.m) > 0),
+ d AS (SELECT bank, language, control_pair_id, control_id FROM (SELECT bank, language, control_pair_id, control_id, m, t, count(*) OVER (PARTITION BY bank, language, control_pair_id, m) AS n FROM c) WHERE n > 1 AND instr(t, m) > 0),
+ w AS (SELECT bank, language, k, 'lcp' || printf('%02d', k) AS control_pair_id FROM (SELECT DISTINCT bank FROM c), (SELECT language FROM x), (SELECT CAST(k AS INT) AS k FROM range(1, 13) AS y(k))),
+ g AS (SELECT bank, language, control_pair_id, count(*) AS n, count(*) FILTER (lexical_cue = 'evaluation') AS e, count(*) FILTER (lexical_cue = 'deployment') AS d, count(*) FILTER (control_type = 'mention_only' AND intended_purpose = 'neutral') AS mn, count(*) FILTER (control_type = 'crossed_distractor') AS cr, count(DISTINCT intended_purpose || '/' || lexical_cue) FILTER (intended_purpose || '/' || lexical_cue IN ('evaluation/deployment', 'deployment/evaluation')) AS cc FROM c GROUP BY 1, 2, 3),
+ p AS (SELECT w.bank, w.language, w.control_pair_id AS key, CASE WHEN n IS NULL OR n <> 2 OR e <> 1 OR d <> 1 THEN 'not cue matched' WHEN k IN (1, 2, 5, 6, 9) THEN CASE WHEN mn <> n THEN 'not neutral mention-only' END WHEN cr <> n OR cc <> 2 THEN 'not crossed' END AS problem FROM w LEFT JOIN g USING (bank, language, control_pair_id)),
+ l AS (SELECT w.bank, w.language, coalesce(n, 0) AS n, coalesce(ex, 0) AS ex, coalesce(im, 0) AS im FROM (SELECT DISTINCT bank, language FROM w) w LEFT JOIN (SELECT bank, language, count(*) AS n, count(*) FILTER (cue_family = 'explicit_lexeme') AS ex, count(*) FILTER (cue_family = 'implicit_cue') AS im FROM c GROUP BY 1, 2) USING (bank, language))
+ SELECT bank, 'row' AS level, language, key, problem FROM r WHERE problem IS NOT NULL UNION ALL SELECT bank, 'row', min(language), CAST(min(control_id) AS VARCHAR), 'repeated id' FROM c GROUP BY bank, control_id HAVING count(*) > 1 UNION ALL SELECT bank, 'row', min(language), CAST(min(control_id) AS VARCHAR), 'repeated text' FROM c GROUP BY bank, text HAVING count(*) > 1
+ UNION ALL SELECT DISTINCT bank, 'row', language, CAST(control_id AS VARCHAR), 'counterpart in text' FROM (SELECT * FROM o UNION ALL SELECT * FROM d) UNION ALL SELECT bank, 'pair', language, key, problem FROM p WHERE problem IS NOT NULL
+ UNION ALL SELECT bank, 'language', language, language, 'not 24 items' FROM l WHERE n <> 24 UNION ALL SELECT bank, 'language', language, language, 'not 16 explicit and 8 implicit items' FROM l WHERE ex <> 16 OR im <> 8""")
 def control_rules(spark, d):
-    return checks.control_rules(CONTROLS(spark, d)).transform(joined("problems"))
+    """Every bank's rows, pairs and languages under all rules of matched lexical controls."""
+    return checks.control_rules(CONTROLS(spark, d), _TERMS, ["bank"])
 
 
 SCENARIOS = Rows("lineitem", scenario="l_returnflag", **{"class": "l_linestatus"}, format="CASE WHEN l_returnflag = 'A' AND l_orderkey % 50 = 0 THEN 'odd' ELSE concat('f', l_returnflag) END")
