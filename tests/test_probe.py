@@ -155,6 +155,7 @@ def test_gates_are_conjunctive(spark):
 
 
 def test_progress_stream(spark, tmp_path):
+    """Changes of status add up to the counts, over a restart."""
     from pyspark.sql import types as T
 
     from twinfold.streaming import progress
@@ -163,15 +164,48 @@ def test_progress_stream(spark, tmp_path):
     src = tmp_path / "in"
     src.mkdir()
     (src / "a.json").write_text('{"job_id":"1","language":"en","status":"running","ts":1,"event_id":1}\n{"job_id":"2","language":"ja","status":"running","ts":1,"event_id":2}\n')
-    seen = {}
-    q = progress.progress_stream(progress.read_ledger(spark, str(src), schema), lambda df, i: seen.update({i: {(r.language, r.status): r.jobs for r in df.collect()}}), str(tmp_path / "cp"))
+    ledger = lambda: progress.read_ledger(spark, str(src), schema)
+    run = lambda: progress.progress_stream(ledger(), str(tmp_path / "out"), str(tmp_path / "cp"), available_now=True).awaitTermination()
+    counts = lambda: {(r.language, r.status): r.jobs for r in progress.current_progress(spark.read.parquet(str(tmp_path / "out"))).collect()}
+    run()
+    assert counts() == {("en", "running"): 1, ("ja", "running"): 1}
+    # after a restart: a newer status, an event that came late, one that came twice
+    (src / "b.json").write_text('{"job_id":"1","language":"en","status":"accepted","ts":2,"event_id":3}\n{"job_id":"1","language":"en","status":"queued","ts":0,"event_id":0}\n{"job_id":"2","language":"ja","status":"running","ts":1,"event_id":2}\n')
+    run()
+    assert counts() == {("en", "accepted"): 1, ("ja", "running"): 1}
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 4
+
+
+def test_redelivered_attempts_count_once(spark, tmp_path):
+    from twinfold.streaming import progress
+
+    rows = spark.range(40).selectExpr("concat('p', id % 5) AS payload_block_id", "id AS attempt", "if(id % 2 = 0, 'semantic_rejection', 'generator_output_rejection') AS status", "'bad' AS error", "timestamp_seconds(1000 + id) AS completed_at")
+    for part in (rows.where("attempt < 30"), rows.where("attempt >= 20")):
+        part.write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
+        progress.attempts_once(stream, str(tmp_path / "out"), str(tmp_path / "cp"), "1 hour", available_now=True).awaitTermination()
+    got = {r.payload_block_id: (r.generation, r.semantic) for r in progress.budgets(spark.read.parquet(str(tmp_path / "out"))).collect()}
+    assert got == {f"p{k}": (8, 4) for k in range(5)}
+
+
+def test_archives_in_parts(spark, tmp_path):
+    from twinfold.sources import tables
+
+    x = np.arange(7 * 3 * 4, dtype="float64").reshape(7, 3, 4)
+    np.savez(tmp_path / "a.npz", X=x, item_ids=np.array([f"a{i}" for i in range(7)]), layers=np.array([0, 4, 8]))
+    np.savez_compressed(tmp_path / "b.npz", X=x[:5, 0], item_ids=np.array([f"b{i}" for i in range(5)]))
+    np.savez(tmp_path / "c.npz", X=x[:0], item_ids=np.array([], "U1"), layers=np.array([0, 4, 8]))
+    df = tables.read_activations(spark, str(tmp_path), rows=2)
+    assert df.rdd.getNumPartitions() == 7
+    got = {(r.item_id, r.layer): r.features for r in df.collect()}
+    assert got == {(f"a{i}", 4 * k): x[i, k].tolist() for i in range(7) for k in range(3)} | {(f"b{i}", 0): x[i, 0].tolist() for i in range(5)}
+    assert {(r.item_id, r.layer) for r in tables.read_activations(spark, str(tmp_path / "a.npz"), [8, 5], 3).collect()} == {(f"a{i}", 8) for i in range(7)}
+    np.savez(tmp_path / "d.npz", X=x, item_ids=np.array(["only"]), layers=np.array([0, 4, 8]))
     try:
-        q.processAllAvailable()
-        (src / "b.json").write_text('{"job_id":"1","language":"en","status":"accepted","ts":2,"event_id":3}\n')
-        q.processAllAvailable()
-    finally:
-        q.stop()
-    assert seen[max(seen)] == {("en", "accepted"): 1, ("ja", "running"): 1}
+        tables.read_activations(spark, str(tmp_path / "d.npz")).collect()
+        raise AssertionError("no error")
+    except Exception as e:
+        assert "has the shape" in str(e)
 
 
 def test_sources(spark, tmp_path):

@@ -490,16 +490,23 @@ def lexicon_rules(terms: DataFrame) -> DataFrame:
 
 
 def variant_rules(frames: DataFrame, cap: int = 2) -> DataFrame:
-    """frame_id, problems of candidate frames (evaluation, deployment, language, cue_locus): no difference, a locus that the
-    number of differing spans contradicts, a span used more often than the cap."""
+    """frame_id, problems, notes of candidate frames of implicit pairs (evaluation, deployment, language, cue_locus). The places in which
+    a pair differs are the larger number of text spans of the two sides: two at least for the locus ``both``, exactly one for any other. A span
+    that one side of more than ``cap`` places of a language has is a problem of all its frames, one at the cap a note."""
     from ..functions.scalars import diff_spans
 
     rows = frames.withColumn("_spans", diff_spans("evaluation", "deployment", "language"))
-    used = rows.select(F.explode("_spans").alias("s")).groupBy(F.col("s.left").alias("_left")).agg(F.count("*").alias("_n")).where(F.col("_n") > cap)
-    over = rows.select("frame_id", F.explode("_spans").alias("s")).join(used, F.col("s.left") == F.col("_left")).select("frame_id", F.lit(True).alias("_over")).distinct()
-    n = F.size("_spans")
-    problems = messages((n == 0, "no difference"), ((F.col("cue_locus") == "both") & (n < 2), "locus"), ((F.col("cue_locus") != "both") & (n > 1), "locus"), (F.col("_over"), "span cap"))
-    return rows.join(over, "frame_id", "left").select("frame_id", problems.alias("problems")).where("size(problems) > 0")
+    rows = rows.withColumns({f"_{k}": F.filter(F.col(f"_spans.{k}"), lambda x: x != "") for k in ("left", "right")})
+    sides = F.expr("transform(_left, x -> named_struct('side', 'left', 'span', x)) || transform(_right, x -> named_struct('side', 'right', 'span', x))")
+    each = rows.select("frame_id", "language", F.explode(sides).alias("s")).select("frame_id", "language", "s.*")
+    # the cap is a number of places, so a span of millions of frames is one row here
+    often = each.groupBy("language", "side", "span").agg(F.count("*").alias("_n")).where(F.col("_n") >= cap)
+    met = each.join(often, ["language", "side", "span"]).groupBy("frame_id").agg(F.bool_or(F.col("_n") > cap).alias("_over"), F.bool_or(F.col("_n") == cap).alias("_at"))
+    n = F.greatest(F.size("_left"), F.size("_right"))
+    wrong = F.when(F.col("cue_locus") == "both", n < 2).otherwise(n != 1)
+    out = rows.join(met, "frame_id", "left")
+    out = out.select("frame_id", messages((n == 0, "no difference"), (wrong, "locus"), (F.col("_over"), "span cap")).alias("problems"), messages((F.col("_at"), "span at the cap")).alias("notes"))
+    return out.where("size(problems) > 0 or size(notes) > 0")
 
 
 def accepted_manifest(states: DataFrame, stored: DataFrame) -> DataFrame:

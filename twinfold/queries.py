@@ -796,4 +796,4 @@ def orientation_null(spark, d):
     return resample.orientation_null(rows, "block", 20)
 
 
-from . import probe_queries, set_queries  # noqa: E402, F401  (register further queries)
+from . import probe_queries, set_queries, stream_queries  # noqa: E402, F401  (register further queries)

@@ -30,6 +30,30 @@ def read_json_dir(spark: SparkSession, glob: str, schema: T.StructType) -> DataF
     return rows.withColumn("file_id", F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)\.json$", 1))
 
 
+def write_json_dir(rows: DataFrame, name: str, path: str) -> None:
+    """One file of one JSON object for each row, named by a column (different, of letters, digits, ``_`` and ``-``), which isn't in
+    the object; written by the tasks, whole or not at all."""
+    columns = [c for c in rows.columns if c != name]
+
+    def write(batches: Iterator) -> Iterator:
+        import uuid
+
+        from pyarrow import fs
+
+        store, root = fs.FileSystem.from_uri(path if "://" in path else f"file://{path}")
+        store.create_dir(root)
+        for batch in batches:
+            for own, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                held = f"{root}/_{own}-{uuid.uuid4().hex}"
+                with store.open_output_stream(held) as to:
+                    to.write(text.encode())
+                store.move(held, f"{root}/{own}.json")
+            yield batch.slice(0, 0)
+
+    texts = rows.select(F.col(name).cast("string").alias("name"), F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}).alias("text"))
+    texts.mapInArrow(write, "name string, text string").count()
+
+
 def load_catalog(spark: SparkSession, rows: list[dict], schema: str, key: str, **complete: tuple[str, set]) -> DataFrame:
     """A small dimension table. Errors: a repeated key; a column given in ``complete`` as name=(column, values) whose
     values aren't exactly those."""
@@ -44,28 +68,14 @@ def load_catalog(spark: SparkSession, rows: list[dict], schema: str, key: str, *
     return spark.createDataFrame([tuple(row[f.name] for f in T._parse_datatype_string(schema).fields) for row in rows], schema)
 
 
-def read_activations(spark: SparkSession, path: str) -> DataFrame:
-    """item_id, layer, features from array archives with item_ids, X (items, width) or X (items, layers, width) and
-    layers. Each archive is decoded where it is read; write the result as Parquet, partitioned by layer, once."""
-
-    def decode(batches: Iterator) -> Iterator:
-        import io
-
-        import numpy as np
-        import pandas as pd
-
-        for pdf in batches:
-            for content in pdf["content"]:
-                with np.load(io.BytesIO(content), allow_pickle=False) as a:
-                    x, ids = a["X"], [str(i) for i in a["item_ids"]]
-                    layers = a["layers"].tolist() if "layers" in a else [0]
-                x = x[:, None, :] if x.ndim == 2 else x
-                if x.shape[:2] != (len(ids), len(layers)):
-                    raise ValueError(f"X has the shape {x.shape} for {len(ids)} items and {len(layers)} layers")
-                for k, layer in enumerate(layers):
-                    yield pd.DataFrame({"item_id": ids, "layer": layer, "features": list(x[:, k].astype("float32"))})
+def read_activations(spark: SparkSession, path: str, layers: list[int] | None = None, rows: int = 10_000) -> DataFrame:
+    """item_id, layer, features from array archives, in parts of so many items; see activations.ActivationArchives. Write the result as
+    Parquet, partitioned by layer, once."""
+    from .activations import ActivationArchives
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(decode, "item_id string, layer int, features array<float>")
+    spark.dataSource.register(ActivationArchives)
+    reader = spark.read.format(ActivationArchives.name()).option("rows", rows)
+    return (reader if layers is None else reader.option("layers", ",".join(map(str, layers)))).load(path)
 
 
 def write_jsonl(df: DataFrame, path: str) -> None:
