@@ -27,7 +27,7 @@ def test_freshness_windows_finds_texts_inside_documents(spark):
 
 def test_rendering_holds_whole_texts(spark):
     d = "/root/testdata/sf0.001"
-    rows, texts = QUERIES["render_whole_blocks"](spark, d).collect(), {r.item_id: r.text for r in spark.read.parquet(f"{d}/benchmark.parquet").collect()}
+    rows, texts = QUERIES["render_blocks"](spark, d).collect(), {r.item_id: r.text for r in spark.read.parquet(f"{d}/benchmark.parquet").collect()}
     squeeze = lambda t: "".join(t.split())
     assert rows and all(squeeze(texts[int(r.payload_block_id[3:])]) in squeeze(r.text) for r in rows)
 

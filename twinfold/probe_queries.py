@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from .operators import fits, protocols
 from .operators.matching import cue_differences
 from .operators.probe import Recipe
-from .queries import ITEMS, items, query, r6, table
+from .queries import ITEMS, SQL, items, query, r6, table
 
 # -- SQL of fits -----------------------------------------------------------------------------------------------------------
 
@@ -196,3 +196,31 @@ def confirm_models(spark, d):
     both = lambda df: {"wide": df, "narrow": narrow(df)}
     limits = spark.createDataFrame([("auc_floor", ">=", 0.3), ("max_effect", "abs<=", 0.25)], "metric string, op string, bound double")
     return protocols.confirm(both(fit), both(controls.where("control_block_id % 2 = 0")), both(controls.where("control_block_id % 2 = 1")), Recipe(1.0, 0.25), 0.005, limits)
+
+
+# -- SQL of queries that stand in queries.py ---------------------------------------------------------------------------------
+
+
+def out_of_fold_sql(regimes: dict[str, tuple[str, str]], label: str, steps: int = 400) -> str:
+    """CTEs up to o (regime, the items' columns, y, score): every family scored by fits of the others, standardised by all rows of the fit."""
+    cases = " UNION ALL ".join(f"SELECT '{r}' AS regime, items.* REPLACE ({label} AS y), {a} AS _train, {b} AS _test FROM items" for r, (a, b) in regimes.items())
+    return "WITH RECURSIVE " + ITEMS + f""", q AS ({cases}), f AS (SELECT DISTINCT family AS held FROM items),
+ r AS MATERIALIZED (SELECT q.* EXCLUDE (embedding, score, pred, _train, _test), regime || '/' || held AS fit, _train AND family <> held AS train, _test AND family = held AS test, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM q, f),
+ s AS {stats("r WHERE train", "fit").replace(" + 1e-6", "")}, z AS MATERIALIZED (SELECT r.* EXCLUDE (e), {MOVED} AS e FROM r JOIN s USING (fit) WHERE train OR test), {training("z WHERE train", "z WHERE false", "z WHERE false", 0.1, "0", "0")}, {descent(steps, 16.5)},
+ o AS (SELECT regime, language, purpose, format, y, list_dot_product(list_append(e, 1.0), w) AS score FROM z JOIN b USING (fit) WHERE test)"""
+
+
+def slice_sql(slices: dict[str, str]) -> str:
+    each = " UNION ALL ".join(f"SELECT '{k}' AS slice_kind, {key} AS slice_key, y, score FROM o" for k, key in slices.items())
+    return f""", x AS ({each}), gs AS (SELECT slice_kind, slice_key, score, count(*) FILTER (y = 1) AS p, count(*) FILTER (y = 0) AS n FROM x GROUP BY 1, 2, 3), h AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY slice_kind, slice_key ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM gs),
+ u AS (SELECT slice_kind, slice_key, sum(p * (below + n / 2)) / nullif(sum(p) * sum(n), 0) AS auc FROM h GROUP BY 1, 2)
+ SELECT slice_kind, slice_key, count(*) AS n, round(avg(((score >= 0)::INT = y)::INT), 6) AS accuracy, round((coalesce(avg((score >= 0)::INT) FILTER (y = 1), avg((score < 0)::INT) FILTER (y = 0)) + coalesce(avg((score < 0)::INT) FILTER (y = 0), avg((score >= 0)::INT) FILTER (y = 1))) / 2, 6) AS balanced_accuracy, round(any_value(auc), 3) AS auc FROM x JOIN u USING (slice_kind, slice_key) GROUP BY 1, 2"""
+
+
+_E, _B = "purpose = 'evaluation'", "format = 'benchmark'"
+SQL["format_probe"] = out_of_fold_sql({"format": ("true", "true")}, f"({_B})::INT") + slice_sql({"regime": "regime"})
+SQL["probe_regimes"] = out_of_fold_sql({"standard_confounded": (f"({_E}) = ({_B})", "true"), "decorrelated": ("true", "true"), "benchmark_to_casual": (_B, f"NOT {_B}"), "casual_to_benchmark": (f"NOT {_B}", _B)}, f"({_E})::INT") + slice_sql({"regime": "regime", "cell": "regime || '/' || purpose || '/' || format"})
+SQL["transfer_by_language"] = out_of_fold_sql({"en": ("language = 'en'", "true"), "ja": ("language = 'ja'", "true")}, "y") + """
+ SELECT regime AS fit_on, language AS test_on, round((avg((score >= 0)::INT) FILTER (y = 1) + avg((score < 0)::INT) FILTER (y = 0)) / 2, 6) AS balanced_accuracy FROM o GROUP BY 1, 2"""
+SQL["direction_cosines"] = "WITH RECURSIVE " + ITEMS + f""", r AS MATERIALIZED (SELECT format AS fit, y, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM items), s AS {stats("r", "fit")}, z AS MATERIALIZED (SELECT fit, y, {MOVED} AS e FROM r JOIN s USING (fit)),
+ {training("z", "z WHERE false", "z WHERE false", 0.1, "0", "0")}, {descent(500, 16.5)}, d AS (SELECT fit, w[1 : len(w) - 1] AS w FROM b) SELECT a.fit AS "left", c.fit AS "right", round(list_cosine_similarity(a.w, c.w), 3) AS cosine FROM d a, d c"""

@@ -193,22 +193,12 @@ def render_blocks(spark, d):
     return _rendered(spark, d).select("item_id", "payload_block_id", "purpose", "format", "purpose_pair_id", "purpose_family_id", "text", "answer_key", "rendered_text_sha256")
 
 
-@query(SQL["render_blocks"])
-def render_whole_blocks(spark, d):
-    return render_blocks(spark, d)
-
-
 @query(f"""WITH {_RENDER}, kept AS (SELECT * FROM rendered WHERE NOT (CAST(substr(payload_block_id, 4) AS INT) % 5 = 0 AND purpose = 'deployment' AND format = 'casual')) SELECT payload_block_id, count(*) AS n, 'cells' AS problem FROM kept GROUP BY 1 HAVING count(*) <> 4""")
 def block_completeness(spark, d):
     rows = _rendered(spark, d).where(~((F.substring("payload_block_id", 4, 6).cast("int") % 5 == 0) & (F.col("purpose") == "deployment") & (F.col("format") == "casual")))
     return checks.block_checks(rows).select("payload_block_id", "n", F.array_join("problems", ",").alias("problem"))
 
 
-@query(SQL["block_completeness"])
-def whole_block_completeness(spark, d):
-    return block_completeness(spark, d)
-
-
 @query(f"""WITH {_RENDER} SELECT item_id, CASE WHEN CAST(substr(payload_block_id, 4) AS INT) % 7 = 0 THEN 'missing' ELSE 'changed' END AS problem FROM rendered WHERE (CAST(substr(payload_block_id, 4) AS INT) % 7 = 0 OR CAST(substr(payload_block_id, 4) AS INT) % 7 = 3) AND format = 'casual'""")
 def reconstruct_diff(spark, d):
     expected = _rendered(spark, d)
@@ -218,11 +208,6 @@ def reconstruct_diff(spark, d):
     return render.reconstruct_diff(actual, expected, "item_id")
 
 
-@query(SQL["reconstruct_diff"])
-def reconstruct_whole_diff(spark, d):
-    return reconstruct_diff(spark, d)
-
-
 @query("WITH " + ITEMS + " SELECT purpose, format, count(*) AS n FROM items GROUP BY CUBE (purpose, format)")
 def cell_counts_cube(spark, d):
     return checks.cell_counts(items(spark, d))
@@ -620,21 +605,21 @@ def qc_replay(spark, d):
     return ledger.qc_replay(now, table(spark, d, "labels").select("doc_id", (F.col("quality") == 1).alias("passed")), "doc_id")
 
 
-@query("""SELECT c_custkey AS payload_block_id, CASE WHEN n_nationkey IS NULL THEN 'unknown topic' ELSE 'task family' END AS problem FROM customer LEFT JOIN (SELECT * FROM nation WHERE n_nationkey <> 3) ON c_nationkey = n_nationkey WHERE n_nationkey IS NULL OR c_custkey % 5 <> n_regionkey""")
+@query("""SELECT event_id AS payload_block_id, CASE WHEN c_custkey IS NULL THEN 'unknown topic' ELSE 'task family' END AS problem FROM events LEFT JOIN customer ON user_id = c_custkey WHERE c_custkey IS NULL OR event_id % 25 <> c_nationkey""")
 def check_topics(spark, d):
-    payloads = table(spark, d, "customer").select(F.col("c_custkey").alias("payload_block_id"), F.col("c_nationkey").alias("topic_id"), (F.col("c_custkey") % 5).alias("task_family"))
-    return matching.check_topics(payloads, table(spark, d, "nation").where("n_nationkey <> 3").select(F.col("n_nationkey").alias("topic_id"), F.col("n_regionkey").alias("task_family")))
+    payloads = table(spark, d, "events").select(F.col("event_id").alias("payload_block_id"), F.col("user_id").alias("topic_id"), (F.col("event_id") % 25).alias("task_family"))
+    return matching.check_topics(payloads, table(spark, d, "customer").select(F.col("c_custkey").alias("topic_id"), F.col("c_nationkey").alias("task_family")))
 
 
-@query("""SELECT coalesce(o.k, l.k) AS payload_block_id, CASE WHEN o.k IS NULL THEN 'extra' ELSE 'missing' END AS problem FROM (SELECT DISTINCT o_custkey AS k FROM orders) l FULL JOIN (SELECT c_custkey AS k FROM customer WHERE c_custkey % 9 <> 0) o ON o.k = l.k WHERE o.k IS NULL OR l.k IS NULL""")
+@query("""SELECT coalesce(o.k, l.k) AS payload_block_id, CASE WHEN o.k IS NULL THEN 'extra' ELSE 'missing' END AS problem FROM (SELECT DISTINCT user_id AS k FROM events) l FULL JOIN (SELECT c_custkey AS k FROM customer) o ON o.k = l.k WHERE o.k IS NULL OR l.k IS NULL""")
 def block_cover(spark, d):
-    blocks = table(spark, d, "orders").select(F.col("o_custkey").alias("payload_block_id"))
-    return matching.block_cover(blocks, table(spark, d, "customer").where("c_custkey % 9 <> 0").select(F.col("c_custkey").alias("payload_block_id")))
+    blocks = table(spark, d, "events").select(F.col("user_id").alias("payload_block_id"))
+    return matching.block_cover(blocks, table(spark, d, "customer").select(F.col("c_custkey").alias("payload_block_id")))
 
 
-@query("""SELECT coalesce(c_custkey, k) AS item_id, CASE WHEN c_custkey IS NULL THEN 'no item' WHEN n IS NULL THEN 'no vector' ELSE 'several vectors' END AS problem FROM (SELECT c_custkey FROM customer WHERE c_custkey % 11 <> 0) FULL JOIN (SELECT o_custkey AS k, count(*) AS n FROM orders GROUP BY 1) ON c_custkey = k WHERE c_custkey IS NULL OR n IS NULL OR n > 1""")
+@query("""SELECT coalesce(c_custkey, k) AS item_id, CASE WHEN c_custkey IS NULL THEN 'no item' WHEN n IS NULL THEN 'no vector' ELSE 'several vectors' END AS problem FROM customer FULL JOIN (SELECT user_id AS k, count(*) AS n FROM events GROUP BY 1) ON c_custkey = k WHERE c_custkey IS NULL OR n IS NULL OR n > 1""")
 def align_items(spark, d):
-    return matching.align(table(spark, d, "customer").where("c_custkey % 11 <> 0").select(F.col("c_custkey").alias("item_id")), table(spark, d, "orders").select(F.col("o_custkey").alias("item_id")))
+    return matching.align(table(spark, d, "customer").select(F.col("c_custkey").alias("item_id")), table(spark, d, "events").select(F.col("user_id").alias("item_id")))
 
 
 @query("""SELECT source, length(text) // 500 AS size, min(doc_id) FILTER (WHERE lang = 'en') AS en, min(doc_id) FILTER (WHERE lang = 'de') AS de FROM documents GROUP BY 1, 2 HAVING en IS NOT NULL AND de IS NOT NULL""")
@@ -673,10 +658,11 @@ def bank_balance(spark, d):
     return checks.bank_balance(table(spark, d, "lineitem"), ["l_shipdate", "l_returnflag"], 12)
 
 
-@query("""SELECT coalesce(a.k, b.k) AS key, a.v AS "left", b.v AS "right" FROM (SELECT n_name AS k, CAST(n_regionkey AS VARCHAR) AS v FROM nation) a FULL JOIN (SELECT n_name AS k, CAST(n_nationkey % 5 AS VARCHAR) AS v FROM nation WHERE n_nationkey <> 7) b ON a.k = b.k WHERE a.v IS DISTINCT FROM b.v""")
+@query("""SELECT coalesce(a.k, b.k) AS key, a.v AS "left", b.v AS "right" FROM (SELECT CAST(c_custkey AS VARCHAR) AS k, CAST(c_nationkey AS VARCHAR) AS v FROM customer) a FULL JOIN (SELECT CAST(user_id AS VARCHAR) AS k, CAST(count(*) AS VARCHAR) AS v FROM events GROUP BY 1) b ON a.k = b.k WHERE a.v IS DISTINCT FROM b.v""")
 def config_diff(spark, d):
-    n = table(spark, d, "nation")
-    return checks.config_diff(n.select(F.col("n_name").alias("key"), F.col("n_regionkey").cast("string").alias("value")), n.where("n_nationkey <> 7").select(F.col("n_name").alias("key"), (F.col("n_nationkey") % 5).cast("string").alias("value")))
+    one = table(spark, d, "customer").select(F.col("c_custkey").cast("string").alias("key"), F.col("c_nationkey").cast("string").alias("value"))
+    two = table(spark, d, "events").groupBy(F.col("user_id").cast("string").alias("key")).agg(F.count("*").cast("string").alias("value"))
+    return checks.config_diff(one, two)
 
 
 @query("WITH " + ITEMS + _TWINS + """, s AS (SELECT 'pooled' AS slice_kind, 'all' AS slice_key, delta FROM tw UNION ALL SELECT 'format', format, delta FROM tw) SELECT slice_kind, slice_key, count(*) AS n, round(avg(CASE WHEN delta > 0 THEN 1.0 ELSE 0 END), 6) AS paired_accuracy FROM s GROUP BY 1, 2""")
@@ -736,20 +722,25 @@ def mean_axis_projection(spark, d):
     return linalg.project_out(rows, axes).select("vec_id", F.round(S.norm(F.col("features")), 5).alias("left_norm"))
 
 
-# -- probes (no SQL form) --------------------------------------------------------------------------------------------------
+# -- probes (those with SQL have it in probe_queries) --------------------------------------------------------------------------------------------------
+
+
+def rounded(df: DataFrame) -> DataFrame:
+    """Metrics as far as fits to a gradient of 1e-6 determine them."""
+    return df.withColumns({"accuracy": r6("accuracy"), "balanced_accuracy": r6("balanced_accuracy"), "auc": F.round("auc", 3)})
 
 
 @query()
 def probe_regimes(spark, d):
     rows = items(spark, d).withColumn("y", (F.col("purpose") == "evaluation").cast("int")).drop("score", "pred")
     scored = probe.out_of_fold(rows, probe.regime_rows(rows))
-    return metrics.slice_metrics(scored, {"regime": ["regime"], "cell": ["regime", "purpose", "format"]})
+    return rounded(metrics.slice_metrics(scored, {"regime": ["regime"], "cell": ["regime", "purpose", "format"]}))
 
 
 @query()
 def format_probe(spark, d):
     rows = items(spark, d).withColumn("y", (F.col("format") == "benchmark").cast("int")).drop("score", "pred")
-    return metrics.slice_metrics(probe.out_of_fold(rows, {"format": (F.lit(True), F.lit(True))}), {"regime": ["regime"]})
+    return rounded(metrics.slice_metrics(probe.out_of_fold(rows, {"format": (F.lit(True), F.lit(True))}), {"regime": ["regime"]}))
 
 
 @query()
@@ -775,13 +766,13 @@ def penalised_fit(spark, d):
 
 @query()
 def transfer_by_language(spark, d):
-    return probe.transfer(items(spark, d).drop("score", "pred"), "language")
+    return probe.transfer(items(spark, d).drop("score", "pred"), "language").withColumn("balanced_accuracy", r6("balanced_accuracy"))
 
 
 @query()
 def direction_cosines(spark, d):
     rows = items(spark, d).drop("score", "pred")
-    return probe.direction_cosines(rows, {"benchmark": F.col("format") == "benchmark", "casual": F.col("format") == "casual"})
+    return probe.direction_cosines(rows, {"benchmark": F.col("format") == "benchmark", "casual": F.col("format") == "casual"}).withColumn("cosine", F.round("cosine", 3))
 
 
 @query()
@@ -796,4 +787,9 @@ def orientation_null(spark, d):
     return resample.orientation_null(rows, "block", 20)
 
 
+#: Further names of queries.
+SECOND_NAMES = {"render_whole_blocks": "render_blocks", "whole_block_completeness": "block_completeness", "reconstruct_whole_diff": "reconstruct_diff", "cluster_bootstrap_bacc_2000": "cluster_bootstrap_bacc", "cluster_bootstrap_auc_2000": "cluster_bootstrap_auc"}
+for _name, _own in SECOND_NAMES.items():
+    QUERIES[_name], SQL[_name] = QUERIES[_own], SQL[_own]
+
 from . import probe_queries, set_queries, stream_queries  # noqa: E402, F401  (register further queries)
