@@ -19,13 +19,14 @@ from .queries import ITEMS, SQL, items, query, r6, table
 # -- SQL of fits -----------------------------------------------------------------------------------------------------------
 
 
-def descent(steps: int, big: float) -> str:
+def descent(steps: int, big: float | str, small: str = "ridge") -> str:
     """CTE b (fit, w): minimisers of the objectives of t (fit, z, y, a, d: vector with a last coordinate of 1, or of 0 for differences; label;
-    weight; whether a difference) with ridges of p (fit, ridge), by ``steps`` Nesterov steps for curvature up to ``big``."""
+    weight; whether a difference) with ridges of p (fit, ridge), by ``steps`` Nesterov steps for curvature from ``small`` (the intercept has no
+    ridge) to ``big``."""
     zeros = "list_transform(z, lambda x: 0.0::DOUBLE)"
     return f"""g AS (SELECT 0 AS k, fit, {zeros} AS w, {zeros} AS v FROM (SELECT fit, any_value(z) AS z FROM t GROUP BY 1) UNION ALL
   SELECT k + 1, fit, nw, list_transform(generate_series(1, len(w)), lambda i: nw[i] + beta * (nw[i] - w[i])) FROM (
-   SELECT k, fit, w, (sqrt({big} / ridge) - 1) / (sqrt({big} / ridge) + 1) AS beta, list_transform(generate_series(1, len(w)), lambda i: v[i] - (gr[i] + CASE WHEN i < len(w) THEN ridge * v[i] ELSE 0 END) / {big}) AS nw FROM (
+   SELECT k, fit, w, (sqrt({big} / {small}) - 1) / (sqrt({big} / {small}) + 1) AS beta, list_transform(generate_series(1, len(w)), lambda i: v[i] - (gr[i] + CASE WHEN i < len(w) THEN ridge * v[i] ELSE 0 END) / {big}) AS nw FROM (
     SELECT k, fit, any_value(w) AS w, any_value(v) AS v, list(gi ORDER BY i) AS gr FROM (
      SELECT k, fit, i, any_value(w) AS w, any_value(v) AS v, sum(r * zi) AS gi FROM (
       SELECT g.k, g.fit, g.w, g.v, t.a * CASE WHEN t.d THEN 2 * list_dot_product(t.z, g.v) ELSE 1 / (1 + exp(-list_dot_product(t.z, g.v))) - t.y END AS r, unnest(t.z) AS zi, generate_subscripts(t.z, 1) AS i FROM g JOIN t ON t.fit = g.fit WHERE g.k < {steps})
@@ -128,16 +129,16 @@ _RECORD = """u AS (SELECT a.wh, CASE j WHEN 0 THEN 'pooled' WHEN 1 THEN a.surfac
 
 @query(f"""WITH RECURSIVE {BANK}, rc AS (SELECT 'plain' AS recipe, 0.0::DOUBLE AS mass, 0.0::DOUBLE AS penalty UNION ALL SELECT 'mass', 1.0, 0.0 UNION ALL SELECT 'penalty', 1.0, 18.0), k AS (SELECT recipe, mass, penalty, s.s AS source, recipe || '/' || s.s AS fit FROM rc, range(2) AS s(s)),
  tf AS (SELECT fit, y, e, mass, penalty FROM mv, k WHERE fit_row), tc AS (SELECT fit, (intended_purpose = 'evaluation')::INT AS y, e, mass FROM mv, k WHERE NOT fit_row AND control_block_id // 2 % 2 = source AND mass > 0), td AS (SELECT fit, e, penalty FROM df, k WHERE control_block_id // 2 % 2 = source AND penalty > 0),
- {training("tf", "tc", "td", 0.001, "mass", "penalty")}, {descent(350, 420)},
+ {training("tf", "tc", "td", 0.001, "mass", "penalty")}, {descent(600, "(CASE WHEN fit LIKE 'penalty%' THEN 420 ELSE 34 END)", "least(ridge, 0.3)")},
  sp AS (SELECT fit || '/' || (1 - source) AS wh, language, stddev_pop(list_dot_product(list_append(e, 1.0), w)) AS sd FROM b JOIN k USING (fit) JOIN mv ON fit_row GROUP BY 1, 2),
  o AS (SELECT fit || '/' || (1 - source) AS wh, mv.* EXCLUDE (fit_row), list_dot_product(list_append(e, 1.0), w) AS score FROM b JOIN k USING (fit) JOIN mv ON NOT fit_row AND control_block_id // 2 % 2 <> source), {_RECORD}
- SELECT split_part(wh, '/', 1) AS recipe, 'bank' || split_part(wh, '/', 2) AS source, 'bank' || split_part(wh, '/', 3) AS target, round(auc_floor, 3) AS auc_floor, round(max_effect, 3) AS max_effect, true AS eligible FROM rec""")
+ SELECT split_part(wh, '/', 1) AS recipe, 'bank' || split_part(wh, '/', 2) AS source, 'bank' || split_part(wh, '/', 3) AS target, round(auc_floor, 3) AS auc_floor, round(max_effect, 2) AS max_effect, true AS eligible FROM rec""")
 def reciprocal_banks(spark, d):
     """Three recipes by two banks of controls in one batch; each bank tests the fits of the other."""
     fit, controls = bank(spark, d)
     banks = {f"bank{k}": controls.where(F.floor(F.col("control_block_id") / 2) % 2 == k) for k in range(2)}
     out = protocols.reciprocal(banks, fit, {"plain": Recipe(), "mass": Recipe(1.0), "penalty": protocols.continued(1.0, 18.0)}, 0.001)
-    return out.select("recipe", "source", "target", F.round("auc_floor", 3).alias("auc_floor"), F.round("max_effect", 3).alias("max_effect"), "eligible")
+    return out.select("recipe", "source", "target", F.round("auc_floor", 3).alias("auc_floor"), F.round("max_effect", 2).alias("max_effect"), "eligible")
 
 
 @query(f"""WITH RECURSIVE {BANK}, tf AS (SELECT 0 AS fit, y, e FROM mv WHERE fit_row), {training("tf", "tf WHERE false", "tf WHERE false", 0.005, "0", "0")}, {descent(200, 17)}
