@@ -212,3 +212,26 @@ def test_confirm_models_of_different_widths(spark, world):
     banks = {"wide": bank, "narrow": narrow(bank)}
     got = {r.model: (r.passed, r.failed_gates) for r in protocols.confirm(fit, banks, banks, Recipe(1.0, 1.0), 0.5, limits).collect()}
     assert got == {"wide": (True, 0), "narrow": (True, 0), None: (True, 0)}
+
+
+def test_penalised_fit_query(spark):
+    """All items, scored by the minimum that Newton steps find on the Parquet table itself."""
+    import pyarrow.parquet as pq
+
+    from twinfold.queries import QUERIES
+
+    sf = "/root/testdata/sf0.001"
+    t = pq.read_table(f"{sf}/embeddings.parquet").to_pandas().sort_values("vec_id")
+    ids, x, label = t["vec_id"].to_numpy(), np.stack(t["embedding"].to_numpy()).astype(float), t["label"].to_numpy()
+    y, fit, cue = label % 2, ids // 2 % 2 == 0, ids % 2 == 0
+    z = (x - x[fit].mean(0)) / (x[fit].std(0) + 1e-6)
+    at = {int(i): k for k, i in enumerate(ids)}
+    pairs = [(at[i], at[i + 1]) for i in at if i % 4 == 2 and i + 1 in at and (label[at[i]] < 5) == (label[at[i + 1]] < 5)]
+    assert pairs and cue[[a for a, _ in pairs]].all()
+    w, b = solved(z[fit], y[fit], 0.1, z[~fit], y[~fit], 1.0, np.array([z[i] - z[j] for i, j in pairs]), 4.0)
+    want = z @ w + b
+    got = {r.vec_id: r for r in QUERIES["penalised_fit"](spark, sf).collect()}
+    assert sorted(got) == sorted(at)
+    for k, i in enumerate(ids):
+        r = got[i]
+        assert r.y == y[k] and r.score == pytest.approx(want[k], abs=1e-4) and r.pred == (r.score >= 0)

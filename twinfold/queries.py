@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import scalars as S
-from .operators import checks, ledger, linalg, matching, metrics, probe, readers, render, resample
+from .operators import checks, fits, ledger, linalg, matching, metrics, probe, protocols, readers, render, resample
 from .plans import grids
 from .sources import tables
 
@@ -760,8 +760,8 @@ def svd_basis(spark, d):
 def penalised_fit(spark, d):
     rows = items(spark, d)
     controls = rows.where("format = 'casual'").select(F.col("block").alias("control_block_id"), F.lit("f").alias("cue_family"), "language", F.lit("-").alias("intended_purpose"), F.col("purpose").alias("lexical_cue"), "features", "y")
-    model = probe.fit_penalised(rows.where("format = 'benchmark'"), controls, matching.cue_differences(controls), probe.Recipe(1.0, 4.0, (1.0,)), 0.1)
-    return probe.score(rows.drop("score", "pred"), [model], F.lit(0)).select("vec_id", "y", "score", "pred")
+    model = protocols.fit_penalised(rows.where("format = 'benchmark'"), controls, matching.cue_differences(controls), probe.Recipe(1.0, 4.0, (1.0,)), 0.1)
+    return fits.score_batch(rows.drop("score", "pred"), [model], F.lit(0), tie=">=").select("vec_id", "y", "score", "pred")
 
 
 @query()
