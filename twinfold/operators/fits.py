@@ -161,13 +161,14 @@ def _losses(z: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.logaddexp(0, z) - y * z, np.where(z >= 0, 1, small) / (1 + small) - y
 
 
-def fit_batch(rows: DataFrame, specs: list[Spec], zero_sd: str = "add", tolerance: float = 1e-6, most_passes: int = 400, least_key_rows: int = 2) -> list[Model]:
+def fit_batch(rows: DataFrame, specs: list[Spec], zero_sd: str = "add", tolerance: float = 1e-9, most_passes: int = 400, least_key_rows: int = 2) -> list[Model]:
     """A model for each spec, in the same passes over rows (training_rows; cache them: each pass reads them once).
 
     The objective is the mean logistic loss of the fit rows, control_mass times that of the control rows, cue_penalty times the mean
     squared score of the difference rows, and half of |weight|^2 / (c * fit rows). zero_sd: ``add`` divides by the population deviation plus
     1e-6, ``one`` by 1 where there is none, ``raw`` takes vectors as they are. Keys with fewer than least_key_rows training rows aren't
-    standardised. A fit whose rows have one class is an error; one that doesn't converge says so."""
+    standardised. A fit whose rows have one class is an error; one that doesn't converge says so. tolerance: of each number of the gradient; scores near 0 are
+right to about ten times as much."""
     cells = statistics(rows)
     width = {g: (len(v) - 1) for (g, *_), v in cells.items()}
     n_labels = len(rows.first()["y"])

@@ -72,7 +72,8 @@ def minimise(start: np.ndarray, tolerance: float, most: int, memory: int = 12) -
             new = x + size * d
             f_new, g_new = yield new
             calls += 1
-            if f_new <= f + 1e-4 * size * slope or calls >= most:
+            # near the end values differ by less than they are rounded
+            if f_new <= f + 1e-4 * size * slope + 4 * np.finfo(float).eps * abs(f) or calls >= most:
                 break
             size /= 2
             if size < 1e-14:
