@@ -171,19 +171,33 @@ def rowspace_without_block(spark, d):
     blocks, at = fits.numbered(controls, "control_block_id")
     rows = fits.training_rows(fit, key="language").unionByName(protocols._difference_rows(cue_differences(controls.where("cue_family = 'noun'")).withColumn("_b", at), F.col("_b"))).cache()
     sd = protocols._deviations(rows)
-    bases = fits.held_out_bases(rows, sd, len(blocks), None)
-
-    def judge(batches):
-        for pdf in batches:
-            for block, key, x in zip(pdf["block"], pdf["key"], pdf["features"], strict=True):
-                v = np.array(x, float) / sd[key]
-                left = [np.linalg.norm(v - (v @ b.T) @ b) < 1e-8 * np.linalg.norm(v) for b in bases]
-                yield pd.DataFrame({"b": range(len(bases)), "own": [k == block for k in range(len(bases))], "gone": left})
-
-    found = rows.where("role = 'difference'").mapInPandas(judge, "b int, own boolean, gone boolean").groupBy("b").agg(F.count_if(~F.col("own")).alias("differences"), F.count_if(F.col("gone") & ~F.col("own")).alias("without_residual"))
-    flat = [(k, int(v), len(b), bool(np.allclose(b @ b.T, np.eye(len(b)), atol=1e-9))) for k, (v, b) in enumerate(zip(blocks, bases, strict=True))]
-    known = spark.createDataFrame(flat, "b int, control_block_id long, rank long, orthonormal boolean")
-    return known.join(found, "b").select("control_block_id", "differences", "rank", "orthonormal", "without_residual")
+    nameless = rows.where("role = 'difference' and block < 0").count()
+
+    def judge(block, basis, triangle, others):
+        n, zeros, low = others
+        # all vectors of a whole space, and all rows that a triangle is of: what is left of it is more than what is left of each
+        whole = len(basis) == basis.shape[1] and np.linalg.norm(np.eye(len(basis)) - basis.T @ basis, 2) < 1e-8
+        known = whole or not nameless and (not n or np.linalg.norm(triangle - (triangle @ basis.T) @ basis, 2) < 1e-8 * low)
+        flat = bool(np.allclose(basis @ basis.T, np.eye(len(basis)), atol=1e-9))
+        return {"b": block, "rank": len(basis), "orthonormal": flat, "n": n, "gone": n - zeros if known and not nameless else None, "basis": None if known and not nameless else basis.ravel()}
+
+    found = fits.held_out_spaces(rows, sd, len(blocks), None, judge, "b int, rank long, orthonormal boolean, n long, gone long, basis array<double>").cache()
+
+    @F.pandas_udf("boolean")
+    def left_nothing(x: pd.Series, key: pd.Series, basis: pd.Series) -> pd.Series:
+        out = []
+        for v, k, b in zip(x, key, basis, strict=True):
+            v = np.array(v, float) / sd[k]
+            b = np.array(b, float).reshape(-1, len(v))
+            out.append(bool(np.linalg.norm(v - (v @ b.T) @ b) < 1e-8 * np.linalg.norm(v)))
+        return pd.Series(out)
+
+    # bases that don't say it of all rows at once are held against each row
+    open_ = found.where("basis is not null").select("b", "basis").crossJoin(rows.where("role = 'difference'")).where("block <> b")
+    each = open_.groupBy("b").agg(F.count_if(left_nothing("features", "key", "basis")).alias("_gone"))
+    known = spark.createDataFrame([(k, int(v)) for k, v in enumerate(blocks)], "b int, control_block_id long")
+    out = known.join(found.drop("basis"), "b").join(each, "b", "left")
+    return out.select("control_block_id", (F.col("n") + nameless).alias("differences"), "rank", "orthonormal", F.coalesce("gone", "_gone", F.lit(0)).cast("long").alias("without_residual"))
 
 
 @query(f"""WITH RECURSIVE {BANK}, k AS (SELECT 'narrow' AS fit, 32 AS w UNION ALL SELECT 'wide', 64), tf AS (SELECT fit, y, e[1:k.w] AS e FROM mv, k WHERE fit_row), tc AS (SELECT fit, (intended_purpose = 'evaluation')::INT AS y, e[1:k.w] AS e FROM mv, k WHERE NOT fit_row AND control_block_id % 2 = 0), td AS (SELECT fit, e[1:k.w] AS e FROM df, k WHERE control_block_id % 2 = 0),
