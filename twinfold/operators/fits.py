@@ -14,7 +14,7 @@ from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Callable, Generator, Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pandas as pd
@@ -22,11 +22,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .metrics import rank_for_variance
-from .probe import FAN_IN, Recipe, in_few_tasks, minimise
+from .probe import FAN_IN, TASK_NUMBERS, Recipe, in_few_tasks, minimise
 
 ROLES = ("fit", "control", "difference")
 #: Numbered units beyond which their numbers are no literals of the plan.
 MANY = 256
+#: Vectors of more numbers aren't taken by third derivatives, whose numbers are the cube of theirs.
+WIDEST = 128
 
 
 @dataclass
@@ -118,8 +120,9 @@ def _selected(own: pd.DataFrame) -> list[set[int]]:
     return [set(map(int, s)) for s in own["selections"]]
 
 
-def statistics(rows: DataFrame) -> dict[tuple, np.ndarray]:
-    """(group, role, selection, key, block) -> number of rows, sums of labels, sums of vectors, sums of squares; one pass."""
+def statistics(rows: DataFrame, of_vectors: tuple[str, ...] = ROLES) -> dict[tuple, np.ndarray]:
+    """(group, role, selection, key, block) -> number of rows, sums of labels, sums of vectors, sums of squares (only the first for roles not in
+    of_vectors); one pass."""
     cells = {tuple(r): k for k, r in enumerate(rows.select("group", "role", F.explode("selections").alias("s"), "key", "block").distinct().collect())}
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -133,7 +136,7 @@ def statistics(rows: DataFrame) -> dict[tuple, np.ndarray]:
                     for s in sel:
                         of[cells[g, role, s, key, block]].append(i)
                 for k, at in of.items():
-                    v = full[at].sum(0)
+                    v = full[at].sum(0) if own["role"].iloc[at[0]] in of_vectors else np.array([float(len(at))])
                     out[k] = out[k] + v if k in out else v
         yield from _frame(out)
 
@@ -171,18 +174,29 @@ def fit_batch(rows: DataFrame, specs: list[Spec], zero_sd: str = "add", toleranc
     1e-6, ``one`` by 1 where there is none, ``raw`` takes vectors as they are. Keys with fewer than least_key_rows training rows aren't
     standardised. A fit whose rows have one class is an error; one that doesn't converge says so. tolerance: of each number of the gradient; scores near 0 are
 right to about ten times as much."""
-    cells = statistics(rows)
-    width = {g: (len(v) - 1) for (g, *_), v in cells.items()}
+    cells = statistics(rows, ("fit",))
+    width = {g: (len(v) - 1) for (g, role, *_), v in cells.items() if role == "fit"}
     n_labels = len(rows.first()["y"])
     width = {g: (w - n_labels) // 2 for g, w in width.items()}
     keys = sorted({c[3] for c in cells})
 
-    of: dict[tuple, list] = defaultdict(list)
+    of: dict[tuple, dict] = defaultdict(dict)
     for (g, r, s, k, b), v in cells.items():
-        of[g, r, s, k].append((b, v))
+        of[g, r, s, k][b] = v
+    whole = {c: np.sum(list(v.values()), 0) for c, v in of.items()}
+
+    def left(cell: tuple, held: tuple[int, ...]) -> np.ndarray | None:
+        blocks = of[cell]
+        out = [b for b in held if b in blocks]
+        if len(out) == len(blocks):
+            return None
+        if out and len(blocks) <= MANY:
+            return np.sum([v for b, v in blocks.items() if b not in out], 0)
+        return whole[cell] - np.sum([blocks[b] for b in out], 0) if out else whole[cell]
 
     def total(spec: Spec, role: str, selection: int, key: str | None = None) -> np.ndarray | None:
-        found = [v for k in (keys if key is None else [key]) for b, v in of.get((spec.group, role, selection, k), []) if b not in spec.held]
+        found = [left(c, spec.held) for k in (keys if key is None else [key]) if (c := (spec.group, role, selection, k)) in whole]
+        found = [v for v in found if v is not None]
         return np.sum(found, 0) if found else None
 
     models, counts = [], []
@@ -201,9 +215,21 @@ right to about ten times as much."""
         models.append(Model(spec, mean, sd, np.zeros(width[spec.group]), 0.0, int(own[0])))
         counts.append({r: 0 if (v := total(spec, r, spec.selection(r))) is None else v[0] for r in ROLES})
 
-    rows = in_few_tasks(rows, sum(v[0] * width[c[0]] for c, v in cells.items()))
+    starts = {i: np.zeros(len(m.weight) + 1) for i, m in enumerate(models)}
+    unlike = {(m.spec.c, m.spec.group, str(m.spec.select), m.spec.stats, str(m.spec.recipe), m.spec.label, m.spec.basis is None, len(m.spec.held)) for m in models}
+    if len(unlike) == 1 and len(models) > max(MANY, len(models[0].weight)) and len(models[0].weight) <= WIDEST and not models[0].spec.recipe.continuation:
+        spec, held = models[0].spec, {m.spec.held[0]: i for i, m in enumerate(models) if len(m.spec.held) == 1}
+        if spec.basis is None and len(held) == len(models) and not any(b in held for (g, r, _, _, b) in cells if g == spec.group and r == "fit"):
+            base = fit_batch(rows, [replace(spec, held=())], zero_sd, tolerance, most_passes, least_key_rows)[0]
+            for b, theta, error in _near(rows, base, held, counts, tolerance):
+                starts[held[b]] = theta
+                if error <= tolerance:
+                    m = models[held[b]]
+                    m.weight, m.intercept, m.passes = theta[:-1], float(theta[-1]), base.passes
+                    del starts[held[b]]
+    rows = in_few_tasks(rows, sum(v[0] * width.get(c[0], 0) for c, v in cells.items()) * max(1.0, len(starts) / 16))
     strength = [1 / (m.spec.c * m.n) for m in models]
-    running = {i: _staged(np.zeros(len(m.weight) + 1), [*m.spec.recipe.continuation, m.spec.recipe.cue_penalty], tolerance, most_passes) for i, m in enumerate(models)}
+    running = {i: _staged(start, [*models[i].spec.recipe.continuation, models[i].spec.recipe.cue_penalty], tolerance, most_passes) for i, start in starts.items()}
     asked = {i: next(r) for i, r in running.items()}
     while asked:
         sums = _gradients(rows, [models[i] for i in asked], [a[0] for a in asked.values()], [a[1] for a in asked.values()], [counts[i] for i in asked], keys)
@@ -220,6 +246,83 @@ right to about ten times as much."""
     return models
 
 
+def _near(rows: DataFrame, base: Model, held: dict[int, int], counts: list[dict], tolerance: float) -> list[tuple[int, np.ndarray, float]]:
+    """Block, parameters and a bound of the gradient's numbers there, of fits that are like base but for a held-out block without fit rows.
+
+    Losses of all rows are taken by their first three derivatives at base, in one pass over them, and those of the block itself as they are; each block then takes
+    Newton steps where its rows lie. So the work doesn't grow with blocks times rows. What the fourth derivatives leave open is in the bound."""
+    spec, side = base.spec, len(base.weight) + 1
+    at, mass, penalty = np.append(base.weight, base.intercept), spec.recipe.control_mass, spec.recipe.cue_penalty
+    ridge = 1 / (spec.c * base.n) * np.append(np.ones(side - 1), 0.0)
+    pick = {r: spec.selection(r) for r in ROLES}
+
+    def placed(x: np.ndarray, role: str, key: str) -> np.ndarray:
+        if key in base.mean:
+            x = (x if role == "difference" else x - base.mean[key]) / base.sd[key]
+        return np.hstack([x, np.full((len(x), 1), 0.0 if role == "difference" else 1.0)])
+
+    def parts(pdf: pd.DataFrame) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
+        for g, own, x in _groups(pdf):
+            y = np.stack(own["y"].to_numpy()).astype(float)[:, spec.label if own["role"].iloc[0] != "difference" else 0]
+            inside = np.array([pick[r] in s for r, s in zip(own["role"], _selected(own), strict=True)])
+            for (role, key), of in own.assign(_i=np.arange(len(own)))[inside].groupby(["role", "key"], sort=False)["_i"] if g == spec.group else []:
+                i = of.to_numpy()
+                yield role, placed(x[i], role, key), y[i]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        out: dict[int, np.ndarray] = {}
+        for pdf in batches:
+            for role, every, labels in parts(pdf):
+                for k in range(0, len(every), 1000):
+                    a, y = every[k : k + 1000], labels[k : k + 1000]
+                    if role == "difference":
+                        v = (a.T @ a).ravel()
+                    else:
+                        p = 1 / (1 + np.exp(-(a @ at)))
+                        q, pairs = p * (1 - p), (a[:, :, None] * a[:, None, :]).reshape(len(a), -1)
+                        third = (a * (q * (1 - 2 * p))[:, None]).T @ pairs
+                        v = np.concatenate([a.T @ (p - y), q @ pairs, third.ravel(), pairs.sum(0), [(np.linalg.norm(a, axis=1) ** 32).sum()]])
+                    j = ROLES.index(role)
+                    out[j] = out[j] + v if j in out else v
+        yield from _frame(out)
+
+    flat = totals(rows, run)
+    shapes = [(side,), (side, side), (side, side, side), (side, side), ()]
+    cuts = np.cumsum([0, *[int(np.prod(s)) for s in shapes]])
+    none = np.zeros(cuts[-1])
+    taken = [[flat.get(j, none)[a:b].reshape(s) for a, b, s in zip(cuts[:-1], cuts[1:], shapes, strict=True)] for j in (0, 1)]
+    products = flat.get(2, np.zeros(side * side)).reshape(side, side)
+    # no row is longer: a sum of 32nd powers is more than the largest
+    longest = max(float(t[4]) for t in taken) ** (1 / 32)
+    sizes = {b: (max(1, counts[i]["control"]), max(1, counts[i]["difference"])) for b, i in held.items()}
+
+    def solve(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        n, m = sizes[key[0]]
+        own = list(parts(pdf))
+        x = np.vstack([np.zeros((0, side)), *[a for r, a, _ in own if r == "control"]])
+        y = np.concatenate([np.zeros(0), *[t for r, _, t in own if r == "control"]])
+        d = np.vstack([np.zeros((0, side)), *[a for r, a, _ in own if r == "difference"]])
+        gap = 2 * penalty / m * (products - d.T @ d) + np.diag(ridge)
+        first, second, third, square = (taken[0][k] / base.n + mass / n * taken[1][k] for k in range(4))
+        step, error = np.zeros(side), np.inf
+        for _ in range(20):
+            p = 1 / (1 + np.exp(-(x @ (at + step))))
+            bent = third @ step
+            slope = first + second @ step + 0.5 * bent @ step - mass / n * (x.T @ (p - y)) + gap @ (at + step)
+            error = float(np.abs(slope).max())
+            if error <= tolerance / 100:
+                break
+            step = step - np.linalg.solve(second + bent - mass / n * (x.T * (p * (1 - p))) @ x + gap, slope)
+        # |fourth derivative| <= 1/8
+        error += longest**2 * float(np.linalg.norm(step)) * float(step @ square @ step) / 48
+        return pd.DataFrame({"block": key[0], "theta": [at + step], "error": error})
+
+    own = rows.where("role <> 'fit'").where(F.col("block") >= 0)
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    found = own.repartition(tasks, "block").groupBy("block").applyInPandas(solve, "block int, theta array<double>, error double")
+    return [(r.block, np.array(r.theta), r.error if np.isfinite(r.error) else np.inf) for r in found.toLocalIterator() if np.isfinite(r.theta).all()]
+
+
 def _gradients(rows: DataFrame, models: list[Model], thetas: list[np.ndarray], penalties: list[float], counts: list[dict], keys: list[str]) -> list[np.ndarray]:
     """For each model the loss without the ridge, and its gradient by weight and intercept."""
     by_group: dict[str, list[int]] = defaultdict(list)
@@ -253,21 +356,23 @@ def _gradients(rows: DataFrame, models: list[Model], thetas: list[np.ndarray], p
                 for (key, role), part in own.assign(_i=np.arange(len(own))).groupby(["key", "role"], sort=False)["_i"]:
                     if not weigh[role].any():
                         continue
-                    i = part.to_numpy()
-                    member = inside[i][:, pick[role]] & (block[i][:, None] != held[:, None]).all(0) & (weigh[role] > 0)
                     w, b = lines[g, key]
-                    z = x[i] @ w
-                    if role == "difference":
-                        # the difference of two vectors of one key: means and intercepts cancel
-                        value, pull = z * z, 2 * z
-                    else:
-                        value, pull = _losses(z + b, y[i][:, label])
-                    value, pull = value * member * weigh[role], pull * member * weigh[role]
-                    v = np.hstack([value.sum(0)[:, None], np.zeros((len(at), 1)) if role == "difference" else pull.sum(0)[:, None], pull.T @ x[i]])
-                    for row, fit in zip(v, at, strict=True):
-                        # differences are apart from the others: no mean is taken off them
-                        k = (int(fit) * len(number) + number[key]) * 2 + (role == "difference")
-                        out[k] = out[k] + row if k in out else row
+                    step = max(1, TASK_NUMBERS // len(at))
+                    for start in range(0, len(part), step):
+                        i = part.to_numpy()[start : start + step]
+                        member = inside[i][:, pick[role]] & (block[i][:, None] != held[:, None]).all(0) & (weigh[role] > 0)
+                        z = x[i] @ w
+                        if role == "difference":
+                            # the difference of two vectors of one key: means and intercepts cancel
+                            value, pull = z * z, 2 * z
+                        else:
+                            value, pull = _losses(z + b, y[i][:, label])
+                        value, pull = value * member * weigh[role], pull * member * weigh[role]
+                        v = np.hstack([value.sum(0)[:, None], np.zeros((len(at), 1)) if role == "difference" else pull.sum(0)[:, None], pull.T @ x[i]])
+                        for row, fit in zip(v, at, strict=True):
+                            # differences are apart from the others: no mean is taken off them
+                            k = (int(fit) * len(number) + number[key]) * 2 + (role == "difference")
+                            out[k] = out[k] + row if k in out else row
         yield from _frame(out)
 
     found = totals(rows, run)
@@ -303,6 +408,11 @@ def score_moments(rows: DataFrame, models: list[Model]) -> pd.DataFrame:
     """fit, key, n, mean, sd of the scores of each model's own fit rows: sums in one pass, not a copy of the rows a fit."""
     keys = sorted({k for m in models for k in m.mean} | {r[0] for r in rows.where("role = 'fit'").select("key").distinct().collect()})
     number = {k: j for j, k in enumerate(keys)}
+    if len({(m.spec.group, m.spec.selection("fit")) for m in models}) == 1 and len(models) > len(models[0].weight):
+        held = sorted({b for m in models for b in m.spec.held})
+        lie = {r.block for r in rows.where("role = 'fit'").select("block").distinct().collect()}
+        if lie.isdisjoint(held):
+            return _moments_of_all(rows, models, keys)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         out = np.zeros((len(models) * len(keys), 3))
@@ -324,6 +434,34 @@ def score_moments(rows: DataFrame, models: list[Model]) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["fit", "key", "n", "mean", "sd"])
 
 
+def _moments_of_all(rows: DataFrame, models: list[Model], keys: list[str]) -> pd.DataFrame:
+    """score_moments of models that all have the same fit rows, from the means and products of these rows."""
+    spec, width, number = models[0].spec, len(models[0].weight), {k: j for j, k in enumerate(keys)}
+    # about where the rows lie, so that products don't cancel
+    shift = {k: models[0].mean.get(k, np.zeros(width)) for k in keys}
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        out: dict[int, np.ndarray] = {}
+        for pdf in batches:
+            for g, own, x in _groups(pdf):
+                inside = np.array([spec.selection("fit") in s for s in _selected(own)])
+                for key in own["key"].unique() if g == spec.group else []:
+                    z = x[inside & (own["key"] == key).to_numpy()] - shift[key]
+                    v, k = np.concatenate([[len(z)], z.sum(0), (z.T @ z).ravel()]), number[key]
+                    out[k] = out[k] + v if k in out else v
+        yield from _frame(out)
+
+    parts = []
+    for k, v in totals(rows.where("role = 'fit'"), run).items():
+        if v[0]:
+            key, mean = keys[k], v[1 : 1 + width] / v[0]
+            lines = [m.line(key) for m in models]
+            w, b = np.array([w for w, _ in lines]), np.array([b for _, b in lines])
+            spread = v[1 + width :].reshape(width, width) / v[0] - np.outer(mean, mean)
+            parts.append(pd.DataFrame({"fit": range(len(models)), "key": key, "n": int(v[0]), "mean": w @ (mean + shift[key]) + b, "sd": np.sqrt(np.maximum(0, ((w @ spread) * w).sum(1)))}))
+    return pd.concat(parts).sort_values(["fit", "key"], ignore_index=True) if parts else pd.DataFrame(columns=["fit", "key", "n", "mean", "sd"])
+
+
 def held_out_spaces(rows: DataFrame, sd: dict[str, np.ndarray], blocks: int, fraction: float | None, judge: Callable[..., dict], schema: str) -> DataFrame:
     """What judge makes of each block's basis (see held_out_bases), a row each of ``schema``, made where the bases are: none comes to the driver. judge gets
     block, basis, triangle (of the other blocks' rows) and others: n, zeros and low of the other blocks' rows, which are their number, how many are null vectors and the

@@ -173,7 +173,7 @@ def crossfit_controls(controls: DataFrame, fit: DataFrame, recipe: Recipe, c: fl
     scored = score_batch(named.where("_block >= 0"), models, "_block", "language")
     spark = controls.sparkSession
     known = spark.createDataFrame([(int(r.fit), r.key, float(r.mean), float(r.sd)) for r in moments.itertuples()], "_block int, language string, _mean double, _sd double")
-    good = F.element_at(F.array(*[F.lit(m.converged) for m in models]), F.col("_block") + 1)
+    good = ~F.col("_block").isin([k for k, m in enumerate(models) if not m.converged])
     return scored.join(known, ["_block", "language"], "left").withColumn("normalised", F.try_divide(F.col("score") - F.col("_mean"), F.col("_sd"))).withColumn("converged", good).drop("_block", "_mean", "_sd")
 
 
